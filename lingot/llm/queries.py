@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ann import search
 from .kd_sharding import kd_shards
 from .mixing import mix
 from .packing import pack
 from .shared import table
 from .token_counts import token_counts
+from .vector_dedup import near_vectors
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,10 +22,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -37,7 +48,7 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_curriculum_mix, op6_kd_shards, op9_token_counts, op10_pattern_packing)
+    for f in (op1_adaptive_scan, op2_curriculum_mix, op3_metric_range_join, op6_kd_shards, op9_token_counts, op10_pattern_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
