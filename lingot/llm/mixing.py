@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept, ranked
+from .shared import checked, kept, ranked
 
 #: Weights by the rank of the source, repeating; and how a schedule ends relative to its start.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     words = _source_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("size"), "source"))
     words = kept(words.select("doc_id", "size", "_key"), "mix-sizes")
     sizes = words.groupBy(F.col("_key").alias("source_key")).agg(F.sum("size").alias("source_size"))
-    targets = kept(source_targets(sizes), "mix-targets")
+    targets = checked(source_targets(sizes), "mix-targets")
     queue = ranked(words, "_key", [F.col("doc_id"), F.col("size")], [F.lit(seed), F.col("doc_id"), F.col("size")], "before", weight=F.col("size"))
     rows = queue.join(targets, F.col("_key") == F.col("source_key"))
     goal = F.round("target").cast("long")

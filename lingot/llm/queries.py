@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import search
+from .bag_minhash import near_duplicates
 from .kd_sharding import kd_shards
 from .mixing import mix
 from .packing import pack
@@ -38,6 +39,10 @@ def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -48,7 +53,7 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_adaptive_scan, op2_curriculum_mix, op3_metric_range_join, op6_kd_shards, op9_token_counts, op10_pattern_packing)
+    for f in (op1_adaptive_scan, op2_curriculum_mix, op3_metric_range_join, op6_kd_shards, op7_bag_minhash, op9_token_counts, op10_pattern_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}

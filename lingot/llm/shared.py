@@ -29,6 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a small table that may be broadcast; its size is counted first.
+BROADCAST_ROWS = 100_000
+
+
+def checked(small: DataFrame, name: str) -> DataFrame:
+    """small, written once, with a broadcast hint only if its rows were counted to be few; else Spark joins it as it finds best."""
+    small = kept(small, name)
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def root_buckets(n: Column) -> Column:
     """About sqrt(n) buckets, so that neither a bucket nor the list of buckets grows as n does."""
     return F.greatest(F.lit(1), F.ceil(F.sqrt(n))).cast("long")
@@ -43,9 +53,8 @@ def ranked(df: DataFrame, group: str, order: list[Column], hash_of: list[Column]
     """
     at = F.xxhash64(*hash_of)
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    buckets = counts.select(F.col(group).alias("_g"), root_buckets(F.col("_n")).alias("_nb"))
+    buckets = checked(counts.select(F.col(group).alias("_g"), root_buckets(F.col("_n")).alias("_nb")), "rank-buckets")
     one = F.lit(1).cast("long") if weight is None else weight.cast("long")
-    # the groups' counts may be many; Spark broadcasts them only when they are under its own size limit
     rows = df.withColumn("_h", at).join(buckets, F.col(group) == F.col("_g")).drop("_g")
     rows = rows.withColumn("_b", F.floor((F.shiftrightunsigned("_h", 33) * F.col("_nb")) / F.lit(2**31)).cast("long")).withColumn("_w", one)
     totals = rows.groupBy(group, "_b").agg(F.sum("_w").alias("_t"))
