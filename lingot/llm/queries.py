@@ -13,6 +13,7 @@ from .kd_sharding import kd_shards
 from .mixing import mix
 from .packing import pack
 from .shared import table
+from .substring_dedup import without_repeats
 from .token_counts import token_counts
 from .vector_dedup import near_vectors
 
@@ -35,6 +36,11 @@ def op3_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op5_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -53,7 +59,7 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_adaptive_scan, op2_curriculum_mix, op3_metric_range_join, op6_kd_shards, op7_bag_minhash, op9_token_counts, op10_pattern_packing)
+    for f in (op1_adaptive_scan, op2_curriculum_mix, op3_metric_range_join, op5_seed_and_extend, op6_kd_shards, op7_bag_minhash, op9_token_counts, op10_pattern_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
