@@ -12,9 +12,11 @@ from .bag_minhash import near_duplicates
 from .kd_sharding import kd_shards
 from .mixing import mix
 from .packing import pack
+from .quality import quality
 from .shared import table
 from .substring_dedup import without_repeats
 from .token_counts import token_counts
+from .toxicity import toxicity
 from .vector_dedup import near_vectors
 
 
@@ -36,6 +38,12 @@ def op3_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity(docs, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
 def op5_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
@@ -49,6 +57,11 @@ def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"), (F.col("_predicted") == 1).alias("kept"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -59,7 +72,7 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_adaptive_scan, op2_curriculum_mix, op3_metric_range_join, op5_seed_and_extend, op6_kd_shards, op7_bag_minhash, op9_token_counts, op10_pattern_packing)
+    for f in (op1_adaptive_scan, op2_curriculum_mix, op3_metric_range_join, op4_weak_toxicity, op5_seed_and_extend, op6_kd_shards, op7_bag_minhash, op8_weak_quality, op9_token_counts, op10_pattern_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
