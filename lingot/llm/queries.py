@@ -58,8 +58,8 @@ def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"), (F.col("_predicted") == 1).alias("kept"))
+    found = quality(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("predicted") == 1)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

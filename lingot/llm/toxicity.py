@@ -167,9 +167,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     voted = texts.mapInPandas(vote, "id long, pattern string").join(gold, "id", "left")
     said = F.when(F.col("y") == 1, "+").when(F.col("y") == 0, "-").otherwise("0")
     patterns = kept(voted.groupBy(F.concat("pattern", said).alias("pattern")).agg(F.count(F.lit(1)).alias("n")), "toxic-patterns")
-    guess = np.full(voters, 0.8)
-    guess[-1] = 0.95
-    model = wl.fit(patterns, voters, p, guess)
+    accuracy = np.full(voters, 0.8)
+    accuracy[-1] = 0.95
+    model = wl.fit(patterns, voters, p, wl.guess(accuracy))
     # texts stay on the executors; the driver gets the sample's numbers of features
     got = sample.mapInPandas(lambda it: (pd.DataFrame({"id": b["id"].to_numpy(), "read": [reader.read(t).tolist() for t in b["text"]], "y": b["y"].to_numpy()}) for b in it), "id long, read array<int>, y int").orderBy("id").toPandas()
     read, y = [np.asarray(r, dtype=np.int64) for r in got["read"]], got["y"].to_numpy()

@@ -68,11 +68,16 @@ def _sums(patterns: DataFrame, voters: int, model: LabelModel, pairs: bool) -> n
     return out.reshape(2, -1)
 
 
-def fit(patterns: DataFrame, voters: int, prior: float, accuracy: np.ndarray, rounds: int = 8) -> LabelModel:
-    """The label model of ``patterns`` (pattern, n: how many rows vote so); ``accuracy``: first guess for each voter."""
-    says = np.full((voters, 2, 2), 0.1)
+def guess(accuracy: np.ndarray) -> np.ndarray:
+    """First guess of what voters say in either class, from how often each is right when it says anything."""
+    says = np.empty((len(accuracy), 2, 2))
     says[:, 1, 1] = says[:, 0, 0] = 0.2 * accuracy
     says[:, 1, 0] = says[:, 0, 1] = 0.2 * (1 - accuracy)
+    return says
+
+
+def fit(patterns: DataFrame, voters: int, prior: float, says: np.ndarray, rounds: int = 8) -> LabelModel:
+    """The label model of ``patterns`` (pattern, n: how many rows vote so), from a first guess of what voters say."""
     model = LabelModel(prior, says, np.ones(voters))
     for _ in range(rounds):
         s = _sums(patterns, voters, model, pairs=False)
@@ -82,7 +87,7 @@ def fit(patterns: DataFrame, voters: int, prior: float, accuracy: np.ndarray, ro
         minus, plus = s[:, 1 : 1 + voters], s[:, 1 + voters :]
         mass = s[:, :1]
         spoken = np.stack([minus, plus]).transpose(2, 0, 1)
-        says = (spoken + 0.5 * model.says.mean() * 2) / (mass.T[None] + 1.0)
+        says = (spoken + model.says.mean()) / (mass.T[None] + 1.0)
         new = float(np.clip(s[1, 0] / rows, 0.005, 0.995))
         done = abs(new - model.prior) < 1e-4
         model = LabelModel(new, np.clip(says, 1e-6, 1), model.weight)
