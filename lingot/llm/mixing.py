@@ -93,6 +93,6 @@ def mixed_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
     """
     plan = mix(docs, seed).groupBy("doc_id").agg(F.max_by(F.struct("size", "taken", "position"), "taken").alias("_m"))
     copies = F.when(F.col("_m.size") == 0, 1).otherwise(F.floor(F.col("_m.taken") / F.col("_m.size") + 0.5)).cast("int")
-    out = docs.join(plan.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    out = docs.join(plan.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
     out = out.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
     return out.orderBy("_copy", "_m.position", "doc_id").select(*docs.columns)
