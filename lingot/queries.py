@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import queries_logs, queries_text
+
+QUERIES = {**queries_text.QUERIES, **queries_logs.QUERIES}
+ORACLE_SQL = {**queries_text.ORACLE_SQL, **queries_logs.ORACLE_SQL}
