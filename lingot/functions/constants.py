@@ -123,3 +123,16 @@ TEXT_EXTENSIONS = ("txt", "properties", "xml", "csv", "ini", "lang", "lng", "jso
 BINARY_EXTENSIONS = ("dat", "bin", "res", "pak", "db", "rms")
 SKIPPED_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "bmp", "ico", "mp3", "wav", "mid", "midi", "amr", "ogg", "aac", "mp4", "3gp", "avi", "m4a", "zip", "jar", "gz", "bz2", "7z", "rar", "dll", "so", "exe", "dex")
 MOST_READ, MOST_DEEP = 16 * 1024 * 1024, 12 * 1024 * 1024
+# Hints of activation and payment in names, in ASCII content and in Chinese content.
+FLOW_NAMES = ("activate", "activation", "active", "register", "registration", "license", "licence", "unlock", "payment", "billing", "purchase", "pay", "subscribe", "subscription", "sms", "fee", "charge", "premium")
+FLOW_TERMS = ("activate", "activation", "register", "registration", "license", "licence", "unlock", "payment", "billing", "purchase", "subscribe", "subscription", "premium", "charge", "send sms", "sms://", "messageconnection")
+FLOW_CJK = ("激活", "注册", "购买", "付费", "收费", "短信", "订购", "支付", "解锁", "授权")
+ACTIVATION_TERMS = ("activate", "activation", "register", "registration", "license", "licence", "unlock", "激活", "注册", "解锁", "授权")
+PAYMENT_TERMS = ("payment", "billing", "purchase", "pay", "subscribe", "subscription", "premium", "charge", "购买", "付费", "收费", "订购", "支付")
+# Evidence of fonts.
+FONT_NAMES = ("font", "fonts", "glyph", "glyphs", "charset", "char", "chars", "fnt", "bitmapfont", "spritefont", "textfont")
+FONT_EXTENSIONS, IMAGE_EXTENSIONS = ("fnt", "ttf", "otf", "bdf", "fon"), ("png", "gif", "jpg", "jpeg", "bmp")
+# Labels of APIs.
+API_LABELS = {"wma_sms": "JSR-120/205 WMA", "m3g": "JSR-184 M3G", "bluetooth": "JSR-82 Bluetooth", "file_connection": "JSR-75 FileConnection", "media": "JSR-135 MMAPI", "nokia": "Nokia proprietary API", "samsung": "Samsung proprietary API", "siemens": "Siemens proprietary API", "sonyericsson": "Sony Ericsson proprietary API", "motorola": "Motorola proprietary API"}
+# Kinds of entries by extension, in order.
+ENTRY_KINDS = (("jar", ("jar",)), ("class", ("class",)), ("text", ("properties", "txt", "xml", "ini", "lang", "lng", "json", "yaml", "yml", "csv")), ("binary", ("dat", "bin", "res", "map", "sce")), ("image", ("png", "jpg", "jpeg", "gif", "bmp")), ("audio", ("mid", "midi", "wav", "mp3", "amr")))

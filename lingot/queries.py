@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_logs, queries_text
+from . import queries_compat, queries_logs, queries_text
 
-QUERIES = {**queries_text.QUERIES, **queries_logs.QUERIES}
-ORACLE_SQL = {**queries_text.ORACLE_SQL, **queries_logs.ORACLE_SQL}
+QUERIES = {**queries_text.QUERIES, **queries_logs.QUERIES, **queries_compat.QUERIES}
+ORACLE_SQL = {**queries_text.ORACLE_SQL, **queries_logs.ORACLE_SQL, **queries_compat.ORACLE_SQL}

@@ -134,7 +134,7 @@ def x17_diagnosis(spark, sf_dir):
     return found.withColumns({c: F.array_join(c, "|") for c in ("matched_apis", "startup_overlap", "failing_path")})
 
 
-QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
+QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and f.__name__.isidentifier() and not f.__name__.startswith("_")}
 QUERIES["a16_diagnosis_summary"] = lambda spark, sf_dir: x17_diagnosis(spark, sf_dir).groupBy("probable_cause", "primary_exception").agg(F.count(F.lit(1)).alias("logs"), F.sum("exceptions").alias("exceptions"))
 QUERIES["o6_matched_apis"] = lambda spark, sf_dir: x16_correlation(spark, sf_dir).select("log_id", "matched_apis")
 

@@ -262,7 +262,7 @@ def t3_shown_rows(spark, sf_dir):
     return S.shown_rows(src.lines(spark, sf_dir).select("doc_id", "idx"), ["doc_id", "idx"])
 
 
-QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and not f.__name__.startswith("_")}
+QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and f.__name__.isidentifier() and not f.__name__.startswith("_")}
 
 _STRIP = lambda c: f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
 _RES = LINES + f", res AS (SELECT doc_id, idx, line FROM (SELECT doc_id, idx, {_STRIP('value')} AS line FROM lines) WHERE line <> '' AND NOT regexp_matches(line, '^(?:#|;|//)'))"
