@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_compat, queries_logs, queries_text
+from . import queries_compat, queries_logs, queries_streams, queries_text
 
-QUERIES = {**queries_text.QUERIES, **queries_logs.QUERIES, **queries_compat.QUERIES}
-ORACLE_SQL = {**queries_text.ORACLE_SQL, **queries_logs.ORACLE_SQL, **queries_compat.ORACLE_SQL}
+QUERIES = {**queries_text.QUERIES, **queries_logs.QUERIES, **queries_compat.QUERIES, **queries_streams.QUERIES}
+ORACLE_SQL = {**queries_text.ORACLE_SQL, **queries_logs.ORACLE_SQL, **queries_compat.ORACLE_SQL, **queries_streams.ORACLE_SQL}
