@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_compat, queries_logs, queries_streams, queries_text
+from . import queries_compat, queries_jobs, queries_logs, queries_streams, queries_text
 
-QUERIES = {**queries_text.QUERIES, **queries_logs.QUERIES, **queries_compat.QUERIES, **queries_streams.QUERIES}
-ORACLE_SQL = {**queries_text.ORACLE_SQL, **queries_logs.ORACLE_SQL, **queries_compat.ORACLE_SQL, **queries_streams.ORACLE_SQL}
+_MODULES = (queries_text, queries_logs, queries_compat, queries_jobs, queries_streams)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
