@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,3 +67,46 @@ def field_text(data: Column) -> Column:
     islands = mixed_islands(data)
     as_field = lambda text, name: F.struct(text.alias("text"), F.lit(name).alias("encoding"))
     return F.when(letters(strict), as_field(strict, "utf-8")).when(script_count(islands) >= 2, as_field(islands, "mixed-utf8")).when(letters(islands) & islands.rlike(r"^[\x00-\x7f]*$"), as_field(islands, "ascii"))
+
+
+# Units of the Chinese codecs: four bytes, two bytes, or one printable ASCII byte.
+UNITS = {
+    "gb18030": rb"[\x81-\xfe][\x30-\x39][\x81-\xfe][\x30-\x39]|[\x81-\xfe][\x40-\x7e\x80-\xfe]|[\x20-\x7e\t\n\r]",
+    "big5": rb"[\x81-\xfe](?:[\x40-\x7e]|[\xa1-\xfe])|[\x20-\x7e\t\n\r]",
+}
+_RUNS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType())]))
+
+
+@F.pandas_udf(T.BinaryType())
+def encoded(text: pd.Series, codec: pd.Series) -> pd.Series:
+    """A text's bytes in a codec; null where it can't be written."""
+
+    def one(t: str | None, c: str) -> bytes | None:
+        try:
+            return None if t is None else t.encode(c)
+        except (UnicodeError, LookupError):
+            return None
+
+    return pd.Series([one(t, c) for t, c in zip(text, codec, strict=True)], dtype=object)
+
+
+@F.pandas_udf(_RUNS)
+def legacy_runs(data: pd.Series, codec: pd.Series) -> pd.Series:
+    """(start, text) of the runs of a Chinese codec's units in arbitrary bytes, at most 4,096 bytes each, that decode and hold two CJK characters."""
+    cjk = re.compile("[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\u31f0-\u31ff\uac00-\ud7af]")
+
+    def one(b: bytes | None, c: str) -> list[dict[str, object]]:
+        out = []
+        for m in re.finditer(b"(?:" + UNITS[c] + b"){1,4096}", b or b""):
+            run = m[0]
+            while len(run) > 4096:  # whole units only
+                run = run[: [u.start() for u in re.finditer(UNITS[c], run) if u.start() <= 4096][-1]]
+            try:
+                text = run.decode(c)
+            except UnicodeError:
+                continue
+            if len(cjk.findall(text)) >= 2:
+                out.append({"start": m.start(), "text": text})
+        return out
+
+    return pd.Series([one(b, c) for b, c in zip(data, codec, strict=True)])

@@ -35,6 +35,19 @@ def s13_unsafe_members(spark, sf_dir):
     return pages.select("page_id", archives.unsafe_path(F.col("member")).alias("unsafe"))
 
 
+# A character for each letter.
+HAN = "的一是不了人我在有他这中大来上国个到说们为子和你地出"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def e4_legacy_runs(spark, sf_dir):
+    """Lines told in Han characters, written in GB18030 between control bytes, found again."""
+    told = F.translate(F.regexp_replace(F.lower(F.substring("value", 1, 60)), "[^a-z]", ""), LETTERS, HAN)
+    rows = src.lines(spark, sf_dir).select("doc_id", "idx", told.alias("told")).where(F.char_length("told") >= 2)
+    data = F.concat(F.unhex(F.lit("0001")), codecs.encoded("told", F.lit("gb18030")), F.unhex(F.lit("00")))
+    return rows.select("doc_id", "idx", F.explode(codecs.legacy_runs(data, F.lit("gb18030"))).alias("r")).select("doc_id", "idx", "r.start", "r.text")
+
+
 def e5_best_decoding(spark, sf_dir):
     """The codec chosen for every document, written in UTF-8, UTF-16 or Latin-1 by its number."""
     turn = F.col("doc_id") % 3
@@ -99,6 +112,7 @@ def x1_scan(spark, sf_dir):
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and f.__name__.isidentifier() and not f.__name__.startswith("_")}
 
 ORACLE_SQL = {
+    "e4_legacy_runs": f"WITH {LINES}, t AS (SELECT doc_id, idx, translate(regexp_replace(lower(substr(value, 1, 60)), '[^a-z]', '', 'g'), '{LETTERS}', '{HAN}') AS text FROM lines) SELECT doc_id, idx, 2 AS start, text FROM t WHERE length(text) >= 2",
     "s1_pruned_entries": "SELECT page_id, page_id % 3 = 0 AND strlen(html) * 400 <= 16777216 AS fast, (page_id % 3 = 0 AND strlen(html) * 400 <= 16777216) OR (page_id % 3 <> 1 AND strlen(html) * 400 BETWEEN 1 AND 12582912) AS deep FROM pages",
     "s9_wide_rows": f"WITH {TRANSLATED} SELECT doc_id, idx, sha256(key) AS key_sha256, source, 'text' AS source_type, kind, 'utf-8' AS encoding, coalesce(translation, '') AS vietnamese FROM strings LEFT JOIN translations USING (key)",
     "s13_unsafe_members": "SELECT page_id, page_id % 4 < 2 AS unsafe FROM pages",

@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from .operators.memory import validate_rows
 from .plans.scratch import scratch_dir
+from .queries_compat import EXCHANGE, _exchange, _existing
 from .queries_logs import EVENTS, ISSUES
 from .sources import tables as src
 from .streaming import log_streams as L
@@ -48,8 +50,22 @@ def r3_exception_sessions(spark, sf_dir):
     return _replayed(spark, L.exception_sessions(spark.readStream.schema(log.schema).parquet(path)))
 
 
-QUERIES = {f.__name__: f for f in (r1_streamed_lines, r2_windowed_counts, r3_exception_sessions)}
+def r4_streamed_import(spark, sf_dir):
+    """The store after exchange rows that arrive as files are validated and upserted."""
+    rows, strings, existing = _exchange(spark, sf_dir), src.strings(spark, sf_dir), _existing(spark, sf_dir)
+    path, store = f"{scratch_dir(spark)}/exchange-{uuid.uuid4().hex}", f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    files = spark.readStream.schema(rows.schema).parquet(path)
+    query = L.import_stream(files, lambda df: validate_rows(df, strings, existing), store, f"{store}-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = query.lastProgress["batchId"] if query.lastProgress else 0
+    got = spark.read.schema("key string, translation string").parquet(f"{store}/v={last}")
+    return got.select(F.sha2("key", 256).alias("key_sha256"), "translation")
+
+
+QUERIES = {f.__name__: f for f in (r1_streamed_lines, r2_windowed_counts, r3_exception_sessions, r4_streamed_import)}
 ORACLE_SQL = {
+    "r4_streamed_import": f"WITH {EXCHANGE} SELECT sha256(e.key) AS key_sha256, trim(e.tr) AS translation FROM ex e JOIN valid v USING (file_id, pos) WHERE outcome = 'imported'",
     "r2_windowed_counts": "SELECT event_type, sum(n)::BIGINT AS n, count(*) AS windows FROM (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY ALL) WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY event_type",
     "r3_exception_sessions": f"WITH {EVENTS} SELECT log_id, event, error_type, caused_by, array_to_string(frames, '|') AS frames FROM events2 QUALIFY event < max(event) OVER (PARTITION BY log_id)",
     "r1_streamed_lines": f"WITH {ISSUES} SELECT log_id, line_no, token, severity FROM issues",
