@@ -39,9 +39,7 @@ def op3_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = toxicity(docs, table(spark, sf_dir, "labels"))
-    return found.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:

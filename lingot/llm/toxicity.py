@@ -121,14 +121,30 @@ def _stem_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"stem": list(n), "n": list(n.values()), "n_toxic": [bad.get(s, 0) for s in n]})
 
 
+def _voting_stems(features: list[str], open_rows: list[set[int]]) -> list[str]:
+    """The stems that vote: each adds toxic sample rows that the ones before it don't reach."""
+    voting: list[str] = []
+    while len(voting) < STEM_VOTERS:
+        reach = np.zeros(len(features), dtype=np.int64)
+        for h in open_rows:
+            reach[list(h)] += 1
+        if not len(reach) or reach.max() < 2:
+            break
+        best = int(reach.argmax())
+        voting.append(features[best])
+        open_rows = [h for h in open_rows if best not in h]
+    return voting
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` with _held_out, _score and _predicted.
+    """doc_id, held_out, score and predicted (1: toxic) of every row of ``docs``.
 
     Learns labels only from documents whose crc32 of the doc_id as text is not divisible by five, at most
-    ``sample_rows`` of them (the least by hash); the score is a function of the text alone.  A null text is
-    scored as an empty one; a document with several labels counts as toxic if one of them does; null labels and
-    null doc_ids are ignored in training; rows that repeat a doc_id are scored each; without any labels the
-    fixed voters alone decide; an empty table gives no rows; further columns are carried along.
+    ``sample_rows`` of them (the least by hash); the score is a function of the text alone.  All texts are read
+    once, for their votes and features.  A null text is scored as an empty one; a document with several labels
+    counts as toxic if one of them does; null labels and null doc_ids are ignored in training; rows that repeat
+    a doc_id are scored each; without any labels the fixed voters alone decide; an empty table gives no rows;
+    further columns are not read.
     """
     gold = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("y")).where(~held_out(F.col("id")))
     gold = kept(gold, "toxic-gold")
@@ -142,48 +158,37 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     strength = (F.col("bad") - F.col("n") * p) / F.sqrt(F.col("n") * F.lit(p * (1 - p)))
     strong = counted.where((F.col("bad") >= support) & (F.col("bad") >= 0.5 * F.col("n"))).withColumn("z", strength).orderBy(F.desc("z"), F.length("stem"), "stem").limit(FEATURES)
     features = [r["stem"] for r in strong.collect()]
-    # the stems that vote: each adds toxic sample rows that the ones before it don't reach
     finder = Reader([], features)
     base = finder.voters
     covered = sample.where("y = 1").mapInPandas(lambda it: (pd.DataFrame({"hits": [(r[r >= base] - base).tolist() for r in map(finder.read, b["text"])]}) for b in it), "hits array<int>").toPandas() if features else pd.DataFrame({"hits": []})
-    open_rows = [set(h) for h in covered["hits"]]
-    voting: list[str] = []
-    while len(voting) < STEM_VOTERS:
-        reach = np.zeros(len(features), dtype=np.int64)
-        for h in open_rows:
-            reach[list(h)] += 1
-        if not len(reach) or reach.max() < 2:
-            break
-        best = int(reach.argmax())
-        voting.append(features[best])
-        open_rows = [h for h in open_rows if best not in h]
-    reader = Reader(voting, features)
+    reader = Reader(_voting_stems(features, [set(h) for h in covered["hits"]]), features)
     voters = reader.voters + 1
 
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"].to_numpy(), "pattern": wl.encode(reader.votes([reader.read(t) for t in b["text"]]))})
+            got = [reader.read(t) for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"].to_numpy(), "pattern": wl.encode(reader.votes(got)), "read": [r.astype(np.int16) for r in got]})
 
-    voted = texts.mapInPandas(vote, "id long, pattern string").join(gold, "id", "left")
+    known = kept(texts.mapInPandas(read, "id long, pattern string, read array<smallint>"), "toxic-read")
+    voted = known.select("id", "pattern").join(gold, "id", "left")
     said = F.when(F.col("y") == 1, "+").when(F.col("y") == 0, "-").otherwise("0")
     patterns = kept(voted.groupBy(F.concat("pattern", said).alias("pattern")).agg(F.count(F.lit(1)).alias("n")), "toxic-patterns")
     accuracy = np.full(voters, 0.8)
     accuracy[-1] = 0.95
     model = wl.fit(patterns, voters, p, wl.guess(accuracy))
-    # texts stay on the executors; the driver gets the sample's numbers of features
-    got = sample.mapInPandas(lambda it: (pd.DataFrame({"id": b["id"].to_numpy(), "read": [reader.read(t).tolist() for t in b["text"]], "y": b["y"].to_numpy()}) for b in it), "id long, read array<int>, y int").orderBy("id").toPandas()
-    read, y = [np.asarray(r, dtype=np.int64) for r in got["read"]], got["y"].to_numpy()
-    votes = np.column_stack([reader.votes(read), np.where(y == 1, 1, -1)]) if len(read) else np.zeros((0, voters), dtype=np.int8)
-    if len(read):
-        w = wl.train_linear(read, reader.size, model.posterior(votes))
+    # the driver gets the sample's numbers of features, no texts
+    got = known.join(chosen, "id").orderBy("id", "pattern").toPandas()
+    rows, y = [np.asarray(r, dtype=np.int64) for r in got["read"]], got["y"].to_numpy()
+    if len(rows):
+        votes = np.column_stack([reader.votes(rows), np.where(y == 1, 1, -1)])
+        w = wl.train_linear(rows, reader.size, model.posterior(votes))
     else:
         w = np.zeros(reader.size + 1)
         w[: len(LEXICONS)], w[-1] = 3.0, -2.0
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            s = wl.scores([reader.read(t) for t in b["text"]], w)
-            yield b.assign(_score=s, _predicted=(s >= 0.5).astype(np.int32))
+            s = wl.scores([np.asarray(r, dtype=np.int64) for r in b["read"]], w)
+            yield pd.DataFrame({"doc_id": b["id"], "held_out": b["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_held_out boolean, _score double, _predicted int"])
-    return docs.withColumn("_held_out", held_out(F.col("doc_id").cast("long"))).mapInPandas(score, fields)
+    return known.select("id", held_out(F.col("id")).alias("held_out"), "read").mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int")
