@@ -24,15 +24,18 @@ from lingot.llm.substring_dedup import without_repeats
 from lingot.llm.toxicity import toxicity as toxicity_scores
 
 
+def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """docs without the rows of these doc_ids; the ids are broadcast only if they are counted to be few."""
+    return docs.join(checked(ids.select("doc_id").distinct(), name), "doc_id", "left_anti").select(*docs.columns)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("_predicted") == 0).select(*docs.columns)
+    return _without(docs, scored.where("predicted = 1"), "toxic-ids")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs)
-    gone = checked(found.where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, near_duplicates(docs).where(~F.col("kept")), "near-copies")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
