@@ -73,4 +73,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_adaptive_scan, op2_curriculum_mix, op3_metric_range_join, op4_weak_toxicity, op5_seed_and_extend, op6_kd_shards, op7_bag_minhash, op8_weak_quality, op9_token_counts, op10_pattern_packing)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"words AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word, len(w) AS n FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents))"
+_REACH = "reach AS (SELECT node AS a, node AS b FROM nodes UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a), components AS (SELECT a AS node, min(b) AS component_id FROM reach GROUP BY a)"
+
+#: Queries that depend on hashes, tokenizers or training have no SQL; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_metric_range_join": f"""WITH RECURSIVE good AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        nodes AS (SELECT DISTINCT a AS node FROM pairs), {_REACH}, degree AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN degree ON a = vec_id LEFT JOIN components ON node = vec_id""",
+    "op5_seed_and_extend": f"""WITH {_WORDS}, w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 20], ' ') AS span FROM (SELECT doc_id, w, unnest(range(len(w) - 19)) AS i FROM w WHERE len(w) >= 20)),
+        again AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY span ORDER BY doc_id, i) > 1),
+        gone AS (SELECT DISTINCT doc_id, i + k AS i FROM again, (SELECT unnest(range(20)) AS k)),
+        told AS (SELECT doc_id, count(*) AS n_words, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY w.i) FILTER (g.i IS NULL) AS left_over FROM words w LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256 FROM documents LEFT JOIN told USING (doc_id)""".replace("USING (doc_id, i) GROUP BY doc_id", "ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id").replace("told AS (SELECT doc_id,", "told AS (SELECT w.doc_id AS doc_id,"),
+    "op7_bag_minhash": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        shingles AS (SELECT doc_id, s, count(*) AS c FROM (SELECT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS s FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - 4))) AS i FROM w WHERE len(w) > 0)) GROUP BY ALL),
+        sizes AS (SELECT doc_id, sum(c) AS n FROM shingles GROUP BY doc_id),
+        overlaps2 AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.c, y.c)) AS common FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+        pairs AS (SELECT a, b FROM overlaps2 JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE common >= 0.8 * (p.n + q.n - common)),
+        nodes AS (SELECT DISTINCT a AS node FROM pairs), {_REACH}
+        SELECT doc_id, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept FROM documents LEFT JOIN components ON node = doc_id""",
+}
