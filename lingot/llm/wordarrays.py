@@ -73,9 +73,10 @@ class Words:
         if not len(self.starts):
             return np.zeros(0, dtype=np.uint64)
         lengths = self.ends - self.starts
-        place = np.arange(len(buf)) - np.repeat(self.starts, np.diff(np.append(self.starts, len(buf)))) if self.starts[0] == 0 else np.concatenate(
-            (np.zeros(self.starts[0], dtype=np.int64), np.arange(self.starts[0], len(buf)) - np.repeat(self.starts, np.diff(np.append(self.starts, len(buf)))))
-        )
+        place = np.arange(len(buf))  # of each byte within its word
+        lead = self.starts[0]
+        place[lead:] -= np.repeat(self.starts, np.diff(np.append(self.starts, len(buf))))
+        place[:lead] = 0
         terms = _BYTE_HASH[buf] * powers(_BYTE_BASE, int(place.max()) + 1)[place]
         terms[_IS_SPACE[buf]] = 0
         return mix(np.add.reduceat(terms, self.starts) + lengths.astype(np.uint64))
