@@ -25,6 +25,8 @@ from .wordarrays import Words, mix, text_batches
 
 SHINGLE = 5
 BANDS, BAND_SLOTS = 40, 6
+#: Bytes of text whose points are drawn at once.
+BATCH_BYTES = 500_000
 SLOTS = BANDS * BAND_SLOTS
 #: Documents of a block; candidate groups beyond it are compared block against block.
 BLOCK_ROWS = 128
@@ -116,7 +118,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def signature_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for part in text_batches(b["text"].tolist()):
+        for part in text_batches(b["text"].tolist(), BATCH_BYTES):
             w = Words(b["text"].iloc[part].tolist())
             n = np.diff(w.first)
             begin = w.first[:-1]
@@ -195,7 +197,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for part in text_batches(b["text"].tolist()):
+            for part in text_batches(b["text"].tolist(), BATCH_BYTES):
                 rows = b.iloc[part]
                 owner, h, c = multisets(Words(rows["text"].tolist()))
                 cut = np.searchsorted(owner, np.arange(1, len(rows)))
