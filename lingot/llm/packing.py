@@ -16,6 +16,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from .shared import kept, ranked
 
 #: Ids of chunks that a worker remembers; it starts afresh beyond that.
-REMEMBERED = 400_000
-_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?=[ \n\t\r]|\Z)")
+REMEMBERED = 800_000
+#: A run of punctuation between a letter and white space is a pre-token of its own, so it may be cut off.
+_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,!?;:*#$%&]+)(?=[ \n\t\r]|\Z)")
 
 Plan = list[tuple[dict[int, int], int]]
 
@@ -63,7 +65,7 @@ class ChunkedIds:
             parts.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
         new = list({c for p in parts if p for c in p if c not in self.seen})
         if new:
-            self.seen.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
+            self.seen.update((c, pack_ids(f"<{len(e.ids)}I", *e.ids)) for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
         look = self.seen.__getitem__
         whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return [whole(t) if p is None else b"".join(map(look, p)) for t, p in zip(texts, parts, strict=True)]
