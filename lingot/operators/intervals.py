@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fields
+
 WIDTH = 4096
+#: Candidates that are handed back at a time, but for those of one content.
+ROWS = 200_000
 
 
 def exclude_regions(points: DataFrame, regions: DataFrame, group: str, at: str = "at") -> DataFrame:
@@ -43,26 +51,52 @@ def strongest(candidates: DataFrame, group: str) -> DataFrame:
     return (out if out is not None else live).drop("_rank")
 
 
-def framed_candidates(docs: DataFrame, content: str = "content") -> DataFrame:
-    """(doc_id, start, length, text, framing, confidence, safe): every offset read as an 8-bit or 16-bit length before UTF-8 text."""
-    n = F.octet_length(content)
-    rows = docs.where(n >= 3).select("doc_id", content, F.explode(F.sequence(F.lit(0), n - 2)).alias("start"))
-    number = lambda start, size: F.conv(F.hex(F.substr(F.col(content), start, F.lit(size))), 16, 10).cast("int")
-    b0, b1 = number(F.col("start") + 1, 1), number(F.col("start") + 2, 1)
-    kind = lambda framing, head, length, most, good, poor: F.struct(F.lit(framing).alias("framing"), F.lit(head).alias("head"), length.alias("length"), F.lit(most).alias("most"), F.lit(good).alias("good"), F.lit(poor).alias("poor"))
-    kinds = F.array(kind("u8", 1, b0, 240, 94, 70), kind("u16be", 2, b0 * 256 + b1, 4096, 96, 72), kind("u16le", 2, b1 * 256 + b0, 4096, 94, 72))
-    rows = rows.select("doc_id", content, "start", F.explode(kinds).alias("k")).select("doc_id", content, "start", "k.*").where("length between 3 and most").where(F.col("start") + F.col("head") + F.col("length") <= n)
-    raw = F.substr(F.col(content), F.col("start") + F.col("head") + 1, F.col("length"))
-    rows = rows.withColumn("text", F.try_validate_utf8(raw.cast("string"))).where(F.col("text").rlike(r"\p{L}"))
-    clean = ~F.col("text").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
-    printable = F.regexp_count("text", F.lit(r"[^\x00-\x1f\x7f]")) / F.char_length("text")
-    rows = rows.where(printable >= 0.85).withColumn("safe", clean & (F.regexp_count("text", F.lit(r"\p{L}")) >= 2))
-    return rows.select("doc_id", "start", (F.col("head") + F.col("length")).alias("length"), "text", "framing", F.when(F.col("safe"), F.col("good")).otherwise(F.col("poor")).alias("confidence"), "safe")
-
-
-def format_summary(fields: DataFrame) -> DataFrame:
+def _fields(docs: DataFrame, content: str, pick: Callable[[bytes], dict[str, np.ndarray]], text: bool) -> DataFrame:
+    """The fields that ``pick`` finds in each content, a bounded number of rows at a time."""
+    names = ("start", "length", "framing", "confidence", "safe")
+    schema = "doc_id long, start int, length int, framing int, confidence int, safe boolean" + (", text string" if text else "")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts, rows = [], 0
+            for doc_id, data in zip(b["doc_id"], b["content"], strict=True):
+                found = pick(data)
+                part = {"doc_id": np.full(len(found["start"]), doc_id), **{k: found[k] for k in names}}
+                if text:
+                    ends = (found["start"] + found["length"]).tolist()
+                    part["text"] = np.array([data[s:e].decode() for s, e in zip((found["start"] + found["head"]).tolist(), ends, strict=True)], dtype=object)
+                parts.append(part)
+                rows += len(found["start"])
+                if rows >= ROWS:
+                    yield pd.DataFrame({k: np.concatenate([p[k] for p in parts]) for k in part})
+                    parts, rows = [], 0
+            if parts:
+                yield pd.DataFrame({k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
+
+    rows = docs.where(F.octet_length(content) >= 3).select("doc_id", F.col(content).alias("content")).mapInPandas(read, schema)
+    names_of = F.array(*[F.lit(f) for f in fields.FRAMINGS])
+    return rows.withColumn("framing", F.get(names_of, F.col("framing")))
+
+
+def framed_candidates(docs: DataFrame, content: str = "content", text: bool = True) -> DataFrame:
+    """(doc_id, start, length, framing, confidence, safe, and on request text): every offset read as an 8-bit or 16-bit length before UTF-8 text."""
+    return _fields(docs, content, fields.candidates, text)
+
+
+def strongest_fields(docs: DataFrame, content: str = "content") -> DataFrame:
+    """``strongest`` of the framed candidates of each content, found where the content is, without dealing out its candidates."""
+
+    def pick(data: bytes) -> dict[str, np.ndarray]:
+        found = fields.candidates(data)
+        won = fields.strongest(found, len(data))
+        return {k: v[won] for k, v in found.items()}
+
+    return _fields(docs, content, pick, False)
+
+
+def format_summary(found: DataFrame) -> DataFrame:
     """Per document: its framing, or mixed-framing, the best confidence (99 at most), and how many fields are safe."""
-    got = fields.groupBy("doc_id").agg(F.array_sort(F.collect_set("framing")).alias("f"), F.least(F.lit(99), F.max("confidence")).alias("confidence"), F.count_if("safe").alias("safe"), F.count(F.lit(1)).alias("fields"))
+    got = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("framing")).alias("f"), F.least(F.lit(99), F.max("confidence")).alias("confidence"), F.count_if("safe").alias("safe"), F.count(F.lit(1)).alias("fields"))
     return got.select("doc_id", F.when(F.size("f") == 1, F.col("f")[0]).otherwise("mixed-framing").alias("format_name"), "confidence", "safe", "fields")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import SPACE
 
@@ -64,20 +66,28 @@ def framed(lines: DataFrame) -> DataFrame:
     return got.select("doc_id", F.size("f").alias("fields"), F.unhex(F.array_join(F.transform("f", lambda x: F.hex(x["frame"])), "")).alias("content"))
 
 
-def read_chain(frames: DataFrame) -> DataFrame:
-    """(doc_id, nth, start, length, text): fields of contents that are chains of 16-bit lengths and texts.
+_FIELDS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("text", T.StringType())]))
 
-    Every offset is read as a length at once; the chain is the set of offsets that a field ends at, found by
-    following lengths from the start within the row.
-    """
-    n = F.octet_length("content")
-    length_at = lambda at: F.conv(F.hex(F.substring("content", 1, 2)), 16, 10).cast("int") if at is None else F.conv(F.hex(F.substr(F.col("content"), at + 1, F.lit(2))), 16, 10).cast("int")
-    step = lambda acc, _: F.when(F.element_at(acc, -1) + 2 <= n, F.array_append(acc, F.element_at(acc, -1) + 2 + length_at(F.element_at(acc, -1)))).otherwise(acc)
-    starts = F.aggregate(F.sequence(F.lit(1), F.col("fields")), F.array(F.lit(0)), step)
-    rows = frames.select("doc_id", "content", F.posexplode(F.slice(starts, 1, F.col("fields"))).alias("nth", "start"))
-    rows = rows.withColumn("length", length_at(F.col("start")))
-    text = F.decode(F.substr(F.col("content"), F.col("start") + 3, F.col("length")), "utf-8")
-    return rows.select("doc_id", "nth", "start", "length", text.alias("text"))
+
+@F.pandas_udf(_FIELDS)
+def _chain(content: pd.Series, fields: pd.Series) -> pd.Series:
+    """Follows the lengths from the start of a content, for so many fields or until fewer than two bytes are left."""
+
+    def one(b: bytes, most: int) -> list[dict[str, object]]:
+        out, at = [], 0
+        while len(out) < most and at + 2 <= len(b):
+            n = b[at] * 256 + b[at + 1]
+            out.append({"start": at, "length": n, "text": b[at + 2 : at + 2 + n].decode("utf-8", "replace")})
+            at += 2 + n
+        return out
+
+    return pd.Series([one(b, n) for b, n in zip(content, fields, strict=True)], dtype=object)
+
+
+def read_chain(frames: DataFrame) -> DataFrame:
+    """(doc_id, nth, start, length, text): fields of contents of any size that are chains of 16-bit lengths and texts."""
+    rows = frames.select("doc_id", F.posexplode(_chain("content", "fields")).alias("nth", "f"))
+    return rows.select("doc_id", "nth", "f.start", "f.length", "f.text")
 
 
 def shifted_plan(fields: DataFrame) -> DataFrame:

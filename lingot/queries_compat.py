@@ -208,11 +208,11 @@ def _framed(spark, sf_dir):
 
 
 def e15_framed_chain(spark, sf_dir):
-    return R.read_chain(_framed(spark, sf_dir).where("fields < 200")).select("doc_id", "nth", "length", F.sha2("text", 256).alias("sha256"))
+    return R.read_chain(_framed(spark, sf_dir)).select("doc_id", "nth", "length", F.sha2("text", 256).alias("sha256"))
 
 
 def _plan(spark, sf_dir):
-    fields = R.read_chain(_framed(spark, sf_dir).where("fields < 200"))
+    fields = R.read_chain(_framed(spark, sf_dir))
     return R.shifted_plan(fields.withColumn("translation", F.when(F.col("nth") % 3 == 0, F.concat(F.lit("vi "), F.col("text"))).when((F.col("doc_id") % 50 == 7) & (F.col("nth") == 1), F.repeat(F.col("text"), 70000))))
 
 
@@ -229,25 +229,22 @@ def x6_spliced(spark, sf_dir):
 
 
 def j12_patch_fields(spark, sf_dir):
-    fields = R.read_chain(_framed(spark, sf_dir).where("fields < 200"))
+    fields = R.read_chain(_framed(spark, sf_dir))
     asked = src.lines(spark, sf_dir).where("idx % 4 = 0").select("doc_id", F.btrim("value").alias("text")).where("text <> ''").distinct()
     return asked.join(fields, ["doc_id", "text"], "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("asked"), F.count("start").alias("found"))
 
 
 def e11_framed_candidates(spark, sf_dir):
-    docs = _framed(spark, sf_dir).where("octet_length(content) < 1500")
-    got = I.framed_candidates(docs)
+    got = I.framed_candidates(_framed(spark, sf_dir), text=False)
     return got.groupBy("doc_id", "framing").agg(F.count(F.lit(1)).alias("n"), F.count_if("safe").alias("safe"), F.max("confidence").alias("confidence"))
 
 
 def e13_strongest_fields(spark, sf_dir):
-    docs = _framed(spark, sf_dir).where("octet_length(content) < 600")
-    return I.strongest(I.framed_candidates(docs), "doc_id").select("doc_id", "start", "length", "framing", "confidence")
+    return I.strongest_fields(_framed(spark, sf_dir)).select("doc_id", "start", "length", "framing", "confidence")
 
 
 def e14_format_summary(spark, sf_dir):
-    docs = _framed(spark, sf_dir).where("octet_length(content) < 1500")
-    return I.format_summary(I.framed_candidates(docs))
+    return I.format_summary(I.framed_candidates(_framed(spark, sf_dir), text=False))
 
 
 def e16_outside_regions(spark, sf_dir):
