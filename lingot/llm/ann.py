@@ -27,6 +27,8 @@ BLOCK_ROWS = (256, 4_096)
 #: Columns of a block, and the significance of the test (standard deviations).
 COLUMNS = 16
 EPSILON = 2.1
+#: Sample rows, or a fifth of a small sample, that the lists are not fitted on.
+HELD_OUT = 400
 
 
 def rotation(d: int, seed: int = 5) -> np.ndarray:
@@ -46,12 +48,9 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.n
     return centre
 
 
-def fit_probes(x: np.ndarray, centre: np.ndarray, k: int, recall: float, queries: int = 400) -> int:
-    """How many lists hold ``recall`` of the k nearest sample rows of sample queries."""
-    q = x[:queries]
-    near = q @ x.T
-    near[np.arange(len(q)), np.arange(len(q))] = -2
-    top = np.argsort(-near, axis=1)[:, :k]
+def fit_probes(q: np.ndarray, x: np.ndarray, centre: np.ndarray, k: int, recall: float) -> int:
+    """How many lists hold ``recall`` of the k rows of x nearest to rows q, which neither x nor the fit of the lists holds."""
+    top = np.argsort(-(q @ x.T), axis=1)[:, :k]
     home = np.argmax(x @ centre.T, axis=1)
     order = np.argsort(np.argsort(-(q @ centre.T), axis=1), axis=1)
     needed = np.sort(np.take_along_axis(order, home[top], axis=1).ravel()) + 1
@@ -102,14 +101,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
     if not len(sample):
         return spark.createDataFrame([], schema)
     d = int(sample["embedding"].map(len).mode()[0])
-    sample = sample[sample["embedding"].map(len) == d]
+    sample = sample[sample["embedding"].map(len) == d].drop_duplicates("vec_id")
     rows = rows.where(F.size("embedding") == d)
     total = rows.count()
     x = stack(sample["embedding"])
     xu, sample_ids = unit(x), sample["vec_id"].to_numpy()
+    # the sample is in hashed order: its first rows are held out and tell how many lists a query that the fit never saw must visit
+    out = min(HELD_OUT, len(x) // 5)
     lists = max(1, min(MOST_LISTS, int(np.sqrt(total)), len(x) // 8))
-    centre = fit_centroids(xu, lists)
-    probes = fit_probes(xu, centre, k, recall)
+    centre = fit_centroids(xu[out:], lists)
+    probes = fit_probes(xu[:out], xu[out:], centre, k, recall)
     shared = spark.sparkContext.broadcast((centre, rotation(d), x, sample_ids))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,22 +118,30 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
             yield b.assign(list=np.argmax(unit(stack(b["embedding"])) @ shared.value[0].T, axis=1))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Adds the lists that each query visits, and its k nearest of the sample: the bound from which it searches."""
+        """Adds the lists that each query visits, and the bound from which it searches: the cosine of the 2k-th of the sample rows in these lists.
+
+        These rows stand in lists that it visits, so k answers are left though the test abandons some by chance.
+        """
         centre, _, x, ids = shared.value
+        home = np.argmax(unit(x) @ centre.T, axis=1)
+        held = np.bincount(home, minlength=len(centre))
         for b in batches:
             for part in np.array_split(np.arange(len(b)), max(1, len(b) // 256)):
                 q, qid = stack(b["embedding"].iloc[part]), b["vec_id"].iloc[part].to_numpy()
                 near = unit(q) @ unit(x).T
-                near[qid[:, None] == ids[None, :]] = -2
-                top = np.argpartition(-near, min(k, near.shape[1] - 1), axis=1)[:, :k]
-                ok = np.take_along_axis(near, top, axis=1) > -2
-                exact = [cosines(np.repeat(q[n : n + 1], m.sum(), axis=0), x[t[m]]) for n, (t, m) in enumerate(zip(top, ok, strict=True))]
-                floor = [e.min() if len(e) == k else -1.0 for e in exact]
-                order = np.argsort(-(unit(q) @ centre.T), axis=1)[:, :probes]
-                yield pd.DataFrame({"query_id": qid, "embedding": list(q), "floor": floor, "lists": list(order), "ids": [ids[t[m]] for t, m in zip(top, ok, strict=True)], "scores": exact})
+                order = np.argsort(-(unit(q) @ centre.T), axis=1)
+                place = np.argsort(order, axis=1)
+                # enough lists that they hold twice k rows of the sample besides the query itself
+                enough = (np.cumsum(held[order], axis=1) < 2 * k + 1).sum(axis=1) + 1
+                seen = np.minimum(np.maximum(probes, enough), len(centre))
+                near[(qid[:, None] == ids[None, :]) | (place[:, home] >= seen[:, None])] = -2
+                best = -np.sort(-near, axis=1)
+                floor = np.where(best[:, 2 * k - 1] > -2, best[:, 2 * k - 1], -1.0) if best.shape[1] >= 2 * k else np.full(len(q), -1.0)
+                order = [o[:n] for o, n in zip(order, seen, strict=True)]
+                yield pd.DataFrame({"query_id": qid, "embedding": list(q), "floor": floor, "lists": order})
 
     dealt = kept(rows.select("vec_id", "embedding").mapInPandas(deal, "vec_id long, embedding array<double>, list int"), "ann-lists")
-    asked = kept(rows.where("is_query").select("vec_id", "embedding").dropDuplicates(["vec_id"]).mapInPandas(probe, "query_id long, embedding array<double>, floor double, lists array<int>, ids array<long>, scores array<double>"), "ann-queries")
+    asked = kept(rows.where("is_query").select("vec_id", "embedding").dropDuplicates(["vec_id"]).mapInPandas(probe, "query_id long, embedding array<double>, floor double, lists array<int>"), "ann-queries")
     block = int(np.clip(2 * total // lists, *BLOCK_ROWS))
     visits = asked.select("query_id", "embedding", "floor", F.explode("lists").alias("list"))
     parts = lambda n: F.ceil(n / block).cast("int")
@@ -157,7 +166,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
         return pd.DataFrame({"query_id": qid[i[best]], "vec_id": ids[j[best]], "score": score[best]})
 
     found = left.select(*cell, "vec_id", "embedding").groupBy(*cell).cogroup(right.select(*cell, "query_id", "embedding", "floor").groupBy(*cell)).applyInPandas(visit, "query_id long, vec_id long, score double")
-    seeds = asked.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("s")).select("query_id", F.col("s.ids").alias("vec_id"), F.col("s.scores").alias("score"))
-    every = found.unionByName(seeds).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    every = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

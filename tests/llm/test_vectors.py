@@ -65,6 +65,27 @@ def test_search_recall_and_order(spark):
     assert hits / (5 * len(queries)) >= 0.9
 
 
+def test_search_with_a_small_sample(spark):
+    rows = _rows(900, seed=7)
+    ids, u, _ = _good(rows)
+    queries = [i for i in ids if i % 10 == 0]
+    for sample_rows in (60, 20_000):
+        by = {}
+        for r in search(_frame(spark, rows), F.col("vec_id") % 10 == 0, k=5, sample_rows=sample_rows).collect():
+            by.setdefault(r.query_id, set()).add(r.vec_id)
+        assert all(len(by[q]) == 5 for q in queries)
+        want = lambda q: set(ids[np.lexsort((ids, -np.round(np.where(ids == q, -2, u @ u[ids == q][0]), 12)))[:5]].tolist())
+        assert sum(len(by[q] & want(q)) for q in queries) / (5 * len(queries)) >= 0.9
+
+
+def test_sample_alone_answers_nothing(spark, monkeypatch):
+    from lingot.llm import ann
+
+    # lists that hold no row: what the sample knows must not reach the answer
+    monkeypatch.setattr(ann, "kept", lambda df, name: df.limit(0) if name == "ann-lists" else df)
+    assert search(_frame(spark, _rows()), F.col("vec_id") % 10 == 0, k=5).count() == 0
+
+
 def test_search_with_few_rows(spark):
     few = _frame(spark, [(0, [1.0, 0.0], 1), (1, [1.0, 1.0], 1), (2, [0.0, 1.0], 1)])
     got = search(few, F.col("vec_id") == 0, k=5).collect()
