@@ -92,21 +92,26 @@ def encoded(text: pd.Series, codec: pd.Series) -> pd.Series:
 
 @F.pandas_udf(_RUNS)
 def legacy_runs(data: pd.Series, codec: pd.Series) -> pd.Series:
-    """(start, text) of the runs of a Chinese codec's units in arbitrary bytes, at most 4,096 bytes each, that decode and hold two CJK characters."""
+    """(start, text) of the runs of a Chinese codec's units in arbitrary bytes, cut into further runs where they reach 4,096 bytes, that decode and hold two CJK characters."""
     cjk = re.compile("[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\u31f0-\u31ff\uac00-\ud7af]")
 
     def one(b: bytes | None, c: str) -> list[dict[str, object]]:
         out = []
-        for m in re.finditer(b"(?:" + UNITS[c] + b"){1,4096}", b or b""):
-            run = m[0]
-            while len(run) > 4096:  # whole units only
-                run = run[: [u.start() for u in re.finditer(UNITS[c], run) if u.start() <= 4096][-1]]
+        runs: list[tuple[int, int]] = []
+        for u in re.finditer(UNITS[c], b or b""):
+            # a unit goes on with the run before it, or begins one where that has 4,096 bytes
+            if runs and runs[-1][1] == u.start() and u.start() - runs[-1][0] < 4096:
+                runs[-1] = (runs[-1][0], u.end())
+            else:
+                runs.append((u.start(), u.end()))
+        for start, end in runs:
+            run = b[start:end]
             try:
                 text = run.decode(c)
             except UnicodeError:
                 continue
             if len(cjk.findall(text)) >= 2:
-                out.append({"start": m.start(), "text": text})
+                out.append({"start": start, "text": text})
         return out
 
     return pd.Series([one(b, c) for b, c in zip(data, codec, strict=True)])

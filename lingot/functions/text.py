@@ -40,8 +40,9 @@ def word_tokens(c: Column | str) -> Column:
 def entropy(c: Column | str) -> Column:
     """Shannon entropy of the characters, in bits; 0 for an empty text."""
     s = as_column(c)
-    chars = F.split(s, "")
-    share = F.transform(F.array_distinct(chars), lambda x: F.size(F.filter(chars, lambda y: y == x)) / F.char_length(s))
+    # sorted characters stand in runs of equal ones: one pass over a text of any length
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(s, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    share = F.transform(runs, lambda x: F.char_length(x) / F.char_length(s))
     return F.when(F.char_length(s) > 0, F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
 
 

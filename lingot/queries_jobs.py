@@ -42,7 +42,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 def e4_legacy_runs(spark, sf_dir):
     """Lines told in Han characters, written in GB18030 between control bytes, found again."""
-    told = F.translate(F.regexp_replace(F.lower(F.substring("value", 1, 60)), "[^a-z]", ""), LETTERS, HAN)
+    told = F.translate(F.regexp_replace(F.lower("value"), "[^a-z]", ""), LETTERS, HAN)
     rows = src.lines(spark, sf_dir).select("doc_id", "idx", told.alias("told")).where(F.char_length("told") >= 2)
     data = F.concat(F.unhex(F.lit("0001")), codecs.encoded("told", F.lit("gb18030")), F.unhex(F.lit("00")))
     return rows.select("doc_id", "idx", F.explode(codecs.legacy_runs(data, F.lit("gb18030"))).alias("r")).select("doc_id", "idx", "r.start", "r.text")

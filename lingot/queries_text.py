@@ -140,8 +140,7 @@ def p2_threshold(spark, sf_dir):
 
 
 def p3_entropy(spark, sf_dir):
-    short = src.lines(spark, sf_dir)
-    return short.select("doc_id", "idx", F.round(T.entropy(F.substring("value", 1, 80)), 6).alias("bits"))
+    return src.lines(spark, sf_dir).select("doc_id", "idx", F.round(T.entropy("value"), 6).alias("bits"))
 
 
 def p4_word_tokens(spark, sf_dir):
@@ -217,7 +216,7 @@ def f6_endpoints(spark, sf_dir):
 
 
 def f13_safe_name(spark, sf_dir):
-    return src.lines(spark, sf_dir).select("doc_id", "idx", T.safe_name(F.substring("value", 1, 60)).alias("name"))
+    return src.lines(spark, sf_dir).select("doc_id", "idx", T.safe_name("value").alias("name"))
 
 
 def w1_first_accepted(spark, sf_dir):
