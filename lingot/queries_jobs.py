@@ -76,8 +76,10 @@ def e19_field_text(spark, sf_dir):
 
 
 def f10_entry_points(spark, sf_dir):
-    orders = src.read(spark, sf_dir, "orders").where("o_orderkey % 20 < 10")
-    manifest = orders.select((F.col("o_orderkey") % 40).alias("archive_id"), F.concat(F.lit("midlet-"), (F.col("o_orderkey") % 3).cast("string")).alias("key"), F.concat(F.lit("Game, icon.png, g.C"), (F.col("o_custkey") % 30).cast("string")).alias("value"))
+    """Entry points of archives told by orders; half of the archives have keys that name none."""
+    orders = src.read(spark, sf_dir, "orders")
+    prefix = F.when(F.col("o_orderkey") % 20 < 10, "midlet-").otherwise("icon-")
+    manifest = orders.select((F.col("o_orderkey") % 40).alias("archive_id"), F.concat(prefix, (F.col("o_orderkey") % 3).cast("string")).alias("key"), F.concat(F.lit("Game, icon.png, g.C"), (F.col("o_custkey") % 30).cast("string")).alias("value"))
     classes = orders.select((F.col("o_orderkey") % 40).alias("archive_id"), F.concat(F.lit("g.C"), (F.col("o_custkey") % 7).cast("string")).alias("name"))
     return J.entry_points(manifest, classes).distinct()
 

@@ -58,13 +58,13 @@ def s5_log_lines(spark, sf_dir):
 
 
 def s6_patched_sources(spark, sf_dir):
-    """Paths of items with status PATCHED of JSON build reports (here: one report per order priority)."""
+    """Paths of items with status PATCHED of JSON build reports (here: one report for a thousand order keys)."""
     from .sources.exchange import patched_paths
 
-    orders = src.read(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    orders = src.read(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderkey") % 100 == 0, "PATCHED").otherwise("SKIPPED")
     item = F.struct(F.concat(F.lit("\\res\\"), F.col("o_orderkey").cast("string"), F.lit(".dat")).alias("source"), status.alias("status"))
-    reports = orders.groupBy("o_orderpriority").agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("json"))
+    reports = orders.groupBy(F.expr("o_orderkey div 1000")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("json"))
     return patched_paths(reports, "json")
 
 
