@@ -7,8 +7,10 @@ from functools import cache
 import numpy as np
 
 #: Framings by name in order, and of each: bytes of its length, longest text, confidence when safe and when not.
-FRAMINGS = ("u16be", "u16le", "u8")
+FRAMINGS = ("null", "u16be", "u16le", "u8")
 KINDS = {"u16be": (2, 4096, 96, 72), "u16le": (2, 4096, 94, 72), "u8": (1, 240, 94, 70)}
+#: Confidence of null-terminated texts when safe and when not.
+NULL = (82, 68)
 LEAST = 3
 
 
@@ -47,12 +49,12 @@ class Bytes:
         self.plain = sums(begins & (a >= 32) & (a != 127))
         self.controls = sums((a < 32) & (a != 9) & (a != 10) & (a != 13))
 
-    def texts(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which slices are UTF-8 with a letter and mostly printable, and which of those are safe to rewrite."""
+    def texts(self, start: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which slices are UTF-8 with a letter and mostly printable, and which of those, with at least so many letters, are safe to rewrite."""
         letters = self.letters[end] - self.letters[start]
         chars, plain = self.chars[end] - self.chars[start], self.plain[end] - self.plain[start]
         ok = (letters > 0) & (self.bad[end] == self.bad[start]) & ~self.inner[start] & ~self.inner[end] & (plain / np.maximum(chars, 1) >= 0.85)
-        return ok, (letters >= 2) & (self.controls[end] == self.controls[start])
+        return ok, (letters >= least) & (self.controls[end] == self.controls[start])
 
 
 def candidates(content: bytes) -> dict[str, np.ndarray]:
@@ -65,12 +67,16 @@ def candidates(content: bytes) -> dict[str, np.ndarray]:
         n = b if head == 1 else b[:-1] * 256 + b[1:] if name == "u16be" else b[1:] * 256 + b[:-1]
         at = np.flatnonzero((n >= LEAST) & (n <= most) & (np.arange(len(n)) + head + n <= view.n))
         parts.append(_told(view, FRAMINGS.index(name), at, at + head, at + head + n[at], at + head + n[at], good, poor))
+    end = np.flatnonzero(view.a == 0)
+    at = np.concatenate(([0], end + 1))[:-1]
+    at, end = at[end - at >= LEAST], end[end - at >= LEAST]
+    parts.append(_told(view, FRAMINGS.index("null"), at, at, end, end + 1, *NULL, letters=1))
     keys = ("start", "length", "framing", "head", "confidence", "safe")
     return {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, dtype=bool if k == "safe" else np.int64) for k in keys}
 
 
-def _told(view: Bytes, framing: int, at: np.ndarray, start: np.ndarray, end: np.ndarray, stop: np.ndarray, good: int, poor: int) -> dict[str, np.ndarray]:
-    ok, safe = view.texts(start, end)
+def _told(view: Bytes, framing: int, at: np.ndarray, start: np.ndarray, end: np.ndarray, stop: np.ndarray, good: int, poor: int, letters: int = 2) -> dict[str, np.ndarray]:
+    ok, safe = view.texts(start, end, letters)
     at, start, stop, safe = at[ok], start[ok], stop[ok], safe[ok]
     return {"start": at, "length": stop - at, "framing": np.full(len(at), framing), "head": start - at, "confidence": np.where(safe, good, poor), "safe": safe}
 

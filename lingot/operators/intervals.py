@@ -64,7 +64,7 @@ def _fields(docs: DataFrame, content: str, pick: Callable[[bytes], dict[str, np.
                 part = {"doc_id": np.full(len(found["start"]), doc_id), **{k: found[k] for k in names}}
                 if text:
                     ends = (found["start"] + found["length"]).tolist()
-                    part["text"] = np.array([data[s:e].decode() for s, e in zip((found["start"] + found["head"]).tolist(), ends, strict=True)], dtype=object)
+                    part["text"] = np.array([data[s:e].removesuffix(b"\x00" if f == 0 else b"").decode() for f, s, e in zip(found["framing"].tolist(), (found["start"] + found["head"]).tolist(), ends, strict=True)], dtype=object)
                 parts.append(part)
                 rows += len(found["start"])
                 if rows >= ROWS:
@@ -79,7 +79,10 @@ def _fields(docs: DataFrame, content: str, pick: Callable[[bytes], dict[str, np.
 
 
 def framed_candidates(docs: DataFrame, content: str = "content", text: bool = True) -> DataFrame:
-    """(doc_id, start, length, framing, confidence, safe, and on request text): every offset read as an 8-bit or 16-bit length before UTF-8 text."""
+    """(doc_id, start, length, framing, confidence, safe, and on request text): every offset read as an 8-bit or 16-bit length before UTF-8 text, and UTF-8 text before a zero byte.
+
+    start and length are those of the whole frame: length field and text, or text and zero byte.
+    """
     return _fields(docs, content, fields.candidates, text)
 
 

@@ -18,10 +18,14 @@ def _slow(b):
             if not 3 <= n <= most or at + head + n > len(b):
                 continue
             out += _told(raw, at, head + n, framing, good, poor)
+    at = 0
+    for raw in b.split(b"\x00")[:-1]:
+        out += _told(raw, at, len(raw) + 1, "null", 82, 68, 1) if len(raw) >= 3 else []
+        at += len(raw) + 1
     return out
 
 
-def _told(raw, at, length, framing, good, poor):
+def _told(raw, at, length, framing, good, poor, least=2):
     try:
         text = raw.decode()
     except UnicodeDecodeError:
@@ -29,7 +33,7 @@ def _told(raw, at, length, framing, good, poor):
     letters = sum(c.isalpha() for c in text)
     if not letters or sum(c >= " " and c != "\x7f" for c in text) / len(text) < 0.85:
         return []
-    safe = letters >= 2 and not any(c < " " and c not in "\t\n\r" for c in text)
+    safe = letters >= least and not any(c < " " and c not in "\t\n\r" for c in text)
     return [(at, length, framing, good if safe else poor, safe, text)]
 
 
@@ -55,6 +59,13 @@ def test_fields_at_every_offset(spark):
     assert sorted((r.doc_id, r.start, r.length, r.framing, r.confidence) for r in intervals.strongest_fields(frame).collect()) == sorted(want)
 
 
+def test_texts_before_a_zero_byte(spark):
+    frame = spark.createDataFrame([(1, bytearray(b"\x01\x02\x03Start\x00ab\x00Quit\x00caf\xc3\xa9\x00end"))], "doc_id long, content binary")
+    got = {(r.start, r.length, r.text, r.confidence, r.safe) for r in intervals.framed_candidates(frame).collect() if r.framing == "null"}
+    assert got == {(12, 5, "Quit", 82, True), (17, 6, "café", 82, True)}
+    assert {r.framing for r in intervals.strongest_fields(frame).collect()} == {"null", "u8"}
+
+
 def test_no_document_is_left_out_for_its_size(spark, tmp_path):
     text = "\n".join(f"line number {i} of many" for i in range(450))
     spark.createDataFrame([(1, text, "s"), (2, "short text\nof two lines", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
