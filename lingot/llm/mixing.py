@@ -63,14 +63,8 @@ def _source_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", key)
 
 
-def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """doc_id, size, source_size, target, taken, position of every row, in training order.
-
-    taken is the number of words that the mix takes of the row, repeats counted, at most 2 * size: copies are
-    whole but for the last of each source, which is cut where the target is met.  position (0 to 1) is that of
-    the first copy.  Rows with a null or empty text have size 0 and take nothing; a null source is a source of
-    its own; rows that repeat a doc_id queue each; an empty table gives no rows; further columns are not read.
-    """
+def _plan(docs: DataFrame, seed: int) -> DataFrame:
+    """What ``mix`` tells of every row, in no order, and position_again: that of the second copy, null where there is none."""
     words = _source_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("size"), "source"))
     words = kept(words.select("doc_id", "size", "_key"), "mix-sizes")
     sizes = words.groupBy(F.col("_key").alias("source_key")).agg(F.sum("size").alias("source_size"))
@@ -81,18 +75,32 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     words_from = lambda start: F.greatest(F.lit(0), F.least(F.col("size"), goal - start))
     taken = words_from(F.col("before")) + words_from(F.col("before") + F.col("source_size"))
     tilt = F.element_at(F.array(*[F.lit(t) for t in TILTS]), (F.col("rank") % len(TILTS) + 1).cast("int"))
-    rows = rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), _position(F.col("before"), F.col("target"), tilt).alias("position"))
-    return rows.orderBy("position", "doc_id")
+    place = lambda start: _position(start, F.col("target"), tilt)
+    again = F.when(words_from(F.col("before") + F.col("source_size")) > 0, place(F.col("before") + F.col("source_size")))
+    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), place(F.col("before")).alias("position"), again.alias("position_again"))
+
+
+def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
+    """doc_id, size, source_size, target, taken, position of every row, in training order.
+
+    taken is the number of words that the mix takes of the row, repeats counted, at most 2 * size: copies are
+    whole but for the last of each source, which is cut where the target is met.  position (0 to 1) is that of
+    the first copy.  Rows with a null or empty text have size 0 and take nothing; a null source is a source of
+    its own; rows that repeat a doc_id queue each; an empty table gives no rows; further columns are not read.
+    """
+    return _plan(docs, seed).drop("position_again").orderBy("position", "doc_id")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, in training order; its columns are those of ``docs``.
 
     A document appears once for each copy of which the mix takes at least half; one without words appears
-    once, since it costs nothing.  Rows that share a doc_id share the plan of the one with most words taken.
+    once, since it costs nothing.  A second copy stands at its own position, that of the words queued before it in
+    the second pass over its source.  Rows that share a doc_id share the plan of the one with most words taken.
     """
-    plan = mix(docs, seed).groupBy("doc_id").agg(F.max_by(F.struct("size", "taken", "position"), "taken").alias("_m"))
+    plan = _plan(docs, seed).groupBy("doc_id").agg(F.max_by(F.struct("size", "taken", "position", "position_again"), "taken").alias("_m"))
     copies = F.when(F.col("_m.size") == 0, 1).otherwise(F.floor(F.col("_m.taken") / F.col("_m.size") + 0.5)).cast("int")
     out = docs.join(plan.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
     out = out.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
-    return out.orderBy("_copy", "_m.position", "doc_id").select(*docs.columns)
+    at = F.when(F.col("_copy") == 0, F.col("_m.position")).otherwise(F.col("_m.position_again"))
+    return out.orderBy(at, "doc_id", "_copy").select(*docs.columns)
