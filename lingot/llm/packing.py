@@ -11,12 +11,8 @@ no document ever passes through the driver and no sequence is assembled in one p
 from __future__ import annotations
 
 import bisect
-import os
-import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
-from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
@@ -25,52 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import kept, ranked
-
-#: Ids of chunks that a worker remembers; it starts afresh beyond that.
-REMEMBERED = 800_000
-#: A run of punctuation between a letter and white space is a pre-token of its own, so it may be cut off.
-_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,!?;:*#$%&]+)(?=[ \n\t\r]|\Z)")
+from .word_ids import WordIds
 
 Plan = list[tuple[dict[int, int], int]]
 
 
-class ChunkedIds:
-    """Ids of whole texts from a word-level tokenizer file, one chunk between white space at a time.
-
-    The vocabulary's words never hold white space, so chunks are encoded apart and remembered; texts
-    that may hold a special token's string go to the library whole.
-    """
-
-    def __init__(self, tokenizer_file: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.seen: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        parts: list[list[str] | None] = []
-        for t in texts:
-            if t and "<|" in t:
-                parts.append(None)
-                continue
-            t = t or ""
-            if not unicodedata.is_normalized("NFC", t):
-                t = unicodedata.normalize("NFC", t)
-            t = "".join(c.lower() for c in t) if "Σ" in t else t.lower()
-            t = _STOP.sub(r" \1", t)
-            parts.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-        new = list({c for p in parts if p for c in p if c not in self.seen})
-        if new:
-            self.seen.update((c, pack_ids(f"<{len(e.ids)}I", *e.ids)) for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
-        look = self.seen.__getitem__
-        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return [whole(t) if p is None else b"".join(map(look, p)) for t, p in zip(texts, parts, strict=True)]
-
-
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every document's ids and an end id, cut where they exceed capacity."""
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -78,7 +33,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .wordarrays import text_batches
 
-        tokens = ChunkedIds(tokenizer_file)
+        tokens = WordIds(tokenizer_file)
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             rows: list[tuple] = []
