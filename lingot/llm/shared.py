@@ -22,6 +22,16 @@ def checked(small: DataFrame, name: str) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
+def hot_split(rows: DataFrame, keyed: DataFrame, key: str, count: str, hot: int = 1_000) -> DataFrame:
+    """rows joined with ``keyed`` (one written row for each key, ``count`` of rows of the key): keys that hold a thousandth of them all are broadcast.
+
+    There are at most ``hot`` such keys, so their rows stay where they are; the others are shuffled, none of which fills a task.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    often = F.col(count) * hot >= total
+    return rows.join(F.broadcast(keyed.where(often).drop(count)), key).unionByName(rows.join(keyed.where(~often).drop(count), key))
+
+
 def root_buckets(n: Column) -> Column:
     """About sqrt(n) buckets, so that neither a bucket nor the list of buckets grows as n does."""
     return F.greatest(F.lit(1), F.ceil(F.sqrt(n))).cast("long")

@@ -7,6 +7,8 @@ far as the windows that chose this anchor reach, as hashes of whole windows; a w
 earlier document also holds is repeated.  Windows that repeat within a document are found there.  The
 union of a document's repeated windows are its maximal repeats, and their words go.
 
+A window's hash has 96 bits: 64 to find it and 32 to check it, from two independent sums over its words.
+
 Shuffled are one number for each anchor (about one in eight words), one for each window of a repeated
 anchor, and the texts once for each of the two joins that need them (Spark reuses the exchange).  Frequent
 passages are minima, which are aggregated before the shuffle, and join keys, which Spark can split.
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checked, kept
+from .shared import checked, hot_split, kept
 from .wordarrays import Words, mix, text_batches
 
 SPAN, GRAM = 20, 6
@@ -52,6 +54,11 @@ def _in_text(text: np.ndarray, key: np.ndarray) -> np.ndarray:
     return key ^ mix(text.astype(np.uint64) + np.uint64(1))
 
 
+def _hashes(w: Words, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each window that starts there: 64 bits, and 32 more from another sum."""
+    return mix(w.span_sums(start, start + SPAN)), (mix(w.span_sums(start, start + SPAN, second=True)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _flat(column: pa.Array, rows: slice) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column, and the row (from 0) of each; null lists are empty."""
     part = column.slice(rows.start, rows.stop - rows.start)
@@ -74,7 +81,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(window, doc_id, asks): hashes of the windows whose anchor is listed; asks where an earlier document holds the anchor."""
+    """(window, check, doc_id, asks): hashes of the windows whose anchor is listed; asks where an earlier document holds the anchor."""
     for b in batches:
         ids, texts = b.column("doc_id").to_numpy(), b.column("text").to_pylist()
         for part in text_batches(texts):
@@ -90,22 +97,29 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
             hit = keys[at] == mine if len(keys) else np.zeros(len(mine), dtype=bool)
             start, owner, asks = start[hit], owner[hit], ~first[at[hit]] if len(keys) else np.zeros(0, dtype=bool)
-            window = mix(w.span_sums(start, start + SPAN))
+            window, check = _hashes(w, start)
             _, once = np.unique(_in_text(owner, window), return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(window[once].view(np.int64)), pa.array(ids[part][owner[once]]), pa.array(asks[once])], ["window", "doc_id", "asks"])
+            yield pa.RecordBatch.from_arrays([pa.array(window[once].view(np.int64)), pa.array(check[once]), pa.array(ids[part][owner[once]]), pa.array(asks[once])], ["window", "check", "doc_id", "asks"])
 
 
-def _keep(texts: list[str | None], repeated: np.ndarray, row: np.ndarray, copy: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Words, removed words and kept text of each text; repeated: window hashes of text ``row`` that an earlier document holds."""
+def _keep(texts: list[str | None], repeated: np.ndarray, checks: np.ndarray, row: np.ndarray, copy: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words, removed words and kept text of each text; repeated, checks: hashes of windows of text ``row`` that an earlier document holds."""
     w = Words(texts)
     n = np.diff(w.first)
     owner = w.owner()
     start = np.flatnonzero(owner[: max(0, len(w) - SPAN + 1)] == owner[SPAN - 1 :]) if len(w) >= SPAN else np.zeros(0, dtype=np.int64)
-    key = _in_text(owner[start], mix(w.span_sums(start, start + SPAN)))
+    window, check = _hashes(w, start)
+    key = _in_text(owner[start], window)
     order = np.argsort(key, kind="stable")
     again = np.zeros(len(start), dtype=bool)
-    again[order[1:]] = key[order[1:]] == key[order[:-1]]  # a later start of the same window in the same text
-    gone = again | np.isin(key, _in_text(row, repeated.astype(np.int64).view(np.uint64))) | copy[owner[start]]
+    again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (check[order[1:]] == check[order[:-1]])  # a later start of the same window in the same text
+    gone = again | copy[owner[start]]
+    if len(repeated):
+        there = _in_text(row, repeated.astype(np.int64).view(np.uint64))
+        sort = np.argsort(there)
+        there, checks = there[sort], checks[sort]
+        at = np.minimum(np.searchsorted(there, key), len(there) - 1)
+        gone |= (there[at] == key) & (checks[at] == check)
     edge = np.zeros(len(w) + 1, dtype=np.int64)
     np.add.at(edge, start[gone], 1)
     np.add.at(edge, start[gone] + SPAN, -1)
@@ -125,11 +139,11 @@ def _keep(texts: list[str | None], repeated: np.ndarray, row: np.ndarray, copy:
 def _kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column("text").to_pylist()
-        copy = b.column("is_copy").to_numpy(zero_copy_only=False).astype(bool)
-        carried = [c for c in b.schema.names if c not in ("repeated", "is_copy")]
+        copy = b.column("_is_copy").to_numpy(zero_copy_only=False).astype(bool)
+        carried = [c for c in b.schema.names if c not in ("_repeated", "_checks", "_is_copy")]
         for part in text_batches(texts):
-            repeated, row = _flat(b.column("repeated"), part)
-            n, removed, left = _keep(texts[part], repeated, row, copy[part])
+            repeated, row = _flat(b.column("_repeated"), part)
+            n, removed, left = _keep(texts[part], repeated, _flat(b.column("_checks"), part)[0], row, copy[part])
             rows = b.slice(part.start, part.stop - part.start)
             yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in carried], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.string())], [*carried, "_n_words", "_n_removed", "_kept"])
 
@@ -139,27 +153,30 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A word goes if a window of 20 words that covers it also starts earlier: in a document of smaller doc_id, or
     in the same one.  Null and empty texts have no words, and texts of fewer than 20 words lose none.  Rows that
-    share a doc_id are compared with other documents, not with each other; rows without a doc_id only with
-    themselves.  An empty table gives no rows; further columns are carried along.
+    share a doc_id are compared with other documents, not with each other, whether their texts are equal or not;
+    rows without a doc_id only with themselves.  An empty table gives no rows; further columns are carried along.
     """
     texts = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     named = texts.where(F.col("doc_id").isNotNull())
     body = named.select("doc_id", "text")
-    # later copies of a whole text lose every window; only its first copy is looked at further
-    digest = body.where(F.col("text").isNotNull()).select("doc_id", F.md5("text").alias("digest"))
-    first = digest.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("last > rep")
-    copies = checked(digest.join(first.drop("last"), "digest").where("doc_id > rep").select("doc_id").distinct(), "copies")
+    # later copies of a whole text lose every window; only its first holder is looked at further
+    digest = body.where(F.col("text").isNotNull()).select("doc_id", F.unhex(F.md5("text")).alias("digest"))
+    first = kept(digest.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "texts")
+    # a doc_id that several texts share is no copy of any of them: its windows tell
+    single = digest.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.max("digest").alias("other")).where("digest = other").drop("other")
+    copies = checked(hot_split(single, first, "digest", "n").where("doc_id > rep").select("doc_id"), "copies")
     seen = body.join(copies, "doc_id", "left_anti").mapInArrow(_occurrences, "h long, doc_id long")
-    several = seen.groupBy("h").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("latest > earliest").select("h", "earliest")
+    # counts of rows: what repeats only in rows of one doc_id falls away where earlier documents are asked for
+    several = seen.groupBy("h").agg(F.min("doc_id").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "earliest")
     several = kept(several, "anchors")
     listed = seen.join(several.hint("shuffle_hash"), "h").groupBy("doc_id").agg(F.collect_list("h").alias("hs"), F.collect_list(F.col("doc_id") == F.col("earliest")).alias("firsts"))
     listed = kept(listed, "anchor-lists")
-    windows = body.join(listed.hint("shuffle_hash"), "doc_id").mapInArrow(_windows, "window long, doc_id long, asks boolean")
-    holders = windows.groupBy("window").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("latest > earliest").select("window", "earliest")
-    repeated = windows.where("asks").join(holders.hint("shuffle_hash"), "window").where("doc_id > earliest")
-    repeated = repeated.groupBy("doc_id").agg(F.collect_list("window").alias("repeated"))
-    marked = named.join(repeated.hint("shuffle_hash"), "doc_id", "left").join(copies.withColumn("is_copy", F.lit(True)), "doc_id", "left")
-    marked = marked.select(*texts.columns, "repeated", F.coalesce("is_copy", F.lit(False)).alias("is_copy"))
-    lone = texts.where(F.col("doc_id").isNull()).select(*texts.columns, F.lit(None).cast("array<long>").alias("repeated"), F.lit(False).alias("is_copy"))
+    windows = body.join(listed.hint("shuffle_hash"), "doc_id").mapInArrow(_windows, "window long, check int, doc_id long, asks boolean")
+    holders = windows.groupBy("window", "check").agg(F.min("doc_id").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("window", "check", "earliest")
+    repeated = windows.where("asks").join(holders.hint("shuffle_hash"), ["window", "check"]).where("doc_id > earliest")
+    repeated = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("window", "check")).alias("r")).select("doc_id", F.col("r.window").alias("_repeated"), F.col("r.check").alias("_checks"))
+    marked = named.join(repeated.hint("shuffle_hash"), "doc_id", "left").join(copies.withColumn("_is_copy", F.lit(True)), "doc_id", "left")
+    marked = marked.select(*texts.columns, "_repeated", "_checks", F.coalesce("_is_copy", F.lit(False)).alias("_is_copy"))
+    lone = texts.where(F.col("doc_id").isNull()).select(*texts.columns, F.lit(None).cast("array<long>").alias("_repeated"), F.lit(None).cast("array<int>").alias("_checks"), F.lit(False).alias("_is_copy"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema), "_n_words long, _n_removed long, _kept string"])
     return marked.unionByName(lone).mapInArrow(_kept_texts, schema)

@@ -15,6 +15,7 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
+_SECOND_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text that are turned into arrays at once; a longer text stands alone.
 BATCH_BYTES = 2_000_000
 
@@ -65,6 +66,7 @@ class Words:
         self.first = np.searchsorted(self.starts, begins[: len(texts) + 1])
         self.first[-1] = len(self.starts)
         self.hashes = self._word_hashes(buf)
+        self._sums: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -94,13 +96,15 @@ class Words:
         at = np.flatnonzero(owner[: n] == owner[k - 1 :])
         return mix(self.span_sums(at, at + k)), at
 
-    def span_sums(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Position-free polynomial sums of the words begin..end-1 (unmixed)."""
-        if not hasattr(self, "_prefix"):
+    def span_sums(self, begin: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
+        """Position-free polynomial sums of the words begin..end-1 (unmixed); a second sum, of other hashes, on request."""
+        if second not in self._sums:
             n = len(self.hashes)
-            self._prefix = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(self.hashes * powers(_WORD_BASE, n), dtype=np.uint64)))
-            self._back = powers(_inverse(_WORD_BASE), n + 1)
-        return (self._prefix[end] - self._prefix[begin]) * self._back[begin]
+            base = _SECOND_BASE if second else _WORD_BASE
+            h = mix(self.hashes ^ _SECOND_BASE) if second else self.hashes
+            self._sums[second] = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * powers(base, n), dtype=np.uint64))), powers(_inverse(base), n + 1)
+        prefix, back = self._sums[second]
+        return (prefix[end] - prefix[begin]) * back[begin]
 
 
 def text_batches(texts: list[str | None], most: int = BATCH_BYTES) -> Iterator[slice]:

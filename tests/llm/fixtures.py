@@ -6,7 +6,7 @@ import random
 import re
 from collections import Counter
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, rep long, key string, component string, score double, pattern string, h long, _key string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, rep long, key string, component string, score double, pattern string, h long, _key string, repeated string, digest long"
 
 
 def words(text):
@@ -47,7 +47,7 @@ def rows(n=60, seed=4):
 
 def documents(spark, data=None):
     data = rows() if data is None else data
-    return spark.createDataFrame([(*r, 7, 8, "k", "c", 0.5, "+-", 9, "q") for r in data], SCHEMA)
+    return spark.createDataFrame([(*r, 7, 8, "k", "c", 0.5, "+-", 9, "q", "r", 3) for r in data], SCHEMA)
 
 
 def empty(spark):

@@ -171,6 +171,14 @@ def test_substring_dedup(spark):
     assert substring_dedup.without_repeats(fx.empty(spark)).count() == 0
 
 
+def test_substring_dedup_of_shared_doc_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    data = [(i, t, None, None, 0) for i, t in [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c + " " + a), (4, c), (5, c), (6, "x " + b), (6, b)]]
+    got = substring_dedup.without_repeats(fx.documents(spark, data)).collect()
+    assert sorted((str(r.doc_id), r._n_words, r._n_removed, r._kept) for r in got) == sorted(_without(data))
+    assert (2, b) in {(r.doc_id, r._kept) for r in got}
+
+
 def test_near_duplicates(spark):
     data = [*fx.rows(100), (None, fx.rows(100)[1][1], None, None, 0)]
     got = bag_minhash.near_duplicates(fx.documents(spark, data)).collect()
