@@ -10,7 +10,7 @@ union of a document's repeated windows are its maximal repeats, and their words
 A window's hash has 96 bits: 64 to find it and 32 to check it, from two independent sums over its words.
 
 Shuffled are one number for each anchor (about one in eight words), one for each window of a repeated
-anchor, and the texts once for each of the two joins that need them (Spark reuses the exchange).  Frequent
+anchor, and the texts once: Spark reuses their exchange in the joins that need them.  Frequent
 passages are minima, which are aggregated before the shuffle, and join keys, which Spark can split.
 """
 
@@ -88,8 +88,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = Words(texts[part])
             start, _, h = anchors(w)
             owner = w.owner()[start]
-            listed, row = _flat(b.column("hs"), part)
-            first, _ = _flat(b.column("firsts"), part)
+            listed, row = _flat(b.column("_hs"), part)
+            first, _ = _flat(b.column("_firsts"), part)
             keys = _in_text(row, listed.astype(np.int64).view(np.uint64))
             order = np.argsort(keys)
             keys, first = keys[order], first[order].astype(bool)
@@ -156,22 +156,24 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     share a doc_id are compared with other documents, not with each other, whether their texts are equal or not;
     rows without a doc_id only with themselves.  An empty table gives no rows; further columns are carried along.
     """
-    texts = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    # without a needless cast all joins of the texts read one and the same exchange
+    texts = docs if docs.schema["doc_id"].dataType.simpleString() == "bigint" else docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     named = texts.where(F.col("doc_id").isNotNull())
     body = named.select("doc_id", "text")
     # later copies of a whole text lose every window; only its first holder is looked at further
-    digest = body.where(F.col("text").isNotNull()).select("doc_id", F.unhex(F.md5("text")).alias("digest"))
+    digest = body.where(F.col("text").isNotNull()).select("doc_id", F.md5("text").alias("digest"), F.xxhash64("text").alias("mark"))
     first = kept(digest.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "texts")
     # a doc_id that several texts share is no copy of any of them: its windows tell
-    single = digest.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.max("digest").alias("other")).where("digest = other").drop("other")
-    copies = checked(hot_split(single, first, "digest", "n").where("doc_id > rep").select("doc_id"), "copies")
+    shared = checked(digest.groupBy("doc_id").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("doc_id"), "shared-ids")
+    single = digest.select("doc_id", "digest").join(shared, "doc_id", "left_anti")
+    copies = checked(hot_split(single, first, "digest", "n").where("doc_id > rep").select("doc_id").distinct(), "copies")
     seen = body.join(copies, "doc_id", "left_anti").mapInArrow(_occurrences, "h long, doc_id long")
     # counts of rows: what repeats only in rows of one doc_id falls away where earlier documents are asked for
     several = seen.groupBy("h").agg(F.min("doc_id").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "earliest")
     several = kept(several, "anchors")
-    listed = seen.join(several.hint("shuffle_hash"), "h").groupBy("doc_id").agg(F.collect_list("h").alias("hs"), F.collect_list(F.col("doc_id") == F.col("earliest")).alias("firsts"))
+    listed = seen.join(several.hint("shuffle_hash"), "h").groupBy("doc_id").agg(F.collect_list("h").alias("_hs"), F.collect_list(F.col("doc_id") == F.col("earliest")).alias("_firsts"))
     listed = kept(listed, "anchor-lists")
-    windows = body.join(listed.hint("shuffle_hash"), "doc_id").mapInArrow(_windows, "window long, check int, doc_id long, asks boolean")
+    windows = named.join(listed.hint("shuffle_hash"), "doc_id").mapInArrow(_windows, "window long, check int, doc_id long, asks boolean")
     holders = windows.groupBy("window", "check").agg(F.min("doc_id").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("window", "check", "earliest")
     repeated = windows.where("asks").join(holders.hint("shuffle_hash"), ["window", "check"]).where("doc_id > earliest")
     repeated = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("window", "check")).alias("r")).select("doc_id", F.col("r.window").alias("_repeated"), F.col("r.check").alias("_checks"))
