@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import least_hashed
+
 
 def usable(embedding: str = "embedding") -> Column:
     """True for a vector that is not null or empty, holds no null, NaN or infinite component, and is not zero."""
@@ -14,6 +16,11 @@ def usable(embedding: str = "embedding") -> Column:
     return F.coalesce(finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
+def numbers(vectors: DataFrame, embedding: str = "embedding") -> Column:
+    """The vectors as they are stored: float stays float, which is half to shuffle; anything else is double."""
+    return F.col(embedding).cast("array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>").alias(embedding)
+
+
 def stack(column: pd.Series) -> np.ndarray:
     """A column of arrays as rows of doubles."""
     return np.stack(column.to_list()).astype(np.float64) if len(column) else np.zeros((0, 0))
@@ -29,5 +36,5 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def hashed_sample(df: DataFrame, n: int, *by: str) -> pd.DataFrame:
-    """At most n rows, the same in every run."""
-    return df.orderBy(F.xxhash64(*by), *by).limit(n).toPandas()
+    """At most n rows, those of least hash, the same in every run; rows of equal hash are told apart by all columns."""
+    return least_hashed(df, n, *by).toPandas()
