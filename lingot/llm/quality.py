@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import weak_labels as wl
-from .shared import kept
+from .shared import kept, least_hashed
 from .toxicity import held_out
 
 #: Very common words of English, German, French and Spanish.
@@ -129,7 +129,7 @@ def quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     patterns = kept(known.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), "quality-patterns")
     model = wl.fit(patterns, voters, 0.8, np.tile(FIRST_GUESS, (voters, 1, 1)))
     fold = held_out(F.col("doc_id"))
-    sample = known.where(~fold).orderBy(F.xxhash64("doc_id"), "doc_id", "pattern").limit(sample_rows).toPandas()
+    sample = least_hashed(known.where(~fold), sample_rows, "doc_id", "pattern").toPandas()
     rows = [np.asarray(r, dtype=np.int64) for r in sample["features"]]
     w = wl.train_linear(rows, BUCKETS, model.posterior(wl.decode(sample["pattern"], voters)), l2=1e-4) if len(rows) else np.zeros(BUCKETS + 1)
 
