@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import kept
-from .vectors import cosines, hashed_sample, stack, unit, usable
+from .vectors import cosines, hashed_sample, numbers, stack, unit, usable
 
 #: Bounds of the index: rows of the sample, lists, rows of a list that one task scans.
 SAMPLE_ROWS = 20_000
-MOST_LISTS = 1_024
+MOST_LISTS = 2_500
 BLOCK_ROWS = (256, 4_096)
+#: Pairs of a query and a candidate that are scanned at once.
+PAIRS = 500_000
 #: Columns of a block, and the significance of the test (standard deviations).
 COLUMNS = 16
 EPSILON = 2.1
@@ -77,6 +79,13 @@ def scan(q: np.ndarray, bound: np.ndarray, x: np.ndarray, turn: np.ndarray) -> t
     return i, j
 
 
+def scanned(q: np.ndarray, bound: np.ndarray, x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``scan`` for a few queries at a time, so that its memory doesn't grow with the cell."""
+    step = max(1, PAIRS // max(1, len(x)))
+    got = [scan(q[k : k + step], bound[k : k + step], x, turn) for k in range(0, len(q), step)]
+    return np.concatenate([i + k * step for k, (i, _) in enumerate(got)]), np.concatenate([j for _, j in got])
+
+
 def nearest(i: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best of each query i: by score, ties to the smaller id."""
     order = np.lexsort((ids, -score, i))
@@ -95,7 +104,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("is_query"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), numbers(vectors), is_query.alias("is_query"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable())
     sample = hashed_sample(rows.select("vec_id", "embedding"), sample_rows, "vec_id")
     if not len(sample):
@@ -140,8 +149,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
                 order = [o[:n] for o, n in zip(order, seen, strict=True)]
                 yield pd.DataFrame({"query_id": qid, "embedding": list(q), "floor": floor, "lists": order})
 
-    dealt = kept(rows.select("vec_id", "embedding").mapInPandas(deal, "vec_id long, embedding array<double>, list int"), "ann-lists")
-    asked = kept(rows.where("is_query").select("vec_id", "embedding").dropDuplicates(["vec_id"]).mapInPandas(probe, "query_id long, embedding array<double>, floor double, lists array<int>"), "ann-queries")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    dealt = kept(rows.select("vec_id", "embedding").mapInPandas(deal, f"vec_id long, embedding {kind}, list int"), "ann-lists")
+    asked = kept(rows.where("is_query").select("vec_id", "embedding").dropDuplicates(["vec_id"]).mapInPandas(probe, f"query_id long, embedding {kind}, floor double, lists array<int>"), "ann-queries")
     block = int(np.clip(2 * total // lists, *BLOCK_ROWS))
     visits = asked.select("query_id", "embedding", "floor", F.explode("lists").alias("list"))
     parts = lambda n: F.ceil(n / block).cast("int")
@@ -158,10 +168,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
         if not len(c) or not len(q):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         x, y, ids, qid = stack(c["embedding"]), stack(q["embedding"]), c["vec_id"].to_numpy(), q["query_id"].to_numpy()
-        i, j = scan(y, 2 - 2 * q["floor"].to_numpy(), x, shared.value[1])
+        i, j = scanned(y, 2 - 2 * q["floor"].to_numpy(), x, shared.value[1])
         other = qid[i] != ids[j]
         i, j = i[other], j[other]
-        score = cosines(y[i], x[j])
+        score = np.concatenate([cosines(y[i[k : k + PAIRS]], x[j[k : k + PAIRS]]) for k in range(0, max(1, len(i)), PAIRS)])
         best = nearest(i, ids[j], score, k)
         return pd.DataFrame({"query_id": qid[i[best]], "vec_id": ids[j[best]], "score": score[best]})
 
