@@ -18,18 +18,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import weak_labels as wl
-from .shared import kept
+from .shared import kept, least_hashed
 
 #: General words of insult by theme, in English, German, French and Spanish.
 LEXICONS = {
     "mind": "idiot idiots idiotic moron morons stupid dumb imbecile fool dimwit dummkopf idiotin trottel dumm blöd schwachkopf imbécile crétin débile stupide idiote abruti estúpido estúpida idiota imbécil tonto necio",
-    "worth": "worthless useless loser losers failure nobody wertlos nutzlos versager niemand nul inutile raté minable inútil fracasado perdedor don_nadie",
+    "worth": "worthless useless loser losers failure nobody wertlos nutzlos versager niemand nul inutile raté minable inútil fracasado perdedor",
     "disgust": "disgusting gross vile repulsive revolting filthy ekelhaft widerlich abscheulich dégoûtant répugnant infect asqueroso repugnante",
     "refuse": "trash garbage scum filth vermin rubbish abschaum müll dreck ungeziefer ordure déchet racaille vermine basura escoria alimaña",
     "scorn": "pathetic clown ridiculous joke laughable erbärmlich lächerlich witzfigur pathétique ridicule bouffon patético payaso ridículo",
     "hate": "hate despise detest hass verachte hasse haine déteste méprise odio desprecio detesto",
-    "harm": "kill die hang burn töte stirb crève mourir mata muere",
-    "swear": "damn hell crap bastard bitch verdammt scheisse scheiße arschloch merde putain salaud connard mierda cabrón joder",
+    "harm": "kill hang burn töte stirb crève mourir mata muere",
+    "swear": "damn crap bastard bitch verdammt scheisse scheiße arschloch merde putain salaud connard mierda cabrón joder",
 }
 #: Patterns over the lower-case text, each a voter.
 PATTERNS = {
@@ -149,8 +149,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     gold = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("y")).where(~held_out(F.col("id")))
     gold = kept(gold, "toxic-gold")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    chosen = F.broadcast(gold.orderBy(F.xxhash64("id"), "id").limit(sample_rows))  # at most sample_rows pairs of numbers
-    sample = kept(texts.join(chosen, "id"), "toxic-sample")
+    chosen = F.broadcast(least_hashed(gold, sample_rows, "id"))  # at most sample_rows pairs of numbers
+    sample = kept(least_hashed(texts.join(chosen, "id"), sample_rows, "id", "text"), "toxic-sample")  # ids may repeat
     totals = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("y"), F.lit(0.1)).alias("p")).first()
     p = min(max(float(totals["p"]), 0.001), 0.5)
     counted = sample.mapInPandas(_stem_counts, "stem string, n long, n_toxic long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("bad"))
@@ -177,7 +177,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     accuracy[-1] = 0.95
     model = wl.fit(patterns, voters, p, wl.guess(accuracy))
     # the driver gets the sample's numbers of features, no texts
-    got = known.join(chosen, "id").orderBy("id", "pattern").toPandas()
+    got = least_hashed(known.join(chosen, "id"), sample_rows, "id", "pattern", "read").toPandas()
     rows, y = [np.asarray(r, dtype=np.int64) for r in got["read"]], got["y"].to_numpy()
     if len(rows):
         votes = np.column_stack([reader.votes(rows), np.where(y == 1, 1, -1)])
