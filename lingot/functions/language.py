@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .text import SPACE, any_in, count_of, entropy, label_form, normal_space, script_count, word_tokens
+from .text import any_in, count_of, entropy, label_form, normal_space, script_count, word_tokens
 
 Rule = tuple[Column, int | Column, str | None]
 
@@ -22,8 +22,9 @@ def _prepared(df: DataFrame, value: str, source: str, kind: str) -> DataFrame:
     return out.withColumns(
         {
             "_low": F.lower("_s"), "_words": word_tokens("_s"), "_n": F.char_length("_s"), "_label": label_form("_s"),
-            "_letters": count_of(F.col("_s"), r"\p{L}"), "_digits": count_of(F.col("_s"), r"\p{Nd}"),
-            "_spaces": count_of(F.col("_s"), SPACE), "_punct": count_of(F.col("_s"), r"[^\p{L}\p{N} ]"), "_cjk": script_count("_s"),
+            # what is left without the runs of other characters: far fewer matches than letters
+            "_letters": F.char_length(F.regexp_replace("_s", r"[^\p{L}]+", "")), "_digits": count_of(F.col("_s"), r"\p{Nd}"),
+            "_spaces": F.char_length("_s") - F.char_length(F.replace(F.col("_s"), F.lit(" "), F.lit(""))), "_punct": count_of(F.col("_s"), r"[^\p{L}\p{N} ]"), "_cjk": script_count("_s"),
         }
     )
 
@@ -45,32 +46,34 @@ def _rules() -> list[Rule]:
     short = (n >= 1) & (n <= 4)
     short_display = ~label_ui & s.rlike(r"^\p{L}+$") & (upper | title)
     alpha = F.col("_letters") / F.greatest(F.lit(1), n)
+    # shapes that no text with a space has: one look for a space instead of a dozen patterns
+    lone = lambda name: ~s.contains(" ") & shape(s, name)
     return [
         (F.col("_raw").contains("\x00"), -35, "embedded NUL"),
         (shape(s, "url"), -80, "URL/protocol"),
-        (shape(s, "email"), -70, "email"),
+        (s.contains("@") & lone("email"), -70, "email"),
         (shape(s, "descriptor"), -100, "Java descriptor"),
-        (shape(s, "uuid") | shape(s, "hex"), -80, "hash/id"),
-        (shape(s, "markup"), -70, "XML/markup element"),
-        (shape(s, "mime"), -65, "MIME type"),
-        (shape(s, "package"), -70, "package/class name"),
-        (shape(s, "path"), -65, "path"),
-        (shape(s, "path_fragment"), -85, "path fragment"),
-        (shape(s, "metadata_key"), -90, "MIDlet metadata key"),
-        (shape(s, "file_name") & ~s.contains(" "), -55, "filename"),
-        (shape(s, "printf"), -60, "format token only"),
-        (shape(s, "constant") & ~ui, -55, "constant identifier"),
-        (shape(s, "snake_case") & ~ui, -50, "snake_case identifier"),
-        (shape(s, "camel_case") & (n >= 6) & ~ui, -42, "camelCase identifier"),
-        (in_class & shape(s, "engine_token"), -85, "prefixed engine token"),
-        (in_class & shape(s, "bracket_command"), -70, "script command token"),
+        (lone("uuid") | lone("hex"), -80, "hash/id"),
+        (s.startswith("<") & shape(s, "markup"), -70, "XML/markup element"),
+        (lone("mime"), -65, "MIME type"),
+        (lone("package"), -70, "package/class name"),
+        (lone("path"), -65, "path"),
+        (lone("path_fragment"), -85, "path fragment"),
+        (lone("metadata_key"), -90, "MIDlet metadata key"),
+        (lone("file_name"), -55, "filename"),
+        (s.startswith("%") & shape(s, "printf"), -60, "format token only"),
+        (lone("constant") & ~ui, -55, "constant identifier"),
+        (lone("snake_case") & ~ui, -50, "snake_case identifier"),
+        (lone("camel_case") & (n >= 6) & ~ui, -42, "camelCase identifier"),
+        (in_class & lone("engine_token"), -85, "prefixed engine token"),
+        (in_class & lone("bracket_command"), -70, "script command token"),
         (in_class & low.isin(*K.SCRIPT_WORDS) & ~ui, -58, "engine/script command"),
         (binary & shape(s, "command_script"), -100, "binary command script"),
         (binary & (cjk == 0) & s.contains("\x7f"), -120, "binary control byte in ASCII payload"),
         (binary & (cjk == 0) & shape(s, "printable_ascii") & (spaces == 0) & (n >= 5) & ((odd >= 1) | (chunks >= 2)), -95, "random-looking ASCII binary payload"),
         (any_in(low, K.PLATFORM_REFERENCES), -90, "platform/internal reference"),
-        (in_class & (cjk == 0) & shape(s, "identifier") & lower & ~ui & ~low.isin(*K.HINT_WORDS), -45, "lowercase class identifier"),
-        (in_class & (cjk == 0) & shape(s, "upper_camel") & ~ui, -55, "class/type identifier"),
+        (in_class & (cjk == 0) & lone("identifier") & lower & ~ui & ~low.isin(*K.HINT_WORDS), -45, "lowercase class identifier"),
+        (in_class & (cjk == 0) & lone("upper_camel") & ~ui, -55, "class/type identifier"),
         (cjk >= 2, 34, "CJK language text"),
         ((cjk >= 2) & (cjk / F.greatest(F.lit(1), n) >= 0.45), 12, None),
         ((cjk >= 2) & n.between(2, 12), 8, None),
@@ -116,6 +119,12 @@ def classify(df: DataFrame, value: str = "value", source: str = "source", kind:
     return out.drop(*[c for c in out.columns if c.startswith("_") and c not in df.columns])
 
 
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """df with these columns as values that later filters read: a filter on an expression would be evaluated in its place once more for each use."""
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.inline(F.array(F.struct(*names))))
+
+
 def threshold(kind: Column) -> Column:
     """The least score that is accepted for a kind of string."""
     return F.when(kind.startswith("deep-binary"), 28).when(kind.startswith("deep-text"), 18).when(kind.startswith("class-string"), 12).otherwise(14)

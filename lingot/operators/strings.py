@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.language import classify, threshold
+from ..functions.language import classify, settled, threshold
 from ..functions.text import any_in, label_form, normal_space, word_tokens
 
 
 def accepted(strings: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Strings at or above their threshold; of equal normalised values of a group the first accepted."""
-    scored = classify(strings).where(F.col("score") >= threshold(F.col("kind"))).withColumn("_norm", normal_space("value")).where("_norm <> ''")
+    scored = settled(classify(strings).withColumn("_norm", normal_space("value")), "score", "_norm").where((F.col("score") >= threshold(F.col("kind"))) & (F.col("_norm") != ""))
     return scored.withColumn("_nth", F.row_number().over(Window.partitionBy(*group, "_norm").orderBy(*order))).where("_nth = 1").drop("_nth", "_norm")
 
 
@@ -27,8 +27,8 @@ def first_of_key(strings: DataFrame, key: list[str], order: list[str]) -> DataFr
 
 
 def candidate_scores(strings: DataFrame, group: list[str]) -> DataFrame:
-    """Score of every source from the scores of its strings, 0 to 100, with what it rests on."""
-    scored = classify(strings).withColumns({"_ui": label_form("value").isin(*K.UI_WORDS), "_multi": F.size(word_tokens("value")) >= 2})
+    """Score of every source from the scores of its strings, 0 to 100, with what it rests on; strings that carry a score keep it."""
+    scored = (strings if "score" in strings.columns else classify(strings)).withColumns({"_ui": label_form("value").isin(*K.UI_WORDS), "_multi": F.size(word_tokens("value")) >= 2})
     got = scored.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("score") >= 40).alias("strong"),

@@ -445,7 +445,7 @@ ORACLE_SQL = {
     "x9_publish_status": f"WITH {PATCHED} SELECT doc_id, CASE WHEN count_if(status = 'FAILED') > 0 THEN 'FAIL' WHEN count_if(status = 'SKIPPED') > 0 THEN 'WARNING' ELSE 'PASS' END AS status FROM p WHERE status IS NOT NULL GROUP BY doc_id",
     "x5_rewrite_texts": f"WITH {PATCHED} SELECT doc_id, sha256(string_agg(CASE WHEN status = 'PATCHED' THEN regexp_extract(value, '^( *)', 1) || 'vi ' || v || CASE WHEN v = '' THEN '' ELSE regexp_extract(value, '( *)$', 1) END ELSE value END, chr(10) ORDER BY idx)) AS sha256, FALSE AS rolled_back FROM p GROUP BY doc_id",
     "x7_publishable": f"WITH {ENTRIES} SELECT DISTINCT archive_id, CASE WHEN archive_id % 7 = 0 THEN 'signed' WHEN archive_id % 5 = 0 THEN 'same path' WHEN archive_id % 3 = 0 THEN 'no change' END AS refused FROM entries",
-    "e15_framed_chain": f"WITH {LINES}, v AS (SELECT doc_id, idx, trim(value) AS t FROM lines WHERE strlen(trim(value)) BETWEEN 1 AND 65535), n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1)::INT AS nth, count(*) OVER (PARTITION BY doc_id) AS fields FROM v) SELECT doc_id, nth, strlen(t)::INT AS length, sha256(t) AS sha256 FROM n WHERE fields < 200",
+    "e15_framed_chain": f"WITH {LINES}, v AS (SELECT doc_id, idx, trim(value) AS t FROM lines WHERE strlen(trim(value)) BETWEEN 1 AND 65535), n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1)::INT AS nth, count(*) OVER (PARTITION BY doc_id) AS fields FROM v) SELECT doc_id, nth, strlen(t)::INT AS length, sha256(t) AS sha256 FROM n",
     "e16_outside_regions": "SELECT user_id, event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events r WHERE r.event_id % 40 = 0 AND r.user_id = e.user_id AND e.event_id * 37 % 50000 >= r.event_id * 91 % 50000 AND e.event_id * 37 % 50000 < r.event_id * 91 % 50000 + 5000)",
     "e18_supplement": f"WITH {LINES}, r AS (SELECT source, doc_id * 1000 + idx AS i FROM lines) SELECT source, count(*) AS n FROM r WHERE i % 3 > 0 OR i % 2 = 0 GROUP BY source",
     "j5_detected_apis": f"WITH {APIS} SELECT archive_id, api, count(*) AS n FROM apis GROUP BY ALL",
@@ -468,3 +468,29 @@ ORACLE_SQL = {
     "f14_api_summary": f"WITH {APIS}, names(api, api_label) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in K.API_LABELS.items()) + ") SELECT api_label, count(DISTINCT archive_id) AS archives FROM apis JOIN names USING (api) GROUP BY api_label",
     "s15_directory_tree": "WITH u AS (SELECT string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS p FROM pages), n AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS path FROM u, LATERAL (SELECT unnest(range(1, len(p) + 1)) AS i)) SELECT path, (SELECT count(*) FROM n c WHERE regexp_extract(c.path, '^(.*)/[^/]*$', 1) = n.path AND contains(c.path, '/')) AS children FROM n",
 }
+# what the actions, labels and recommendations of the reports come to
+ACTED = ASSESSED + """, names AS (SELECT archive_id, list_sort(list(DISTINCT source) FILTER (is_class AND len(terms) > 0)) AS suspicious FROM flows GROUP BY archive_id),
+    acts AS (SELECT a.*, suspicious, CASE WHEN len(unsupported) > 0 THEN 1 WHEN len(coalesce(suspicious, [])) > 0 THEN 2 WHEN len(conditional) > 0 THEN 3 ELSE 4 END AS priority,
+    CASE WHEN len(unsupported) > 0 THEN 'unsupported_api' WHEN len(coalesce(suspicious, [])) > 0 THEN 'suspicious_class' WHEN len(conditional) > 0 THEN 'conditional_api' ELSE 'runtime_test' END AS category,
+    CASE WHEN len(unsupported) > 0 THEN array_to_string(unsupported, ', ') WHEN len(coalesce(suspicious, [])) > 0 THEN array_to_string(suspicious[1:5], ', ') WHEN len(conditional) > 0 THEN array_to_string(conditional, ', ') ELSE 'no static blocker' END AS detail
+    FROM assessed a LEFT JOIN names USING (archive_id))"""
+_NEXT = "'P' || priority || ' · ' || category || ' · ' || detail"
+FRAMES = LINES + ", v AS (SELECT doc_id, idx, trim(value) AS t FROM lines WHERE strlen(trim(value)) BETWEEN 1 AND 65535), fields AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1)::INT AS nth, strlen(t) AS n FROM v)"
+SHIFTED = FRAMES + """, told AS (SELECT *, CASE WHEN nth % 3 = 0 THEN 'vi ' || t WHEN doc_id % 50 = 7 AND nth = 1 THEN '' END AS tr, CASE WHEN nth % 3 = 0 THEN n + 3 WHEN doc_id % 50 = 7 AND nth = 1 THEN n * 70000 ELSE n END AS wanted FROM fields),
+    status AS (SELECT *, CASE WHEN tr IS NULL THEN 'UNCHANGED' WHEN max(CASE WHEN wanted > 65535 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) = 1 THEN 'FAILED' ELSE 'PATCHED' END AS status FROM told),
+    plan AS (SELECT *, CASE WHEN status = 'PATCHED' THEN wanted - n ELSE 0 END AS delta FROM status)"""
+_CHARS = "SELECT DISTINCT lang AS grp, unnest(string_split(text, '')) AS ch FROM documents"
+_COVERED = """lost AS (SELECT grp, ch, ch NOT IN (SELECT ch FROM mapped) AS gone FROM req) SELECT grp, count(*) AS required, coalesce(string_agg(ch, '' ORDER BY ch) FILTER (gone), '') AS missing,
+    CASE WHEN (SELECT count(*) FROM mapped) = 0 THEN 'unknown' WHEN bool_or(gone AND ord(ch) > 127) THEN 'high' WHEN bool_or(gone) THEN 'medium' ELSE 'low' END AS risk FROM lost GROUP BY grp"""
+ORACLE_SQL |= {
+    "s14_entry_kinds": "SELECT page_id, CASE WHEN starts_with(lower(url), 'meta-inf/') THEN 'meta' " + " ".join(f"WHEN ext IN ({', '.join(repr(x) for x in exts)}) THEN '{name}'" for name, exts in K.ENTRY_KINDS) + r" ELSE 'file' END AS entry_kind FROM (SELECT page_id, url, lower(regexp_extract(url, '\.([^./\\]*)$', 1)) AS ext FROM pages)",
+    "t4_next_action": f"WITH {ACTED} SELECT archive_id, priority::INT AS priority, category FROM acts",
+    "x12_compatibility_report": f"WITH {ASSESSED} SELECT archive_id, '{{\"archive_id\":' || archive_id || ',\"compatibility_score\":' || compatibility_score || ',\"runtime_risk\":\"' || runtime_risk || '\",\"startup_classification\":\"' || startup_classification || '\"}}' AS json FROM assessed",
+    "x15_recommendation": f"WITH {COMPARED} SELECT archive_id, verdict, CASE WHEN verdict = 'UNCHANGED' THEN 'keep testing on the target' WHEN verdict = 'REGRESSED' AND len(added_unsupported) > 0 THEN array_to_string(added_unsupported, ', ') WHEN verdict = 'IMPROVED' AND len(removed_unsupported) > 0 THEN array_to_string(removed_unsupported, ', ') WHEN (verdict = 'REGRESSED' AND rank_delta > 0) OR (verdict = 'IMPROVED' AND rank_delta < 0) THEN l || ' -> ' || r WHEN verdict = 'MIXED' AND len(added_unsupported) > 0 THEN array_to_string(added_unsupported, ', ') || CASE WHEN len(removed_unsupported) > 0 THEN ' / ' || array_to_string(removed_unsupported, ', ') ELSE '' END ELSE printf('Score delta %+d', score_delta) END AS recommendation FROM judged",
+    "w5_field_shifts": f"WITH {SHIFTED} SELECT doc_id, nth, status, delta::INT AS delta, coalesce(sum(delta) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS shift FROM plan",
+    "w6_transactions": f"WITH {SHIFTED} SELECT doc_id, status, count(*) AS n FROM plan GROUP BY doc_id, status",
+    "x6_spliced": f"WITH {SHIFTED} SELECT doc_id, sum(2 + n + delta)::BIGINT AS bytes FROM plan GROUP BY doc_id",
+    "j12_patch_fields": f"WITH {FRAMES}, asked AS (SELECT DISTINCT doc_id, trim(value) AS t FROM lines WHERE idx % 4 = 0 AND trim(value) <> '') SELECT a.doc_id, count(*) AS asked, count(nth) AS found FROM asked a LEFT JOIN fields f ON f.doc_id = a.doc_id AND f.t = a.t GROUP BY a.doc_id",
+    "a13_glyph_coverage": f"WITH req AS (SELECT * FROM ({_CHARS}) WHERE ch <> ''), mapped AS (SELECT DISTINCT ch FROM req WHERE grp = 'en'), {_COVERED}",
+    "x18_font_coverage": rf"WITH req AS (SELECT * FROM ({_CHARS}) WHERE regexp_full_match(ch, '\p{{L}}')), mapped AS (SELECT DISTINCT ch FROM req WHERE grp = 'en'), {_COVERED}",
+}

@@ -8,7 +8,7 @@ from .functions import codecs
 from .functions import constants as K
 from .operators import graph as G
 from .operators import scan as J
-from .queries_compat import EDGES, _assessed
+from .queries_compat import _NEXT, _RANK, ACTED, ASSESSED, EDGES, _assessed
 from .queries_text import LINES, TRANSLATED
 from .sources import archives
 from .sources import tables as src
@@ -114,7 +114,7 @@ def x1_scan(spark, sf_dir):
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and f.__name__.isidentifier() and not f.__name__.startswith("_")}
 
 ORACLE_SQL = {
-    "e4_legacy_runs": f"WITH {LINES}, t AS (SELECT doc_id, idx, translate(regexp_replace(lower(substr(value, 1, 60)), '[^a-z]', '', 'g'), '{LETTERS}', '{HAN}') AS text FROM lines) SELECT doc_id, idx, 2 AS start, text FROM t WHERE length(text) >= 2",
+    "e4_legacy_runs": f"WITH {LINES}, t AS (SELECT doc_id, idx, translate(regexp_replace(lower(value), '[^a-z]', '', 'g'), '{LETTERS}', '{HAN}') AS text FROM lines), p AS (SELECT doc_id, idx, unnest(range(0, length(text), 2048)) AS k, text AS t FROM t WHERE length(text) >= 2) SELECT doc_id, idx, (2 + 2 * k)::INT AS start, substr(t, k + 1, 2048) AS text FROM p WHERE length(substr(t, k + 1, 2048)) >= 2",
     "s1_pruned_entries": "SELECT page_id, page_id % 3 = 0 AND strlen(html) * 400 <= 16777216 AS fast, (page_id % 3 = 0 AND strlen(html) * 400 <= 16777216) OR (page_id % 3 <> 1 AND strlen(html) * 400 BETWEEN 1 AND 12582912) AS deep FROM pages",
     "s9_wide_rows": f"WITH {TRANSLATED} SELECT doc_id, idx, sha256(key) AS key_sha256, source, 'text' AS source_type, kind, 'utf-8' AS encoding, coalesce(translation, '') AS vietnamese FROM strings LEFT JOIN translations USING (key)",
     "s13_unsafe_members": "SELECT page_id, page_id % 4 < 2 AS unsafe FROM pages",
@@ -124,4 +124,8 @@ ORACLE_SQL = {
     "j7_reference_edges": f"WITH {EDGES} SELECT archive_id, src, dst FROM edges",
     "o4_suspicious_union": "SELECT l_orderkey % 50 AS archive_id, l_partkey % 60 AS node FROM lineitem WHERE l_linenumber = 7 UNION SELECT l_orderkey % 50, l_suppkey % 60 FROM lineitem WHERE l_suppkey % 60 = 9",
 }
+ORACLE_SQL |= {
+    "s12_report_text": f"WITH {ACTED} SELECT archive_id, 'COMPATIBILITY REPORT' || chr(10) || 'compatibility_score: ' || compatibility_score || chr(10) || 'runtime_risk: ' || runtime_risk || chr(10) || 'startup_classification: ' || startup_classification || chr(10) || 'next_action: ' || {_NEXT} AS text FROM acts",
+    "f12_startup_ranks": f"WITH {ASSESSED} SELECT archive_id, {_RANK('startup_classification')} AS rank FROM assessed",
+}
 ORACLE_SQL["a5_safe_counts"] = f"SELECT sum(safe)::BIGINT AS safe, sum(unsafe)::BIGINT AS unsafe FROM ({ORACLE_SQL['e12_patch_safe']})"

@@ -286,7 +286,7 @@ ORACLE_SQL = {
     "e17_human_lines": rf"WITH {LINES}, h AS (SELECT doc_id, idx, trim(value) AS s FROM lines) SELECT doc_id, idx FROM h WHERE length(s) BETWEEN 2 AND 800 AND regexp_matches(s, '\p{{L}}') AND NOT (length(s) > 12 AND regexp_matches(s, '^[A-Za-z0-9_/$.;<>\[\]():+-]+$') AND (contains(s, '/') OR contains(s, ';') OR {_n('s', '[.]')} >= 2)) AND {_n('s', r'[^\p{C}\p{Zl}\p{Zp}\p{Zs}]|[ \t\r\n]')} / length(s) * 0.55 + {_n('s', r'\p{L}')} / length(s) * 0.55 - {_n('s', '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]')} * 0.2 >= 0.55",
     "p1_language_score": f"WITH {SCORED} SELECT doc_id, idx, score FROM scored",
     "p2_threshold": f"WITH {SCORED} SELECT source, count_if(score >= 14) AS accepted, min(score) AS least, max(score) AS most FROM scored GROUP BY source",
-    "p3_entropy": f"WITH {LINES}, c AS (SELECT doc_id, idx, substr(value, 1, 80) AS s FROM lines), k AS (SELECT doc_id, idx, s, unnest(CASE WHEN s = '' THEN ['x'] ELSE list_distinct(string_split(s, '')) END) AS ch FROM c) SELECT doc_id, idx, round(coalesce(sum(CASE WHEN s = '' THEN 0.0 ELSE -((length(s) - length(replace(s, ch, ''))) / length(s)) * log2((length(s) - length(replace(s, ch, ''))) / length(s)) END), 0), 6) AS bits FROM k GROUP BY doc_id, idx",
+    "p3_entropy": f"WITH {LINES}, c AS (SELECT doc_id, idx, value AS s FROM lines), k AS (SELECT doc_id, idx, s, unnest(CASE WHEN s = '' THEN ['x'] ELSE list_distinct(string_split(s, '')) END) AS ch FROM c) SELECT doc_id, idx, round(coalesce(sum(CASE WHEN s = '' THEN 0.0 ELSE -((length(s) - length(replace(s, ch, ''))) / length(s)) * log2((length(s) - length(replace(s, ch, ''))) / length(s)) END), 0), 6) AS bits FROM k GROUP BY doc_id, idx",
     "p4_word_tokens": rf"WITH {LINES} SELECT doc_id, idx, len(w) AS n_words, array_to_string(w, ' ') AS words FROM (SELECT doc_id, idx, regexp_extract_all(value, '[\p{{L}}\p{{Nl}}\p{{No}}]+(?:''[\p{{L}}\p{{Nl}}\p{{No}}]+)?') AS w FROM lines)",
     "p5_technical_shapes": "SELECT page_id, " + ", ".join([f"{_rx('url', s)} AS url_{s}" for s in _SHAPES] + [f"{_rx('name', s)} AS name_{s}" for s in _SHAPES]) + r" FROM (SELECT page_id, url, regexp_extract(url, '([^/\\]*)$', 1) AS name FROM pages)",
     "p6_word_lists": rf"WITH {LINES}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(value), '[\p{{L}}\p{{Nl}}\p{{No}}]+(?:''[\p{{L}}\p{{Nl}}\p{{No}}]+)?')) AS word FROM lines) SELECT doc_id, " + ", ".join(f"count_if(word IN {_in(v)}) AS {k}" for k, v in (("ui", K.UI_WORDS), ("hint", K.HINT_WORDS), ("technical", K.TECHNICAL_WORDS), ("script", K.SCRIPT_WORDS))) + " FROM w GROUP BY doc_id",
@@ -300,7 +300,7 @@ ORACLE_SQL = {
     "f3_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "f4_normal_forms": f"WITH {LINES} SELECT doc_id, idx, regexp_replace(regexp_replace(value, '{WS}+', ' ', 'g'), '^ | $', '', 'g') AS normal, trim(lower(value), ' .,!?:;…-''\"') AS label FROM lines",
     "f5_paths": r"SELECT page_id, lower(regexp_extract(url, '\.([^./\\]*)$', 1)) AS extension, regexp_extract(url, '([^/\\]*)$', 1) AS base_name, replace(regexp_replace(regexp_replace(replace(url, '\', '/'), '^/+', ''), '(?i)\.class$', ''), '/', '.') AS class_name FROM pages",
-    "f13_safe_name": rf"WITH {LINES} SELECT doc_id, idx, coalesce(nullif(trim(regexp_replace(substr(value, 1, 60), '[^\p{{L}}\p{{N}}\-_.]', '_', 'g'), '._'), ''), 'unnamed') AS name FROM lines",
+    "f13_safe_name": rf"WITH {LINES} SELECT doc_id, idx, coalesce(nullif(trim(regexp_replace(value, '[^\p{{L}}\p{{N}}\-_.]', '_', 'g'), '._'), ''), 'unnamed') AS name FROM lines",
     "w1_first_accepted": f"WITH {SCORED} SELECT source, doc_id, idx, score FROM scored WHERE score >= 14 AND s <> '' QUALIFY row_number() OVER (PARTITION BY source, s ORDER BY doc_id, idx) = 1",
     "w2_first_of_key": f"WITH {LINES} SELECT source, doc_id, idx FROM lines QUALIFY row_number() OVER (PARTITION BY source, value ORDER BY doc_id, idx) = 1",
     "w3_export_ids": f"WITH {LINES} SELECT source, doc_id, idx, printf('T%05d', row_number() OVER (PARTITION BY source ORDER BY doc_id, idx)) AS id FROM lines",
@@ -312,4 +312,10 @@ ORACLE_SQL = {
     "t2_top_candidates": f"WITH {CANDIDATES} SELECT source, n, candidate_score FROM candidates ORDER BY candidate_score DESC, n DESC, source LIMIT 20",
     "t3_shown_rows": f"WITH {LINES} SELECT doc_id, idx, (SELECT count(*) FROM lines) AS total FROM lines ORDER BY doc_id, idx LIMIT 3000",
 }
+ORACLE_SQL |= {
+    # the bytes of UTF-8 beyond ASCII are in no run, so runs of the text are runs of its bytes; places are sums of bytes
+    "e1_ascii_runs": r"WITH p AS (SELECT doc_id, regexp_extract_all(text, '[\x20-\x7e]{4,}') AS r, string_split_regex(text, '[\x20-\x7e]{4,}') AS g FROM documents), u AS (SELECT doc_id, unnest(range(1, len(r) + 1)) AS i, unnest(r) AS value, unnest(g[1:len(r)]) AS gap FROM p) SELECT doc_id, (sum(strlen(gap) + strlen(value)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(value))::BIGINT AS start, value FROM u",
+    "e2_utf8_runs": r"SELECT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x00-\x1f\x7f]{2,}')) AS value FROM documents) WHERE regexp_matches(value, '[^\x00-\x7f]')",
+    "f6_endpoints": r"WITH h AS (SELECT page_id, html, unnest(range(1, length(html) + 1)) AS i FROM pages WHERE contains(lower(html), 'https://')), e AS (SELECT page_id, list_sort(list(DISTINCT regexp_extract(substr(html, i, 160), '^[\x20-\x7e]+'))) AS l FROM h WHERE substr(html, i, 1) IN ('h', 'H') AND lower(substr(html, i, 8)) = 'https://' GROUP BY page_id) SELECT page_id, coalesce(array_to_string(l, '|'), '') AS endpoints FROM pages LEFT JOIN e USING (page_id)",
+}
 ORACLE_SQL["rank_sources"] = "WITH " + ORACLE_SQL["rank_sources"]
