@@ -134,5 +134,26 @@ FONT_NAMES = ("font", "fonts", "glyph", "glyphs", "charset", "char", "chars", "f
 FONT_EXTENSIONS, IMAGE_EXTENSIONS = ("fnt", "ttf", "otf", "bdf", "fon"), ("png", "gif", "jpg", "jpeg", "bmp")
 # Labels of APIs.
 API_LABELS = {"wma_sms": "JSR-120/205 WMA", "m3g": "JSR-184 M3G", "bluetooth": "JSR-82 Bluetooth", "file_connection": "JSR-75 FileConnection", "media": "JSR-135 MMAPI", "nokia": "Nokia proprietary API", "samsung": "Samsung proprietary API", "siemens": "Siemens proprietary API", "sonyericsson": "Sony Ericsson proprietary API", "motorola": "Motorola proprietary API"}
+# Letters that a font needs where no translation says what it needs.
+VIETNAMESE = (
+    "ăâđêôơưĂÂĐÊÔƠƯáàảãạấầẩẫậắằẳẵặéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ"
+    "ÁÀẢÃẠẤẦẨẪẬẮẰẲẴẶÉÈẺẼẸẾỀỂỄỆÍÌỈĨỊÓÒỎÕỌỐỒỔỖỘỚỜỞỠỢÚÙỦŨỤỨỪỬỮỰÝỲỶỸỴ"
+)
+# Titles of startup classifications and of recommended actions.
+STARTUP_TITLES = {
+    "likely_startup_blocker": "Likely startup blocker",
+    "optional_feature_risk": "Optional feature risk",
+    "runtime_only_incompatibility": "Runtime-only incompatibility",
+    "needs_runtime_test": "Needs runtime test",
+    "compatible_or_unknown": "Không thấy blocker startup rõ ràng",
+    "startup_path": "Kiểm tra class trên startup path",
+    "unsupported_api": "Kiểm tra API chưa được target runtime hỗ trợ",
+    "suspicious_class": "Kiểm tra class nghi vấn",
+    "conditional_api": "Kiểm thử API conditional trực tiếp trên RG35XX",
+    "runtime_test": "Chạy kiểm thử thực tế trên FreeJ2ME / RG35XX",
+}
+# Markers of a declared encoding, and the extensions in which they are looked for.
+ENCODING_MARKERS = ("utf-8", "utf8", "unicode", "charset", "glyph")
+MARKED_EXTENSIONS = ("txt", "properties", "xml", "ini", "cfg", "json", "csv", "lang", "lng", "dat", "bin", "res")
 # Kinds of entries by extension, in order.
 ENTRY_KINDS = (("jar", ("jar",)), ("class", ("class",)), ("text", ("properties", "txt", "xml", "ini", "lang", "lng", "json", "yaml", "yml", "csv")), ("binary", ("dat", "bin", "res", "map", "sce")), ("image", ("png", "jpg", "jpeg", "gif", "bmp")), ("audio", ("mid", "midi", "wav", "mp3", "amr")))

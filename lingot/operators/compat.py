@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import any_in, base_name, extension
+from ..functions.codecs import encodable
+from ..functions.text import SPACE, any_in, base_name, extension
 
 
 def _strings() -> Column:
@@ -221,11 +222,122 @@ def glyph_coverage(required: DataFrame, mapped: DataFrame) -> DataFrame:
 
 
 def font_characters(descriptors: DataFrame, text: str = "text") -> DataFrame:
-    """(source, ch, confidence): glyphs of font descriptors: ``char id=N`` lines, else a literal charset, else lists of code points."""
+    """(source, ch, confidence): glyphs of font descriptors by the first form that gives any.
+
+    95: ``char id=N``, or ``id=N`` where there is none; 82: a literal charset of four glyphs at least; 75: ``U+XXXX``,
+    with numbers of two to six digits as well where the text speaks of characters.
+    """
     char = lambda n, base: F.decode(F.unhex(F.lpad(F.conv(n, base, 16), 8, "0")), "UTF-32")
-    ids = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\bchar\s+id\s*=\s*(\d+)"), F.lit(1)), lambda x: char(x, 10))
-    charset = F.array_distinct(F.split(F.regexp_extract(text, r"(?im)^\s*(?:chars|charset|glyphs)\s*[=:]\s*(.{4,})$", 1), ""))
-    points = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)U\+([0-9A-F]{4,6})"), F.lit(1)), lambda x: char(x, 16))
-    chosen = F.when(F.size(ids) > 0, F.struct(ids.alias("chs"), F.lit(95).alias("confidence"))).when(F.size(F.filter(charset, lambda x: x != "")) >= 4, F.struct(charset.alias("chs"), F.lit(82).alias("confidence"))).when(F.size(points) > 0, F.struct(points.alias("chs"), F.lit(75).alias("confidence")))
+    numbers = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    valid = lambda least: lambda n: n.cast("long").between(least, 0x10FFFF)
+    named = numbers(r"(?i)\bchar\s+id\s*=\s*(\d+)")
+    ids = F.filter(F.when(F.size(named) > 0, named).otherwise(numbers(r"(?i)\bid\s*=\s*(\d+)")), valid(0))
+    literal = F.btrim(F.regexp_extract(text, r"(?i)(?:chars?|charset)\s*[:=]\s*[\"']?([^\r\n\"']{4,})", 1))
+    charset = F.filter(F.array_distinct(F.split(literal, "")), lambda x: (x != "") & ~x.rlike(SPACE))
+    speaks = F.col(text).rlike(r"(?i)charset|glyph|char|codepoint|unicode")
+    decimal = F.when(speaks, F.filter(numbers(r"(?<!\d)(\d{2,6})(?!\d)"), valid(32))).otherwise(_strings())
+    points = F.concat(F.transform(numbers(r"U\+([0-9A-Fa-f]{2,6})"), lambda x: char(x, 16)), F.transform(decimal, lambda x: char(x, 10)))
+    as_found = lambda chs, confidence: F.struct(chs.alias("chs"), F.lit(confidence).alias("confidence"))
+    chosen = F.when(F.size(ids) > 0, as_found(F.transform(ids, lambda x: char(x, 10)), 95)).when(F.size(charset) >= 4, as_found(charset, 82)).when(F.size(points) > 0, as_found(points, 75))
     rows = descriptors.withColumn("_c", chosen).where("_c is not null")
     return rows.select("source", F.explode(F.array_distinct("_c.chs")).alias("ch"), F.col("_c.confidence").alias("confidence")).where("ch <> ''")
+
+
+def required_characters(translations: DataFrame, group: str = "grp", text: str = "translation") -> DataFrame:
+    """(group, ch): what the translations of each group are written in, white space aside; a group without any needs the fixed letters."""
+    chars = translations.select(group, F.explode(F.array_distinct(F.split(text, ""))).alias("ch")).where((F.col("ch") != "") & ~F.col("ch").rlike(SPACE)).distinct()
+    silent = translations.select(group).distinct().join(chars.select(group).distinct(), group, "left_anti")
+    return chars.unionByName(silent.select(group, F.explode(F.split(F.lit(K.VIETNAMESE), "")).alias("ch")).where("ch <> ''"))
+
+
+def missing_glyphs(required: DataFrame, mapped: DataFrame) -> DataFrame:
+    """The required(grp, ch) that no font descriptor maps."""
+    return required.join(mapped.select("ch").distinct(), "ch", "left_anti").select("grp", "ch")
+
+
+def profile_intersection(apis: Column, profile: Column, support: str) -> Column:
+    """The APIs that a profile supports so, sorted; a profile that is not known counts as the generic one."""
+    sets = {p: F.array(*[F.lit(a) for a in kinds[support]]) for p, kinds in K.PROFILES.items()}
+    known = F.coalesce(*[F.when(profile == p, s) for p, s in sets.items()], sets["generic_j2me"])
+    return F.array_sort(F.array_intersect(apis, known))
+
+
+def bounded(items: Column | str, most: int, none: str = "") -> Column:
+    """The first of a list for a message, or what is said where there is none."""
+    return F.coalesce(F.array_join(F.slice(items, 1, most), ", "), F.lit(none))
+
+
+def cut(text: Column, most: int = 140) -> Column:
+    """A text of at most so many characters, with dots where more would follow."""
+    return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+
+
+def _titled(c: Column) -> Column:
+    return F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in K.STARTUP_TITLES.items()])
+
+
+def diagnostic_summaries(reports: DataFrame, target: str = "FreeJ2ME / RG35XX") -> DataFrame:
+    """Adds action_label and summary, a short text of a report's findings; reports: those of recommended_actions with a name."""
+    listed = lambda c: F.when(F.size(c) > 0, F.array_join(F.array_sort(c), ", ")).otherwise("none")
+    top = F.col("actions")[0]
+    label = F.concat(F.lit("P"), top["priority"].cast("string"), F.lit(" · "), _titled(top["category"]), F.when(top["detail"] != "", F.concat(F.lit(" · "), top["detail"])).otherwise(""))
+    lines = {
+        "JAR": F.col("name"), "Target": F.lit(target), "Runtime": F.concat(F.col("compatibility_score").cast("string"), F.lit("/100 · "), F.upper("runtime_risk")),
+        "Assessment": F.concat(_titled(F.col("startup_classification")), F.lit(" · "), F.upper("startup_severity")), "Detected APIs": listed("detected_apis"), "Unsupported APIs": listed("unsupported"),
+        "Conditional APIs": listed("conditional"), "Startup path": F.when(F.size("startup_path") > 0, F.array_join("startup_path", " -> ")).otherwise("not found"), "Next action": label,
+    }
+    return reports.withColumns({"action_label": label, "summary": F.concat_ws("\n", F.lit("JAR RG35XX DIAGNOSTIC SUMMARY"), *[F.concat(F.lit(f"{k}: "), v) for k, v in lines.items()])})
+
+
+def activation_findings(reports: DataFrame) -> DataFrame:
+    """(archive_id, category, severity) of activation reports: suspicious classes, their link to messaging, their reach from the start; has_roots: the entry classes are known."""
+    reachable = F.col("activation_reachable") | F.col("payment_reachable")
+    found = F.array_compact(
+        F.array(
+            _finding(F.col("classes") > 0, "activation", F.col("flow_risk")),
+            _finding(F.col("wma_linked"), "wma_link", F.lit("high")),
+            _finding(reachable | ((F.col("classes") > 0) & F.col("has_roots")), "startup_path", F.when(reachable, "high").otherwise("medium")),
+        )
+    )
+    return reports.select("archive_id", F.explode(found).alias("f")).select("archive_id", "f.*")
+
+
+def _finding(condition: Column, category: str, severity: Column) -> Column:
+    return F.when(condition, F.struct(F.lit(category).alias("category"), severity.alias("severity")))
+
+
+def encoding_findings(entries: DataFrame, translations: DataFrame) -> DataFrame:
+    """(archive_id, category, severity): low for an entry that names an encoding, high for a translation(archive_id, source, codec, translation) that its
+    charset can't hold, medium for an archive with letters beyond ASCII where neither is so."""
+    marked = entries.where(extension("source").isin(*K.MARKED_EXTENSIONS) & any_in(F.lower("content"), K.ENCODING_MARKERS)).select("archive_id")
+    bad = translations.where(~F.lower("codec").isin("utf-8", "utf8") & ~encodable("translation", "codec")).select("archive_id")
+    open_ = translations.where(F.col("translation").rlike(r"[^\x00-\x7f]")).select("archive_id").distinct().join(marked.unionByName(bad).distinct(), "archive_id", "left_anti")
+    told = lambda df, severity: df.select("archive_id", F.lit("encoding").alias("category"), F.lit(severity).alias("severity"))
+    return told(marked, "low").unionByName(told(bad, "high")).unionByName(told(open_, "medium"))
+
+
+def readiness_issues(reports: DataFrame) -> DataFrame:
+    """(archive_id, level, category): every issue of archives before a build.
+
+    reports: assessed rows with strings, translated and unsafe (counts, null: none), overall_risk and actions.
+    """
+    issue = lambda level, category: F.struct(level.alias("level"), F.lit(category).alias("category"))
+    if_so = lambda c, category: F.when(c, issue(F.lit("WARNING"), category))
+    either = lambda c, category: issue(F.when(c, "WARNING").otherwise("INFO"), category)
+    strings, translated = F.coalesce("strings", F.lit(0)), F.coalesce("translated", F.lit(0))
+    unsupported, conditional = F.size("unsupported") > 0, F.size("conditional") > 0
+    found = F.array_compact(
+        F.array(
+            issue(F.when((strings == 0) | (translated == 0), "BLOCKED").when(translated < strings, "WARNING").otherwise("INFO"), "translation"),
+            if_so(F.coalesce("unsafe", F.lit(0)) > 0, "binary"),
+            either(F.col("overall_risk").isin("high", "medium"), "compatibility"),
+            if_so(unsupported, "runtime"),
+            if_so(conditional, "runtime"),
+            either(unsupported | conditional, "runtime"),
+            if_so(F.array_contains("detected_apis", "wma_sms"), "wma_sms"),
+            either(F.col("flow_risk") != "low", "activation"),
+            either(F.col("startup_severity").isin("medium", "high"), "startup_assessment"),
+            either(F.col("actions")[0]["priority"] <= 2, "recommended_action"),
+        )
+    )
+    return reports.select("archive_id", F.explode(found).alias("i")).select("archive_id", "i.*")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import kept
+from ..functions import constants as K
+from ..functions.text import any_in
+from ..plans.scratch import kept, scratch_dir
 
 
 def reference_edges(entries: DataFrame) -> DataFrame:
@@ -23,30 +27,35 @@ def reference_edges(entries: DataFrame) -> DataFrame:
     return tokens.select("archive_id", "src", ends.alias("dst")).where(F.col("dst").contains("/")).join(names, ["archive_id", "dst"]).where("src <> dst").select("archive_id", "src", "dst").distinct()
 
 
-def shortest_paths(edges: DataFrame, roots: DataFrame, most_levels: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(archive_id, root, node, hops, path): a shortest path from every root(archive_id, root) to every node it reaches.
 
-    Level by level over all archives at once: the frontier joins the edges, nodes seen before go, and of several
-    paths to a node the least stays.  Each level is written and read again.
+    Level by level over all archives at once, until a level is empty: the frontier joins the edges, nodes seen before go,
+    and of several paths to a node the least stays.  Levels are parts of one table in the shared folder.
     """
-    start = roots.distinct().select("archive_id", "root", F.col("root").alias("node"), F.lit(0).alias("hops"), F.array("root").alias("path"))
-    frontier = kept(start, "frontier")
-    levels = [frontier]
-    for level in range(1, most_levels + 1):
-        seen = levels[0].select("archive_id", "root", "node")
-        for done in levels[1:]:
-            seen = seen.unionByName(done.select("archive_id", "root", "node"))
-        step = frontier.join(edges.select("archive_id", F.col("src").alias("node"), "dst"), ["archive_id", "node"])
-        new = step.groupBy("archive_id", "root", F.col("dst").alias("node")).agg(F.min("path").alias("path"))
-        new = new.join(seen, ["archive_id", "root", "node"], "left_anti")
-        frontier = kept(new.select("archive_id", "root", "node", F.lit(level).alias("hops"), F.concat("path", F.array("node")).alias("path")), "frontier")
+    spark = edges.sparkSession
+    path = f"{scratch_dir(spark)}/levels-{uuid.uuid4().hex}"
+    edges = kept(edges.select("archive_id", F.col("src").alias("node"), "dst"), "edges")
+    new = roots.distinct().select("archive_id", "root", F.col("root").alias("node"), F.lit(0).alias("hops"), F.array("root").alias("path"))
+    schema, level = new.schema, 0
+    while True:
+        at = f"{path}/level={level}"
+        new.write.parquet(at)
+        frontier = spark.read.schema(schema).parquet(at)
         if frontier.isEmpty():
             break
-        levels.append(frontier)
-    out = levels[0]
-    for done in levels[1:]:
-        out = out.unionByName(done)
-    return out
+        level += 1
+        seen = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+        step = frontier.join(edges, ["archive_id", "node"]).groupBy("archive_id", "root", F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+        new = step.join(seen.select("archive_id", "root", "node"), ["archive_id", "root", "node"], "left_anti")
+        new = new.select("archive_id", "root", "node", F.lit(level).alias("hops"), F.concat("path", F.array("node")).alias("path"))
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+
+
+def suspicious_classes(given: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(archive_id, node): the given classes and those of the graph's nodes(archive_id, node) whose name hints at activation or payment, once each."""
+    named = nodes.where(any_in(F.lower("node"), K.FLOW_NAMES))
+    return given.select("archive_id", "node").union(named.select("archive_id", "node")).distinct()
 
 
 def best_roots(paths: DataFrame, targets: DataFrame) -> DataFrame:

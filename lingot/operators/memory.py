@@ -32,7 +32,10 @@ def matched_by_every_original(dictionary: DataFrame, strings: DataFrame) -> Data
 
 
 def file_gates(files: DataFrame, archives: DataFrame) -> DataFrame:
-    """Adds gate: the first check of the whole file that fails, else null; archives: source_name, sha256."""
+    """Adds gate: the first check of the whole file that fails, else null; archives: source_name, sha256.
+
+    files: schema_version, source_name, source_sha256, has_protocol, has_contract, items, item_count.
+    """
     known = archives.select(F.col("source_name").alias("_name"), F.col("sha256").alias("_sha"))
     rows = files.join(known, F.col("source_name") == F.col("_name"), "left")
     gate = (
@@ -40,6 +43,8 @@ def file_gates(files: DataFrame, archives: DataFrame) -> DataFrame:
         .when(F.col("source_name").isNull(), "source_block")
         .when(F.col("_name").isNull(), "archive_name")
         .when(~F.col("source_sha256").eqNullSafe(F.col("_sha")), "archive_hash")
+        .when(~F.coalesce("has_protocol", F.lit(False)), "protocol")
+        .when(~F.coalesce("has_contract", F.lit(False)), "contract")
         .when(F.col("items").isNull(), "items")
         .when(~F.col("item_count").eqNullSafe(F.size("items")), "item_count")
     )

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.language import classify, settled, threshold
+from ..functions.text import extension, normal_space
 from ..plans.scratch import kept
+from ..sources.archives import should_scan
 from ..sources.text_resources import key_value_strings, text_strings
 from .strings import accepted, looks_human
 
@@ -31,7 +34,38 @@ def entry_points(manifest: DataFrame, classes: DataFrame) -> DataFrame:
     return manifest.where(F.col("key").rlike(r"(?i)^midlet-[0-9]+$")).select("archive_id", root.alias("root")).join(classes.select("archive_id", F.col("name").alias("root")), ["archive_id", "root"], "left_semi")
 
 
-def report_text(reports: DataFrame, title: str, fields: list[str]) -> DataFrame:
-    """(archive_id, text): a title and one ``name: value`` line for each field."""
+def scan_diagnostics(entries: DataFrame) -> DataFrame:
+    """What a scan of each archive read, skipped, found and rejected; entries(archive_id, source, size, text).
+
+    Class entries that don't begin as class files do count as failed; equal strings of an entry count once after the filter.
+    """
+    is_class = extension("source") == "class"
+    rows = entries.withColumns({"_read": should_scan(F.col("source"), F.col("size"), deep=True), "_fast": should_scan(F.col("source"), F.col("size"))})
+    deep = F.col("_read") & ~F.col("_fast")
+    counts = rows.groupBy("archive_id").agg(
+        F.count(F.lit(1)).alias("entries_total"), F.count_if("_read").alias("entries_read"), F.count_if(deep).alias("entries_deep_scanned"), F.count_if(~F.col("_read")).alias("entries_skipped_media_or_size"),
+        F.count_if(F.col("_read") & is_class & ~F.coalesce(F.hex(F.encode(F.substring("text", 1, 4), "ISO-8859-1")) == "CAFEBABE", F.lit(False))).alias("class_parse_failed"),
+    )
+    columns = ("archive_id", "source", "idx", "value", "kind")
+    fast_strings = text_strings(rows.where(F.col("_fast") & ~is_class)).withColumn("kind", F.lit("resource-text")).select(*columns)
+    deep_strings = key_value_strings(rows.where(deep)).where(looks_human(F.col("value"))).withColumn("kind", F.lit("deep-text")).select(*columns)
+    scored = settled(classify(fast_strings.unionByName(deep_strings)).withColumn("_norm", normal_space("value")), "score", "_norm")
+    good = (F.col("score") >= threshold(F.col("kind"))) & (F.col("_norm") != "")
+    once = scored.groupBy("archive_id", "source", "_norm").agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("good"), F.count_if(F.col("kind") == "deep-text").alias("deep"))
+    by_entry = once.groupBy("archive_id", "source").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("deep").alias("deep"), F.count_if(F.col("good") > 0).alias("kept"))
+    sums = by_entry.groupBy("archive_id").agg(
+        F.sum("n").alias("strings_before_filter"), F.sum("kept").alias("strings_after_filter"), F.sum(F.col("n") - F.col("good")).alias("strings_rejected_non_language"),
+        F.sum("deep").alias("deep_strings"), F.count_if(F.col("kept") > 0).alias("candidates"), F.sum("kept").alias("total_strings"),
+    )
+    return counts.join(sums, "archive_id", "left").fillna(0)
+
+
+def report_pair(reports: DataFrame, title: str, fields: list[str]) -> DataFrame:
+    """(archive_id, text, json): both halves of a report."""
+    return report_text(reports.withColumn("json", F.to_json(F.struct(*fields))), title, fields, "json")
+
+
+def report_text(reports: DataFrame, title: str, fields: list[str], *carried: str) -> DataFrame:
+    """(archive_id, text and carried columns): a title and one ``name: value`` line for each field."""
     lines = [F.concat(F.lit(f"{f}: "), F.coalesce(F.col(f).cast("string"), F.lit("unknown"))) for f in fields]
-    return reports.select("archive_id", F.concat_ws("\n", F.lit(title), *lines).alias("text"))
+    return reports.select("archive_id", F.concat_ws("\n", F.lit(title), *lines).alias("text"), *carried)

@@ -16,7 +16,7 @@ from .queries_text import _PH, KEYED, LINES, TRANSLATED
 from .sources import exchange as X
 from .sources import tables as src
 
-_SIGNS = ("uses javax/wireless/messaging/X sms://1234", "javax/microedition/m3g/G", "javax/bluetooth/L", "javax/microedition/media/P", "javax/microedition/io/file/F", "com/nokia/N", "plain code", "enter license to activate", "payment by sms://99", "nothing", "com.motorola.Q")
+_SIGNS = ("uses javax/wireless/messaging/X sms://1234", "javax/microedition/m3g/G", "javax/bluetooth/L", "javax/microedition/media/P", "javax/microedition/io/file/F", "com/nokia/N", "plain code, charset=utf-8", "enter license to activate", "payment by sms://99", "nothing", "com.motorola.Q")
 
 
 def _entries(spark, sf_dir):
@@ -317,7 +317,8 @@ def f9_font_descriptors(spark, sf_dir):
     hexed = F.hex(F.encode("ch", "UTF-32"))
     ids = chars.groupBy("lang").agg(F.array_join(F.collect_list(F.concat(F.lit("char id="), F.conv(hexed, 16, 10))), "\n").alias("text")).select(F.concat("lang", F.lit(".fnt")).alias("source"), "text")
     points = chars.groupBy("lang").agg(F.array_join(F.collect_list(F.concat(F.lit("U+"), F.substring(hexed, 5, 4))), " ").alias("text")).select(F.concat("lang", F.lit(".map")).alias("source"), "text")
-    return C.font_characters(ids.unionByName(points))
+    decimals = chars.groupBy("lang").agg(F.concat(F.lit("glyph codes "), F.array_join(F.collect_list(F.conv(hexed, 16, 10)), ", ")).alias("text")).select(F.concat("lang", F.lit(".ini")).alias("source"), "text")
+    return C.font_characters(ids.unionByName(points).unionByName(decimals))
 
 
 def x18_font_coverage(spark, sf_dir):
@@ -365,10 +366,10 @@ def _edges(spark, sf_dir):
     """Reference edges told by line items: within an order's archive, part to supplier number."""
     li = src.read(spark, sf_dir, "lineitem")
     node = lambda c: F.concat(F.lit("g/N"), (F.col(c) % 60).cast("string"))
-    return li.select((F.col("l_orderkey") % 50).alias("archive_id"), node("l_partkey").alias("src"), node("l_suppkey").alias("dst")).where("src <> dst and substr(src, -1) <> '7'").distinct()
+    return li.select(F.expr("l_orderkey div 1200").alias("archive_id"), node("l_partkey").alias("src"), node("l_suppkey").alias("dst")).where("src <> dst and substr(src, -1) <> '7'").distinct()
 
 
-EDGES = "edges AS (SELECT DISTINCT l_orderkey % 50 AS archive_id, 'g/N' || (l_partkey % 60) AS src, 'g/N' || (l_suppkey % 60) AS dst FROM lineitem WHERE l_partkey % 60 <> l_suppkey % 60 AND NOT ('g/N' || (l_partkey % 60)) LIKE '%7')"
+EDGES = "edges AS (SELECT DISTINCT l_orderkey // 1200 AS archive_id, 'g/N' || (l_partkey % 60) AS src, 'g/N' || (l_suppkey % 60) AS dst FROM lineitem WHERE l_partkey % 60 <> l_suppkey % 60 AND NOT ('g/N' || (l_partkey % 60)) LIKE '%7')"
 WALK = EDGES + ", walk AS (SELECT archive_id, 'g/N1' AS node, 0 AS hops FROM (SELECT DISTINCT archive_id FROM edges) UNION SELECT w.archive_id, e.dst, w.hops + 1 FROM walk w JOIN edges e ON e.archive_id = w.archive_id AND e.src = w.node WHERE w.hops < 12), reach AS (SELECT archive_id, node, min(hops) AS hops FROM walk GROUP BY ALL)"
 
 
@@ -494,3 +495,4 @@ ORACLE_SQL |= {
     "a13_glyph_coverage": f"WITH req AS (SELECT * FROM ({_CHARS}) WHERE ch <> ''), mapped AS (SELECT DISTINCT ch FROM req WHERE grp = 'en'), {_COVERED}",
     "x18_font_coverage": rf"WITH req AS (SELECT * FROM ({_CHARS}) WHERE regexp_full_match(ch, '\p{{L}}')), mapped AS (SELECT DISTINCT ch FROM req WHERE grp = 'en'), {_COVERED}",
 }
+ORACLE_SQL["f9_font_descriptors"] = rf"SELECT DISTINCT grp || ext AS source, ch, confidence::INT AS confidence FROM ({_CHARS}), (VALUES ('.fnt', 95), ('.map', 75), ('.ini', 75)) AS forms(ext, confidence) WHERE regexp_full_match(ch, '\p{{L}}')"

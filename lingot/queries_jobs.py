@@ -93,20 +93,13 @@ def j7_reference_edges(spark, sf_dir):
     """Edges found again in class contents that name the classes they refer to."""
     li = src.read(spark, sf_dir, "lineitem")
     node = lambda c: F.concat(F.lit("g/N"), (F.col(c) % 60).cast("string"), F.lit("_"))
-    edges = li.select((F.col("l_orderkey") % 50).alias("archive_id"), node("l_partkey").alias("src"), node("l_suppkey").alias("dst")).where("src <> dst and substr(src, -2, 1) <> '7'").distinct()
+    edges = li.select(F.expr("l_orderkey div 1200").alias("archive_id"), node("l_partkey").alias("src"), node("l_suppkey").alias("dst")).where("src <> dst and substr(src, -2, 1) <> '7'").distinct()
     named = edges.select("archive_id", F.explode(F.array("src", "dst")).alias("name")).distinct()
     contents = edges.groupBy("archive_id", F.col("src").alias("name")).agg(F.concat_ws(" ", F.collect_list("dst")).alias("content"))
     entries = named.join(contents, ["archive_id", "name"], "left").select("archive_id", F.concat("name", F.lit(".class")).alias("source"), F.coalesce("content", F.lit("")).alias("content"))
     return G.reference_edges(entries).select("archive_id", F.btrim("src", F.lit("_")).alias("src"), F.btrim("dst", F.lit("_")).alias("dst"))
 
 
-def o4_suspicious_union(spark, sf_dir):
-    li = src.read(spark, sf_dir, "lineitem")
-    given = li.where("l_linenumber = 7").select((F.col("l_orderkey") % 50).alias("archive_id"), (F.col("l_partkey") % 60).alias("node"))
-    named = li.where("l_suppkey % 60 = 9").select((F.col("l_orderkey") % 50).alias("archive_id"), (F.col("l_suppkey") % 60).alias("node"))
-    return given.union(named).distinct()
-
-
 def x1_scan(spark, sf_dir):
     return J.scan(src.read(spark, sf_dir, "documents").select("doc_id", "source", "text")).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
 
@@ -122,7 +115,6 @@ ORACLE_SQL = {
     "e19_field_text": rf"WITH {LINES}, e AS (SELECT CASE WHEN idx % 3 = 0 AND regexp_matches(value, '\p{{L}}') THEN 'utf-8' WHEN idx % 3 = 1 THEN 'mixed-utf8' ELSE 'rejected' END AS encoding FROM lines) SELECT encoding, count(*) AS n FROM e GROUP BY encoding",
     "f10_entry_points": "SELECT DISTINCT m.o_orderkey % 40 AS archive_id, 'g.C' || (m.o_custkey % 30) AS root FROM orders m JOIN orders c ON c.o_orderkey % 40 = m.o_orderkey % 40 AND 'g.C' || (m.o_custkey % 30) = 'g.C' || (c.o_custkey % 7) WHERE m.o_orderkey % 20 < 10 AND c.o_orderkey % 20 < 10",
     "j7_reference_edges": f"WITH {EDGES} SELECT archive_id, src, dst FROM edges",
-    "o4_suspicious_union": "SELECT l_orderkey % 50 AS archive_id, l_partkey % 60 AS node FROM lineitem WHERE l_linenumber = 7 UNION SELECT l_orderkey % 50, l_suppkey % 60 FROM lineitem WHERE l_suppkey % 60 = 9",
 }
 ORACLE_SQL |= {
     "s12_report_text": f"WITH {ACTED} SELECT archive_id, 'COMPATIBILITY REPORT' || chr(10) || 'compatibility_score: ' || compatibility_score || chr(10) || 'runtime_risk: ' || runtime_risk || chr(10) || 'startup_classification: ' || startup_classification || chr(10) || 'next_action: ' || {_NEXT} AS text FROM acts",

@@ -76,7 +76,10 @@ def rank_sources(spark, sf_dir):
 
 
 def s2_manifest_entries(spark, sf_dir):
-    return res.manifest_entries(src.read(spark, sf_dir, "documents"))
+    """Manifests told by lines: a key for each of four places, values continued on a second line."""
+    row = F.concat(F.lit("MIDlet-"), (F.col("idx") % 4).cast("string"), F.when(F.col("idx") % 2 == 0, " : ").otherwise(":"), F.substring("value", 1, 20), F.lit("\r\n "), F.substring("value", 21, 30))
+    rows = src.lines(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", row.alias("row")))).alias("rows"))
+    return res.manifest_entries(rows.select("doc_id", F.array_join(F.col("rows.row"), "\r\n").alias("text")))
 
 
 def s3_text_strings(spark, sf_dir):
@@ -235,12 +238,6 @@ def a1_candidate_scores(spark, sf_dir):
     return S.candidate_scores(src.lines(spark, sf_dir), ["source"]).select("source", "n", "strong", "medium", "ui", "multi", "candidate_score")
 
 
-def a2_scan_diagnostics(spark, sf_dir):
-    docs = src.read(spark, sf_dir, "documents")
-    n = F.octet_length("text")
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("entries"), F.count_if(n > 8192).alias("large"), F.count_if(n == 0).alias("empty"), F.sum(n).alias("bytes"), F.sum(F.regexp_count("text", F.lit("\n"))).alias("line_breaks"))
-
-
 def a3_filter_counts(spark, sf_dir):
     return S.filter_counts(src.lines(spark, sf_dir), "source")
 
@@ -274,7 +271,7 @@ for _c in [0xC3, 0xC2, *(c for c in range(0xA0, 0x100) if c not in (0xC2, 0xC3))
 
 ORACLE_SQL = {
     "rank_sources": SCORED + ", first AS (SELECT * FROM scored WHERE score >= 14 AND s <> '' QUALIFY row_number() OVER (PARTITION BY source, s ORDER BY doc_id, idx) = 1)" + CANDIDATES.removeprefix(SCORED).replace("FROM scored", "FROM first") + " SELECT source, n, strong, medium, candidate_score FROM candidates",
-    "s2_manifest_entries": rf"SELECT doc_id, key, arg_max(value, pos) AS value FROM (SELECT doc_id, pos, lower({_STRIP("regexp_extract(line, '^([^:]*):', 1)")}) AS key, {_STRIP("substr(line, strpos(line, ':') + 1)")} AS value FROM (SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS line FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(10) || ' ', ''), chr(10)) AS p FROM documents)) WHERE contains(line, ':')) GROUP BY doc_id, key",
+    "s2_manifest_entries": f"WITH {LINES} SELECT doc_id, 'midlet-' || (idx % 4) AS key, arg_max({_STRIP('substr(value, 1, 50)')}, idx) AS value FROM lines GROUP BY doc_id, idx % 4",
     "s3_text_strings": f"WITH {_RES} SELECT * FROM (SELECT doc_id, idx, CASE WHEN contains(line, '=') THEN {_STRIP("substr(line, strpos(line, '=') + 1)")} ELSE line END AS value FROM res) WHERE value <> ''",
     "s4_key_value_strings": f"WITH {_RES} SELECT doc_id, idx, CASE WHEN contains(line, '=') THEN coalesce(nullif({_STRIP("substr(line, strpos(line, '=') + 1)")}, ''), line) WHEN contains(line, ':') AND strpos(line, ':') - 1 < 40 THEN coalesce(nullif({_STRIP("substr(line, strpos(line, ':') + 1)")}, ''), line) ELSE line END AS value FROM res",
     "e3_utf16_runs": r"SELECT doc_id, unnest(regexp_extract_all(text, '[\x20-\x7e]{2,}')) AS value FROM documents",
@@ -305,7 +302,6 @@ ORACLE_SQL = {
     "w2_first_of_key": f"WITH {LINES} SELECT source, doc_id, idx FROM lines QUALIFY row_number() OVER (PARTITION BY source, value ORDER BY doc_id, idx) = 1",
     "w3_export_ids": f"WITH {LINES} SELECT source, doc_id, idx, printf('T%05d', row_number() OVER (PARTITION BY source ORDER BY doc_id, idx)) AS id FROM lines",
     "a1_candidate_scores": f"WITH {CANDIDATES} SELECT source, n, strong, medium, ui, multi, candidate_score FROM candidates",
-    "a2_scan_diagnostics": "SELECT source, count(*) AS entries, count_if(strlen(text) > 8192) AS large, count_if(strlen(text) = 0) AS empty, sum(strlen(text))::BIGINT AS bytes, sum(length(text) - length(replace(text, chr(10), '')))::BIGINT AS line_breaks FROM documents GROUP BY source",
     "a3_filter_counts": f"WITH {SCORED} SELECT source, count_if(score >= 14) AS accepted, count_if(score < 14) AS rejected FROM scored GROUP BY source",
     "a4_progress": f"WITH {_ROWS} SELECT source, doc_id, count(*) AS total, count_if(status <> 'untranslated') AS translated, count_if(status = 'untranslated') AS untranslated, round(count_if(status <> 'untranslated') / count(*), 6) AS ratio, round_even(count_if(status <> 'untranslated') / count(*) * 100, 0)::INT AS percent FROM rows GROUP BY ROLLUP (source, doc_id)",
     "t1_ranked_candidates": f"WITH {CANDIDATES} SELECT source, n, candidate_score FROM candidates",
