@@ -22,14 +22,18 @@ def checked(small: DataFrame, name: str) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
-def least_hashed(df: DataFrame, n: int, *by: str) -> DataFrame:
-    """The n rows of least hash of ``by`` (then in its order): a bound on the hash, from the count of rows, leaves about n before anything is sorted."""
-    at = F.xxhash64(*by)
+def about(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """About n rows at most, those of least hash of ``by``: a bound on the hash from the count of rows, nothing is sorted or moved."""
     rows = df.count()
-    if rows > 2 * n:
-        few = df.where(at < F.lit(-(2**63) + int(2**64 * (1.1 * n + 100) / rows)))
-        df = few if few.count() >= n else df  # a key that very many rows share may take the bound's whole share
-    return df.orderBy(at, *by).limit(n)
+    return df if rows <= n else df.where(F.xxhash64(*by) < F.lit(-(2**63) + int(2**64 * n / rows)))
+
+
+def least_hashed(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """The n rows of least hash of ``by`` (then in its order): a bound on the hash leaves about n before anything is sorted."""
+    few = about(df, n + n // 10 + 100, *by)
+    if few is not df and few.count() < n:  # a key that very many rows share may take the bound's whole share
+        few = df
+    return few.orderBy(F.xxhash64(*by), *by).limit(n)
 
 
 def hot_split(rows: DataFrame, keyed: DataFrame, key: str, count: str, hot: int = 1_000) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import weak_labels as wl
-from .shared import kept, least_hashed
+from .shared import about, kept, least_hashed
 
 #: General words of insult by theme, in English, German, French and Spanish.
 LEXICONS = {
@@ -150,7 +150,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     gold = kept(gold, "toxic-gold")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     chosen = F.broadcast(least_hashed(gold, sample_rows, "id"))  # at most sample_rows pairs of numbers
-    sample = kept(least_hashed(texts.join(chosen, "id"), sample_rows, "id", "text"), "toxic-sample")  # ids may repeat
+    sample = kept(about(texts.join(chosen, "id"), sample_rows, "id", "text"), "toxic-sample")  # ids may repeat
     totals = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("y"), F.lit(0.1)).alias("p")).first()
     p = min(max(float(totals["p"]), 0.001), 0.5)
     counted = sample.mapInPandas(_stem_counts, "stem string, n long, n_toxic long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("bad"))
