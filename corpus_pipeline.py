@@ -30,11 +30,15 @@ def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("predicted = 1"), "toxic-ids")
+    """Rows whose own text is toxic go, whatever their doc_id; a score depends on the text alone, so texts are told by 128 bits of hash."""
+    marks = {"_text_a": F.xxhash64("text"), "_text_b": F.xxhash64(F.lit(1), "text")}
+    scored = toxicity_scores(docs.withColumns(marks), table(spark, sf_dir, "labels"), carried=tuple(marks))
+    toxic = checked(scored.where("predicted = 1").select(*marks).distinct(), "toxic-texts")
+    return docs.withColumns(marks).join(toxic, list(marks), "left_anti").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the least doc_id stays; rows without a doc_id or without words are no copies and stay; rows that share a doc_id go or stay together."""
     return _without(docs, near_duplicates(docs).where(~F.col("kept")), "near-copies")
 
 
@@ -47,10 +51,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in training order, as often as the mix takes them; texts without words once; no rows give no rows."""
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every row; a null or empty text is the end id alone; no rows give no rows."""
     return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -136,7 +136,7 @@ def _voting_stems(features: list[str], open_rows: list[set[int]]) -> list[str]:
     return voting
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score and predicted (1: toxic) of every row of ``docs``.
 
     Learns labels only from documents whose crc32 of the doc_id as text is not divisible by five, at most
@@ -144,11 +144,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     once, for their votes and features.  A null text is scored as an empty one; a document with several labels
     counts as toxic if one of them does; null labels and null doc_ids are ignored in training; rows that repeat
     a doc_id are scored each; without any labels the fixed voters alone decide; an empty table gives no rows;
-    further columns are not read.
+    further columns are not read, but those in ``carried`` are returned beside.
     """
     gold = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("y")).where(~held_out(F.col("id")))
     gold = kept(gold, "toxic-gold")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text", *[F.col(c).alias(f"_{c}") for c in carried])
+    beside = "".join(f", `_{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     chosen = F.broadcast(least_hashed(gold, sample_rows, "id"))  # at most sample_rows pairs of numbers
     sample = kept(about(texts.join(chosen, "id"), sample_rows, "id", "text"), "toxic-sample")  # ids may repeat
     totals = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("y"), F.lit(0.1)).alias("p")).first()
@@ -167,9 +168,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [reader.read(t) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"].to_numpy(), "pattern": wl.encode(reader.votes(got)), "read": [r.astype(np.int16) for r in got]})
+            yield b.drop(columns="text").assign(pattern=wl.encode(reader.votes(got)), read=[r.astype(np.int16) for r in got])
 
-    known = kept(texts.mapInPandas(read, "id long, pattern string, read array<smallint>"), "toxic-read")
+    known = kept(texts.mapInPandas(read, f"id long{beside}, pattern string, read array<smallint>"), "toxic-read")
     voted = known.select("id", "pattern").join(gold, "id", "left")
     said = F.when(F.col("y") == 1, "+").when(F.col("y") == 0, "-").otherwise("0")
     patterns = kept(voted.groupBy(F.concat("pattern", said).alias("pattern")).agg(F.count(F.lit(1)).alias("n")), "toxic-patterns")
@@ -189,6 +190,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             s = wl.scores([np.asarray(r, dtype=np.int64) for r in b["read"]], w)
-            yield pd.DataFrame({"doc_id": b["id"], "held_out": b["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+            yield b.drop(columns=["id", "read"]).assign(doc_id=b["id"], score=s, predicted=(s >= 0.5).astype(np.int32))
 
-    return known.select("id", held_out(F.col("id")).alias("held_out"), "read").mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int")
+    told = known.drop("pattern").withColumn("held_out", held_out(F.col("id"))).mapInPandas(score, f"doc_id long, held_out boolean, score double, predicted int{beside}")
+    return told.withColumnsRenamed({f"_{c}": c for c in carried})

@@ -59,3 +59,19 @@ def test_stages(spark, tmp_path):
     assert sequences.where("n > 4096").count() == 0
     assert kept["packing"].count() >= kept["mixing"].count()
     assert corpus_pipeline.run(spark, folder).count() == kept["packing"].count()
+
+
+def test_toxic_rows_go_by_their_own_text(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    texts = _inputs(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    more = [(None, texts[10], "en", "s0", 1), (11, texts[20], "en", "s0", 1), (30, texts[31], "en", "s0", 1)]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.toxicity(spark, docs.union(spark.createDataFrame(more, docs.schema)), folder).collect()]
+    assert (None, texts[10]) not in got and (11, texts[20]) not in got and (11, texts[11]) in got and (30, texts[31]) in got and (30, texts[30]) not in got
+
+
+def test_empty_tables_run_through(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
