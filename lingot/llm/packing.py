@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 
 from .shared import kept, ranked
 from .word_ids import WordIds
+from .wordarrays import column_batches
+
+#: Bytes of text whose ids are found at once.
+BATCH_BYTES = 400_000
 
 Plan = list[tuple[dict[int, int], int]]
 
@@ -31,14 +35,12 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: in
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .wordarrays import text_batches
-
         tokens = WordIds(tokenizer_file)
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            doc_ids = batch.column("doc_id").to_pylist()
             rows: list[tuple] = []
-            for part in text_batches(texts):
-                for d, ids in zip(doc_ids[part], tokens.ids(texts[part]), strict=True):
+            for part, texts in column_batches(batch.column("text"), BATCH_BYTES):
+                for d, ids in zip(doc_ids[part], tokens.ids(texts), strict=True):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[at : at + 4 * capacity]

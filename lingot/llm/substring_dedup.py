@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import checked, hot_split, kept
-from .wordarrays import Words, mix, text_batches
+from .wordarrays import Words, column_batches, mix
 
 SPAN, GRAM = 20, 6
 
@@ -69,9 +69,9 @@ def _flat(column: pa.Array, rows: slice) -> tuple[np.ndarray, np.ndarray]:
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, doc_id): every anchor once for each document."""
     for b in batches:
-        ids, texts = b.column("doc_id").to_numpy(), b.column("text").to_pylist()
-        for part in text_batches(texts):
-            w = Words(texts[part])
+        ids = b.column("doc_id").to_numpy()
+        for part, texts in column_batches(b.column("text")):
+            w = Words(texts)
             start, place, h = anchors(w)
             owner = w.owner()[start]
             new = np.concatenate(([True], place[1:] != place[:-1])) if len(place) else np.zeros(0, dtype=bool)
@@ -83,9 +83,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(window, check, doc_id, asks): hashes of the windows whose anchor is listed; asks where an earlier document holds the anchor."""
     for b in batches:
-        ids, texts = b.column("doc_id").to_numpy(), b.column("text").to_pylist()
-        for part in text_batches(texts):
-            w = Words(texts[part])
+        ids = b.column("doc_id").to_numpy()
+        for part, texts in column_batches(b.column("text")):
+            w = Words(texts)
             start, _, h = anchors(w)
             owner = w.owner()[start]
             listed, row = _flat(b.column("_hs"), part)
@@ -138,12 +138,11 @@ def _keep(texts: list[str | None], repeated: np.ndarray, checks: np.ndarray, row
 
 def _kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = b.column("text").to_pylist()
         copy = b.column("_is_copy").to_numpy(zero_copy_only=False).astype(bool)
         carried = [c for c in b.schema.names if c not in ("_repeated", "_checks", "_is_copy")]
-        for part in text_batches(texts):
+        for part, texts in column_batches(b.column("text")):
             repeated, row = _flat(b.column("_repeated"), part)
-            n, removed, left = _keep(texts[part], repeated, _flat(b.column("_checks"), part)[0], row, copy[part])
+            n, removed, left = _keep(texts, repeated, _flat(b.column("_checks"), part)[0], row, copy[part])
             rows = b.slice(part.start, part.stop - part.start)
             yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in carried], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.string())], [*carried, "_n_words", "_n_removed", "_kept"])
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -17,7 +19,7 @@ _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 _SECOND_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text that are turned into arrays at once; a longer text stands alone.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,6 +109,19 @@ class Words:
         return (prefix[end] - prefix[begin]) * back[begin]
 
 
+def column_batches(column: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[slice, list[str | None]]]:
+    """Slices of consecutive rows of a column of texts, of about ``most`` bytes, with their texts: never the whole column as Python strings."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    begin = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > begin and size + n > most:
+            yield slice(begin, i), column.slice(begin, i - begin).to_pylist()
+            begin, size = i, 0
+        size += n
+    if begin < len(sizes):
+        yield slice(begin, len(sizes)), column.slice(begin).to_pylist()
+
+
 def text_batches(texts: list[str | None], most: int = BATCH_BYTES) -> Iterator[slice]:
     """Slices of consecutive texts of about ``most`` bytes."""
     begin = size = 0
