@@ -45,7 +45,12 @@ def utf8_runs(docs: DataFrame, content: str, id_column: str = "doc_id") -> DataF
 
 
 def utf16_runs(docs: DataFrame, content: str, big_endian: bool = False, id_column: str = "doc_id") -> DataFrame:
-    """(id, value): runs of at least two printable ASCII units of UTF-16 from even offsets."""
+    """(id, value): runs of at least two units of UTF-16 from even offsets that are printable ASCII, a tab or a letter.
+
+    A unit is a character of its own: what needs two units breaks a run.
+    """
     units = F.regexp_extract_all(F.decode(F.col(content), "ISO-8859-1"), F.lit(r"(?s).."), F.lit(0))
-    unit, place = (r"^\x00[\x20-\x7e]$", 2) if big_endian else (r"^[\x20-\x7e]\x00$", 1)
-    return _between_gaps(docs, units, lambda u: F.when(u.rlike(unit), F.substring(u, place, 1)), id_column)
+    charset = "UTF-16BE" if big_endian else "UTF-16LE"
+    lead = r"^[\xd8-\xdf]" if big_endian else r"(?s)^.[\xd8-\xdf]"
+    text = lambda u: F.when(~u.rlike(lead), F.decode(F.encode(u, "ISO-8859-1"), charset))
+    return _between_gaps(docs, units, lambda u: F.when(text(u).rlike(r"^[\x20-\x7e\t\p{L}]$"), text(u)), id_column)

@@ -97,10 +97,19 @@ def strongest_fields(docs: DataFrame, content: str = "content") -> DataFrame:
     return _fields(docs, content, pick, False)
 
 
-def format_summary(found: DataFrame) -> DataFrame:
-    """Per document: its framing, or mixed-framing, the best confidence (99 at most), and how many fields are safe."""
+def format_summary(found: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """Per document: its framing, or mixed-framing, the best confidence (99 at most), and how many fields are safe.
+
+    Of contents(doc_id, content) those without a field count as raw/unknown: 45 with a run of four printable bytes, else 10.
+    """
     got = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("framing")).alias("f"), F.least(F.lit(99), F.max("confidence")).alias("confidence"), F.count_if("safe").alias("safe"), F.count(F.lit(1)).alias("fields"))
-    return got.select("doc_id", F.when(F.size("f") == 1, F.col("f")[0]).otherwise("mixed-framing").alias("format_name"), "confidence", "safe", "fields")
+    got = got.select("doc_id", F.when(F.size("f") == 1, F.col("f")[0]).otherwise("mixed-framing").alias("format_name"), "confidence", "safe", "fields")
+    if contents is None:
+        return got
+    rest = contents.join(got.select("doc_id"), "doc_id", "left_anti")
+    runs = F.decode("content", "ISO-8859-1").rlike(r"[\x20-\x7e]{4,}")
+    zero = F.lit(0).cast("long")
+    return got.unionByName(rest.select("doc_id", F.lit("raw/unknown").alias("format_name"), F.when(runs, 45).otherwise(10).alias("confidence"), zero.alias("safe"), zero.alias("fields")))
 
 
 def supplement(primary: DataFrame, extra: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import placeholders
@@ -103,7 +103,12 @@ def store_summary(store: DataFrame) -> DataFrame:
     return store.agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("translation").alias("distinct_translations"))
 
 
-def same_slot_conflict(patches: DataFrame, slot: list[str], order: list[str]) -> Column:
-    """True for a patch of a slot whose first patch asks for another translation."""
-    first = F.first("translation").over(Window.partitionBy(*slot).orderBy(*order))
-    return first != F.col("translation")
+def same_slot_conflicts(patches: DataFrame, slot: list[str], order: list[str]) -> DataFrame:
+    """Adds conflict: true for a patch of a slot whose first patch asks for another translation.
+
+    The first patches are minima, aggregated before they are shuffled, and one row for each slot; joined back, so no slot
+    stands in one task.
+    """
+    first = patches.groupBy(*[F.col(c).alias(f"_{c}") for c in slot]).agg(F.min_by("translation", F.struct(*order)).alias("_first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in slot]
+    return patches.join(first, same).withColumn("conflict", F.col("_first") != F.col("translation")).select(*patches.columns, "conflict")

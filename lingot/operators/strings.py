@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.language import classify, settled, threshold
 from ..functions.text import any_in, label_form, normal_space, word_tokens
+from ..plans.ranks import ordered_place
 
 
 def accepted(strings: DataFrame, group: list[str], order: list[str]) -> DataFrame:
@@ -83,9 +84,9 @@ def progress(rows: DataFrame) -> DataFrame:
 
 
 def export_ids(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """id T00001, T00002, ... of the exportable rows of a group, in order."""
-    nth = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.where(exportable(F.col("kind"))).withColumn("id", F.format_string("T%05d", nth))
+    """id T00001, T00002, ... of the exportable rows of a group, in order; a group of any size is numbered by ranges."""
+    numbered = ordered_place(rows.where(exportable(F.col("kind"))), [group], order, "_place")
+    return numbered.withColumn("id", F.format_string("T%05d", "_place")).drop("_place")
 
 
 def looks_human(c: Column) -> Column:

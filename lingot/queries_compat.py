@@ -158,7 +158,7 @@ def x4_upsert(spark, sf_dir):
 
 def w7_slot_conflicts(spark, sf_dir):
     p = src.strings(spark, sf_dir).select("source", (F.col("doc_id") % 5).alias("slot"), "doc_id", "idx", F.substring("value", 1, 3).alias("translation"))
-    return p.withColumn("conflict", M.same_slot_conflict(p, ["source", "slot"], ["doc_id", "idx"])).groupBy("source", "slot").agg(F.count_if("conflict").alias("conflicts"))
+    return M.same_slot_conflicts(p, ["source", "slot"], ["doc_id", "idx"]).groupBy("source", "slot").agg(F.count_if("conflict").alias("conflicts"))
 
 
 def _patches(spark, sf_dir):
@@ -244,7 +244,8 @@ def e13_strongest_fields(spark, sf_dir):
 
 
 def e14_format_summary(spark, sf_dir):
-    return I.format_summary(I.framed_candidates(_framed(spark, sf_dir), text=False))
+    contents = _framed(spark, sf_dir)
+    return I.format_summary(I.strongest_fields(contents), contents.select("doc_id", "content"))
 
 
 def e16_outside_regions(spark, sf_dir):

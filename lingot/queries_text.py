@@ -101,8 +101,10 @@ def e2_utf8_runs(spark, sf_dir):
 
 
 def e3_utf16_runs(spark, sf_dir):
-    docs = src.read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-16LE").alias("content"))
-    return byte_runs.utf16_runs(docs, "content")
+    """Runs in texts that are written in either byte order by their number."""
+    docs = src.read(spark, sf_dir, "documents").select("doc_id", "text")
+    little, big = docs.where("doc_id % 2 = 0").select("doc_id", F.encode("text", "UTF-16LE").alias("content")), docs.where("doc_id % 2 = 1").select("doc_id", F.encode("text", "UTF-16BE").alias("content"))
+    return byte_runs.utf16_runs(little, "content").unionByName(byte_runs.utf16_runs(big, "content", big_endian=True))
 
 
 def e6_quality_score(spark, sf_dir):
@@ -274,7 +276,7 @@ ORACLE_SQL = {
     "s2_manifest_entries": f"WITH {LINES} SELECT doc_id, 'midlet-' || (idx % 4) AS key, arg_max({_STRIP('substr(value, 1, 50)')}, idx) AS value FROM lines GROUP BY doc_id, idx % 4",
     "s3_text_strings": f"WITH {_RES} SELECT * FROM (SELECT doc_id, idx, CASE WHEN contains(line, '=') THEN {_STRIP("substr(line, strpos(line, '=') + 1)")} ELSE line END AS value FROM res) WHERE value <> ''",
     "s4_key_value_strings": f"WITH {_RES} SELECT doc_id, idx, CASE WHEN contains(line, '=') THEN coalesce(nullif({_STRIP("substr(line, strpos(line, '=') + 1)")}, ''), line) WHEN contains(line, ':') AND strpos(line, ':') - 1 < 40 THEN coalesce(nullif({_STRIP("substr(line, strpos(line, ':') + 1)")}, ''), line) ELSE line END AS value FROM res",
-    "e3_utf16_runs": r"SELECT doc_id, unnest(regexp_extract_all(text, '[\x20-\x7e]{2,}')) AS value FROM documents",
+    "e3_utf16_runs": r"SELECT doc_id, unnest(regexp_extract_all(text, '[\x20-\x7e\t\p{L}]{2,}')) AS value FROM documents",
     "e6_quality_score": f"SELECT conv_id, turn, CASE WHEN length(text) > 0 THEN round({_QUALITY('text')} + 1e-9, 6) ELSE -10.0 END AS quality FROM conversations",
     "e7_mojibake_repair": f"SELECT word, CASE WHEN regexp_matches(damaged, '{K.MOJIBAKE}') AND {_QUALITY('word')} > {_QUALITY('damaged')} + 0.08 THEN word ELSE damaged END AS repaired FROM (SELECT word, {_DAMAGED} AS damaged FROM (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(text, '[ \\t\\n\\r]+')) AS word FROM documents) WHERE regexp_full_match(word, '[\\x{{0}}-\\x{{ff}}]+')))",
     "e8_script_count": rf"SELECT doc_id, {_n('text', K.CJK)} AS cjk, {_n('text', r'\p{L}')} AS letters FROM documents",
