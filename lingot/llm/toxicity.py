@@ -43,7 +43,7 @@ SAMPLE_ROWS = 20_000
 STEM_VOTERS = 12
 FEATURES = 600
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_REMEMBERED = 300_000
+_REMEMBERED = 150_000
 
 
 def stems(word: str) -> list[str]:
