@@ -12,6 +12,10 @@ KINDS = {"u16be": (2, 4096, 96, 72), "u16le": (2, 4096, 94, 72), "u8": (1, 240,
 #: Confidence of null-terminated texts when safe and when not.
 NULL = (82, 68)
 LEAST = 3
+#: A player's text has one of these or a letter of the Chinese blocks below, and at most so many characters.
+MARKS = b" .,!?;:'\"-"
+CHINESE = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
+LONGEST = 800
 
 
 @cache
@@ -19,10 +23,17 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
+def sums(x: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(x, dtype=np.int64)))
+
+
 class Bytes:
-    """Prefix sums over a content, so that any slice of it is judged as UTF-8 text in a few lookups."""
+    """Prefix sums over a content, so that any slice of it is judged as UTF-8 text in a few lookups.
+
+    ``halves``: surrogates in three bytes are characters too, as in the modified form.
+    """
 
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, halves: bool = False):
         a = self.a = np.frombuffer(content, dtype=np.uint8)
         n = self.n = len(a)
         code, begins, self.inner = a.astype(np.int32), a < 0x80, np.zeros(n + 1, dtype=bool)
@@ -37,12 +48,12 @@ class Bytes:
             (3, (first >= 0xF0) & (first <= 0xF4) & tails[0] & tails[1] & tails[2], (first & 7) << 18 | low[0] << 12 | low[1] << 6 | low[2], 0x10000, 0x10FFFF),
         )
         for more, fits, value, least, most in forms:
-            fits = fits & (value >= least) & (value <= most) & ~((value >= 0xD800) & (value <= 0xDFFF))
+            fits = fits & (value >= least) & (value <= most) & (halves | (value < 0xD800) | (value > 0xDFFF))
             at = lead[fits]
             begins[at], code[at] = True, value[fits]
             for i in range(1, more + 1):
                 self.inner[at + i] = True
-        sums = lambda x: np.concatenate(([0], np.cumsum(x, dtype=np.int64)))
+        self.code, self.begins = code, begins
         self.bad = sums(~begins & ~self.inner[:n])
         self.chars = sums(begins)
         self.letters = sums(begins & _letters()[code])
@@ -91,3 +102,35 @@ def strongest(found: dict[str, np.ndarray], size: int) -> np.ndarray:
             taken[s:e] = b"\x01" * (e - s)
             won.append(i)
     return order[won]
+
+
+def player_texts(content: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the frames (16-bit big-endian length and modified UTF-8) of texts that a player may read, the earliest first and none inside another."""
+    view = Bytes(content, halves=True)
+    n = view.n
+    if n < 3:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    b = view.a.astype(np.int64)
+    long = b[:-1] * 256 + b[1:]
+    at = np.flatnonzero((long >= 1) & (np.arange(n - 1) + 2 + long <= n))
+    s, e = at + 2, at + 2 + long[at]
+    code = np.where(view.begins, view.code, 0)
+    # a high and a low half, three bytes each, are one character if both are in the slice
+    high = (code[:-3] >= 0xD800) & (code[:-3] <= 0xDBFF) & (code[3:] >= 0xDC00) & (code[3:] <= 0xDFFF)
+    joined = np.where(high, 0x10000 + ((code[:-3] & 0x3FF) << 10) + (code[3:] & 0x3FF), 0)
+    pairs, pair_letters = sums(high), sums(high & _letters()[joined])
+    last = np.clip(np.maximum(e - 5, s), 0, n - 3)
+    first = np.minimum(s, last)
+    within = lambda c: c[e] - c[s]
+    letters = within(view.letters) + pair_letters[last] - pair_letters[first]
+    chars = within(view.chars) - (pairs[last] - pairs[first])
+    chinese = within(sums(np.logical_or.reduce([(code >= a) & (code <= z) for a, z in CHINESE])))
+    marks = within(sums(np.isin(view.a, np.frombuffer(MARKS, dtype=np.uint8))))
+    whole = (within(view.bad) == 0) & ~view.inner[s] & ~view.inner[e] & (within(view.controls) == 0) & (chars <= LONGEST)
+    ok = whole & ((chinese > 0) | ((letters >= 2) & (marks > 0)))
+    at, e = at[ok], e[ok]
+    won, i = [], 0
+    while i < len(at):
+        won.append(i)
+        i = int(np.searchsorted(at, e[i]))
+    return at[won], e[won]

@@ -15,16 +15,22 @@ from ..plans.scratch import kept, scratch_dir
 def reference_edges(entries: DataFrame) -> DataFrame:
     """(archive_id, src, dst): a class refers to another of its archive whose slashed name its content holds.
 
-    Names are taken out of the content as tokens and joined, prefixes of a token's last part included.
+    Names are taken out of the content as tokens.  A name is a substring of a token that starts at one of its parts: its folders
+    are parts of the token in full, its last part begins the next one.  So folders are joined first, and only for folders of the
+    archive is the next part cut to the lengths that names there have.
     """
     classes = entries.select("archive_id", F.regexp_replace("source", r"\.class$", "").alias("name"), "content").where(F.col("source").endswith(".class"))
-    names = classes.select("archive_id", F.col("name").alias("dst"))
+    names = classes.select("archive_id", F.col("name").alias("dst")).where(F.col("dst").contains("/")).distinct()
+    last = F.element_at(F.split("dst", "/"), -1)
+    folders = names.groupBy("archive_id", F.regexp_extract("dst", r"(?s)^(.*)/", 1).alias("folder")).agg(F.collect_set(F.char_length(last)).alias("lengths"))
     tokens = classes.select("archive_id", F.col("name").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[\w$]+(?:/[\w$]+)+"), F.lit(0)))).alias("token"))
-    # a name is a substring of a token: it starts at a part of the token and may end within one
     parts = F.split("token", "/")
-    starts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-    ends = F.explode(F.array_distinct(F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(1), F.char_length(s)), lambda n: F.substr(s, F.lit(1), n))))))
-    return tokens.select("archive_id", "src", ends.alias("dst")).where(F.col("dst").contains("/")).join(names, ["archive_id", "dst"]).where("src <> dst").select("archive_id", "src", "dst").distinct()
+    ends = F.sequence(F.lit(2), F.size(parts))
+    spans = F.flatten(F.transform(ends, lambda j: F.transform(F.sequence(F.lit(1), j - 1), lambda i: F.struct(F.array_join(F.slice(parts, i, j - i), "/").alias("folder"), F.get(parts, j - 1).alias("next")))))
+    inside = tokens.select("archive_id", "src", F.inline(F.array_distinct(spans))).distinct().join(folders, ["archive_id", "folder"])
+    cut = inside.select("archive_id", "src", "folder", "next", F.explode("lengths").alias("n")).where(F.col("n") <= F.char_length("next"))
+    found = cut.select("archive_id", "src", F.concat_ws("/", "folder", F.substr("next", F.lit(1), F.col("n"))).alias("dst")).where("src <> dst").distinct()
+    return found.join(names, ["archive_id", "dst"]).select("archive_id", "src", "dst")
 
 
 def shortest_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:

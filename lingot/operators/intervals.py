@@ -97,6 +97,31 @@ def strongest_fields(docs: DataFrame, content: str = "content") -> DataFrame:
     return _fields(docs, content, pick, False)
 
 
+def _joined(data: bytes) -> str:
+    """Modified UTF-8 without zero characters, its surrogate pairs as one character each."""
+    halves = data.decode("utf-8", "surrogatepass").encode("utf-16-le", "surrogatepass")
+    return halves.decode("utf-16-le", "surrogatepass").encode("utf-8", "replace").decode()
+
+
+def player_texts(docs: DataFrame, content: str = "content") -> DataFrame:
+    """(doc_id, start, length, text): texts for players at any offset of each content, as modified UTF-8 behind its 16-bit big-endian length.
+
+    start is that of the text.  Of frames that overlap the one that starts first stays, then the next that starts behind it.  A null
+    or short content gives no rows; a half of a surrogate pair without the other is returned as a question mark.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for doc_id, data in zip(b["doc_id"], b["content"], strict=True):
+                at, end = fields.player_texts(data)
+                for i in range(0, len(at), ROWS):
+                    spans = list(zip((at[i : i + ROWS] + 2).tolist(), end[i : i + ROWS].tolist(), strict=True))
+                    texts = [_joined(data[s:e]) if b"\xed" in data[s:e] else data[s:e].decode() for s, e in spans]
+                    yield pd.DataFrame({"doc_id": doc_id, "start": [s for s, _ in spans], "length": [e - s for s, e in spans], "text": texts})
+
+    return docs.where(F.octet_length(content) >= 3).select("doc_id", F.col(content).alias("content")).mapInPandas(read, "doc_id long, start int, length int, text string")
+
+
 def format_summary(found: DataFrame, contents: DataFrame | None = None) -> DataFrame:
     """Per document: its framing, or mixed-framing, the best confidence (99 at most), and how many fields are safe.
 

@@ -211,6 +211,12 @@ def e15_framed_chain(spark, sf_dir):
     return R.read_chain(_framed(spark, sf_dir)).select("doc_id", "nth", "length", F.sha2("text", 256).alias("sha256"))
 
 
+def e15_player_texts(spark, sf_dir):
+    """Texts found at every offset, behind three bytes that put a reader of lengths out of step."""
+    shifted = _framed(spark, sf_dir).withColumn("content", F.concat(F.unhex(F.lit("89504E")), "content"))
+    return I.player_texts(shifted).select("doc_id", "start", "length", F.sha2("text", 256).alias("sha256"))
+
+
 def _plan(spark, sf_dir):
     fields = R.read_chain(_framed(spark, sf_dir))
     return R.shifted_plan(fields.withColumn("translation", F.when(F.col("nth") % 3 == 0, F.concat(F.lit("vi "), F.col("text"))).when((F.col("doc_id") % 50 == 7) & (F.col("nth") == 1), F.repeat(F.col("text"), 70000))))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import random
+import re
 
 from lingot import queries
-from lingot.operators import intervals, rewrite
+from lingot.operators import graph, intervals, rewrite
 
 
 def _slow(b):
@@ -77,3 +78,55 @@ def test_no_document_is_left_out_for_its_size(spark, tmp_path):
     assert {(r.doc_id, r.asked, r.found) for r in run("j12_patch_fields")} == {(1, 113, 113), (2, 1, 1)}
     chain = rewrite.read_chain(rewrite.framed(spark.createDataFrame([(1, 0, "a" * 65535), (1, 1, "b")], "doc_id long, idx int, value string")))
     assert sorted((r.start, r.length) for r in chain.collect()) == [(0, 65535), (65537, 1)]
+
+
+def _slow_texts(b):
+    """Texts for players, every offset decoded by Python, the earliest frame first."""
+    out, free = [], 0
+    for at in range(len(b) - 2):
+        n = int.from_bytes(b[at : at + 2], "big")
+        raw = b[at + 2 : at + 2 + n]
+        if at < free or not n or len(raw) < n:
+            continue
+        try:
+            halves = raw.decode("utf-8", "surrogatepass")
+        except UnicodeDecodeError:
+            continue
+        text = halves.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "surrogatepass")
+        if len(text) > 800 or any(ord(c) < 32 and c not in "\t\r\n" for c in text):
+            continue
+        chinese = any("\u3400" <= c <= "\u4dbf" or "\u4e00" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff" for c in text)
+        if chinese or (sum(c.isalpha() for c in text) >= 2 and any(c in " .,!?;:'\"-" for c in text)):
+            out.append((at + 2, n, text.encode("utf-8", "replace").decode()))
+            free = at + 2 + n
+    return out
+
+
+def test_player_texts_are_those_found_one_by_one(spark):
+    rng = random.Random(11)
+    pieces = [x.encode("utf-8", "surrogatepass") for x in ("hi you", "x", "ab", "中", "\ud800\udc00\ud800\udc01-", "\ud800\udc00 ", "\ud800 ab", "\udc00.ab", "a-\ufffdb", "é è", "a\x07b c", "\tab!", "w " * 400, "w " * 401, "\U00010000.b")]
+    pieces += [b"\xc0\x80ab c", b"\xed\xa0", b"", b"\xff", b"\x00\x02"]
+    contents = [b"", b"\x00", b"\x00\x01", b"\x00\x01a", b"\x00\x03\xe4\xb8\xad", b"\x00\x06hi you", None]
+    for _ in range(400):
+        c = b""
+        for _ in range(rng.randrange(1, 9)):
+            p = rng.choice(pieces)
+            c += rng.choice([b"", b"\x00", b"\x89PN"]) + max(0, len(p) + rng.choice([0, 0, 0, 1, -1, 3])).to_bytes(2, "big") + p
+        contents.append(c)
+    docs = spark.createDataFrame([(i, bytearray(c) if c is not None else None, "z") for i, c in enumerate(contents)], "doc_id long, content binary, text string")
+    got = sorted(map(tuple, intervals.player_texts(docs).collect()))
+    assert got == sorted((i, *x) for i, c in enumerate(contents) if c for x in _slow_texts(c))
+    assert len(got) > 300
+    assert intervals.player_texts(docs.limit(0)).count() == 0
+
+
+def test_references_of_classes_are_names_in_tokens(spark):
+    rows = [(1, "a/B.class", "x a/C; a/b/Cde(Z)a/b/C/D"), (1, "a/C.class", "a/Bee a/C"), (1, "a/b/C.class", ""), (1, "b/C.class", "q/a/b/Cx"), (1, "Top.class", "Top a/"), (2, "a/B.class", "a/C a/B"), (2, "a/n.txt", "a/B"), (3, None, None)]
+    entries = spark.createDataFrame(rows, "archive_id int, source string, content string")
+    names = [(a, s[:-6], c or "") for a, s, c in rows if s and s.endswith(".class")]
+    want = set()
+    for archive, src, content in names:
+        for token in re.findall(r"[\w$]+(?:/[\w$]+)+", content):
+            want |= {(archive, src, d) for x, d, _ in names if x == archive and d != src and "/" in d and ("/" + token).find("/" + d) >= 0}
+    assert {tuple(r) for r in graph.reference_edges(entries).collect()} == want
+    assert (1, "a/B", "b/C") in want and (1, "b/C", "a/b/C") in want
