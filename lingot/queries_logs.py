@@ -106,8 +106,8 @@ def w12_first_rule(spark, sf_dir):
 
 
 def j9_patched_lines(spark, sf_dir):
-    """Log issues that name a patched source: the resources of the most common event types."""
-    sources = src.read(spark, sf_dir, "events").where("event_id % 2 = 0").select(F.concat(F.lit("assets/res/"), F.col("event_type"), F.lit(".png")).alias("path")).distinct()
+    """Log issues that name a patched source: the resources of all event types."""
+    sources = src.read(spark, sf_dir, "events").select(F.concat(F.lit("assets/res/"), F.col("event_type"), F.lit(".png")).alias("path")).distinct()
     return L.patched_sources(_issues(spark, sf_dir), sources).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("log_id").alias("logs"))
 
 
@@ -152,7 +152,7 @@ ORACLE_SQL = {
     "w10_distinct_findings": f"WITH {LOG}, {FINDINGS} SELECT log_id, line_no, error_type, symbol, api_hint, severity FROM found",
     "w11_history": "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS place, event_id FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY ts DESC, event_id DESC) = 1) QUALIFY place <= 10",
     "w12_first_rule": f"WITH {ISSUES} SELECT log_id, line_no, token, severity, category, class_name, resource FROM issues",
-    "j9_patched_lines": f"WITH {ISSUES}, s AS (SELECT DISTINCT 'assets/res/' || event_type || '.png' AS path, event_type || '.png' AS name FROM events WHERE event_id % 2 = 0) SELECT path, count(*) AS lines, count(DISTINCT log_id) AS logs FROM issues JOIN s ON contains(lower(line), lower(name)) GROUP BY path",
+    "j9_patched_lines": f"WITH {ISSUES}, s AS (SELECT DISTINCT 'assets/res/' || event_type || '.png' AS path, event_type || '.png' AS name FROM events) SELECT path, count(*) AS lines, count(DISTINCT log_id) AS logs FROM issues JOIN s ON contains(lower(line), lower(name)) GROUP BY path",
     "j10_startup_overlap": f"WITH {SCORED_EVENTS} SELECT log_id, event, array_to_string(startup_overlap, '|') AS startup_overlap, score FROM scored WHERE len(startup_overlap) > 0",
     "a14_log_frequencies": f"WITH {ISSUES} SELECT kind, name, count(*) AS n FROM (SELECT 'token' AS kind, token AS name FROM issues UNION ALL SELECT 'class_name', class_name FROM issues UNION ALL SELECT 'resource', resource FROM issues) WHERE name <> '' GROUP BY kind, name",
     "a15_log_status": f"WITH {ISSUES} SELECT log_id, count_if(severity = 'HIGH') AS high, count_if(severity = 'MEDIUM') AS medium, CASE WHEN count_if(severity = 'HIGH') > 0 THEN 'FAIL' ELSE 'WARNING' END AS status FROM issues GROUP BY log_id",

@@ -77,7 +77,7 @@ def rank_sources(spark, sf_dir):
 
 def s2_manifest_entries(spark, sf_dir):
     """Manifests told by lines: a key for each of four places, values continued on a second line."""
-    row = F.concat(F.lit("MIDlet-"), (F.col("idx") % 4).cast("string"), F.when(F.col("idx") % 2 == 0, " : ").otherwise(":"), F.substring("value", 1, 20), F.lit("\r\n "), F.substring("value", 21, 30))
+    row = F.concat(F.lit("MIDlet-"), (F.col("idx") % 4).cast("string"), F.when(F.col("idx") % 2 == 0, " : ").otherwise(":"), F.substring("value", 1, 20), F.lit("\r\n "), F.substr("value", F.lit(21)))
     rows = src.lines(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", row.alias("row")))).alias("rows"))
     return res.manifest_entries(rows.select("doc_id", F.array_join(F.col("rows.row"), "\r\n").alias("text")))
 
@@ -273,7 +273,7 @@ for _c in [0xC3, 0xC2, *(c for c in range(0xA0, 0x100) if c not in (0xC2, 0xC3))
 
 ORACLE_SQL = {
     "rank_sources": SCORED + ", first AS (SELECT * FROM scored WHERE score >= 14 AND s <> '' QUALIFY row_number() OVER (PARTITION BY source, s ORDER BY doc_id, idx) = 1)" + CANDIDATES.removeprefix(SCORED).replace("FROM scored", "FROM first") + " SELECT source, n, strong, medium, candidate_score FROM candidates",
-    "s2_manifest_entries": f"WITH {LINES} SELECT doc_id, 'midlet-' || (idx % 4) AS key, arg_max({_STRIP('substr(value, 1, 50)')}, idx) AS value FROM lines GROUP BY doc_id, idx % 4",
+    "s2_manifest_entries": f"WITH {LINES} SELECT doc_id, 'midlet-' || (idx % 4) AS key, arg_max({_STRIP('value')}, idx) AS value FROM lines GROUP BY doc_id, idx % 4",
     "s3_text_strings": f"WITH {_RES} SELECT * FROM (SELECT doc_id, idx, CASE WHEN contains(line, '=') THEN {_STRIP("substr(line, strpos(line, '=') + 1)")} ELSE line END AS value FROM res) WHERE value <> ''",
     "s4_key_value_strings": f"WITH {_RES} SELECT doc_id, idx, CASE WHEN contains(line, '=') THEN coalesce(nullif({_STRIP("substr(line, strpos(line, '=') + 1)")}, ''), line) WHEN contains(line, ':') AND strpos(line, ':') - 1 < 40 THEN coalesce(nullif({_STRIP("substr(line, strpos(line, ':') + 1)")}, ''), line) ELSE line END AS value FROM res",
     "e3_utf16_runs": r"SELECT doc_id, unnest(regexp_extract_all(text, '[\x20-\x7e\t\p{L}]{2,}')) AS value FROM documents",
