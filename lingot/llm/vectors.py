@@ -16,6 +16,12 @@ def usable(embedding: str = "embedding") -> Column:
     return F.coalesce(finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
+def complete(most: float, embedding: str = "embedding") -> Column:
+    """True for a vector that is not null or empty and whose entries are all numbers of a size below ``most``; it may be zero."""
+    numbers = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(most)))
+    return F.coalesce(numbers & (F.size(embedding) > 0), F.lit(False))
+
+
 def numbers(vectors: DataFrame, embedding: str = "embedding") -> Column:
     """The vectors as they are stored: float stays float, which is half to shuffle; anything else is double."""
     return F.col(embedding).cast("array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>").alias(embedding)
