@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from .ann import search
 from .bag_minhash import near_duplicates
+from .filter_audit import filter_audit
 from .kd_sharding import kd_shards
 from .mixing import mix
 from .packing import pack
 from .quality import quality
+from .secret_scan import secrets
 from .shared import table
 from .substring_dedup import without_repeats
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .vector_dedup import near_vectors
+from .whitening import whiten
 
 
 def tokenizer_path(name: str) -> str:
@@ -68,9 +71,22 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document stands for a repository, its source for the owner."""
+    return secrets(table(spark, sf_dir, "documents"), owner=F.col("source"), repository=F.col("doc_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_adaptive_scan, op2_curriculum_mix, op3_metric_range_join, op4_weak_toxicity, op5_seed_and_extend, op6_kd_shards, op7_bag_minhash, op8_weak_quality, op9_token_counts, op10_pattern_packing)
+    for f in (op1_adaptive_scan, op2_curriculum_mix, op3_metric_range_join, op4_weak_toxicity, op5_seed_and_extend, op6_kd_shards, op7_bag_minhash, op8_weak_quality, op9_token_counts, op10_pattern_packing, op11_qdwh_whitening, op12_filter_audit, op13_secret_owners)
 }
 
 _WORDS = r"words AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word, len(w) AS n FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents))"
@@ -95,4 +111,20 @@ ORACLE_SQL: dict[str, str] = {
         pairs AS (SELECT a, b FROM overlaps2 JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE common >= 0.8 * (p.n + q.n - common)),
         nodes AS (SELECT DISTINCT a AS node FROM pairs), {_REACH}
         SELECT doc_id, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept FROM documents LEFT JOIN components ON node = doc_id""",
+    "op12_filter_audit": """WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM t),
+        said AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+            (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+            || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+            || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails FROM w LEFT JOIN said USING (doc_id)),
+        sums AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+        orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+        steps AS (SELECT filter_order, k::INT AS step, substr(filter_order, k, 1) AS own, substr(filter_order, 1, k - 1) AS before FROM orders, (SELECT unnest(range(1, 6)) AS k)),
+        told AS (SELECT part, filter_order, step, own, fails, n, good, toxic, contains(fails, own) AS has, translate(fails, before, '') <> fails AS gone FROM steps, sums),
+        rows AS (SELECT part, filter_order, step, own, sum(CASE WHEN NOT has AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN has AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+            sum(CASE WHEN has AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fails = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+            sum(CASE WHEN has AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN has AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM told GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM rows""",
 }

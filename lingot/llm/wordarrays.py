@@ -133,3 +133,40 @@ def text_batches(texts: list[str | None], most: int = BATCH_BYTES) -> Iterator[s
         size += n
     if begin < len(texts):
         yield slice(begin, len(texts))
+
+
+def byte_slices(column: pa.Array, most: int = BATCH_BYTES) -> Iterator[slice]:
+    """Slices of consecutive rows of a binary column, of about ``most`` bytes; a longer value stands alone."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    begin = 0
+    while begin < len(sizes):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + most, side="right")) - 1)
+        yield slice(begin, end)
+        begin = end
+
+
+def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls, and where in them each value begins (one place more: the end)."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    buf = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    return buf, ends - ends[0]
+
+
+def words_of(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of each word of a binary column without nulls, and the words themselves, in order."""
+    buf, begins = joined_bytes(column)
+    if not len(buf):
+        return np.zeros(0, dtype=np.int64), pa.array([], pa.binary())
+    inside = ~_IS_SPACE[buf]
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    new = begins[:-1][np.diff(begins) > 0]
+    opens[new] = inside[new]
+    starts = np.flatnonzero(opens)
+    squeezed = np.cumsum(inside, dtype=np.int64)
+    offsets = np.append(squeezed[starts] - 1, squeezed[-1]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf[inside])])
+    return np.searchsorted(begins, starts, side="right") - 1, words
