@@ -1,9 +1,9 @@
 """Audit of how text filters interact, over a sparse document-term matrix.
 
 Texts are cut into shards of some megabytes.  A task turns a shard into rows of compressed sparse form
-over the shard's own words; the distinct words of all shards are the corpus dictionary, which gives
-each one a number, and the shards are written again with these.  Sums of a row and the number of its
-entries are a document's words and distinct words.
+over the shard's own words; the distinct words of all shards are dealt out by word and numbered, which is
+the corpus dictionary, and every shard gets the numbers of its words in the place of its own.  Sums of a row
+and the number of its entries are a document's words and distinct words.
 
 Shuffled are the distinct words of every shard, a short row for each document, and sums of documents by
 part and set of failed filters: 32 for each part at most, from which all orders of the filters follow.
@@ -11,28 +11,32 @@ part and set of failed filters: 32 for each part at most, from which all orders
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import permutations
 from math import factorial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checked, hot_split, kept, ranked
-from .wordarrays import byte_slices, words_of
+from .shared import checked, kept
+from .wordarrays import byte_slices, joined_bytes, words_of
 
 #: Bytes of text of a shard; a longer text is a shard of its own.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 16_000_000
 FILTERS = "ABCDE"
 LEAST_WORDS = 200
-MARKS = "[#$%&*|]"
+MARKS = b"#$%&*|"
 
 
-def _local(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
+Measure = Callable[[np.ndarray, np.ndarray], dict[str, pa.Array]]
+
+
+def _local(batches: Iterator[pa.RecordBatch], shard_bytes: int, measure: Measure) -> Iterator[pa.RecordBatch]:
     """A shard a row: what was carried of its documents, and counts of words in compressed sparse form over the words listed."""
     base, n = TaskContext.get().partitionId() << 32, 0
     for b in batches:
@@ -45,39 +49,61 @@ def _local(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.R
             entry, count = np.unique(owner * size + told.indices.to_numpy(), return_counts=True)
             ends = np.searchsorted(entry, np.arange(rows.num_rows + 1) * size)
             lists = [pa.array([x], pa.list_(kind)) for x, kind in ((ends, pa.int32()), (entry % size, pa.int32()), (count, pa.int32()))]
-            held = [pa.ListArray.from_arrays([0, rows.num_rows], rows.column(c)) for c in carried]
-            yield pa.RecordBatch.from_arrays([pa.array([base + n]), *held, *lists, pa.ListArray.from_arrays([0, len(told.dictionary)], told.dictionary)], ["shard", *carried, "indptr", "indices", "data", "words"])
+            held = {c: rows.column(c) for c in carried} | measure(*joined_bytes(rows.column("_text")))
+            columns = [pa.ListArray.from_arrays([0, len(c)], c) for c in (*held.values(), told.dictionary)]
+            yield pa.RecordBatch.from_arrays([pa.array([base + n]), *columns[:-1], *lists, columns[-1]], ["shard", *held, "indptr", "indices", "data", "words"])
             n += 1
 
 
-def _global(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shards with the dictionary's numbers in the place of their own."""
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of word with the partition and the word's number in it; the word itself with its first row only."""
+    last, n, here = None, -1, TaskContext.get().partitionId()
     for b in batches:
-        at = b.schema.get_field_index("indices")
-        terms = b.column("_terms")
-        new = [pa.array(terms[i].values.to_numpy()[b.column("indices")[i].values.to_numpy()], pa.int64()) if terms[i].is_valid else pa.array([], pa.int64()) for i in range(b.num_rows)]
-        lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in new]))).astype(np.int32), pa.concat_arrays(new) if new else pa.array([], pa.int64()))
-        columns = [lists if i == at else c for i, c in enumerate(b.columns) if b.schema.names[i] != "_terms"]
-        yield pa.RecordBatch.from_arrays(columns, [c for c in b.schema.names if c != "_terms"])
-
+        word = b.column("word")
+        if not len(word):
+            continue
+        new = np.ones(len(word), dtype=bool)
+        new[0] = word[0].as_py() != last
+        new[1:] = pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)
+        number = n + np.cumsum(new)
+        last, n = word[-1].as_py(), int(number[-1])
+        yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("_at"), pa.array(np.full(len(word), here, dtype=np.int32)), pa.array(number), pc.if_else(pa.array(new), word, pa.scalar(None, word.type))], ["shard", "_at", "_part", "_number", "word"])
 
-def term_matrix(docs: DataFrame, text: str, carried: list[str], shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """The document-term matrix of ``docs`` and its dictionary, both written.
 
-    The matrix has a row for each shard: shard, lists of the ``carried`` columns of its documents, and indptr, indices,
-    data; entries of document i stand at indptr[i]:indptr[i + 1].  The dictionary is (word as binary, shards
-    that hold it, term from 0 without gaps).  A null text is empty; every row of ``docs`` is a document; no rows give no shards.
+def _global(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shards with the dictionary's numbers in the place of their own."""
+    for b in batches:
+        for i in range(b.num_rows):
+            row = b.slice(i, 1)
+            told, own = row.column("_terms")[0], row.column("indices")[0].values.to_numpy()
+            terms = np.zeros(len(told) if told.is_valid else 0, dtype=np.int64)
+            if told.is_valid:
+                terms[told.values.field("_at").to_numpy()] = told.values.field("term").to_numpy()
+            columns = {c: row.column(c) for c in b.schema.names if c != "_terms"} | {"indices": pa.array([terms[own]], pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def term_matrix(docs: DataFrame, text: str, carried: list[str], shard_bytes: int = SHARD_BYTES, measure: Measure = lambda buf, begins: {}, measured: str = "") -> tuple[DataFrame, DataFrame]:
+    """The document-term matrix of ``docs`` and its dictionary (word as binary, term from 0 without gaps).
+
+    The matrix has a row for each shard: shard, lists of the ``carried`` columns of its documents, of what ``measure``
+    finds in the bytes of their texts (``measured`` tells the types, as array columns), and indptr, indices, data; entries of document i stand at
+    indptr[i]:indptr[i + 1].  A null text is empty; every row of ``docs`` is a document; no rows give no shards.
     """
+    spark = docs.sparkSession
     raw = docs.select(*carried, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
-    lists = ", ".join(f"{c} array<{docs.schema[c].dataType.simpleString()}>" for c in carried)
-    parts = kept(raw.mapInArrow(lambda batches: _local(batches, shard_bytes), f"shard long, {lists}, indptr array<int>, indices array<int>, data array<int>, words array<binary>"), "local-terms")
-    seen = parts.select("shard", F.posexplode("words").alias("_at", "word"))
-    counts = kept(seen.groupBy("word").agg(F.count(F.lit(1)).alias("shards")), "words").withColumn("_all", F.lit(0))
-    dictionary = kept(ranked(counts, "_all", [F.col("word")], [F.col("word")], "term").select("word", "shards", "term"), "dictionary")
-    told = hot_split(seen, dictionary, "word", "shards").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("_at", "term"))).alias("_t"))
-    joined = parts.drop("words").join(told.select("shard", F.col("_t.term").alias("_terms")), "shard", "left")
-    matrix = kept(joined.mapInArrow(_global, f"shard long, {lists}, indptr array<int>, indices array<long>, data array<int>"), "term-matrix")
-    return matrix, dictionary
+    lists = ", ".join([*(f"{c} array<{docs.schema[c].dataType.simpleString()}>" for c in carried), *([measured] if measured else [])])
+    parts = kept(raw.mapInArrow(lambda batches: _local(batches, shard_bytes, measure), f"shard long, {lists}, indptr array<int>, indices array<int>, data array<int>, words array<binary>"), "local-terms")
+    # a word is dealt once for each shard that holds it, so none is more frequent than the share of one shard's words
+    dealt = parts.select("shard", F.posexplode("words").alias("_at", "word")).repartition("word").sortWithinPartitions("word")
+    told = kept(dealt.mapInArrow(_numbered, "shard long, _at int, _part int, _number long, word binary"), "dictionary")
+    sizes = sorted((r["_part"], r["n"]) for r in told.groupBy("_part").agg((F.max("_number") + 1).alias("n")).collect())  # one row for each partition
+    offsets = np.concatenate(([0], np.cumsum([n for _, n in sizes]))).tolist()
+    starts = spark.createDataFrame([(p, o) for (p, _), o in zip(sizes, offsets, strict=False)], "_part int, _offset long")
+    terms = told.join(F.broadcast(starts), "_part").withColumn("term", F.col("_number") + F.col("_offset"))
+    mapped = terms.groupBy("shard").agg(F.collect_list(F.struct("_at", "term")).alias("_terms"))
+    matrix = parts.drop("words").join(mapped, "shard", "left").mapInArrow(_global, f"shard long, {lists}, indptr array<int>, indices array<long>, data array<int>")
+    return matrix, terms.where(F.col("word").isNotNull()).select("word", "term")
 
 
 def row_counts(matrix: DataFrame, carried: list[str]) -> DataFrame:
@@ -88,21 +114,31 @@ def row_counts(matrix: DataFrame, carried: list[str]) -> DataFrame:
             for i in range(b.num_rows):
                 ends = b.column("indptr")[i].values.to_numpy()
                 sums = np.concatenate(([0], np.cumsum(b.column("data")[i].values.to_numpy(), dtype=np.int64)))[ends]
+                assert ends[-1] == len(b.column("indices")[i])
                 yield pa.RecordBatch.from_arrays([*(b.column(c)[i].values for c in carried), pa.array(np.diff(sums)), pa.array(np.diff(ends).astype(np.int64))], [*carried, "n_words", "n_distinct"])
 
     kinds = ", ".join(f"{c} {matrix.schema[c].dataType.elementType.simpleString()}" for c in carried)
-    return matrix.select(*carried, "indptr", "data").mapInArrow(count, f"{kinds}, n_words long, n_distinct long")
+    return matrix.select(*carried, "indptr", "indices", "data").mapInArrow(count, f"{kinds}, n_words long, n_distinct long")
+
+
+def _marked(buf: np.ndarray, begins: np.ndarray) -> dict[str, pa.Array]:
+    """Bits of the filters C and D that the texts at ``begins`` fail."""
+    def count(which: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate(([0], np.cumsum(which)))[begins])
+
+    is_mark = np.zeros(256, dtype=bool)
+    is_mark[list(MARKS)] = True
+    capitals, points = count((buf >= 65) & (buf <= 90)), count((buf & 0xC0) != 0x80)
+    return {"marked": pa.array(np.where(100 * capitals > 2 * points, 4, 0) + np.where(count(is_mark[buf]) > 0, 8, 0), pa.int32())}
 
 
 def failures(docs: DataFrame, part: str) -> DataFrame:
     """doc_id, part and fails of every row of ``docs``: a bit for each of the filters A to E that its text fails."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    capitals = F.char_length(text) - F.char_length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    marked = F.when(100 * capitals > 2 * F.char_length(text), 4).otherwise(0) + F.when(text.rlike(MARKS), 8).otherwise(0)
-    columns = {"doc_id": F.col("doc_id").cast("long"), "part": F.coalesce(F.col(part).cast("string"), F.lit("")), "marked": marked, "digest": F.unhex(F.sha2(text, 256)), "text": F.col("text")}
-    carried = ["doc_id", "part", "marked", "digest"]
-    matrix, _ = term_matrix(docs.select(*[v.alias(k) for k, v in columns.items()]), "text", carried)
-    rows = kept(row_counts(matrix, carried), "document-counts")
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    columns = {"doc_id": F.col("doc_id").cast("long"), "part": F.coalesce(F.col(part).cast("string"), F.lit("")), "digest": digest, "text": F.col("text")}
+    carried = ["doc_id", "part", "digest"]
+    matrix, _ = term_matrix(docs.select(*[v.alias(k) for k, v in columns.items()]), "text", carried, measure=_marked, measured="marked array<int>")
+    rows = kept(row_counts(matrix, [*carried, "marked"]), "document-counts")
     copies = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     rows = rows.join(copies, "digest", "left")
     short = F.when(F.col("n_words") < LEAST_WORDS, 1).otherwise(0) + F.when(100 * F.col("n_distinct") < 50 * F.col("n_words"), 2).otherwise(0)
