@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import placeholders
+from .claims import turned_away
 
 #: Outcomes of a row of an exchange file, in the order in which they are tried.
 OUTCOMES = ("schema", "duplicate", "unknown", "original_mismatch", "hash", "empty", "skipped_existing", "placeholder", "imported")
@@ -51,32 +54,44 @@ def file_gates(files: DataFrame, archives: DataFrame) -> DataFrame:
     return rows.withColumn("gate", gate).drop("_name", "_sha")
 
 
+#: Fields that every item of a version 2 file must have.
+REQUIRED = ("id", "key", "source", "kind", "idx", "original", "original_sha256", "placeholders", "translation")
+
+
+def _held(existing: DataFrame) -> DataFrame:
+    """(key, _held) of the strings that have a translation already."""
+    return existing.select("key", F.trim("translation").alias("_held")).where("_held <> ''")
+
+
 def validate_rows(rows: DataFrame, strings: DataFrame, existing: DataFrame, overwrite: bool = False) -> DataFrame:
     """Adds outcome: what becomes of each row (file_id, pos, id, key, source, kind, idx, original, original_sha256, placeholders, translation).
 
-    The first check that fails decides.  A row repeats another if its id or key came earlier among the file's
-    well-formed rows; rows are compared with all earlier ones, whether those were repeats or not.
+    The first check that fails decides.  A row whose id or key an earlier row of its file took is a duplicate and takes nothing
+    itself (``claims``); only rows without missing fields take any.  Which fields a row has says ``present`` (an
+    array of names, null for what is no object) where there is such a column; else a null field is a missing one, but for a null
+    translation, which is empty.  pos tells the rows of a file apart.
     """
-    required = ("id", "key", "source", "kind", "idx", "original", "original_sha256", "placeholders", "translation")
-    complete = F.lit(True)
-    for c in required:
-        complete = complete & F.col(c).isNotNull()
+    if "present" in rows.columns:
+        names = {"idx": "index"}
+        complete = F.coalesce(F.size(F.array_except(F.array(*[F.lit(names.get(c, c)) for c in REQUIRED]), F.col("present"))) == 0, F.lit(False))
+    else:
+        complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in REQUIRED if c != "translation"])
     rows = rows.withColumn("_ok", complete)
-    nth = lambda c: F.row_number().over(Window.partitionBy("file_id", "_ok", c).orderBy("pos"))
-    rows = rows.withColumn("_again", F.col("_ok") & ((nth("id") > 1) | (nth("key") > 1)))
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(c)  # noqa: E731  a null that is present is a value like others
+    away = turned_away(rows.where("_ok").select("file_id", "pos", said("id"), said("key")), "file_id", "pos", ["id", "key"])
+    rows = rows.join(away.withColumn("_again", F.lit(True)), ["file_id", "pos"], "left")
     now = strings.select("key", F.col("value").alias("_value"), F.col("source").alias("_source"), F.col("kind").alias("_kind"), F.col("idx").alias("_idx"))
-    held = existing.select("key", F.trim("translation").alias("_held")).where("_held <> ''")
-    rows = rows.join(now, "key", "left").join(held, "key", "left")
+    rows = rows.join(now, "key", "left").join(_held(existing), "key", "left")
     expected = placeholders("original")
-    text = F.trim("translation")
-    moved = (F.col("source") != F.col("_source")) | (F.col("kind") != F.col("_kind")) | (F.col("idx") != F.col("_idx"))
+    text = F.trim(F.coalesce("translation", F.lit("")))
+    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("kind").eqNullSafe(F.col("_kind")) & F.col("idx").eqNullSafe(F.col("_idx"))
     outcome = (
         F.when(~F.col("_ok"), "schema")
-        .when(F.col("_again"), "duplicate")
+        .when(F.col("_again").isNotNull(), "duplicate")
         .when(F.col("_value").isNull(), "unknown")
-        .when(F.col("original") != F.col("_value"), "original_mismatch")
-        .when(F.col("original_sha256") != F.sha2("original", 256), "hash")
-        .when((F.col("placeholders") != expected) | moved, "schema")
+        .when(~F.col("original").eqNullSafe(F.col("_value")), "original_mismatch")
+        .when(~F.col("original_sha256").eqNullSafe(F.sha2("original", 256)), "hash")
+        .when(~F.col("placeholders").eqNullSafe(expected) | ~same, "schema")
         .when(text == "", "empty")
         .when(F.col("_held").isNotNull() & F.lit(not overwrite), "skipped_existing")
         .when(expected != placeholders(text), "placeholder")
@@ -85,6 +100,57 @@ def validate_rows(rows: DataFrame, strings: DataFrame, existing: DataFrame, over
     return rows.withColumn("outcome", outcome).drop("_ok", "_again", "_value", "_source", "_kind", "_idx", "_held")
 
 
+def _imported_once(rows: DataFrame, existing: DataFrame, overwrite: bool) -> DataFrame:
+    """Adds outcome to rows that stand with their target string (target, _value) or why they have none (_why, else null).
+
+    Without ``overwrite`` the first row of a file that brings a target its translation makes the later ones of that target
+    skipped_existing, whatever is wrong with them behind that check.
+    """
+    text = F.trim(F.coalesce("translation", F.lit("")))
+    rows = rows.join(_held(existing).withColumnRenamed("key", "target"), "target", "left")
+    rows = rows.withColumn("_good", F.col("_why").isNull() & (placeholders("_value") == placeholders(text)))
+    old = F.col("_held").isNotNull() & F.lit(not overwrite)
+    if not overwrite:
+        first = rows.where(F.col("_good") & ~old).groupBy("file_id", "target").agg(F.min("pos").alias("_first"))
+        rows = rows.join(first, ["file_id", "target"], "left")
+        old = old | F.coalesce(F.col("pos") > F.col("_first"), F.lit(False))
+    outcome = F.when(F.col("_why").isNotNull(), F.col("_why")).when(old, "skipped_existing").when(~F.col("_good"), "placeholder").otherwise("imported")
+    return rows.withColumn("outcome", outcome).drop("_held", "_good", "_first", "_why", "_value")
+
+
+def validate_items(rows: DataFrame, strings: DataFrame, existing: DataFrame, overwrite: bool = False) -> DataFrame:
+    """Adds target and outcome to the rows (file_id, pos, present, key, original, translation) of version 1 files and bare lists.
+
+    A row goes to the string of its key, else to the one string of its original; the checks are fewer than those of version 2:
+    no object or no such string (unknown), empty, original_mismatch, skipped_existing, placeholder.
+    """
+    by_key = strings.select(F.col("key").alias("_key"), F.col("value").alias("_of_key"))
+    rows = rows.withColumn("_key", F.btrim(F.coalesce("key", F.lit("")))).withColumn("original", F.coalesce("original", F.lit("")))
+    rows = matched_by_unique_original(rows.join(by_key, "_key", "left"), strings)
+    target = F.when(F.col("_of_key").isNotNull(), F.col("_key")).otherwise(F.col("matched_key"))
+    value = F.coalesce("_of_key", F.when(F.col("matched_key").isNotNull(), F.col("original")))
+    why = (
+        F.when(F.col("present").isNull(), "unknown")
+        .when(F.trim(F.coalesce("translation", F.lit(""))) == "", "empty")
+        .when(target.isNull(), "unknown")
+        .when(F.col("original") != value, "original_mismatch")
+    )
+    rows = rows.withColumns({"target": target, "_value": value, "_why": why}).drop("_key", "_of_key", "matched_key")
+    return _imported_once(rows, existing, overwrite)
+
+
+def validate_dictionary(rows: DataFrame, strings: DataFrame, existing: DataFrame, overwrite: bool = False) -> DataFrame:
+    """target and outcome for the entries (file_id, pos, original, translation) of dictionaries: one row for each string of an original.
+
+    An entry that is no text, or that no string has, is one row (unknown, empty) without a target.
+    """
+    usable = rows.withColumn("_why", F.when(F.col("translation").isNull(), "unknown").when(F.trim("translation") == "", "empty"))
+    targets = strings.select(F.col("value").alias("_value"), F.col("key").alias("target"))
+    rows = usable.join(targets, (F.col("original") == F.col("_value")) & F.col("_why").isNull(), "left")
+    rows = rows.withColumn("_why", F.coalesce("_why", F.when(F.col("target").isNull(), "unknown")))
+    return _imported_once(rows, existing, overwrite)
+
+
 def outcome_counts(validated: DataFrame) -> DataFrame:
     """One row per file with a counter for each outcome and the total of rejections."""
     got = validated.groupBy("file_id").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES])

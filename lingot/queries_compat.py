@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import constants as K
@@ -67,20 +68,47 @@ def _pairs(spark, sf_dir):
 
 
 def _exchange(spark, sf_dir):
-    """Exchange rows of every document's lines with faults by place."""
+    """Exchange rows of every document's lines with faults by place; some take the id of the row before, and the next one that row's key."""
     s = src.strings(spark, sf_dir)
-    fault = (F.col("doc_id") + F.col("idx")) % 9
-    value = F.col("value")
+    turn = F.col("doc_id") + F.col("idx")
+    fault, value = turn % 9, F.col("value")
+    before = F.lag("key").over(Window.partitionBy("doc_id").orderBy("idx"))
+    s = s.withColumn("_before", before)
+    wrong_key = F.when((turn % 27 == 11) & F.col("_before").isNotNull(), F.col("_before")).otherwise(F.concat("key", F.lit("?")))
+    original = F.when(fault == 3, F.concat(value, F.lit("!"))).otherwise(value)
+    digest = F.when((fault == 5) & (F.col("idx") % 2 == 1), F.lit(None).cast("string")).when(fault == 4, F.sha2(F.concat(value, F.lit("x")), 256)).otherwise(F.sha2(original, 256))
     return s.select(
         F.col("doc_id").alias("file_id"), F.col("idx").alias("pos"),
         F.format_string("T%05d", F.when((fault == 1) & (F.col("idx") > 0), F.col("idx") - 1).otherwise(F.col("idx"))).alias("id"),
-        F.when(fault == 2, F.concat("key", F.lit("?"))).otherwise(F.col("key")).alias("key"), "source", F.when(fault == 6, "class-string").otherwise(F.col("kind")).alias("kind"), "idx",
-        F.when(fault == 3, F.concat(value, F.lit("!"))).otherwise(value).alias("original"), F.when(fault == 4, F.sha2(F.concat(value, F.lit("x")), 256)).otherwise(F.sha2(F.when(fault == 3, F.concat(value, F.lit("!"))).otherwise(value), 256)).alias("original_sha256"),
-        T.placeholders(F.when(fault == 3, F.concat(value, F.lit("!"))).otherwise(value)).alias("placeholders"),
+        F.when(fault == 2, wrong_key).otherwise(F.col("key")).alias("key"), "source", F.when(fault == 6, "class-string").otherwise(F.col("kind")).alias("kind"), "idx",
+        original.alias("original"), digest.alias("original_sha256"), T.placeholders(original).alias("placeholders"),
         F.when(fault == 5, F.lit(None).cast("string")).when(fault == 7, F.lit("  ")).when(fault == 8, F.concat(F.lit("%d "), value)).otherwise(F.concat(F.lit("vi "), value)).alias("translation"),
     )
 
 
+def _loose_files(spark, sf_dir):
+    """(doc_id, json): a document's lines as a version 1 file, a bare list or a dictionary, with faults by place and every fourth line twice."""
+    s = src.strings(spark, sf_dir)
+    idx, value = F.col("idx"), F.col("value")
+    key = F.when(idx % 5 < 3, F.col("key")).when(idx % 5 == 3, F.lit("")).otherwise(F.lit("nobody"))
+    translation = F.when(idx % 11 == 3, F.lit(" ")).when(idx % 11 == 5, F.concat(F.lit("%d "), value)).otherwise(F.concat(F.lit("vi "), value))
+    item = F.struct(key.alias("key"), F.when(idx % 7 == 6, F.concat(value, F.lit("!"))).otherwise(value).alias("original"), translation.alias("translation"))
+    rows = s.select("doc_id", "value", F.explode(F.when(idx % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"), "idx", item.alias("item"), translation.alias("t"))
+    lists = rows.where("doc_id % 3 < 2").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("again", "idx", "item"))), lambda x: x["item"]).alias("items"))
+    lists = lists.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct("items"))).otherwise(F.to_json("items")).alias("json"))
+    pairs = rows.where("doc_id % 3 = 2").groupBy("doc_id", "value").agg(F.min_by("t", "idx").alias("t"))
+    return lists.unionByName(pairs.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("value", "t")))).alias("json")))
+
+
+def x3_loose_imports(spark, sf_dir):
+    """What becomes of version 1 files, bare lists and dictionaries, by file."""
+    rows = X.read_payloads(_loose_files(spark, sf_dir)).withColumnRenamed("doc_id", "file_id")
+    s, old = src.strings(spark, sf_dir), _existing(spark, sf_dir)
+    told = M.validate_items(rows.where("form in ('v1', 'list')"), s, old).select("file_id", "form", "outcome")
+    told = told.unionByName(M.validate_dictionary(rows.where("form = 'dictionary'"), s, old).select("file_id", "form", "outcome"))
+    return told.groupBy("file_id", "form", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _existing(spark, sf_dir):
     s = src.strings(spark, sf_dir)
     return s.where((F.col("doc_id") + F.col("idx")) % 18 == 0).select("key", F.lit("old").alias("translation"))
@@ -112,8 +140,8 @@ def s7_exchange_files(spark, sf_dir):
     s = src.strings(spark, sf_dir).join(src.translations(src.strings(spark, sf_dir)), "key", "left")
     files = X.export_payloads(S.export_ids(s, "doc_id", ["idx"]), "doc_id", ["idx"])
     forms = F.when(F.col("doc_id") % 2 == 0, F.col("json")).otherwise(F.to_json(F.from_json("json", X.PAYLOAD).getField("items")))
-    rows = X.read_payloads(files.select("doc_id", forms.alias("json")))
-    return rows.select("doc_id", "form", "pos", "id", "idx", "original")
+    rows = X.read_payloads(files.select("doc_id", forms.alias("json")).unionByName(_loose_files(spark, sf_dir).select((-F.col("doc_id") - 1).alias("doc_id"), "json")))
+    return rows.groupBy("doc_id", "form").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("pos").alias("places"), F.count("id").alias("ids"), F.sum(F.when(F.col("form").isin("v2", "list"), F.col("idx"))).cast("long").alias("idx_sum"), F.sum(F.char_length("original")).cast("long").alias("chars"), F.count("present").alias("objects"))
 
 
 def s8_csv_rows(spark, sf_dir):
@@ -427,25 +455,44 @@ def f14_api_summary(spark, sf_dir):
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and f.__name__.isidentifier() and not f.__name__.startswith("_")}
 
 _FAULT = "(doc_id + idx) % 9"
-EXCHANGE = KEYED + rf""", ex AS (SELECT doc_id AS file_id, idx AS pos, idx, printf('T%05d', CASE WHEN {_FAULT} = 1 AND idx > 0 THEN idx - 1 ELSE idx END) AS id, CASE WHEN {_FAULT} = 2 THEN key || '?' ELSE key END AS key, kind, CASE WHEN {_FAULT} = 6 THEN 'class-string' ELSE kind END AS kind2, value, {_FAULT} AS fault, (doc_id + idx) % 18 = 0 AS held,
-    CASE WHEN {_FAULT} = 8 THEN '%d ' || value ELSE 'vi ' || value END AS tr FROM strings),
-    dup AS (SELECT *, fault <> 5 AS ok, row_number() OVER (PARTITION BY file_id, fault <> 5, id ORDER BY pos) > 1 OR row_number() OVER (PARTITION BY file_id, fault <> 5, key ORDER BY pos) > 1 AS again FROM ex),
-    valid AS (SELECT file_id, pos, CASE WHEN NOT ok THEN 'schema' WHEN again THEN 'duplicate' WHEN fault = 2 THEN 'unknown' WHEN fault = 3 THEN 'original_mismatch' WHEN fault = 4 THEN 'hash' WHEN fault = 6 THEN 'schema' WHEN fault = 7 THEN 'empty' WHEN held THEN 'skipped_existing' WHEN {_PH('value')} <> {_PH('trim(tr)')} THEN 'placeholder' ELSE 'imported' END AS outcome FROM dup)"""
+# duplicates are told row by row: a walk over each file's rows that share an id or key carries what is taken so far
+EXCHANGE = KEYED + rf""", last AS (SELECT *, lag(key) OVER (PARTITION BY doc_id ORDER BY idx) AS before, lag(value) OVER (PARTITION BY doc_id ORDER BY idx) AS value_before FROM strings),
+    ex AS (SELECT doc_id AS file_id, idx AS pos, idx, printf('T%05d', CASE WHEN {_FAULT} = 1 AND idx > 0 THEN idx - 1 ELSE idx END) AS id, {_FAULT} = 2 AND (doc_id + idx) % 27 = 11 AND before IS NOT NULL AS chained, CASE WHEN {_FAULT} = 2 AND (doc_id + idx) % 27 = 11 AND before IS NOT NULL THEN before WHEN {_FAULT} = 2 THEN key || '?' ELSE key END AS key, kind, value, value_before, {_FAULT} AS fault, (doc_id + idx) % 18 = 0 AS held,
+    CASE WHEN {_FAULT} = 8 THEN '%d ' || value ELSE 'vi ' || value END AS tr, NOT ({_FAULT} = 5 AND idx % 2 = 1) AS ok FROM last),
+    con AS (SELECT file_id, pos, id, key, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS k FROM (SELECT *, count(*) OVER (PARTITION BY file_id, id) AS a, count(*) OVER (PARTITION BY file_id, key) AS b FROM ex WHERE ok) WHERE a > 1 OR b > 1),
+    walk AS (SELECT file_id, 0::BIGINT AS k, -1 AS pos, FALSE AS again, []::VARCHAR[] AS ids, []::VARCHAR[] AS keys FROM (SELECT DISTINCT file_id FROM con) UNION ALL
+        SELECT c.file_id, c.k, c.pos, list_contains(ids, c.id) OR list_contains(keys, c.key), CASE WHEN list_contains(ids, c.id) OR list_contains(keys, c.key) THEN ids ELSE list_append(ids, c.id) END, CASE WHEN list_contains(ids, c.id) OR list_contains(keys, c.key) THEN keys ELSE list_append(keys, c.key) END
+        FROM walk w JOIN con c ON c.file_id = w.file_id AND c.k = w.k + 1),
+    valid AS (SELECT e.file_id, e.pos, CASE WHEN NOT ok THEN 'schema' WHEN coalesce(again, FALSE) THEN 'duplicate' WHEN chained AND value <> value_before THEN 'original_mismatch' WHEN chained THEN 'schema' WHEN fault = 2 THEN 'unknown' WHEN fault = 3 THEN 'original_mismatch' WHEN fault = 4 THEN 'hash' WHEN fault = 6 THEN 'schema' WHEN fault IN (5, 7) THEN 'empty' WHEN held THEN 'skipped_existing' WHEN {_PH('value')} <> {_PH('trim(tr)')} THEN 'placeholder' ELSE 'imported' END AS outcome FROM ex e LEFT JOIN walk w ON w.file_id = e.file_id AND w.pos = e.pos)"""
+_TR = "CASE WHEN idx % 11 = 3 THEN ' ' WHEN idx % 11 = 5 THEN '%d ' || value ELSE 'vi ' || value END"
+LOOSE = KEYED + f""", alike AS (SELECT *, count(*) OVER (PARTITION BY value) AS n_alike FROM strings),
+    twice AS (SELECT doc_id, idx, value, key, n_alike, g AS again, {_TR} AS tr FROM alike, (SELECT unnest([0, 1]) AS g) WHERE g = 0 OR idx % 4 = 0),
+    listed AS (SELECT doc_id AS file_id, CASE WHEN doc_id % 3 = 0 THEN 'v1' ELSE 'list' END AS form, row_number() OVER (PARTITION BY doc_id ORDER BY again, idx) AS pos, tr, value || CASE WHEN idx % 7 = 6 THEN '!' ELSE '' END AS original, CASE WHEN idx % 5 < 3 THEN key END AS wanted, idx FROM twice WHERE doc_id % 3 < 2),
+    ones AS (SELECT value, min(key) AS key FROM strings GROUP BY value HAVING count(*) = 1),
+    aimed AS (SELECT l.*, coalesce(a.key, o.key) AS target, coalesce(a.value, o.value) AS of_target FROM listed l LEFT JOIN strings a ON a.key = l.wanted LEFT JOIN ones o ON o.value = l.original),
+    pairs AS (SELECT doc_id AS file_id, value AS original, arg_min({_TR}, idx) AS tr FROM strings WHERE doc_id % 3 = 2 GROUP BY ALL),
+    spread AS (SELECT p.file_id, 'dictionary' AS form, 0 AS pos, tr, original, s.key AS target, original AS of_target FROM pairs p LEFT JOIN strings s ON s.value = p.original AND trim(tr) <> ''),
+    both_forms AS (SELECT file_id, form, pos, tr, original, target, of_target FROM aimed UNION ALL SELECT * FROM spread),
+    held AS (SELECT key FROM strings WHERE (doc_id + idx) % 18 = 0),
+    checked AS (SELECT *, CASE WHEN trim(tr) = '' THEN 'empty' WHEN target IS NULL THEN 'unknown' WHEN original <> of_target THEN 'original_mismatch' END AS why, {_PH('of_target')} = {_PH('trim(tr)')} AS fits, target IN (SELECT key FROM held) AS old FROM both_forms),
+    loose AS (SELECT *, CASE WHEN why IS NOT NULL THEN why WHEN old OR pos > min(pos) FILTER (why IS NULL AND fits AND NOT old) OVER (PARTITION BY file_id, target) THEN 'skipped_existing' WHEN NOT fits THEN 'placeholder' ELSE 'imported' END AS outcome FROM checked)"""
 _TURN = "(doc_id + idx) % 12"
 PATCHED = LINES + rf""", l AS (SELECT doc_id, idx, value, trim(value) AS v, {_TURN} AS turn FROM lines), p AS (SELECT *, CASE WHEN (turn = 0 OR turn = 9) AND contains(value, '=') THEN 'FAILED' WHEN turn = 0 OR turn = 9 THEN 'PATCHED' WHEN turn = 3 THEN 'SKIPPED' WHEN turn = 6 THEN 'FAILED' END AS status FROM l)"""
 ORACLE_SQL = {
     "j1_with_translations": f"WITH {TRANSLATED} SELECT doc_id, idx, translation FROM strings LEFT JOIN translations USING (key)",
-    "j2_match_by_key": f"WITH {EXCHANGE} SELECT file_id, count(*) AS rows, count_if(fault = 2) AS unknown FROM ex GROUP BY file_id",
+    "j2_match_by_key": f"WITH RECURSIVE {EXCHANGE} SELECT file_id, count(*) AS rows, count_if(fault = 2 AND NOT chained) AS unknown FROM ex GROUP BY file_id",
     "j3_match_unique_original": f"WITH {LINES} SELECT doc_id, count_if(n = 1) AS unique_lines FROM (SELECT doc_id, count(*) OVER (PARTITION BY value) AS n FROM lines) GROUP BY doc_id",
     "j4_match_every_original": f"WITH {LINES} SELECT doc_id, idx, 'vi ' || value AS translation FROM (SELECT *, count(*) OVER (PARTITION BY value) AS n FROM lines) WHERE n > 2",
-    "s7_exchange_files": f"WITH {LINES} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'v2' ELSE 'list' END AS form, idx AS pos, printf('T%05d', idx + 1) AS id, idx, value AS original FROM lines",
+    "s7_exchange_files": f"""WITH {LOOSE} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'v2' ELSE 'list' END AS form, count(*) AS items, count(*) AS places, count(*) AS ids, sum(idx)::BIGINT AS idx_sum, sum(length(value))::BIGINT AS chars, count(*) AS objects FROM strings GROUP BY doc_id
+        UNION ALL SELECT -file_id - 1, form, count(*), count(*), 0, NULL, sum(length(original))::BIGINT, count(*) FROM listed GROUP BY file_id, form UNION ALL SELECT -file_id - 1, 'dictionary', count(*), count(*), 0, NULL, sum(length(original))::BIGINT, 0 FROM pairs GROUP BY file_id""",
+    "x3_loose_imports": f"WITH {LOOSE} SELECT file_id, form, outcome, count(*) AS n FROM loose GROUP BY ALL",
     "s8_csv_rows": f"WITH {KEYED} SELECT doc_id, sha256(CASE WHEN idx % 3 = 0 THEN concat_ws('␟', source, kind, idx::VARCHAR, value) ELSE key END) AS key_sha256, 'vi' AS translation FROM strings WHERE idx % 3 < 2",
     "s10_scan_json": f"WITH {LINES} SELECT doc_id, count(*)::INT AS n, arg_min(value, idx) AS first FROM lines GROUP BY doc_id",
     "s11_store_summary": f"WITH {TRANSLATED} SELECT count(*) AS entries, count(DISTINCT translation) AS distinct_translations FROM translations",
     "x2_export": f"WITH {KEYED} SELECT doc_id, count(*)::INT AS item_count, sha256(string_agg(sha256(value), '' ORDER BY idx)) AS source_sha256 FROM strings WHERE (doc_id + idx) % 4 <> 0 AND NOT ((doc_id + idx) % 4 = 1 AND trim(value) <> value AND trim(value) <> '') GROUP BY doc_id",
-    "w4_duplicates": f"WITH {EXCHANGE} SELECT file_id, pos FROM valid WHERE outcome = 'duplicate'",
-    "x3_validate_import": f"WITH {EXCHANGE} SELECT file_id, pos, outcome FROM valid",
-    "a7_import_counts": f"WITH {EXCHANGE} SELECT file_id, " + ", ".join(f"count_if(outcome = '{o}') AS {o}" for o in M.OUTCOMES) + ", count_if(outcome NOT IN ('imported', 'skipped_existing')) AS rejected FROM valid GROUP BY file_id",
+    "w4_duplicates": f"WITH RECURSIVE {EXCHANGE} SELECT file_id, pos FROM valid WHERE outcome = 'duplicate'",
+    "x3_validate_import": f"WITH RECURSIVE {EXCHANGE} SELECT file_id, pos, outcome FROM valid",
+    "a7_import_counts": f"WITH RECURSIVE {EXCHANGE} SELECT file_id, " + ", ".join(f"count_if(outcome = '{o}') AS {o}" for o in M.OUTCOMES) + ", count_if(outcome NOT IN ('imported', 'skipped_existing')) AS rejected FROM valid GROUP BY file_id",
     "x4_upsert": f"WITH {TRANSLATED}, u AS (SELECT key, CASE WHEN doc_id % 3 = 0 THEN '' ELSE trim('new ' || value) END AS t FROM strings WHERE idx % 2 = 0), m AS (SELECT coalesce(u.t, trim(o.translation)) AS translation FROM (SELECT * FROM translations) o FULL JOIN u USING (key)) SELECT translation, count(*) AS n FROM m WHERE translation <> '' GROUP BY translation",
     "w7_slot_conflicts": f"WITH {LINES}, p AS (SELECT source, doc_id % 5 AS slot, substr(value, 1, 3) AS t, first_value(substr(value, 1, 3)) OVER (PARTITION BY source, doc_id % 5 ORDER BY doc_id, idx) AS f FROM lines) SELECT source, slot, count_if(t <> f) AS conflicts FROM p GROUP BY source, slot",
     "a8_patch_counts": f"WITH {PATCHED} SELECT doc_id, count_if(status = 'PATCHED') AS patched, count_if(status = 'SKIPPED') AS skipped, count_if(status = 'FAILED') AS failed, count_if(status = 'FAILED') = 0 AS ok FROM p WHERE status IS NOT NULL GROUP BY doc_id",

@@ -65,7 +65,7 @@ def r4_streamed_import(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (r1_streamed_lines, r2_windowed_counts, r3_exception_sessions, r4_streamed_import)}
 ORACLE_SQL = {
-    "r4_streamed_import": f"WITH {EXCHANGE} SELECT sha256(e.key) AS key_sha256, trim(e.tr) AS translation FROM ex e JOIN valid v USING (file_id, pos) WHERE outcome = 'imported'",
+    "r4_streamed_import": f"WITH RECURSIVE {EXCHANGE} SELECT sha256(e.key) AS key_sha256, trim(e.tr) AS translation FROM ex e JOIN valid v USING (file_id, pos) WHERE outcome = 'imported'",
     "r2_windowed_counts": "SELECT event_type, sum(n)::BIGINT AS n, count(*) AS windows FROM (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY ALL) WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY event_type",
     "r3_exception_sessions": f"WITH {EVENTS} SELECT log_id, event, error_type, caused_by, array_to_string(frames, '|') AS frames FROM events2 QUALIFY event < max(event) OVER (PARTITION BY log_id)",
     "r1_streamed_lines": f"WITH {ISSUES} SELECT log_id, line_no, token, severity FROM issues",

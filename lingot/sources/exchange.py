@@ -10,6 +10,9 @@ from .tables import SEPARATOR
 
 ITEM = "struct<id:string,key:string,source:string,kind:string,idx:int,original:string,original_sha256:string,placeholders:array<string>,translation:string>"
 PAYLOAD = f"struct<format:string,schema_version:int,source_name:string,source_sha256:string,item_count:int,items:array<{ITEM}>>"
+#: As items are read: idx is also called index, and a translation may be anything.
+READ = ITEM.replace("idx:int", "idx:int,index:int").replace("translation:string", "translation:variant")
+ITEM_FIELDS = ("id", "key", "source", "kind", "idx", "original", "original_sha256", "placeholders", "translation")
 FORMAT_V2 = "exchange-v2"
 
 
@@ -31,21 +34,31 @@ def export_payloads(strings: DataFrame, group: str, order: list[str]) -> DataFra
 def read_payloads(files: DataFrame, json: str = "json") -> DataFrame:
     """Rows of exchange files of any form: version 2, version 1 (items), a bare list, or {original: translation}.
 
-    Adds form (v2, v1, list, dictionary, unknown) and pos; a dictionary gives original and translation alone.
+    In the place of the JSON they have form (v2, v1, list, dictionary, unknown), pos and present: the names of the fields that an item has, null where it is no
+    object.  A dictionary gives original and translation alone, an original that repeats with its last translation; a
+    translation that is no text is null.  Files of unknown form, and those without items, give no rows.
     """
-    text = F.ltrim(json)
-    payload = F.from_json(text, PAYLOAD)
+    text = F.ltrim(F.ltrim(F.col(json), F.lit("\ufeff")))
     form = (
         F.when(text.startswith("["), "list")
         .when(F.get_json_object(text, "$.format") == FORMAT_V2, "v2")
-        .when(F.get_json_object(text, "$.items").isNotNull(), "v1")
+        .when(F.ltrim(F.get_json_object(text, "$.items")).startswith("["), "v1")
         .when(text.startswith("{"), "dictionary")
         .otherwise("unknown")
     )
-    rows = files.withColumn("form", form)
-    pairs = F.transform(F.map_entries(F.from_json(text, "map<string,string>")), lambda e: F.struct(F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("idx"), e["key"].alias("original"), F.lit(None).cast("string").alias("original_sha256"), F.lit(None).cast("array<string>").alias("placeholders"), e["value"].alias("translation")))
-    items = F.when(F.col("form") == "list", F.from_json(text, f"array<{ITEM}>")).when(F.col("form").isin("v1", "v2"), payload.getField("items")).when(F.col("form") == "dictionary", pairs)
-    return rows.select(*files.columns, "form", F.posexplode(items).alias("pos", "item")).select(*files.columns, "form", "pos", "item.*")
+    carried = [c for c in files.columns if c != json]
+    rows = files.select(*carried, form.alias("form"), text.alias("_text"))
+    raw = F.when(F.col("form") == "list", F.from_json("_text", "array<string>")).when(F.col("form").isin("v1", "v2"), F.from_json("_text", "struct<items:array<string>>").getField("items"))
+    item = rows.where("form in ('list', 'v1', 'v2')").select(*carried, "form", F.posexplode(raw).alias("pos", "_item"))
+    names = F.transform(F.json_object_keys("_item"), lambda k: F.when(k == "idx", "index").otherwise(k))
+    item = item.withColumn("present", names).withColumn("_i", F.when(F.col("present").isNotNull(), F.from_json("_item", READ)))
+    said = lambda v: F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
+    fields = {c: F.col(f"_i.{c}") for c in ITEM_FIELDS} | {"idx": F.coalesce("_i.idx", "_i.index"), "translation": said(F.col("_i.translation"))}
+    items = item.select(*carried, "form", "pos", "present", *[v.alias(c) for c, v in fields.items()])
+    pairs = rows.where("form = 'dictionary'").select(*carried, "form", F.posexplode(F.map_entries(F.from_json("_text", "map<string,variant>"))).alias("pos", "_e"))
+    pairs = pairs.select(*carried, "form", "pos", F.col("_e.key").alias("original"), said(F.col("_e.value")).alias("translation"))
+    last = pairs.groupBy(*carried, "form", "original").agg(F.max_by(F.struct("translation"), "pos").alias("_t"), F.min("pos").alias("pos"))
+    return items.unionByName(last.select(*carried, "form", "pos", "original", F.col("_t.translation").alias("translation")), allowMissingColumns=True)
 
 
 def csv_rows(rows: DataFrame) -> DataFrame:
