@@ -100,7 +100,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
 
     Vectors that are null, empty, zero or hold null or non-finite components, or whose dimension is not that
     of most sampled rows, take no part, neither do null vec_ids; equal vectors tie to the smaller vec_id; rows
-    that repeat a vec_id count as that one neighbour; an empty table gives no rows; further columns are not read.
+    that repeat a vec_id count as that one neighbour, and the least of their vectors asks; with fewer candidates than k all are returned; an empty table gives no rows; further columns are not read.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -129,7 +129,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Adds the lists that each query visits, and the bound from which it searches: the cosine of the 2k-th of the sample rows in these lists.
 
-        These rows stand in lists that it visits, so k answers are left though the test abandons some by chance.
+        These rows stand in lists that it visits, so k answers are left though the test abandons some by chance.  Where there
+        are too few, nothing is abandoned.
         """
         centre, _, x, ids = shared.value
         home = np.argmax(unit(x) @ centre.T, axis=1)
@@ -145,13 +146,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.9
                 seen = np.minimum(np.maximum(probes, enough), len(centre))
                 near[(qid[:, None] == ids[None, :]) | (place[:, home] >= seen[:, None])] = -2
                 best = -np.sort(-near, axis=1)
-                floor = np.where(best[:, 2 * k - 1] > -2, best[:, 2 * k - 1], -1.0) if best.shape[1] >= 2 * k else np.full(len(q), -1.0)
+                floor = np.where(best[:, 2 * k - 1] > -2, best[:, 2 * k - 1], -np.inf) if best.shape[1] >= 2 * k else np.full(len(q), -np.inf)
                 order = [o[:n] for o, n in zip(order, seen, strict=True)]
                 yield pd.DataFrame({"query_id": qid, "embedding": list(q), "floor": floor, "lists": order})
 
     kind = rows.schema["embedding"].dataType.simpleString()
     dealt = kept(rows.select("vec_id", "embedding").mapInPandas(deal, f"vec_id long, embedding {kind}, list int"), "ann-lists")
-    asked = kept(rows.where("is_query").select("vec_id", "embedding").dropDuplicates(["vec_id"]).mapInPandas(probe, f"query_id long, embedding {kind}, floor double, lists array<int>"), "ann-queries")
+    asked = kept(rows.where("is_query").groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInPandas(probe, f"query_id long, embedding {kind}, floor double, lists array<int>"), "ann-queries")
     block = int(np.clip(2 * total // lists, *BLOCK_ROWS))
     visits = asked.select("query_id", "embedding", "floor", F.explode("lists").alias("list"))
     parts = lambda n: F.ceil(n / block).cast("int")

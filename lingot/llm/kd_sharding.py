@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept, ranked
+from .shared import checked, kept, ranked
 
 BINS = 1024
 HASH_BITS = 20
@@ -66,7 +66,7 @@ def _split_level(meta: DataFrame, root: _Node, dims: list[str], spread: dict[str
         step = {k: (s["hi"] - s["lo"]) // BINS + 1 for k, s in pending.items()}
         width = F.coalesce(*[F.when(F.col("_node") == k, F.lit(w).cast("long")) for k, w in step.items()])
         near = rows.where(F.col("_node").isin(list(pending))).select("_node", "size", key.alias("_k"), case(lambda s: s["lo"]).alias("_lo"), case(lambda s: s["hi"]).alias("_hi"), width.alias("_w"))
-        bins = near.where("_k between _lo and _hi").groupBy("_node", F.floor((F.col("_k") - F.col("_lo")) / F.col("_w")).alias("_bin")).agg(F.sum("size").alias("_s"))
+        bins = near.where("_k between _lo and _hi").groupBy("_node", F.expr("(_k - _lo) div _w").alias("_bin")).agg(F.sum("size").alias("_s"))
         total = F.sum("_s").over(Window.partitionBy("_node").orderBy("_bin"))
         goal = F.coalesce(*[F.when(F.col("_node") == k, F.lit(float(s["goal"] - s["before"]))) for k, s in pending.items()])
         crossing = bins.withColumn("_total", total).where(F.col("_total") >= goal).groupBy("_node").agg(F.min_by(F.struct("_bin", "_s", "_total"), "_bin").alias("x"))
@@ -80,18 +80,27 @@ def _split_level(meta: DataFrame, root: _Node, dims: list[str], spread: dict[str
                 del pending[r["_node"]]
 
 
+def _equal_rows_numbered(meta: DataFrame) -> DataFrame:
+    """Adds _nth: 0, 1, ... among rows that are equal in all columns, which is which being all the same."""
+    meta = kept(meta.withColumn("_same", F.xxhash64(*meta.columns)).withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
+    often = checked(meta.groupBy("_same").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select("_same"), "equal-rows")
+    single = meta.join(often, "_same", "left_anti").withColumn("_nth", F.lit(0).cast("long"))
+    return single.unionByName(ranked(meta.join(often, "_same"), "_same", [F.col("_row")], [F.col("_row")], "_nth")).drop("_same", "_row")
+
+
 def kd_shards(docs: DataFrame, n_shards: int = 24, slack: float = 0.002) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of ``docs``.
 
     size is the UTF-8 length of the text plus 8; law is ``bytes``: sizes of shards differ by about ``slack``
     of a shard and one document; slot numbers the rows of a shard from 0.  A null text counts as empty, null
     lang and source as the least value; null and repeated doc_ids are kept as rows like any other; ties on all
-    dimensions are cut by hash bits; an empty table gives no rows; further columns are not read.
+    dimensions are cut by hash bits, in which equal rows are numbered; an empty table gives no rows; further columns are not read.
     """
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
     meta = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), _letters("lang", 3).alias("_lang"), _letters("source", 5).alias("_source"))
-    tie = F.expr(f"xxhash64(doc_id, text_crc32) & {2**HASH_BITS - 1}")
+    tie = F.expr(f"xxhash64(doc_id, text_crc32, _nth) & {2**HASH_BITS - 1}")
     dims = {"d_size": F.floor(F.log2("size") * 4096), "d_lang": F.col("_lang"), "d_source": F.col("_source")}
+    meta = _equal_rows_numbered(meta)
     meta = kept(meta.select("doc_id", "size", "text_crc32", *[(v.cast("long") * 2**HASH_BITS + tie).alias(d) for d, v in dims.items()]), "shard-meta")
     whole = meta.agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims]).first()
     root = _Node(0, n_shards)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checked, kept, ranked
+from .shared import apart, checked, kept, ranked, together
 
 #: Weights by the rank of the source, repeating; and how a schedule ends relative to its start.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -98,9 +98,10 @@ def mixed_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
     once, since it costs nothing.  A second copy stands at its own position, that of the words queued before it in
     the second pass over its source.  Rows that share a doc_id share the plan of the one with most words taken.
     """
+    docs, names = apart(docs, ("doc_id", "text", "source"))
     plan = _plan(docs, seed).groupBy("doc_id").agg(F.max_by(F.struct("size", "taken", "position", "position_again"), "taken").alias("_m"))
     copies = F.when(F.col("_m.size") == 0, 1).otherwise(F.floor(F.col("_m.taken") / F.col("_m.size") + 0.5)).cast("int")
     out = docs.join(plan.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
     out = out.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
     at = F.when(F.col("_copy") == 0, F.col("_m.position")).otherwise(F.col("_m.position_again"))
-    return out.orderBy(at, "doc_id", "_copy").select(*docs.columns)
+    return together(out.orderBy(at, "doc_id", "_copy").select(*docs.columns), names)

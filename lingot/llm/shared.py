@@ -12,6 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def apart(docs: DataFrame, known: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars")) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its further columns under names that no operator uses, and these names' own ones."""
+    names = {f"carried_column_{i}": c for i, c in enumerate(docs.columns) if c not in known}
+    return docs.select(*[F.col(f"`{c}`").alias(f"carried_column_{i}" if c not in known else c) for i, c in enumerate(docs.columns)]), names
+
+
+def together(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """docs with the names that ``apart`` took away."""
+    return docs.select(*[F.col(c).alias(names.get(c, c)) for c in docs.columns])
+
+
 #: Rows of a small table that may be broadcast; its size is counted first.
 BROADCAST_ROWS = 100_000
 

@@ -7,7 +7,7 @@ far as the windows that chose this anchor reach, as hashes of whole windows; a w
 earlier document also holds is repeated.  Windows that repeat within a document are found there.  The
 union of a document's repeated windows are its maximal repeats, and their words go.
 
-A window's hash has 96 bits: 64 to find it and 32 to check it, from two independent sums over its words.
+A window's hash has 96 bits: 64 to find it and 32 to check it, from two independent sums over two independent hashes of its words.
 
 Shuffled are one number for each anchor (about one in eight words), one for each window of a repeated
 anchor, and the texts once: Spark reuses their exchange in the joins that need them.  Frequent
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checked, hot_split, kept
+from .shared import apart, checked, hot_split, kept, together
 from .wordarrays import Words, column_batches, mix
 
 SPAN, GRAM = 20, 6
@@ -153,8 +153,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A word goes if a window of 20 words that covers it also starts earlier: in a document of smaller doc_id, or
     in the same one.  Null and empty texts have no words, and texts of fewer than 20 words lose none.  Rows that
     share a doc_id are compared with other documents, not with each other, whether their texts are equal or not;
-    rows without a doc_id only with themselves.  An empty table gives no rows; further columns are carried along.
+    rows without a doc_id only with themselves.  An empty table gives no rows; further columns are carried along, those of
+    the names of the three new ones as carried_column_<place>.
     """
+    docs, names = apart(docs, ("doc_id", "text"))
     # without a needless cast all joins of the texts read one and the same exchange
     texts = docs if docs.schema["doc_id"].dataType.simpleString() == "bigint" else docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     named = texts.where(F.col("doc_id").isNotNull())
@@ -180,4 +182,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     marked = marked.select(*texts.columns, "_repeated", "_checks", F.coalesce("_is_copy", F.lit(False)).alias("_is_copy"))
     lone = texts.where(F.col("doc_id").isNull()).select(*texts.columns, F.lit(None).cast("array<long>").alias("_repeated"), F.lit(None).cast("array<int>").alias("_checks"), F.lit(False).alias("_is_copy"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema), "_n_words long, _n_removed long, _kept string"])
-    return marked.unionByName(lone).mapInArrow(_kept_texts, schema)
+    found = marked.unionByName(lone).mapInArrow(_kept_texts, schema)
+    clashing = {c for c in names.values() if c.lower() in ("_n_words", "_n_removed", "_kept")}
+    return together(found, {k: c for k, c in names.items() if c not in clashing})

@@ -159,7 +159,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, seed_rows: int = 4
 
     found = kept(sized.groupBy("label", "cell", "low", "high").applyInPandas(join_blocks, "rep long, hub long, links long"), "vector-links")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    hubs = components(found.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+    # a vec_id of several rows ties the classes that these stand in
+    again = good.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id")
+    ties = good.join(again, "vec_id").join(classes.select("label", "embedding", "rep"), ["label", "embedding"]).select(F.col("rep").alias("a"), F.col("vec_id").alias("b"))
+    hubs = components(found.select(F.col("rep").alias("a"), F.col("hub").alias("b")).unionByName(ties))
     known = classes.join(linked, "rep", "left").join(hubs.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("label", "embedding", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     rows = every.join(known, ["label", "embedding"], "left")

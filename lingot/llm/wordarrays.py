@@ -7,6 +7,7 @@ batch, so that they agree between tasks and runs.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * _BYTE_BASE)
+#: Places of a word's bytes that have numbers of their own; longer words are hashed one by one.
+PLACES = 64
+#: A random number for every byte at every place, and a second one.
+_NUMBERS = tuple(mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * _BYTE_BASE + base) for base in (_WORD_BASE, _SECOND_BASE))
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -67,23 +71,28 @@ class Words:
         begins = np.concatenate(([0], np.cumsum(lengths)))
         self.first = np.searchsorted(self.starts, begins[: len(texts) + 1])
         self.first[-1] = len(self.starts)
-        self.hashes = self._word_hashes(buf)
+        self.hashes = self._word_hashes(0)
         self._sums: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
 
     def __len__(self) -> int:
         return len(self.starts)
 
-    def _word_hashes(self, buf: np.ndarray) -> np.ndarray:
+    def _word_hashes(self, nth: int) -> np.ndarray:
+        """Sums of random numbers for each byte at its place, so that no two words are alike by their form; nth: which of two independent ones."""
         if not len(self.starts):
             return np.zeros(0, dtype=np.uint64)
+        buf = np.frombuffer(self.data, dtype=np.uint8)
         lengths = self.ends - self.starts
-        place = np.arange(len(buf))  # of each byte within its word
+        place = np.arange(len(buf), dtype=np.int32)  # of each byte within its word
         lead = self.starts[0]
-        place[lead:] -= np.repeat(self.starts, np.diff(np.append(self.starts, len(buf))))
-        place[:lead] = 0
-        terms = _BYTE_HASH[buf] * powers(_BYTE_BASE, int(place.max()) + 1)[place]
+        place[lead:] -= np.repeat(self.starts.astype(np.int32), np.diff(np.append(self.starts, len(buf))))
+        terms = _NUMBERS[nth][np.minimum(place, PLACES - 1) * 256 + buf]
         terms[_IS_SPACE[buf]] = 0
-        return mix(np.add.reduceat(terms, self.starts) + lengths.astype(np.uint64))
+        out = mix(np.add.reduceat(terms, self.starts) + lengths.astype(np.uint64))
+        for i in np.flatnonzero(lengths > PLACES):
+            digest = hashlib.blake2b(self.data[self.starts[i] : self.ends[i]], digest_size=8, salt=bytes([nth])).digest()
+            out[i] = np.uint64(int.from_bytes(digest, "little"))
+        return out
 
     def owner(self) -> np.ndarray:
         """The text of each word."""
@@ -103,7 +112,7 @@ class Words:
         if second not in self._sums:
             n = len(self.hashes)
             base = _SECOND_BASE if second else _WORD_BASE
-            h = mix(self.hashes ^ _SECOND_BASE) if second else self.hashes
+            h = self._word_hashes(1) if second else self.hashes
             self._sums[second] = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * powers(base, n), dtype=np.uint64))), powers(_inverse(base), n + 1)
         prefix, back = self._sums[second]
         return (prefix[end] - prefix[begin]) * back[begin]
