@@ -19,7 +19,7 @@ from lingot.llm.bag_minhash import near_duplicates
 from lingot.llm.mixing import mixed_documents
 from lingot.llm.packing import pack
 from lingot.llm.queries import tokenizer_path
-from lingot.llm.shared import checked, kept, table
+from lingot.llm.shared import apart, checked, kept, table, together
 from lingot.llm.substring_dedup import without_repeats
 from lingot.llm.toxicity import toxicity as toxicity_scores
 
@@ -31,10 +31,11 @@ def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose own text is toxic go, whatever their doc_id; a score depends on the text alone, so texts are told by 128 bits of hash."""
+    docs, names = apart(docs)
     marks = {"_text_a": F.xxhash64("text"), "_text_b": F.xxhash64(F.lit(1), "text")}
     scored = toxicity_scores(docs.withColumns(marks), table(spark, sf_dir, "labels"), carried=tuple(marks))
     toxic = checked(scored.where("predicted = 1").select(*marks).distinct(), "toxic-texts")
-    return docs.withColumns(marks).join(toxic, list(marks), "left_anti").select(*docs.columns)
+    return docs.withColumns(marks).join(toxic, list(marks), "left_anti").select(*docs.columns).transform(together, names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +45,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that lose nothing keep their white space; the others are their kept words, joined by one space."""
+    docs, names = apart(docs)
     found = without_repeats(docs)
     text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
     chars = F.when(F.col("_n_removed") > 0, F.char_length("_kept").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", chars).withColumn("text", text).select(*docs.columns)
+    return found.withColumn("n_chars", chars).withColumn("text", text).select(*docs.columns).transform(together, names)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
