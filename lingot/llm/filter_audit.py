@@ -70,17 +70,12 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("_at"), pa.array(np.full(len(word), here, dtype=np.int32)), pa.array(number), pc.if_else(pa.array(new), word, pa.scalar(None, word.type))], ["shard", "_at", "_part", "_number", "word"])
 
 
-def _global(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shards with the dictionary's numbers in the place of their own."""
-    for b in batches:
-        for i in range(b.num_rows):
-            row = b.slice(i, 1)
-            told, own = row.column("_terms")[0], row.column("indices")[0].values.to_numpy()
-            terms = np.zeros(len(told) if told.is_valid else 0, dtype=np.int64)
-            if told.is_valid:
-                terms[told.values.field("_at").to_numpy()] = told.values.field("term").to_numpy()
-            columns = {c: row.column(c) for c in b.schema.names if c != "_terms"} | {"indices": pa.array([terms[own]], pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+def _global(shard: pa.Table, terms: pa.Table) -> pa.Table:
+    """A shard with the dictionary's numbers in the place of its own."""
+    of = np.zeros(len(terms), dtype=np.int64)
+    of[terms.column("_at").to_numpy()] = terms.column("term").to_numpy()
+    own = shard.column("indices").combine_chunks().flatten().to_numpy()
+    return shard.set_column(shard.schema.get_field_index("indices"), "indices", pa.array([of[own]], pa.list_(pa.int64())))
 
 
 def term_matrix(docs: DataFrame, text: str, carried: list[str], shard_bytes: int = SHARD_BYTES, measure: Measure = lambda buf, begins: {}, measured: str = "") -> tuple[DataFrame, DataFrame]:
@@ -101,8 +96,8 @@ def term_matrix(docs: DataFrame, text: str, carried: list[str], shard_bytes: int
     offsets = np.concatenate(([0], np.cumsum([n for _, n in sizes]))).tolist()
     starts = spark.createDataFrame([(p, o) for (p, _), o in zip(sizes, offsets, strict=False)], "_part int, _offset long")
     terms = told.join(F.broadcast(starts), "_part").withColumn("term", F.col("_number") + F.col("_offset"))
-    mapped = terms.groupBy("shard").agg(F.collect_list(F.struct("_at", "term")).alias("_terms"))
-    matrix = parts.drop("words").join(mapped, "shard", "left").mapInArrow(_global, f"shard long, {lists}, indptr array<int>, indices array<long>, data array<int>")
+    each = terms.select("shard", "_at", "term").groupBy("shard")
+    matrix = parts.drop("words").groupBy("shard").cogroup(each).applyInArrow(_global, f"shard long, {lists}, indptr array<int>, indices array<long>, data array<int>")
     return matrix, terms.where(F.col("word").isNotNull()).select("word", "term")
 
 
