@@ -93,8 +93,9 @@ def _told(view: Bytes, framing: int, at: np.ndarray, start: np.ndarray, end: np.
 
 
 def strongest(found: dict[str, np.ndarray], size: int) -> np.ndarray:
-    """Places of the candidates that fit together, taken one by one: safe first, then confidence, then short, then early."""
-    order = np.lexsort((found["framing"], found["start"], found["length"], -found["confidence"], ~found["safe"]))
+    """Places of the candidates that fit together, taken one by one: safe first, then confidence, then short and early texts (without their frame)."""
+    text = found["length"] - found["head"] - (found["framing"] == FRAMINGS.index("null"))
+    order = np.lexsort((found["framing"], found["start"] + found["head"], text, -found["confidence"], ~found["safe"]))
     start = found["start"][order]
     taken, won = bytearray(size), []
     for i, (s, e) in enumerate(zip(start.tolist(), (start + found["length"][order]).tolist(), strict=True)):

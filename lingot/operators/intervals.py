@@ -26,7 +26,8 @@ def exclude_regions(points: DataFrame, regions: DataFrame, group: str, at: str =
 def strongest(candidates: DataFrame, group: str) -> DataFrame:
     """Of overlapping candidates(group, start, length, safe, confidence) the strongest that fit together.
 
-    Order: safe first, then confidence, then short, then early (equal ones once).  As taking them one by one:
+    Order: safe first, then confidence, then short, then early (equal ones once); short and early are told by text_length
+    and text_start where there are such columns, else by the interval.  As taking them one by one:
     each round keeps those that beat every overlapping one that is still there, and drops what they overlap.
     Overlaps are found by blocks; a round needs one range join, and rounds end when nothing is left.
     """
@@ -34,7 +35,7 @@ def strongest(candidates: DataFrame, group: str) -> DataFrame:
 
     rows = candidates.dropDuplicates([group, "start", "length"]) if "framing" not in candidates.columns else candidates.dropDuplicates([group, "start", "length", "framing"])
     ties = ["framing"] if "framing" in candidates.columns else []
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("safe"), F.desc("confidence"), "length", "start", *ties))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("safe"), F.desc("confidence"), *(c if c in candidates.columns else c[5:] for c in ("text_length", "text_start")), *ties))
     live = kept(rows.withColumn("_rank", rank), "intervals")
     out = None
     while not live.isEmpty():
@@ -86,15 +87,15 @@ def framed_candidates(docs: DataFrame, content: str = "content", text: bool = Tr
     return _fields(docs, content, fields.candidates, text)
 
 
-def strongest_fields(docs: DataFrame, content: str = "content") -> DataFrame:
-    """``strongest`` of the framed candidates of each content, found where the content is, without dealing out its candidates."""
+def strongest_fields(docs: DataFrame, content: str = "content", text: bool = False) -> DataFrame:
+    """``strongest`` of the framed candidates of each content, found where the content is, without dealing out its candidates; with their texts on request."""
 
     def pick(data: bytes) -> dict[str, np.ndarray]:
         found = fields.candidates(data)
         won = fields.strongest(found, len(data))
         return {k: v[won] for k, v in found.items()}
 
-    return _fields(docs, content, pick, False)
+    return _fields(docs, content, pick, text)
 
 
 def _joined(data: bytes) -> str:

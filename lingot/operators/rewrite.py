@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import SPACE
+from .splice import frame
 
 
 def _parts(line: Column) -> tuple[Column, Column, Column]:
@@ -46,26 +47,61 @@ def report_counts(items: DataFrame, group: str) -> DataFrame:
     return got.withColumn("ok", F.col("failed") == 0)
 
 
-def validate_rebuild(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """PASS, FAIL or SKIPPED for each expected(doc_id, idx, kind, translation) against the strings found(doc_id, idx, value)."""
-    slot = found.select("doc_id", "idx", F.col("value").alias("_at_slot"))
-    anywhere = found.select("doc_id", F.col("value").alias("translation")).distinct().withColumn("_anywhere", F.lit(True))
-    there = found.select("doc_id").distinct().withColumn("_there", F.lit(True))
-    rows = expected.join(slot, ["doc_id", "idx"], "left").join(anywhere, ["doc_id", "translation"], "left").join(there, "doc_id", "left")
-    checkable = (F.col("kind") == "resource-text") | F.col("kind").startswith("class-string") | F.col("kind").endswith(":safe")
-    status = F.when(~checkable, "SKIPPED").when(F.col("_there").isNull(), "FAIL").when(F.coalesce(F.col("_at_slot").contains(F.col("translation")), F.lit(False)) | F.col("_anywhere").isNotNull(), "PASS").otherwise("FAIL")
-    return rows.select("doc_id", "idx", "translation", status.alias("status"))
+def validate_rebuild(expected: DataFrame, outputs: DataFrame, slots: DataFrame) -> DataFrame:
+    """PASS, FAIL or SKIPPED for each expected(doc_id, idx, kind, translation) against the rebuilt outputs(doc_id, content) and class strings slots(doc_id, idx, value).
+
+    A source that is not there fails all its rows.  A class string must equal a string of its class; a text, and a safe binary
+    field, must stand anywhere in the content, a text in one that is UTF-8; unsafe binary fields and other kinds are skipped.
+    The rows of a source meet its content once, as an array.
+    """
+    rows = expected.groupBy("doc_id").agg(F.collect_list(F.struct("idx", "kind", "translation")).alias("_rows"))
+    values = slots.groupBy("doc_id").agg(F.collect_set("value").alias("_values"))
+    rows = rows.join(outputs.select("doc_id", F.col("content").alias("_content")), "doc_id", "left").join(values, "doc_id", "left")
+    text = F.when(F.is_valid_utf8(F.col("_content").cast("string")), F.col("_content").cast("string"))
+
+    def status(r: Column) -> Column:
+        kind, wanted = r["kind"], r["translation"]
+        held = F.when(kind == "class-string", F.array_contains("_values", wanted)).when(kind == "resource-text", F.contains(text, wanted)).when(kind.startswith("binary:") & ~kind.endswith(":unsafe"), F.contains(F.col("_content"), F.encode(wanted, "utf-8")))
+        tried = (kind == "class-string") | (kind == "resource-text") | (kind.startswith("binary:") & ~kind.endswith(":unsafe"))
+        return F.when(F.col("_content").isNull(), "FAIL").when(~tried, "SKIPPED").when(F.coalesce(held, F.lit(False)), "PASS").otherwise("FAIL")
+
+    told = F.transform("_rows", lambda r: F.struct(r["idx"].alias("idx"), r["kind"].alias("kind"), r["translation"].alias("translation"), status(r).alias("status")))
+    return rows.select("doc_id", F.explode(told).alias("_r")).select("doc_id", "_r.*")
+
+
+#: Characters of a field at most; longer values are cut into several fields, so that none exceeds a 16-bit length in UTF-8.
+FIELD_CHARS = 16_000
+
+
+def cut(lines: DataFrame) -> DataFrame:
+    """lines(doc_id, idx, value) with part: values of more than FIELD_CHARS characters as several; empty ones, which make no field, go."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("value") - 1) / FIELD_CHARS)), lambda k: F.substr(F.col("value"), (k * FIELD_CHARS + 1).cast("int"), F.lit(FIELD_CHARS)))
+    return lines.where("value <> ''").select("doc_id", "idx", F.posexplode(parts).alias("part", "value"))
 
 
 def framed(lines: DataFrame) -> DataFrame:
-    """(doc_id, content, fields): every line as a 16-bit big-endian length and its UTF-8 bytes, one after the other."""
-    data = F.encode("value", "utf-8")
-    short = lines.where((F.octet_length("value") <= 65535) & (F.octet_length("value") >= 1))
-    frame = F.concat(F.unhex(F.lpad(F.hex(F.octet_length("value").cast("long")), 4, "0")), data)
-    got = short.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", frame.alias("frame")))).alias("f"))
+    """(doc_id, content, fields): every value that isn't empty as a 16-bit big-endian length and its UTF-8 bytes, one after the other; long ones are ``cut``."""
+    got = cut(lines).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "part", frame(F.col("value"), F.lit("u16be")).alias("frame")))).alias("f"))
     return got.select("doc_id", F.size("f").alias("fields"), F.unhex(F.array_join(F.transform("f", lambda x: F.hex(x["frame"])), "")).alias("content"))
 
 
+def framed_mixed(lines: DataFrame, between: str = "FFFE01") -> tuple[DataFrame, DataFrame]:
+    """Contents (doc_id, content) of fields in all framings by place, with bytes that are no field between them, and their fields.
+
+    fields(doc_id, idx, start, length, framing, safe, text); a text with a zero character, or too long for 8 bits, has a 16-bit length.
+    """
+    turn = F.col("idx") % 4
+    framing = F.when((turn == 1) & (F.octet_length("value") <= 240), "u8").when(turn == 2, "u16le").when((turn == 3) & ~F.contains("value", F.lit("\0")), "null").otherwise("u16be")
+    rows = cut(lines).withColumn("framing", framing).withColumn("frame", frame(F.col("value"), F.col("framing"))).withColumn("length", F.octet_length("frame"))
+    gap = len(between) // 2
+    order = Window.partitionBy("doc_id").orderBy("idx", "part")
+    before = F.coalesce(F.sum(F.col("length") + gap).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fields = rows.withColumn("start", (before + gap).cast("int"))
+    got = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "part", "frame"))).alias("f"))
+    contents = got.select("doc_id", F.unhex(F.array_join(F.transform("f", lambda x: F.concat(F.lit(between), F.hex(x["frame"]))), "")).alias("content"))
+    return contents, fields.select("doc_id", "idx", "start", "length", "framing", F.lit(True).alias("safe"), F.col("value").alias("text"))
+
+
 _FIELDS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
@@ -90,27 +126,6 @@ def read_chain(frames: DataFrame) -> DataFrame:
     return rows.select("doc_id", "nth", "f.start", "f.length", "f.text")
 
 
-def shifted_plan(fields: DataFrame) -> DataFrame:
-    """Plan of fields(doc_id, start, length, translation or null): status, size change, and how far each field moves.
-
-    One field that overflows its 16-bit length fails every field of its source.
-    """
-    new = F.when(F.col("translation").isNotNull(), F.octet_length("translation")).otherwise(F.col("length"))
-    rows = fields.withColumn("new_length", new).withColumn("_bad", (F.col("new_length") > 65535).cast("int"))
-    failed = F.max("_bad").over(Window.partitionBy("doc_id")) == 1
-    rows = rows.withColumn("status", F.when(F.col("translation").isNull(), "UNCHANGED").when(failed, "FAILED").otherwise("PATCHED"))
-    delta = F.when(F.col("status") == "PATCHED", F.col("new_length") - F.col("length")).otherwise(0)
-    before = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("delta", delta).withColumn("shift", F.coalesce(F.sum("delta").over(before), F.lit(0)).cast("long")).drop("_bad")
-
-
-def spliced(plan: DataFrame) -> DataFrame:
-    """(doc_id, content): contents built anew from a plan with the fields' texts."""
-    text = F.when(F.col("status") == "PATCHED", F.col("translation")).otherwise(F.col("text"))
-    frame = F.concat(F.lpad(F.hex(F.octet_length(text).cast("long")), 4, "0"), F.hex(F.encode(text, "utf-8")))
-    return plan.groupBy("doc_id").agg(F.unhex(F.array_join(F.array_sort(F.collect_list(F.struct("start", frame.alias("x")))).getField("x"), "")).alias("content"))
-
-
 def publishable(archives: DataFrame) -> DataFrame:
     """Adds refused: why an archive (entries array, output, input, changed) may not be published, else null."""
     signed = F.exists("entries", lambda e: F.upper(e).rlike(r"^META-INF/[^/]+\.(?:SF|RSA|DSA|EC)$"))

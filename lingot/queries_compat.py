@@ -12,7 +12,9 @@ from .operators import graph as G
 from .operators import intervals as I
 from .operators import memory as M
 from .operators import rewrite as R
+from .operators import splice as P
 from .operators import strings as S
+from .plans.scratch import kept
 from .queries_text import _PH, KEYED, LINES, TRANSLATED
 from .sources import exchange as X
 from .sources import tables as src
@@ -210,11 +212,17 @@ def a8_patch_counts(spark, sf_dir):
 
 
 def x8_validate_rebuild(spark, sf_dir):
+    """All kinds of expected translations, present and absent ones, against rewritten documents, some of which are missing."""
     docs = src.read(spark, sf_dir, "documents").select("doc_id", "text")
     texts, items = R.rewrite_texts(docs, _patches(spark, sf_dir))
-    found = texts.select("doc_id", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("idx", "value"))
-    checked = R.validate_rebuild(items.where("status = 'PATCHED'").select("doc_id", "idx", F.lit("resource-text").alias("kind"), "translation"), found)
-    return checked.groupBy("doc_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    texts = kept(texts.where("doc_id % 17 <> 3"), "rewritten")
+    kinds = ("resource-text", "binary:u8:safe", "binary:u8:unsafe", "class-string", "deep-text", "binary:null:safe", "class-string")
+    kind = F.get(F.array(*[F.lit(k) for k in kinds]), (F.col("doc_id") + 3 * F.col("idx")).cast("int") % len(kinds))
+    wanted = F.when(F.col("idx") % 5 == 4, F.concat("translation", F.lit("?"))).when(F.col("idx") % 5 == 3, F.substr("translation", F.lit(3), F.lit(12))).otherwise(F.col("translation"))
+    expected = items.where("status = 'PATCHED'").select("doc_id", "idx", kind.alias("kind"), wanted.alias("translation"))
+    slots = texts.select("doc_id", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("idx", "value"))
+    checked = R.validate_rebuild(expected, texts.select("doc_id", F.col("text").cast("binary").alias("content")), slots)
+    return checked.groupBy("doc_id", "kind", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def x9_publish_status(spark, sf_dir):
@@ -245,27 +253,52 @@ def e15_player_texts(spark, sf_dir):
     return I.player_texts(shifted).select("doc_id", "start", "length", F.sha2("text", 256).alias("sha256"))
 
 
-def _plan(spark, sf_dir):
-    fields = R.read_chain(_framed(spark, sf_dir))
-    return R.shifted_plan(fields.withColumn("translation", F.when(F.col("nth") % 3 == 0, F.concat(F.lit("vi "), F.col("text"))).when((F.col("doc_id") % 50 == 7) & (F.col("nth") == 1), F.repeat(F.col("text"), 70000))))
+def _mixed(spark, sf_dir):
+    """Contents with fields in all framings, and patches of them: good ones, some that no longer fit the content, too long ones, unsafe and other kinds."""
+    contents, fields = R.framed_mixed(src.lines(spark, sf_dir).withColumn("value", F.btrim("value")))
+    turn = (F.col("doc_id") + F.col("idx")) % 5
+    lost = (turn == 1) & (F.col("doc_id") % 4 == 1)
+    long = (turn == 4) & (F.col("doc_id") % 50 == 7) & (F.col("framing") == "u8")
+    kind = F.when(turn == 3, "resource-text").otherwise(F.concat_ws(":", F.lit("binary"), "framing", F.when(turn == 2, "unsafe").otherwise("safe")))
+    rows = fields.where((turn == 0) | (turn == 2) | (turn == 3) | lost | long)
+    patches = rows.select("doc_id", (F.col("start") + P.head(F.col("framing"))).alias("offset"), F.when(lost, "gone").otherwise(F.col("text")).alias("text"), kind.alias("kind"), F.when(long, F.repeat(F.lit("x"), F.lit(300))).otherwise(F.concat(F.lit("vi "), F.col("text"))).alias("translation"))
+    return contents, fields, patches
+
+
+def j12_patch_fields(spark, sf_dir):
+    _, fields, patches = _mixed(spark, sf_dir)
+    return P.preflight(patches, fields).groupBy("doc_id").agg(F.count("met").alias("asked"), F.count_if("met").alias("found"))
 
 
 def w5_field_shifts(spark, sf_dir):
-    return _plan(spark, sf_dir).select("doc_id", "nth", "status", "delta", "shift")
+    _, fields, patches = _mixed(spark, sf_dir)
+    return P.edit_plan(P.preflight(patches, fields)).select("doc_id", "offset", "status", "delta", "shift")
 
 
 def w6_transactions(spark, sf_dir):
-    return _plan(spark, sf_dir).groupBy("doc_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    contents, fields, patches = _mixed(spark, sf_dir)
+    plan = P.edit_plan(P.preflight(patches, fields))
+    return P.outcomes(plan, P.spliced(contents, plan)).groupBy("doc_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def x6_spliced(spark, sf_dir):
-    return R.spliced(_plan(spark, sf_dir)).select("doc_id", F.octet_length("content").cast("long").alias("bytes"))
+    contents, fields, patches = _mixed(spark, sf_dir)
+    return P.spliced(contents, P.edit_plan(P.preflight(patches, fields))).select("doc_id", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes"), "ok")
 
 
-def j12_patch_fields(spark, sf_dir):
-    fields = R.read_chain(_framed(spark, sf_dir))
-    asked = src.lines(spark, sf_dir).where("idx % 4 = 0").select("doc_id", F.btrim("value").alias("text")).where("text <> ''").distinct()
-    return asked.join(fields, ["doc_id", "text"], "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("asked"), F.count("start").alias("found"))
+def x6_detected_fields(spark, sf_dir):
+    """The whole job: fields are found at every offset, the safe ones patched, and the new contents searched again for the translations."""
+    contents, _, _ = _mixed(spark, sf_dir)
+    fields = kept(I.strongest_fields(contents, text=True), "detected-fields")
+    offset = (F.col("start") + P.head(F.col("framing"))).alias("offset")
+    patches = fields.where(F.col("safe") & (F.xxhash64("text") % 3 == 0)).select("doc_id", offset, "text", F.concat_ws(":", F.lit("binary"), "framing", F.lit("safe")).alias("kind"), F.concat(F.lit("vi "), F.col("text")).alias("translation"))
+    plan = kept(P.edit_plan(P.preflight(patches, fields)), "edit-plan")
+    results = kept(P.spliced(contents, plan), "spliced")
+    told = P.outcomes(plan, results).groupBy("doc_id").agg(F.count(F.lit(1)).alias("patches"), F.count_if(F.col("status") == "PATCHED").alias("patched"))
+    done = P.outcomes(plan, results).where("status = 'PATCHED'").select("doc_id", F.col("offset").alias("idx"), "kind", "translation")
+    checked = R.validate_rebuild(done, results, src.lines(spark, sf_dir).select("doc_id", "idx", "value").limit(0)).groupBy("doc_id").agg(F.count_if(F.col("status") == "PASS").alias("verified"))
+    sizes = contents.join(results.select("doc_id", F.octet_length("content").alias("_n")), "doc_id").select("doc_id", (F.col("_n") - F.octet_length("content")).cast("long").alias("grown"))
+    return sizes.join(told, "doc_id", "left").join(checked, "doc_id", "left").fillna(0)
 
 
 def e11_framed_candidates(spark, sf_dir):
@@ -478,6 +511,8 @@ LOOSE = KEYED + f""", alike AS (SELECT *, count(*) OVER (PARTITION BY value) AS
     loose AS (SELECT *, CASE WHEN why IS NOT NULL THEN why WHEN old OR pos > min(pos) FILTER (why IS NULL AND fits AND NOT old) OVER (PARTITION BY file_id, target) THEN 'skipped_existing' WHEN NOT fits THEN 'placeholder' ELSE 'imported' END AS outcome FROM checked)"""
 _TURN = "(doc_id + idx) % 12"
 PATCHED = LINES + rf""", l AS (SELECT doc_id, idx, value, trim(value) AS v, {_TURN} AS turn FROM lines), p AS (SELECT *, CASE WHEN (turn = 0 OR turn = 9) AND contains(value, '=') THEN 'FAILED' WHEN turn = 0 OR turn = 9 THEN 'PATCHED' WHEN turn = 3 THEN 'SKIPPED' WHEN turn = 6 THEN 'FAILED' END AS status FROM l)"""
+_PIECES = "w AS (SELECT doc_id, idx, trim(value) AS whole, unnest(range(0, (length(trim(value)) - 1) // 16000 + 1))::INT AS part FROM lines WHERE trim(value) <> ''), v AS (SELECT doc_id, idx, part, substr(whole, part * 16000 + 1, 16000) AS t FROM w)"
+_NEW_LINE = "CASE WHEN status = 'PATCHED' THEN regexp_extract(value, '^( *)', 1) || 'vi ' || v || CASE WHEN v = '' THEN '' ELSE regexp_extract(value, '( *)$', 1) END ELSE value END"
 ORACLE_SQL = {
     "j1_with_translations": f"WITH {TRANSLATED} SELECT doc_id, idx, translation FROM strings LEFT JOIN translations USING (key)",
     "j2_match_by_key": f"WITH RECURSIVE {EXCHANGE} SELECT file_id, count(*) AS rows, count_if(fault = 2 AND NOT chained) AS unknown FROM ex GROUP BY file_id",
@@ -496,11 +531,14 @@ ORACLE_SQL = {
     "x4_upsert": f"WITH {TRANSLATED}, u AS (SELECT key, CASE WHEN doc_id % 3 = 0 THEN '' ELSE trim('new ' || value) END AS t FROM strings WHERE idx % 2 = 0), m AS (SELECT coalesce(u.t, trim(o.translation)) AS translation FROM (SELECT * FROM translations) o FULL JOIN u USING (key)) SELECT translation, count(*) AS n FROM m WHERE translation <> '' GROUP BY translation",
     "w7_slot_conflicts": f"WITH {LINES}, p AS (SELECT source, doc_id % 5 AS slot, substr(value, 1, 3) AS t, first_value(substr(value, 1, 3)) OVER (PARTITION BY source, doc_id % 5 ORDER BY doc_id, idx) AS f FROM lines) SELECT source, slot, count_if(t <> f) AS conflicts FROM p GROUP BY source, slot",
     "a8_patch_counts": f"WITH {PATCHED} SELECT doc_id, count_if(status = 'PATCHED') AS patched, count_if(status = 'SKIPPED') AS skipped, count_if(status = 'FAILED') AS failed, count_if(status = 'FAILED') = 0 AS ok FROM p WHERE status IS NOT NULL GROUP BY doc_id",
-    "x8_validate_rebuild": f"WITH {PATCHED} SELECT doc_id, 'PASS' AS status, count(*) AS n FROM p WHERE status = 'PATCHED' GROUP BY doc_id",
+    "x8_validate_rebuild": f"""WITH {PATCHED}, rebuilt AS (SELECT doc_id, string_agg({_NEW_LINE}, chr(10) ORDER BY idx) AS text FROM p WHERE doc_id % 17 <> 3 GROUP BY doc_id), slots AS (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS values_ FROM rebuilt),
+        wanted AS (SELECT doc_id, idx, (['resource-text', 'binary:u8:safe', 'binary:u8:unsafe', 'class-string', 'deep-text', 'binary:null:safe', 'class-string'])[((doc_id + 3 * idx) % 7 + 1)::INT] AS kind, CASE idx % 5 WHEN 4 THEN 'vi ' || v || '?' WHEN 3 THEN substr('vi ' || v, 3, 12) ELSE 'vi ' || v END AS tr FROM p WHERE status = 'PATCHED')
+        SELECT doc_id, kind, CASE WHEN text IS NULL THEN 'FAIL' WHEN kind IN ('binary:u8:unsafe', 'deep-text') THEN 'SKIPPED' WHEN kind = 'class-string' AND list_contains(values_, tr) THEN 'PASS' WHEN kind <> 'class-string' AND contains(text, tr) THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS n
+        FROM wanted LEFT JOIN rebuilt USING (doc_id) LEFT JOIN slots USING (doc_id) GROUP BY ALL""",
     "x9_publish_status": f"WITH {PATCHED} SELECT doc_id, CASE WHEN count_if(status = 'FAILED') > 0 THEN 'FAIL' WHEN count_if(status = 'SKIPPED') > 0 THEN 'WARNING' ELSE 'PASS' END AS status FROM p WHERE status IS NOT NULL GROUP BY doc_id",
     "x5_rewrite_texts": f"WITH {PATCHED} SELECT doc_id, sha256(string_agg(CASE WHEN status = 'PATCHED' THEN regexp_extract(value, '^( *)', 1) || 'vi ' || v || CASE WHEN v = '' THEN '' ELSE regexp_extract(value, '( *)$', 1) END ELSE value END, chr(10) ORDER BY idx)) AS sha256, FALSE AS rolled_back FROM p GROUP BY doc_id",
     "x7_publishable": f"WITH {ENTRIES} SELECT DISTINCT archive_id, CASE WHEN archive_id % 7 = 0 THEN 'signed' WHEN archive_id % 5 = 0 THEN 'same path' WHEN archive_id % 3 = 0 THEN 'no change' END AS refused FROM entries",
-    "e15_framed_chain": f"WITH {LINES}, v AS (SELECT doc_id, idx, trim(value) AS t FROM lines WHERE strlen(trim(value)) BETWEEN 1 AND 65535), n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1)::INT AS nth, count(*) OVER (PARTITION BY doc_id) AS fields FROM v) SELECT doc_id, nth, strlen(t)::INT AS length, sha256(t) AS sha256 FROM n",
+    "e15_framed_chain": f"WITH {LINES}, {_PIECES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY idx, part) - 1)::INT AS nth, strlen(t)::INT AS length, sha256(t) AS sha256 FROM v",
     "e16_outside_regions": "SELECT user_id, event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events r WHERE r.event_id % 40 = 0 AND r.user_id = e.user_id AND e.event_id * 37 % 50000 >= r.event_id * 91 % 50000 AND e.event_id * 37 % 50000 < r.event_id * 91 % 50000 + 5000)",
     "e18_supplement": f"WITH {LINES}, r AS (SELECT source, doc_id * 1000 + idx AS i FROM lines) SELECT source, count(*) AS n FROM r WHERE i % 3 > 0 OR i % 2 = 0 GROUP BY source",
     "j5_detected_apis": f"WITH {APIS} SELECT archive_id, api, count(*) AS n FROM apis GROUP BY ALL",
@@ -530,10 +568,14 @@ ACTED = ASSESSED + """, names AS (SELECT archive_id, list_sort(list(DISTINCT sou
     CASE WHEN len(unsupported) > 0 THEN array_to_string(unsupported, ', ') WHEN len(coalesce(suspicious, [])) > 0 THEN array_to_string(suspicious[1:5], ', ') WHEN len(conditional) > 0 THEN array_to_string(conditional, ', ') ELSE 'no static blocker' END AS detail
     FROM assessed a LEFT JOIN names USING (archive_id))"""
 _NEXT = "'P' || priority || ' · ' || category || ' · ' || detail"
-FRAMES = LINES + ", v AS (SELECT doc_id, idx, trim(value) AS t FROM lines WHERE strlen(trim(value)) BETWEEN 1 AND 65535), fields AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1)::INT AS nth, strlen(t) AS n FROM v)"
-SHIFTED = FRAMES + """, told AS (SELECT *, CASE WHEN nth % 3 = 0 THEN 'vi ' || t WHEN doc_id % 50 = 7 AND nth = 1 THEN '' END AS tr, CASE WHEN nth % 3 = 0 THEN n + 3 WHEN doc_id % 50 = 7 AND nth = 1 THEN n * 70000 ELSE n END AS wanted FROM fields),
-    status AS (SELECT *, CASE WHEN tr IS NULL THEN 'UNCHANGED' WHEN max(CASE WHEN wanted > 65535 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) = 1 THEN 'FAILED' ELSE 'PATCHED' END AS status FROM told),
-    plan AS (SELECT *, CASE WHEN status = 'PATCHED' THEN wanted - n ELSE 0 END AS delta FROM status)"""
+MIXED = LINES + f""", {_PIECES}, fr AS (SELECT *, strlen(t) AS n, CASE WHEN idx % 4 = 1 AND strlen(t) <= 240 THEN 'u8' WHEN idx % 4 = 2 THEN 'u16le' WHEN idx % 4 = 3 AND NOT contains(t, chr(0)) THEN 'null' ELSE 'u16be' END AS framing FROM v),
+    placed AS (SELECT *, hd + n + tl AS length, (coalesce(sum(hd + n + tl + 3) OVER (PARTITION BY doc_id ORDER BY idx, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 3)::INT AS start FROM (SELECT *, CASE framing WHEN 'u8' THEN 1 WHEN 'null' THEN 0 ELSE 2 END AS hd, CASE framing WHEN 'null' THEN 1 ELSE 0 END AS tl, (doc_id + idx) % 5 AS turn FROM fr)),
+    asked AS (SELECT *, turn = 1 AND doc_id % 4 = 1 AND t <> 'gone' AS lost, turn = 4 AND doc_id % 50 = 7 AND framing = 'u8' AS long FROM placed WHERE turn IN (0, 2, 3) OR (turn = 1 AND doc_id % 4 = 1) OR (turn = 4 AND doc_id % 50 = 7 AND framing = 'u8')),
+    tried AS (SELECT *, turn NOT IN (2, 3) AS tried, CASE WHEN long THEN repeat('x', 300) ELSE 'vi ' || t END AS tr FROM asked),
+    judged AS (SELECT *, CASE WHEN NOT tried THEN 'SKIPPED' WHEN bool_or(tried AND (lost OR (framing = 'u8' AND strlen(tr) > 255) OR (framing LIKE 'u16%' AND strlen(tr) > 65535))) OVER (PARTITION BY doc_id) THEN 'FAILED' ELSE 'READY' END AS status FROM tried),
+    plan AS (SELECT *, CASE WHEN status = 'READY' THEN strlen(tr) - n ELSE 0 END::INT AS delta FROM judged),
+    whole AS (SELECT p.doc_id, p.idx, p.part, p.framing, CASE WHEN q.status = 'READY' THEN q.tr ELSE p.t END AS x FROM placed p LEFT JOIN plan q ON q.doc_id = p.doc_id AND q.start = p.start)"""
+_HEX = "CASE framing WHEN 'u8' THEN printf('%02x', strlen(x)) WHEN 'u16be' THEN printf('%04x', strlen(x)) WHEN 'u16le' THEN printf('%02x%02x', strlen(x) % 256, strlen(x) // 256) ELSE '' END || hex(x) || CASE framing WHEN 'null' THEN '00' ELSE '' END"
 _CHARS = "SELECT DISTINCT lang AS grp, unnest(string_split(text, '')) AS ch FROM documents"
 _COVERED = """lost AS (SELECT grp, ch, ch NOT IN (SELECT ch FROM mapped) AS gone FROM req) SELECT grp, count(*) AS required, coalesce(string_agg(ch, '' ORDER BY ch) FILTER (gone), '') AS missing,
     CASE WHEN (SELECT count(*) FROM mapped) = 0 THEN 'unknown' WHEN bool_or(gone AND ord(ch) > 127) THEN 'high' WHEN bool_or(gone) THEN 'medium' ELSE 'low' END AS risk FROM lost GROUP BY grp"""
@@ -542,10 +584,10 @@ ORACLE_SQL |= {
     "t4_next_action": f"WITH {ACTED} SELECT archive_id, priority::INT AS priority, category FROM acts",
     "x12_compatibility_report": f"WITH {ASSESSED} SELECT archive_id, '{{\"archive_id\":' || archive_id || ',\"compatibility_score\":' || compatibility_score || ',\"runtime_risk\":\"' || runtime_risk || '\",\"startup_classification\":\"' || startup_classification || '\"}}' AS json FROM assessed",
     "x15_recommendation": f"WITH {COMPARED} SELECT archive_id, verdict, CASE WHEN verdict = 'UNCHANGED' THEN 'keep testing on the target' WHEN verdict = 'REGRESSED' AND len(added_unsupported) > 0 THEN array_to_string(added_unsupported, ', ') WHEN verdict = 'IMPROVED' AND len(removed_unsupported) > 0 THEN array_to_string(removed_unsupported, ', ') WHEN (verdict = 'REGRESSED' AND rank_delta > 0) OR (verdict = 'IMPROVED' AND rank_delta < 0) THEN l || ' -> ' || r WHEN verdict = 'MIXED' AND len(added_unsupported) > 0 THEN array_to_string(added_unsupported, ', ') || CASE WHEN len(removed_unsupported) > 0 THEN ' / ' || array_to_string(removed_unsupported, ', ') ELSE '' END ELSE printf('Score delta %+d', score_delta) END AS recommendation FROM judged",
-    "w5_field_shifts": f"WITH {SHIFTED} SELECT doc_id, nth, status, delta::INT AS delta, coalesce(sum(delta) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS shift FROM plan",
-    "w6_transactions": f"WITH {SHIFTED} SELECT doc_id, status, count(*) AS n FROM plan GROUP BY doc_id, status",
-    "x6_spliced": f"WITH {SHIFTED} SELECT doc_id, sum(2 + n + delta)::BIGINT AS bytes FROM plan GROUP BY doc_id",
-    "j12_patch_fields": f"WITH {FRAMES}, asked AS (SELECT DISTINCT doc_id, trim(value) AS t FROM lines WHERE idx % 4 = 0 AND trim(value) <> '') SELECT a.doc_id, count(*) AS asked, count(nth) AS found FROM asked a LEFT JOIN fields f ON f.doc_id = a.doc_id AND f.t = a.t GROUP BY a.doc_id",
+    "w5_field_shifts": f"WITH {MIXED} SELECT doc_id, start + hd AS offset, status, delta, CASE WHEN status = 'READY' THEN coalesce(sum(delta) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE 0 END::BIGINT AS shift FROM plan",
+    "w6_transactions": f"WITH {MIXED} SELECT doc_id, replace(status, 'READY', 'PATCHED') AS status, count(*) AS n FROM plan GROUP BY ALL",
+    "x6_spliced": f"WITH {MIXED}, c AS (SELECT doc_id, unhex(string_agg('FFFE01' || {_HEX}, '' ORDER BY idx, part)) AS content FROM whole GROUP BY doc_id) SELECT doc_id, sha256(content) AS sha256, octet_length(content) AS bytes, TRUE AS ok FROM c",
+    "j12_patch_fields": f"WITH {MIXED} SELECT doc_id, count_if(tried) AS asked, count_if(tried AND NOT lost) AS found FROM tried GROUP BY doc_id",
     "a13_glyph_coverage": f"WITH req AS (SELECT * FROM ({_CHARS}) WHERE ch <> ''), mapped AS (SELECT DISTINCT ch FROM req WHERE grp = 'en'), {_COVERED}",
     "x18_font_coverage": rf"WITH req AS (SELECT * FROM ({_CHARS}) WHERE regexp_full_match(ch, '\p{{L}}')), mapped AS (SELECT DISTINCT ch FROM req WHERE grp = 'en'), {_COVERED}",
 }

@@ -38,6 +38,17 @@ def _told(raw, at, length, framing, good, poor, least=2):
     return [(at, length, framing, good if safe else poor, safe, text)]
 
 
+HEADS = {"null": 0, "u8": 1, "u16be": 2, "u16le": 2}
+
+
+def test_strength_is_told_by_the_text_and_not_its_frame(spark):
+    data = b"\x20\x00" + b"a" * 31 + b" " + b"b" * 32
+    frame = spark.createDataFrame([(1, bytearray(data))], "doc_id long, content binary")
+    assert [(r.start, r.length, r.framing) for r in intervals.strongest_fields(frame).collect()] == [(0, 34, "u16le")]
+    rows = spark.createDataFrame([(1, 0, 34, True, 94, 2, 32), (1, 33, 33, True, 94, 34, 32)], "g int, start int, length int, safe boolean, confidence int, text_start int, text_length int")
+    assert [r.start for r in intervals.strongest(rows, "g").collect()] == [0]
+
+
 def _contents():
     rng = random.Random(3)
     lines = lambda k: [" ".join(rng.choice(["Menu", "größer", "中文字", "go", "😀 ok", "x"]) for _ in range(rng.randint(1, 40))).encode() for _ in range(k)]
@@ -53,7 +64,7 @@ def test_fields_at_every_offset(spark):
     want = []
     for k, v in docs.items():
         free = [True] * len(v)
-        for at, n, framing, confidence, *_ in sorted(_slow(v), key=lambda c: (not c[4], -c[3], c[1], c[0], c[2])):
+        for at, n, framing, confidence, *_ in sorted(_slow(v), key=lambda c: (not c[4], -c[3], len(c[5].encode()), c[0] + HEADS[c[2]], c[2])):
             if all(free[at : at + n]):
                 free[at : at + n] = [False] * n
                 want.append((k, at, n, framing, confidence))
@@ -74,10 +85,20 @@ def test_no_document_is_left_out_for_its_size(spark, tmp_path):
     for name in ("e11_framed_candidates", "e13_strongest_fields", "e14_format_summary", "x6_spliced", "w6_transactions"):
         assert {r.doc_id for r in run(name)} == {1, 2}, name
     assert sorted(r.nth for r in run("e15_framed_chain") if r.doc_id == 1) == list(range(450))
-    assert sum(r.doc_id == 1 for r in run("w5_field_shifts")) == 450
-    assert {(r.doc_id, r.asked, r.found) for r in run("j12_patch_fields")} == {(1, 113, 113), (2, 1, 1)}
-    chain = rewrite.read_chain(rewrite.framed(spark.createDataFrame([(1, 0, "a" * 65535), (1, 1, "b")], "doc_id long, idx int, value string")))
-    assert sorted((r.start, r.length) for r in chain.collect()) == [(0, 65535), (65537, 1)]
+    assert sum(r.doc_id == 1 for r in run("w5_field_shifts")) == 360
+    assert {(r.doc_id, r.asked, r.found) for r in run("j12_patch_fields")} == {(1, 180, 90), (2, 0, 0)}
+
+
+def test_long_values_are_cut_and_none_is_left_out(spark):
+    values = ["é" * 40_000, "", "b", "x" * 65_536, "😀" * 16_001]
+    lines = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "doc_id long, idx int, value string")
+    chain = rewrite.read_chain(rewrite.framed(lines)).orderBy("start").collect()
+    assert "".join(r.text for r in chain) == "".join(values) and max(r.length for r in chain) <= 65_535 and [r.nth for r in chain] == list(range(len(chain)))
+    contents, fields = rewrite.framed_mixed(lines)
+    data = bytes(contents.first().content)
+    rows = fields.orderBy("start").collect()
+    assert "".join(r.text for r in rows) == "".join(values) and sum(r.length + 3 for r in rows) == len(data)
+    assert all(r.text.encode() in data[r.start : r.start + r.length] for r in rows)
 
 
 def _slow_texts(b):
