@@ -92,28 +92,30 @@ def encoded(text: pd.Series, codec: pd.Series) -> pd.Series:
     return pd.Series([one(t, c) for t, c in zip(text, codec, strict=True)], dtype=object)
 
 
+_CJK = re.compile("[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\u31f0-\u31ff\uac00-\ud7af]")
+
+
+def legacy_runs_of(data: bytes, codec: str) -> list[tuple[int, str]]:
+    """Start and text of ``legacy_runs`` of one content."""
+    runs: list[tuple[int, int]] = []
+    for u in re.finditer(UNITS[codec], data):
+        # a unit goes on with the run before it, or begins one where that has 4,096 bytes
+        if runs and runs[-1][1] == u.start() and u.start() - runs[-1][0] < 4096:
+            runs[-1] = (runs[-1][0], u.end())
+        else:
+            runs.append((u.start(), u.end()))
+    out = []
+    for start, end in runs:
+        try:
+            text = data[start:end].decode(codec)
+        except UnicodeError:
+            continue
+        if len(_CJK.findall(text)) >= 2:
+            out.append((start, text))
+    return out
+
+
 @F.pandas_udf(_RUNS)
 def legacy_runs(data: pd.Series, codec: pd.Series) -> pd.Series:
     """(start, text) of the runs of a Chinese codec's units in arbitrary bytes, cut into further runs where they reach 4,096 bytes, that decode and hold two CJK characters."""
-    cjk = re.compile("[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\u31f0-\u31ff\uac00-\ud7af]")
-
-    def one(b: bytes | None, c: str) -> list[dict[str, object]]:
-        out = []
-        runs: list[tuple[int, int]] = []
-        for u in re.finditer(UNITS[c], b or b""):
-            # a unit goes on with the run before it, or begins one where that has 4,096 bytes
-            if runs and runs[-1][1] == u.start() and u.start() - runs[-1][0] < 4096:
-                runs[-1] = (runs[-1][0], u.end())
-            else:
-                runs.append((u.start(), u.end()))
-        for start, end in runs:
-            run = b[start:end]
-            try:
-                text = run.decode(c)
-            except UnicodeError:
-                continue
-            if len(cjk.findall(text)) >= 2:
-                out.append({"start": start, "text": text})
-        return out
-
-    return pd.Series([one(b, c) for b, c in zip(data, codec, strict=True)])
+    return pd.Series([[{"start": s, "text": t} for s, t in legacy_runs_of(b or b"", c)] for b, c in zip(data, codec, strict=True)])

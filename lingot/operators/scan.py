@@ -20,11 +20,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Documents of which the fast pass accepts fewer than ``FEW`` strings get the deep pass, the others keep the fast one.
     """
-    fast = text_strings(docs).withColumn("kind", F.lit("resource-text")).select("doc_id", "source", "idx", "value", "kind")
+    fast = settled(text_strings(docs), "value").withColumn("kind", F.lit("resource-text")).select("doc_id", "source", "idx", "value", "kind")
     fast = kept(accepted(fast, ["doc_id"], ["idx"]).select("doc_id", "source", "idx", "value", "kind", "score"), "fast-strings")
     enough = fast.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEW).select("doc_id")
-    deep = key_value_strings(docs.join(enough, "doc_id", "left_anti")).withColumn("kind", F.lit("deep-text"))
-    deep = accepted(deep.where(looks_human(F.col("value"))).select("doc_id", "source", "idx", "value", "kind"), ["doc_id"], ["idx"])
+    deep = settled(key_value_strings(docs.join(enough, "doc_id", "left_anti")).select("doc_id", "source", "idx", "value", F.lit("deep-text").alias("kind")), "value")
+    deep = accepted(deep.where(looks_human(F.col("value"))), ["doc_id"], ["idx"])
     return fast.join(enough, "doc_id", "left_semi").unionByName(deep.select("doc_id", "source", "idx", "value", "kind", "score"))
 
 

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from .functions import codecs
 from .functions import constants as K
+from .operators import archive_scan as A
 from .operators import graph as G
+from .operators import rewrite as R
 from .operators import scan as J
+from .plans.scratch import kept
 from .queries_compat import _NEXT, _RANK, ACTED, ASSESSED, EDGES, _assessed
 from .queries_text import LINES, TRANSLATED
 from .sources import archives
@@ -107,6 +110,33 @@ def x1_scan(spark, sf_dir):
     return J.scan(src.read(spark, sf_dir, "documents").select("doc_id", "source", "text")).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
 
 
+def _archives(spark, sf_dir):
+    """Archives of eight documents each, written to the shared folder: every kind of member, with texts in several encodings and framings; a third have no known members."""
+    docs = src.read(spark, sf_dir, "documents").select("doc_id", "text")
+    turn = F.col("doc_id") % 8
+    raw = F.encode("text", "utf-8")
+    told = codecs.encoded(F.translate(F.lower("text"), LETTERS, HAN), F.lit("gb18030"))
+    fields, _ = R.framed_mixed(src.lines(spark, sf_dir).where("doc_id % 8 = 2"))
+    docs = docs.join(fields.withColumnRenamed("content", "fields"), "doc_id", "left")
+    content = (
+        F.when(turn == 1, F.encode("text", "UTF-16")).when(turn == 2, F.coalesce("fields", raw)).when(turn == 3, F.concat(F.unhex(F.lit("FF00")), raw, F.unhex(F.lit("00FF"))))
+        .when(turn == 5, F.concat(F.unhex(F.lit("CAFEBABE0003")), raw)).when(turn == 7, told).otherwise(raw)
+    )
+    known, odd = (F.get(F.array(*[F.lit(x) for x in names]), turn.cast("int")) for names in (("txt", "properties", "bin", "dat", "odd", "class", "png", "lang"), ("odd", "odd", "odd", "class", "odd", "class", "png", "odd")))
+    ext = F.when(F.expr("doc_id div 8 % 3") == 2, odd).otherwise(known)
+    rows = docs.select(F.expr("doc_id div 8").alias("archive_id"), turn.alias("pos"), F.concat_ws("", F.lit("res/e"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("source"), content.alias("content"))
+    return kept(archives.pack(rows), "archives")
+
+
+def x1_archive_scan(spark, sf_dir):
+    """The whole scan of archives: members, strings, candidates and counters of each archive."""
+    entries = kept(archives.members(_archives(spark, sf_dir), lambda name, size: archives._reads(name, size, True)), "members")
+    scan = A.scan_archives(entries)
+    best = A.scan_candidates(scan.strings, entries).where("place = 1").select("archive_id", F.col("source").alias("best_source"), "source_type", "candidate_score")
+    kinds = scan.strings.groupBy("archive_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("kinds"), F.sum("score").cast("long").alias("score_sum"))
+    return A.archive_diagnostics(entries, scan).join(kinds, "archive_id", "left").join(best, "archive_id", "left")
+
+
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and f.__name__.isidentifier() and not f.__name__.startswith("_")}
 
 ORACLE_SQL = {
