@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ from .operators import memory as M
 from .operators import rewrite as R
 from .operators import splice as P
 from .operators import strings as S
-from .plans.scratch import kept
+from .operators.publish import publish
+from .plans import versions as V
+from .plans.scratch import kept, scratch_dir
 from .queries_text import _PH, KEYED, LINES, TRANSLATED
 from .sources import exchange as X
 from .sources import tables as src
@@ -158,7 +162,14 @@ def s10_scan_json(spark, sf_dir):
 
 
 def s11_store_summary(spark, sf_dir):
-    return M.store_summary(src.translations(src.strings(spark, sf_dir)))
+    """A store that is saved, changed and saved as a recovery snapshot, as it loads after each."""
+    saved, path = src.translations(src.strings(spark, sf_dir)), f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}"
+    V.commit(spark, path, saved, 1)
+    changed = src.strings(spark, sf_dir).where("doc_id % 5 = 0 and idx % 3 = 0")
+    V.commit(spark, path, changed.where("idx % 2 = 0").select("key", F.concat(F.lit("new "), "value").alias("translation")), 2, gone=changed.where("idx % 2 = 1").select("key"), autosave=True)
+    loaded = [V.load(spark, path, version=n) for n in (1, 2)]
+    rows = [M.store_summary(v.rows).withColumns({"version": F.lit(v.version), "dirty": F.lit(v.dirty), "folders": F.lit(v.folders)}) for v in loaded]
+    return rows[0].unionByName(rows[1])
 
 
 def x2_export(spark, sf_dir):
@@ -226,10 +237,19 @@ def x8_validate_rebuild(spark, sf_dir):
 
 
 def x9_publish_status(spark, sf_dir):
-    """PASS, WARNING or FAIL of every document's rewrite."""
+    """BLOCKED, WARNING, PASS or FAIL of every document's rewrite, and how many bytes of it the published version holds."""
     docs = src.read(spark, sf_dir, "documents").select("doc_id", "text")
-    counts = R.report_counts(R.rewrite_texts(docs, _patches(spark, sf_dir))[1], "doc_id")
-    return counts.select("doc_id", F.when(F.col("failed") > 0, "FAIL").when(F.col("skipped") > 0, "WARNING").otherwise("PASS").alias("status"))
+    lines = src.lines(spark, sf_dir)
+    turn = (F.col("doc_id") + F.col("idx")) % 12
+    told = lines.withColumn("translation", F.when((turn % 3 == 0) & (turn != 3) & (F.col("doc_id") % 9 != 4), F.concat(F.lit("vi "), F.btrim("value"))))
+    counts = told.groupBy(F.col("doc_id").alias("archive_id")).agg(F.count(F.lit(1)).alias("strings"), F.count("translation").alias("translated"))
+    level = F.when(F.col("translated") == 0, "BLOCKED").when(F.col("translated") < F.col("strings"), "WARNING").otherwise("INFO")
+    ready = C.readiness(counts.select("archive_id", level.alias("level"), F.lit("translation").alias("category")), counts).select(F.col("archive_id").alias("doc_id"), "status")
+    expected = told.where("translation is not null").select("doc_id", "idx", "kind", "translation")
+    path = f"{scratch_dir(spark)}/published-{uuid.uuid4().hex}"
+    rows = publish(docs, _patches(spark, sf_dir), expected, ready, path, 1, allow_warnings=F.col("doc_id") % 4 > 0)
+    out = V.load(spark, path, key="doc_id").rows.select("doc_id", F.octet_length("content").cast("long").alias("published_bytes"))
+    return rows.join(out, "doc_id", "left")
 
 
 def x7_publishable(spark, sf_dir):
@@ -523,7 +543,9 @@ ORACLE_SQL = {
     "x3_loose_imports": f"WITH {LOOSE} SELECT file_id, form, outcome, count(*) AS n FROM loose GROUP BY ALL",
     "s8_csv_rows": f"WITH {KEYED} SELECT doc_id, sha256(CASE WHEN idx % 3 = 0 THEN concat_ws('␟', source, kind, idx::VARCHAR, value) ELSE key END) AS key_sha256, 'vi' AS translation FROM strings WHERE idx % 3 < 2",
     "s10_scan_json": f"WITH {LINES} SELECT doc_id, count(*)::INT AS n, arg_min(value, idx) AS first FROM lines GROUP BY doc_id",
-    "s11_store_summary": f"WITH {TRANSLATED} SELECT count(*) AS entries, count(DISTINCT translation) AS distinct_translations FROM translations",
+    "s11_store_summary": f"""WITH {TRANSLATED}, changed AS (SELECT key, idx, value FROM strings WHERE doc_id % 5 = 0 AND idx % 3 = 0),
+        later AS (SELECT key, translation FROM translations WHERE key NOT IN (SELECT key FROM changed) UNION ALL SELECT key, 'new ' || value FROM changed WHERE idx % 2 = 0)
+        SELECT count(*) AS entries, count(DISTINCT translation) AS distinct_translations, 1::BIGINT AS version, FALSE AS dirty, 1 AS folders FROM translations UNION ALL SELECT count(*), count(DISTINCT translation), 2, TRUE, 2 FROM later""",
     "x2_export": f"WITH {KEYED} SELECT doc_id, count(*)::INT AS item_count, sha256(string_agg(sha256(value), '' ORDER BY idx)) AS source_sha256 FROM strings WHERE (doc_id + idx) % 4 <> 0 AND NOT ((doc_id + idx) % 4 = 1 AND trim(value) <> value AND trim(value) <> '') GROUP BY doc_id",
     "w4_duplicates": f"WITH RECURSIVE {EXCHANGE} SELECT file_id, pos FROM valid WHERE outcome = 'duplicate'",
     "x3_validate_import": f"WITH RECURSIVE {EXCHANGE} SELECT file_id, pos, outcome FROM valid",
@@ -535,7 +557,14 @@ ORACLE_SQL = {
         wanted AS (SELECT doc_id, idx, (['resource-text', 'binary:u8:safe', 'binary:u8:unsafe', 'class-string', 'deep-text', 'binary:null:safe', 'class-string'])[((doc_id + 3 * idx) % 7 + 1)::INT] AS kind, CASE idx % 5 WHEN 4 THEN 'vi ' || v || '?' WHEN 3 THEN substr('vi ' || v, 3, 12) ELSE 'vi ' || v END AS tr FROM p WHERE status = 'PATCHED')
         SELECT doc_id, kind, CASE WHEN text IS NULL THEN 'FAIL' WHEN kind IN ('binary:u8:unsafe', 'deep-text') THEN 'SKIPPED' WHEN kind = 'class-string' AND list_contains(values_, tr) THEN 'PASS' WHEN kind <> 'class-string' AND contains(text, tr) THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS n
         FROM wanted LEFT JOIN rebuilt USING (doc_id) LEFT JOIN slots USING (doc_id) GROUP BY ALL""",
-    "x9_publish_status": f"WITH {PATCHED} SELECT doc_id, CASE WHEN count_if(status = 'FAILED') > 0 THEN 'FAIL' WHEN count_if(status = 'SKIPPED') > 0 THEN 'WARNING' ELSE 'PASS' END AS status FROM p WHERE status IS NOT NULL GROUP BY doc_id",
+    "x9_publish_status": f"""WITH {PATCHED}, told AS (SELECT doc_id, idx, CASE WHEN turn IN (0, 6, 9) AND doc_id % 9 <> 4 THEN 'vi ' || v END AS tr, status FROM p),
+        ready AS (SELECT doc_id, CASE WHEN count(tr) = 0 THEN 'BLOCKED' WHEN count(tr) < count(*) AND doc_id % 4 = 0 THEN 'WARNING' END AS held FROM told GROUP BY doc_id),
+        rebuilt AS (SELECT doc_id, string_agg({_NEW_LINE}, chr(10) ORDER BY idx) AS text FROM p GROUP BY doc_id),
+        checks AS (SELECT doc_id, count(tr) AS checked, count_if(NOT contains(text, tr)) AS missing FROM told JOIN rebuilt USING (doc_id) GROUP BY doc_id),
+        counts AS (SELECT doc_id, count_if(status = 'PATCHED') AS patched, count_if(status = 'SKIPPED') AS skipped, count_if(status = 'FAILED') AS failed FROM p GROUP BY doc_id)
+        SELECT doc_id, coalesce(held, CASE WHEN missing > 0 THEN 'FAIL' ELSE 'PASS' END) AS status, CASE WHEN held IS NULL THEN patched ELSE 0 END AS patched, CASE WHEN held IS NULL THEN skipped ELSE 0 END AS skipped, CASE WHEN held IS NULL THEN failed ELSE 0 END AS failed,
+        CASE WHEN held IS NULL THEN checked ELSE 0 END AS checked, CASE WHEN held IS NULL THEN missing ELSE 0 END AS missing, CASE WHEN held IS NULL AND missing = 0 THEN strlen(text) END AS published_bytes
+        FROM ready JOIN rebuilt USING (doc_id) JOIN checks USING (doc_id) JOIN counts USING (doc_id)""",
     "x5_rewrite_texts": f"WITH {PATCHED} SELECT doc_id, sha256(string_agg(CASE WHEN status = 'PATCHED' THEN regexp_extract(value, '^( *)', 1) || 'vi ' || v || CASE WHEN v = '' THEN '' ELSE regexp_extract(value, '( *)$', 1) END ELSE value END, chr(10) ORDER BY idx)) AS sha256, FALSE AS rolled_back FROM p GROUP BY doc_id",
     "x7_publishable": f"WITH {ENTRIES} SELECT DISTINCT archive_id, CASE WHEN archive_id % 7 = 0 THEN 'signed' WHEN archive_id % 5 = 0 THEN 'same path' WHEN archive_id % 3 = 0 THEN 'no change' END AS refused FROM entries",
     "e15_framed_chain": f"WITH {LINES}, {_PIECES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY idx, part) - 1)::INT AS nth, strlen(t)::INT AS length, sha256(t) AS sha256 FROM v",

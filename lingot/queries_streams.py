@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .operators.memory import validate_rows
+from .plans import versions
 from .plans.scratch import scratch_dir
 from .queries_compat import EXCHANGE, _exchange, _existing
 from .queries_logs import EVENTS, ISSUES
@@ -58,9 +59,7 @@ def r4_streamed_import(spark, sf_dir):
     files = spark.readStream.schema(rows.schema).parquet(path)
     query = L.import_stream(files, lambda df: validate_rows(df, strings, existing), store, f"{store}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    got = spark.read.schema("key string, translation string").parquet(f"{store}/v={last}")
-    return got.select(F.sha2("key", 256).alias("key_sha256"), "translation")
+    return versions.load(spark, store).rows.select(F.sha2("key", 256).alias("key_sha256"), "translation")
 
 
 QUERIES = {f.__name__: f for f in (r1_streamed_lines, r2_windowed_counts, r3_exception_sessions, r4_streamed_import)}

@@ -70,16 +70,16 @@ def exception_sessions(log: DataFrame, closes_after_ms: int | None = None) -> Da
 
 
 def import_stream(files: DataFrame, validate: Callable[[DataFrame], DataFrame], store_path: str, checkpoint: str):
-    """Starts a query that validates each batch of exchange rows and upserts what is imported into a versioned store.
+    """Starts a query that validates each batch of exchange rows and writes what is imported as a version of the store (``plans.versions``).
 
-    A version is a folder ``v=<batch>``: a batch that runs again after a failure writes the same version again.
+    A batch writes the rows that it changes; one that runs again after a failure finds its version and writes nothing.  Of several
+    rows of a key in a batch the last by file and place stays; an empty translation deletes.
     """
-    from ..operators.memory import upsert
+    from ..plans import versions
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        good = validate(df).where("outcome = 'imported'").select("key", "translation")
-        old = spark.createDataFrame([], "key string, translation string") if number == 0 else spark.read.parquet(f"{store_path}/v={number - 1}")
-        upsert(old, good).write.mode("overwrite").parquet(f"{store_path}/v={number}")
+        good = validate(df).where("outcome = 'imported'")
+        last = good.groupBy("key").agg(F.max_by(F.trim("translation"), F.struct("file_id", "pos")).alias("translation"))
+        versions.commit(df.sparkSession, store_path, last.where("translation <> ''"), number, gone=last.where("translation = ''"))
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
