@@ -127,6 +127,8 @@ MOST_READ, MOST_DEEP = 16 * 1024 * 1024, 12 * 1024 * 1024
 FLOW_NAMES = ("activate", "activation", "active", "register", "registration", "license", "licence", "unlock", "payment", "billing", "purchase", "pay", "subscribe", "subscription", "sms", "fee", "charge", "premium")
 FLOW_TERMS = ("activate", "activation", "register", "registration", "license", "licence", "unlock", "payment", "billing", "purchase", "subscribe", "subscription", "premium", "charge", "send sms", "sms://", "messageconnection")
 FLOW_CJK = ("激活", "注册", "购买", "付费", "收费", "短信", "订购", "支付", "解锁", "授权")
+CLASS_NAMES = ("activate", "activation", "register", "registration", "license", "licence", "unlock", "pay", "payment", "billing", "purchase", "subscribe", "subscription", "sms", "premium", "charge")
+PAYMENT_NAMES = ("pay", "payment", "billing", "purchase", "subscribe", "subscription", "premium", "charge")
 ACTIVATION_TERMS = ("activate", "activation", "register", "registration", "license", "licence", "unlock", "激活", "注册", "解锁", "授权")
 PAYMENT_TERMS = ("payment", "billing", "purchase", "pay", "subscribe", "subscription", "premium", "charge", "购买", "付费", "收费", "订购", "支付")
 # Evidence of fonts.

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -58,9 +60,78 @@ def shortest_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
 
 
+class Labels(NamedTuple):
+    """levels: for each number of hops the nodes (archive_id, node, root, parent, place) that are first reached then; place orders them."""
+
+    levels: list[DataFrame]
+
+    def table(self) -> DataFrame:
+        """(archive_id, node, root, hops, parent) of every node that is reached."""
+        parts = [level.select("archive_id", "node", "root", F.lit(hops).alias("hops"), "parent") for hops, level in enumerate(self.levels)]
+        return reduce(DataFrame.unionByName, parts)
+
+
+def label(edges: DataFrame, roots: DataFrame) -> Labels:
+    """One label for every node that roots(archive_id, root, place) reach: the nearest root (of several the one of least place) and the node before it.
+
+    All archives and roots go level by level, and a node has one label however many roots reach it.  A candidate is compared with
+    the labels since the edges were last cut only: once these are half as many as the edges left, edges to nodes that have
+    labels go.  Of several nodes before it the one that was itself reached first counts, then the least name.
+    """
+    edges = kept(edges.select("archive_id", F.col("src").alias("node"), "dst").distinct(), "edges")
+    left, recent = edges.count(), 0
+    placed = lambda df, *by: df.withColumn("place", F.row_number().over(Window.partitionBy("archive_id").orderBy(*by)))  # noqa: E731  the nodes of a level of one archive
+    first = roots.groupBy("archive_id", "root").agg(F.min("place").alias("_place"))
+    start = placed(first.select("archive_id", F.col("root").alias("node"), "root", F.lit(None).cast("string").alias("parent"), "_place"), "_place", "node").drop("_place")
+    levels, seen = [kept(start, "labels")], []
+    while True:
+        n = levels[-1].count()
+        if not n:
+            return Labels(levels[:-1] or levels)
+        seen.append(levels[-1].select("archive_id", "node"))
+        recent += n
+        if 2 * recent >= left:
+            told = reduce(DataFrame.union, seen).toDF("archive_id", "dst")
+            edges, seen, recent = kept(edges.join(told, ["archive_id", "dst"], "left_anti").select("archive_id", "node", "dst"), "edges"), [], 0
+            left = edges.count()
+        met = levels[-1].join(edges, ["archive_id", "node"])
+        best = met.groupBy("archive_id", F.col("dst").alias("_dst")).agg(F.min(F.struct("place", "node", "root")).alias("_b"))
+        new = best.select("archive_id", F.col("_dst").alias("node"), "_b.root", F.col("_b.node").alias("parent"), F.col("_b.place").alias("_before"))
+        if seen:
+            new = new.join(reduce(DataFrame.union, seen), ["archive_id", "node"], "left_anti")
+        levels.append(kept(placed(new, "_before", "node").drop("_before"), "labels"))
+
+
+def labelled_paths(labels: Labels, targets: DataFrame) -> DataFrame:
+    """(archive_id, node, root, hops, path) of those targets(archive_id, node) that have a label; paths are followed backwards, and each level is read once."""
+    live = targets.select("archive_id", "node").distinct().join(labels.table().drop("parent"), ["archive_id", "node"])
+    live = kept(live.select("*", F.col("node").alias("_at"), F.array("node").alias("path")), "paths")
+    for hops in range(len(labels.levels) - 1, 0, -1):
+        before = labels.levels[hops].select("archive_id", F.col("node").alias("_at"), F.col("parent").alias("_parent"), F.lit(hops).alias("_hops"))
+        met = live.join(before, (live["archive_id"] == before["archive_id"]) & (live["_at"] == before["_at"]) & (F.size("path") == F.col("hops") - F.col("_hops") + 1), "left")
+        live = met.select(live["archive_id"], "node", "root", "hops", F.coalesce("_parent", live["_at"]).alias("_at"), F.when(F.col("_parent").isNotNull(), F.concat(F.array("_parent"), "path")).otherwise(F.col("path")).alias("path"))
+        if hops % 5 == 0:
+            live = kept(live, "paths")
+    return live.drop("_at")
+
+
+def reachability(edges: DataFrame, roots: DataFrame, suspicious: DataFrame) -> DataFrame:
+    """For suspicious(archive_id, node): root, hops, path, reachable, and of the archive activation_reachable and payment_reachable.
+
+    A class that no root reaches stands with the archive's first root and an empty path, in an archive without roots with an empty name.
+    """
+    paths = labelled_paths(label(edges, roots), suspicious)
+    first = roots.groupBy("archive_id").agg(F.min_by("root", "place").alias("_first"))
+    rows = suspicious.select("archive_id", "node").distinct().join(paths, ["archive_id", "node"], "left").join(first, "archive_id", "left")
+    reachable = F.col("path").isNotNull()
+    rows = rows.select("archive_id", "node", F.coalesce("root", "_first", F.lit("")).alias("root"), "hops", F.coalesce("path", F.array().cast("array<string>")).alias("path"), reachable.alias("reachable"))
+    flags = rows.groupBy("archive_id").agg(F.bool_or("reachable").alias("activation_reachable"), F.bool_or(F.col("reachable") & any_in(F.lower("node"), K.PAYMENT_NAMES)).alias("payment_reachable"))
+    return rows.join(flags, "archive_id")
+
+
 def suspicious_classes(given: DataFrame, nodes: DataFrame) -> DataFrame:
     """(archive_id, node): the given classes and those of the graph's nodes(archive_id, node) whose name hints at activation or payment, once each."""
-    named = nodes.where(any_in(F.lower("node"), K.FLOW_NAMES))
+    named = nodes.where(any_in(F.lower("node"), K.CLASS_NAMES))
     return given.select("archive_id", "node").union(named.select("archive_id", "node")).distinct()
 
 

@@ -467,6 +467,23 @@ def x10_reachability(spark, sf_dir):
     return G.shortest_paths(edges, roots).select("archive_id", "node", "hops")
 
 
+def _named_edges(spark, sf_dir):
+    """Edges of classes of which some are named for payment or messages, and three roots of each archive; some archives have no roots."""
+    node = lambda c: F.concat(F.when(F.substring(c, -1, 1) == "3", "g/Pay").when(F.substring(c, -1, 1) == "4", "g/Sms").otherwise("g/N"), F.substring(c, 4, 9))
+    edges = _edges(spark, sf_dir).select("archive_id", node("src").alias("src"), node("dst").alias("dst"))
+    archives = edges.select("archive_id").distinct().where("archive_id % 5 <> 2")
+    roots = archives.select("archive_id", F.posexplode(F.array(F.lit("g/N41"), F.lit("g/N5"), F.lit("g/N12"))).alias("place", "root"))
+    return edges, roots
+
+
+def x10_best_roots(spark, sf_dir):
+    """The nearest root of every suspicious class, given or told by its name, and what is reachable from the start of the archive."""
+    edges, roots = _named_edges(spark, sf_dir)
+    nodes = edges.select("archive_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    rows = G.reachability(edges, roots, G.suspicious_classes(nodes.where("node like '%8'"), nodes))
+    return rows.select("archive_id", "node", "root", "hops", F.size("path").alias("steps"), "reachable", "activation_reachable", "payment_reachable")
+
+
 def t6_deepest_path(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     roots = edges.select("archive_id").distinct().withColumn("root", F.lit("g/N1"))
@@ -532,6 +549,7 @@ LOOSE = KEYED + f""", alike AS (SELECT *, count(*) OVER (PARTITION BY value) AS
 _TURN = "(doc_id + idx) % 12"
 PATCHED = LINES + rf""", l AS (SELECT doc_id, idx, value, trim(value) AS v, {_TURN} AS turn FROM lines), p AS (SELECT *, CASE WHEN (turn = 0 OR turn = 9) AND contains(value, '=') THEN 'FAILED' WHEN turn = 0 OR turn = 9 THEN 'PATCHED' WHEN turn = 3 THEN 'SKIPPED' WHEN turn = 6 THEN 'FAILED' END AS status FROM l)"""
 _PIECES = "w AS (SELECT doc_id, idx, trim(value) AS whole, unnest(range(0, (length(trim(value)) - 1) // 16000 + 1))::INT AS part FROM lines WHERE trim(value) <> ''), v AS (SELECT doc_id, idx, part, substr(whole, part * 16000 + 1, 16000) AS t FROM w)"
+_NAMED = lambda c: f"CASE right({c}, 1) WHEN '3' THEN 'g/Pay' WHEN '4' THEN 'g/Sms' ELSE 'g/N' END || substr({c}, 4)"
 _NEW_LINE = "CASE WHEN status = 'PATCHED' THEN regexp_extract(value, '^( *)', 1) || 'vi ' || v || CASE WHEN v = '' THEN '' ELSE regexp_extract(value, '( *)$', 1) END ELSE value END"
 ORACLE_SQL = {
     "j1_with_translations": f"WITH {TRANSLATED} SELECT doc_id, idx, translation FROM strings LEFT JOIN translations USING (key)",
@@ -585,6 +603,13 @@ ORACLE_SQL = {
     "x13_compare_reports": f"WITH {COMPARED} SELECT archive_id, score_delta, rank_delta, l <> r AS classification_changed FROM compared",
     "x14_verdict": f"WITH {COMPARED} SELECT archive_id, verdict FROM judged",
     "x10_reachability": f"WITH RECURSIVE {WALK} SELECT archive_id, node, hops FROM reach",
+    "x10_best_roots": f"""WITH RECURSIVE {EDGES}, named AS (SELECT archive_id, {_NAMED('src')} AS src, {_NAMED('dst')} AS dst FROM edges),
+        roots AS (SELECT archive_id, place, (['g/N41', 'g/N5', 'g/N12'])[place + 1] AS root FROM (SELECT DISTINCT archive_id FROM edges WHERE archive_id % 5 <> 2), (SELECT unnest([0, 1, 2]) AS place)),
+        walk AS (SELECT archive_id, place, root AS node, 0 AS hops FROM roots UNION SELECT w.archive_id, w.place, e.dst, w.hops + 1 FROM walk w JOIN named e ON e.archive_id = w.archive_id AND e.src = w.node WHERE w.hops < 14),
+        best AS (SELECT archive_id, node, min(hops) AS hops, arg_min(place, hops * 10 + place) AS place FROM walk GROUP BY ALL),
+        nodes AS (SELECT archive_id, src AS node FROM named UNION SELECT archive_id, dst FROM named), wanted AS (SELECT * FROM nodes WHERE node LIKE '%8' OR node LIKE '%Pay%' OR node LIKE '%Sms%'),
+        told AS (SELECT w.archive_id, w.node, coalesce(r.root, CASE WHEN w.archive_id % 5 <> 2 THEN 'g/N41' ELSE '' END) AS root, hops FROM wanted w LEFT JOIN best b ON b.archive_id = w.archive_id AND b.node = w.node LEFT JOIN roots r ON r.archive_id = b.archive_id AND r.place = b.place)
+        SELECT archive_id, node, root, hops, coalesce(hops + 1, 0)::INT AS steps, hops IS NOT NULL AS reachable, bool_or(hops IS NOT NULL) OVER (PARTITION BY archive_id) AS activation_reachable, bool_or(hops IS NOT NULL AND node LIKE '%Pay%') OVER (PARTITION BY archive_id) AS payment_reachable FROM told""",
     "t6_deepest_path": f"WITH RECURSIVE {WALK} SELECT archive_id, arg_max(node, hops * 1000 + rank) AS node, max(hops) AS hops FROM (SELECT *, dense_rank() OVER (ORDER BY node) AS rank FROM reach) GROUP BY archive_id",
     "x19_path_summary": f"WITH RECURSIVE {WALK} SELECT a.archive_id, CASE WHEN r.hops IS NOT NULL THEN 'Startup reachable in ' || r.hops ELSE 'No static path' END AS summary FROM (SELECT DISTINCT archive_id FROM edges) a LEFT JOIN reach r ON r.archive_id = a.archive_id AND r.node = 'g/N7'",
     "f14_api_summary": f"WITH {APIS}, names(api, api_label) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in K.API_LABELS.items()) + ") SELECT api_label, count(DISTINCT archive_id) AS archives FROM apis JOIN names USING (api) GROUP BY api_label",
