@@ -190,3 +190,14 @@ def diagnose(log: DataFrame, reports: DataFrame) -> DataFrame:
     overlap = F.when(F.size(F.coalesce("primary_startup", F.array().cast("array<string>"))) > 0, F.col("primary_startup")).otherwise(F.col("matched_startup"))
     none = F.lit("none")
     return rows.select("log_id", "probable_cause", F.coalesce("primary_exception", none).alias("primary_exception"), F.coalesce("root_exception", none).alias("root_exception"), "failing_path", "matched_apis", overlap.alias("startup_overlap"), F.coalesce("exceptions", F.lit(0)).alias("exceptions"), F.coalesce("high", F.lit(0)).alias("high"))
+
+
+def history(entries: DataFrame, owner: str, path: list[str], newest: list[str], most: int = 10) -> DataFrame:
+    """entries with place: per owner the ``most`` newest, the first by 1, and of one path only the newest.
+
+    The newest of a path is a maximum, which is summed before it is shuffled; then an owner has one row for each path.
+    """
+    rest = [c for c in entries.columns if c not in (owner, *path)]
+    latest = entries.groupBy(owner, *path).agg(F.max(F.struct(*newest, *[c for c in rest if c not in newest])).alias("_e")).select(owner, *path, "_e.*")
+    place = F.row_number().over(Window.partitionBy(owner).orderBy(*[F.desc(c) for c in newest]))
+    return latest.withColumn("place", place).where(F.col("place") <= most).select(*entries.columns, "place")

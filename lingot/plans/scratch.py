@@ -32,13 +32,3 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Removes tables that ``kept`` wrote and that nothing reads any more."""
-    for table in tables:
-        files = table.inputFiles()
-        if files:
-            spark = table.sparkSession
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -157,6 +157,17 @@ def s8_csv_rows(spark, sf_dir):
     return X.csv_rows(rows).select("doc_id", F.sha2("key", 256).alias("key_sha256"), "translation")
 
 
+def s8_csv_counts(spark, sf_dir):
+    """Rows imported and skipped of a CSV of every document's lines: known and unknown keys, keys made anew, and empty translations."""
+    s = src.strings(spark, sf_dir)
+    turn = F.col("idx") % 4
+    key = F.when(turn == 0, F.lit("")).when(turn == 1, F.concat("key", F.lit("?"))).otherwise(F.col("key"))
+    rows = s.select(F.col("doc_id").alias("file_id"), F.col("idx").alias("pos"), key.alias("key"), "source", "kind", F.col("idx").cast("string").alias("index"), F.col("value").alias("original"), F.when(F.col("idx") % 6 == 2, F.lit(" ")).otherwise(F.concat(F.lit("vi "), "value")).alias("vietnamese"))
+    updates, counts = X.import_csv(rows, s)
+    sizes = updates.groupBy("file_id").agg(F.sum(F.char_length("translation")).cast("long").alias("chars"))
+    return counts.join(sizes, "file_id", "left")
+
+
 def s10_scan_json(spark, sf_dir):
     return X.scan_json(src.lines(spark, sf_dir), ["doc_id", "source"]).select("doc_id", "n", F.get_json_object("json", "$.strings[0].value").alias("first"))
 
@@ -560,6 +571,7 @@ ORACLE_SQL = {
         UNION ALL SELECT -file_id - 1, form, count(*), count(*), 0, NULL, sum(length(original))::BIGINT, count(*) FROM listed GROUP BY file_id, form UNION ALL SELECT -file_id - 1, 'dictionary', count(*), count(*), 0, NULL, sum(length(original))::BIGINT, 0 FROM pairs GROUP BY file_id""",
     "x3_loose_imports": f"WITH {LOOSE} SELECT file_id, form, outcome, count(*) AS n FROM loose GROUP BY ALL",
     "s8_csv_rows": f"WITH {KEYED} SELECT doc_id, sha256(CASE WHEN idx % 3 = 0 THEN concat_ws('␟', source, kind, idx::VARCHAR, value) ELSE key END) AS key_sha256, 'vi' AS translation FROM strings WHERE idx % 3 < 2",
+    "s8_csv_counts": f"WITH {LINES}, c AS (SELECT doc_id, idx, value, idx % 4 IN (2, 3) AND idx % 6 <> 2 AS ok FROM lines) SELECT doc_id AS file_id, count_if(ok) AS imported, count_if(NOT ok) AS skipped, (sum(length(trim('vi ' || value))) FILTER (ok))::BIGINT AS chars FROM c GROUP BY doc_id",
     "s10_scan_json": f"WITH {LINES} SELECT doc_id, count(*)::INT AS n, arg_min(value, idx) AS first FROM lines GROUP BY doc_id",
     "s11_store_summary": f"""WITH {TRANSLATED}, changed AS (SELECT key, idx, value FROM strings WHERE doc_id % 5 = 0 AND idx % 3 = 0),
         later AS (SELECT key, translation FROM translations WHERE key NOT IN (SELECT key FROM changed) UNION ALL SELECT key, 'new ' || value FROM changed WHERE idx % 2 = 0)

@@ -40,6 +40,7 @@ def s13_unsafe_members(spark, sf_dir):
 
 # A character for each letter.
 HAN = "的一是不了人我在有他这中大来上国个到说们为子和你地出"
+TRADITIONAL = "的一是不了人我在有他這中大來上國個到說們為子和你地出"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,6 +52,15 @@ def e4_legacy_runs(spark, sf_dir):
     return rows.select("doc_id", "idx", F.explode(codecs.legacy_runs(data, F.lit("gb18030"))).alias("r")).select("doc_id", "idx", "r.start", "r.text")
 
 
+def e4_big5_runs(spark, sf_dir):
+    """The same lines in Big5, whose characters that it lacks part the runs; found again by kind of run."""
+    told = F.translate(F.regexp_replace(F.lower("value"), "[^a-z]", ""), LETTERS, TRADITIONAL)
+    rows = src.lines(spark, sf_dir).select("doc_id", "idx", told.alias("told")).where(F.char_length("told") >= 2)
+    data = F.concat(F.unhex(F.lit("0001")), codecs.encoded("told", F.lit("big5")), F.unhex(F.lit("00")))
+    found = rows.select("doc_id", "idx", F.explode(codecs.legacy_runs(data, F.lit("big5"))).alias("r"))
+    return found.select("doc_id", "idx", "r.start", "r.text")
+
+
 def e5_best_decoding(spark, sf_dir):
     """The codec chosen for every document, written in UTF-8, UTF-16 or Latin-1 by its number."""
     turn = F.col("doc_id") % 3
@@ -140,6 +150,10 @@ def x1_archive_scan(spark, sf_dir):
 QUERIES = {f.__name__: f for f in list(globals().values()) if callable(f) and getattr(f, "__module__", "") == __name__ and f.__name__.isidentifier() and not f.__name__.startswith("_")}
 
 ORACLE_SQL = {
+    "e4_big5_runs": f"WITH {LINES}, t AS (SELECT doc_id, idx, translate(regexp_replace(lower(value), '[^a-z]', '', 'g'), '{LETTERS}', '{TRADITIONAL}') AS text FROM lines), p AS (SELECT doc_id, idx, unnest(range(0, length(text), 2048)) AS k, text AS t FROM t WHERE length(text) >= 2) SELECT doc_id, idx, (2 + 2 * k)::INT AS start, substr(t, k + 1, 2048) AS text FROM p WHERE length(substr(t, k + 1, 2048)) >= 2",
+    "s1_pruned_entries": "SELECT page_id, page_id % 3 = 0 AND strlen(html) * 400 <= 16777216 AS fast, (page_id % 3 = 0 AND strlen(html) * 400 <= 16777216) OR (page_id % 3 <> 1 AND strlen(html) * 400 BETWEEN 1 AND 12582912) AS deep FROM pages",
+    "s9_wide_rows": f"WITH {TRANSLATED} SELECT doc_id, idx, sha256(key) AS key_sha256, source, 'text' AS source_type, kind, 'utf-8' AS encoding, coalesce(translation, '') AS vietnamese FROM strings LEFT JOIN translations USING (key)",
+    "s13_unsafe_members": "SELECT page_id, page_id % 4 < 2 AS unsafe FROM pages",
     "e4_legacy_runs": f"WITH {LINES}, t AS (SELECT doc_id, idx, translate(regexp_replace(lower(value), '[^a-z]', '', 'g'), '{LETTERS}', '{HAN}') AS text FROM lines), p AS (SELECT doc_id, idx, unnest(range(0, length(text), 2048)) AS k, text AS t FROM t WHERE length(text) >= 2) SELECT doc_id, idx, (2 + 2 * k)::INT AS start, substr(t, k + 1, 2048) AS text FROM p WHERE length(substr(t, k + 1, 2048)) >= 2",
     "s1_pruned_entries": "SELECT page_id, page_id % 3 = 0 AND strlen(html) * 400 <= 16777216 AS fast, (page_id % 3 = 0 AND strlen(html) * 400 <= 16777216) OR (page_id % 3 <> 1 AND strlen(html) * 400 BETWEEN 1 AND 12582912) AS deep FROM pages",
     "s9_wide_rows": f"WITH {TRANSLATED} SELECT doc_id, idx, sha256(key) AS key_sha256, source, 'text' AS source_type, kind, 'utf-8' AS encoding, coalesce(translation, '') AS vietnamese FROM strings LEFT JOIN translations USING (key)",

@@ -94,11 +94,8 @@ def w10_distinct_findings(spark, sf_dir):
 
 def w11_history(spark, sf_dir):
     """Per user the ten newest diagnoses, one for each report path (here: event type and its props)."""
-    from pyspark.sql import Window
-
-    e = src.read(spark, sf_dir, "events")
-    latest = e.withColumn("nth", F.row_number().over(Window.partitionBy("user_id", "event_type", "props").orderBy(F.desc("ts"), F.desc("event_id")))).where("nth = 1")
-    return latest.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).where("place <= 10").select("user_id", "place", "event_id")
+    e = src.read(spark, sf_dir, "events").select("user_id", "event_type", "props", "ts", "event_id")
+    return L.history(e, "user_id", ["event_type", "props"], ["ts", "event_id"]).select("user_id", "place", "event_id")
 
 
 def w12_first_rule(spark, sf_dir):

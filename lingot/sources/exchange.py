@@ -67,6 +67,19 @@ def csv_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.coalesce(F.nullif("key", F.lit("")), made)).withColumn("translation", F.trim(F.coalesce("vietnamese", F.lit("")))).where("translation <> ''")
 
 
+def import_csv(rows: DataFrame, strings: DataFrame, file: str = "file_id", pos: str = "pos") -> tuple[DataFrame, DataFrame]:
+    """(updates, counts) of CSV rows: what each known key gets, the last row of a key within a file, and rows imported and skipped by file.
+
+    Rows without a translation and rows whose key no string has are skipped.
+    """
+    known = strings.select("key").distinct().withColumn("_known", F.lit(True))
+    usable = csv_rows(rows).select(file, pos, "key", "translation").join(known, "key")
+    updates = usable.groupBy(file, "key").agg(F.max_by("translation", pos).alias("translation"))
+    imported = usable.groupBy(file).agg(F.count(F.lit(1)).alias("imported"))
+    counts = rows.groupBy(file).agg(F.count(F.lit(1)).alias("rows")).join(imported, file, "left")
+    return updates, counts.select(file, F.coalesce("imported", F.lit(0)).alias("imported"), (F.col("rows") - F.coalesce("imported", F.lit(0))).alias("skipped"))
+
+
 def write_wide_csv(rows: DataFrame, path: str) -> None:
     """key, source, source_type, score, kind, index, encoding, original, vietnamese."""
     rows.select("key", "source", "source_type", "score", "kind", "index", "encoding", "original", "vietnamese").write.option("header", True).option("quoteAll", True).csv(path)
