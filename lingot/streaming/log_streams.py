@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..functions import constants as K
 from ..operators.logs import classify_lines
@@ -69,6 +70,64 @@ def exception_sessions(log: DataFrame, closes_after_ms: int | None = None) -> Da
     return log.groupBy("log_id").applyInPandasWithState(run, EVENT, "event int, error_type string, caused_by boolean, frames string", "append", GroupStateTimeout.NoTimeout if closes_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
+class _OpenEvents(StatefulProcessor):
+    """The open event of a log, and a timer that closes it after a silence in event time."""
+
+    def __init__(self, silence_ms: int):
+        self.silence_ms = silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "number int, kind string, caused boolean, frames string, last_ms long, line_no int")
+
+    def close(self) -> None:
+        pass
+
+    def _keep(self, number: int, kind: str, caused: bool, frames: str, last_ms: int, line_no: int) -> None:
+        self.open.update((number, kind, caused, frames, last_ms, line_no))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if kind:
+            self.handle.registerTimer(last_ms + self.silence_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        import re
+
+        frame_of, done = re.compile(K.STACK_FRAME), []
+        number, kind, caused, frames, last_ms, seen = self.open.get() if self.open.exists() else (-1, "", False, "", 0, -1)
+        lines = pd.concat(list(rows)).sort_values("line_no")
+        for line_no, line, ts in zip(lines["line_no"].tolist(), lines["line"], lines["ts"], strict=True):
+            at = int(ts.timestamp() * 1000)
+            found = next((t for t in K.ERROR_TYPES if t in line), None)
+            if kind and (found or at - last_ms > self.silence_ms):
+                done.append((key[0], number, kind, caused, frames))
+                kind = ""
+            if found:
+                number, kind, caused, frames = number + 1, found, line.strip().startswith("Caused by:"), ""
+            elif kind and (m := frame_of.match(line)) and m[1] not in frames.split("|"):
+                frames = f"{frames}|{m[1]}" if frames else m[1]
+            last_ms, seen = at, line_no
+        self._keep(number, kind, caused, frames, last_ms, seen)
+        yield pd.DataFrame(done, columns=["log_id", "event", "error_type", "caused_by", "frames"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        number, kind, caused, frames, last_ms, seen = self.open.get()
+        done = [(key[0], number, kind, caused, frames)] if kind else []
+        self.open.update((number, "", False, "", last_ms, seen))
+        yield pd.DataFrame(done, columns=["log_id", "event", "error_type", "caused_by", "frames"])
+
+
+def closing_sessions(log: DataFrame, silence: int = 3_600, late: str = "10 minutes") -> DataFrame:
+    """Exception events of streaming logs (log_id, line_no, line, ts): the next header closes one, and so does a silence of so many seconds of event time.
+
+    After a silence lines attach to nothing until the next header.  A timer on the watermark closes the event of a log that
+    says no more, so nothing stays open for ever; state is one event for each log.  Lines of a log must arrive in the order of line_no across
+    batches.  Needs the RocksDB state store.
+    """
+    stream = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return stream.groupBy("log_id").transformWithStateInPandas(_OpenEvents(silence * 1000), EVENT, "append", "eventtime")
+
+
 def import_stream(files: DataFrame, validate: Callable[[DataFrame], DataFrame], store_path: str, checkpoint: str):
     """Starts a query that validates each batch of exchange rows and writes what is imported as a version of the store (``plans.versions``).
 
