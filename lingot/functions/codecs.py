@@ -61,14 +61,15 @@ def best_decoding(docs: DataFrame, data: str, id_column: str) -> DataFrame:
 
 
 def field_text(data: Column) -> Column:
-    """struct(text, encoding) of a field: strict UTF-8, else UTF-8 islands with two CJK characters, else the best of the Chinese codecs, else ASCII; null without a letter."""
+    """struct(text, encoding) of a field: strict UTF-8, else UTF-8 islands with two CJK characters, else the best of the Chinese codecs, Latin-1 where none of these decodes it, else ASCII; null without a letter."""
     letters = lambda c: c.rlike(r"\p{L}")
     strict = F.try_validate_utf8(data.cast("string"))
     islands = mixed_islands(data)
     best = F.array_max(F.transform(F.filter(decodings(data), lambda d: d["codec"].isin(*LEGACY)), lambda d: F.struct(F.round(quality_score(d["text"]), 9).alias("quality"), (-F.array_position(F.array(*[F.lit(c) for c in LEGACY]), d["codec"])).alias("place"), d["text"].alias("text"), d["codec"].alias("codec"))))
     legacy = F.struct(best["text"].alias("text"), best["codec"].alias("encoding"))
     as_field = lambda text, name: F.struct(text.alias("text"), F.lit(name).alias("encoding"))
-    return F.when(letters(strict), as_field(strict, "utf-8")).when(script_count(islands) >= 2, as_field(islands, "mixed-utf8")).when(letters(legacy["text"]), legacy).when(letters(islands) & islands.rlike(r"^[\x00-\x7f]*$"), as_field(islands, "ascii"))
+    latin = F.decode(data, "ISO-8859-1")
+    return F.when(letters(strict), as_field(strict, "utf-8")).when(script_count(islands) >= 2, as_field(islands, "mixed-utf8")).when(letters(legacy["text"]), legacy).when(best.isNull() & letters(latin), as_field(latin, "latin-1")).when(letters(islands) & islands.rlike(r"^[\x00-\x7f]*$"), as_field(islands, "ascii"))
 
 
 # Units of the Chinese codecs: four bytes, two bytes, or one printable ASCII byte.

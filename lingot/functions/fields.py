@@ -6,6 +6,8 @@ from functools import cache
 
 import numpy as np
 
+from . import legacy
+
 #: Framings by name in order, and of each: bytes of its length, longest text, confidence when safe and when not.
 FRAMINGS = ("null", "u16be", "u16le", "u8")
 KINDS = {"u16be": (2, 4096, 96, 72), "u16le": (2, 4096, 94, 72), "u8": (1, 240, 94, 70)}
@@ -20,7 +22,7 @@ LONGEST = 800
 
 @cache
 def _letters() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+    return legacy.classes()[:-1, 1] > 0
 
 
 def sums(x: np.ndarray) -> np.ndarray:
@@ -57,19 +59,49 @@ class Bytes:
         self.bad = sums(~begins & ~self.inner[:n])
         self.chars = sums(begins)
         self.letters = sums(begins & _letters()[code])
-        self.plain = sums(begins & (a >= 32) & (a != 127))
+        self.texty = sums(((a >= 32) & (a < 127)) | (a == 9) | (a >= 128))
         self.controls = sums((a < 32) & (a != 9) & (a != 10) & (a != 13))
 
     def texts(self, start: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which slices are UTF-8 with a letter and mostly printable, and which of those, with at least so many letters, are safe to rewrite."""
+        """As what each slice is read (by number in legacy.CODECS, -1: no text), and which, with at least so many letters, are safe to rewrite.
+
+        A slice is text if its bytes are mostly printable or high, and it has a letter: as UTF-8, else as the best of the Chinese codecs, or as
+        Latin-1 where none of these decodes it.  Only UTF-8 is safe.
+        """
         letters = self.letters[end] - self.letters[start]
-        chars, plain = self.chars[end] - self.chars[start], self.plain[end] - self.plain[start]
-        ok = (letters > 0) & (self.bad[end] == self.bad[start]) & ~self.inner[start] & ~self.inner[end] & (plain / np.maximum(chars, 1) >= 0.85)
-        return ok, (letters >= least) & (self.controls[end] == self.controls[start])
+        whole = (self.bad[end] == self.bad[start]) & ~self.inner[start] & ~self.inner[end]
+        looks = (self.texty[end] - self.texty[start]) / np.maximum(end - start, 1) >= 0.85
+        codec = np.where(looks & whole & (letters > 0), 0, -1)
+        rest = np.flatnonzero(looks & (codec < 0))
+        if len(rest):
+            codec[rest] = self.other(start[rest], end[rest])
+        return codec, (codec == 0) & (letters >= least) & (self.controls[end] == self.controls[start])
+
+    def other(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The codec of slices that are no UTF-8 with a letter; one before a zero byte may be of any length, and of islands of UTF-8."""
+        return legacy.best_codecs(self.a, start, end)
+
+
+class Chunks(Bytes):
+    """A content whose slices are the stretches between zero bytes, which don't overlap."""
+
+    def __init__(self) -> None:  # its sums are another view's
+        pass
+
+    @classmethod
+    def of(cls, view: Bytes) -> Chunks:
+        chunks = cls()
+        chunks.__dict__ = view.__dict__
+        return chunks
+
+    def other(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        cjk = sums(self.begins & (legacy.classes()[self.code, 2] > 0) & (self.a >= 0x80))
+        mixed = cjk[end] - cjk[start] >= 2
+        return np.array([legacy.MIXED if m else legacy.best_codec(self.a[s:e].tobytes()) for m, s, e in zip(mixed.tolist(), start.tolist(), end.tolist(), strict=True)], dtype=np.int64)
 
 
 def candidates(content: bytes) -> dict[str, np.ndarray]:
-    """start, length (both with the frame), framing (its place in FRAMINGS), head, confidence, safe of every field at every offset."""
+    """start, length (both with the frame), framing (its place in FRAMINGS), head, confidence, safe, codec (in legacy.CODECS) of every field at every offset."""
     view, parts = Bytes(content), []
     b = view.a.astype(np.int32)
     for name, (head, most, good, poor) in KINDS.items():
@@ -81,15 +113,21 @@ def candidates(content: bytes) -> dict[str, np.ndarray]:
     end = np.flatnonzero(view.a == 0)
     at = np.concatenate(([0], end + 1))[:-1]
     at, end = at[end - at >= LEAST], end[end - at >= LEAST]
-    parts.append(_told(view, FRAMINGS.index("null"), at, at, end, end + 1, *NULL, letters=1))
-    keys = ("start", "length", "framing", "head", "confidence", "safe")
-    return {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, dtype=bool if k == "safe" else np.int64) for k in keys}
+    parts.append(_told(Chunks.of(view), FRAMINGS.index("null"), at, at, end, end + 1, *NULL, letters=1))
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
 
 
 def _told(view: Bytes, framing: int, at: np.ndarray, start: np.ndarray, end: np.ndarray, stop: np.ndarray, good: int, poor: int, letters: int = 2) -> dict[str, np.ndarray]:
-    ok, safe = view.texts(start, end, letters)
+    codec, safe = view.texts(start, end, letters)
+    ok = codec >= 0
     at, start, stop, safe = at[ok], start[ok], stop[ok], safe[ok]
-    return {"start": at, "length": stop - at, "framing": np.full(len(at), framing), "head": start - at, "confidence": np.where(safe, good, poor), "safe": safe}
+    return {"start": at, "length": stop - at, "framing": np.full(len(at), framing), "head": start - at, "confidence": np.where(safe, good, poor), "safe": safe, "codec": codec[ok]}
+
+
+def text_of(content: bytes, found: dict[str, np.ndarray], i: int) -> str:
+    """The text of a field that ``candidates`` found."""
+    end = int(found["start"][i] + found["length"][i]) - (found["framing"][i] == FRAMINGS.index("null"))
+    return legacy.read(content[int(found["start"][i] + found["head"][i]) : end], int(found["codec"][i]))
 
 
 def strongest(found: dict[str, np.ndarray], size: int) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import codecs, fields, runs
+from ..functions import codecs, fields, legacy, runs
 from ..functions import constants as K
 from ..functions.language import settled
 from ..functions.text import extension, quality_score, repair_mojibake
@@ -64,8 +64,7 @@ def _fields(data: bytes) -> list[tuple[int, int, str, str, str]]:
     out = []
     for i in won:
         name, start = fields.FRAMINGS[got["framing"][i]], int(got["start"][i] + got["head"][i])
-        text = data[start : int(got["start"][i] + got["length"][i]) - (name == "null")].decode()
-        out.append((0, start, f"binary:{name}:{'safe' if got['safe'][i] else 'unsafe'}", text, "utf-8"))
+        out.append((0, start, f"binary:{name}:{'safe' if got['safe'][i] else 'unsafe'}", fields.text_of(data, got, i), legacy.CODECS[got["codec"][i]]))
     return out or [(0, start, f"binary:{name}:unsafe", text, "ascii" if name == "raw-run" else "legacy") for name, start, text in runs.raw_runs(data)]
 
 

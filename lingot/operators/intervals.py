@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fields
+from ..functions import fields, legacy
 
 WIDTH = 4096
 #: Candidates that are handed back at a time, but for those of one content.
@@ -54,8 +54,8 @@ def strongest(candidates: DataFrame, group: str) -> DataFrame:
 
 def _fields(docs: DataFrame, content: str, pick: Callable[[bytes], dict[str, np.ndarray]], text: bool) -> DataFrame:
     """The fields that ``pick`` finds in each content, a bounded number of rows at a time."""
-    names = ("start", "length", "framing", "confidence", "safe")
-    schema = "doc_id long, start int, length int, framing int, confidence int, safe boolean" + (", text string" if text else "")
+    names = ("start", "length", "framing", "confidence", "safe", "codec")
+    schema = "doc_id long, start int, length int, framing int, confidence int, safe boolean, codec int" + (", text string" if text else "")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -64,8 +64,7 @@ def _fields(docs: DataFrame, content: str, pick: Callable[[bytes], dict[str, np.
                 found = pick(data)
                 part = {"doc_id": np.full(len(found["start"]), doc_id), **{k: found[k] for k in names}}
                 if text:
-                    ends = (found["start"] + found["length"]).tolist()
-                    part["text"] = np.array([data[s:e].removesuffix(b"\x00" if f == 0 else b"").decode() for f, s, e in zip(found["framing"].tolist(), (found["start"] + found["head"]).tolist(), ends, strict=True)], dtype=object)
+                    part["text"] = np.array([fields.text_of(data, found, i) for i in range(len(found["start"]))], dtype=object)
                 parts.append(part)
                 rows += len(found["start"])
                 if rows >= ROWS:
@@ -76,11 +75,15 @@ def _fields(docs: DataFrame, content: str, pick: Callable[[bytes], dict[str, np.
 
     rows = docs.where(F.octet_length(content) >= 3).select("doc_id", F.col(content).alias("content")).mapInPandas(read, schema)
     names_of = F.array(*[F.lit(f) for f in fields.FRAMINGS])
-    return rows.withColumn("framing", F.get(names_of, F.col("framing")))
+    codec_of = F.array(*[F.lit(c) for c in legacy.CODECS])
+    rows = rows.withColumn("framing", F.get(names_of, F.col("framing"))).withColumn("encoding", F.get(codec_of, F.col("codec"))).drop("codec")
+    return rows.select(*[c for c in rows.columns if c != "text"], *(["text"] if text else []))
 
 
 def framed_candidates(docs: DataFrame, content: str = "content", text: bool = True) -> DataFrame:
-    """(doc_id, start, length, framing, confidence, safe, and on request text): every offset read as an 8-bit or 16-bit length before UTF-8 text, and UTF-8 text before a zero byte.
+    """(doc_id, start, length, framing, confidence, safe, encoding, and on request text): every offset read as an 8-bit or 16-bit length before text, and text before a zero byte.
+
+    A text is UTF-8, else what the best of the Chinese codecs makes of it, else Latin-1 (before a zero byte islands of UTF-8 come first).
 
     start and length are those of the whole frame: length field and text, or text and zero byte.
     """

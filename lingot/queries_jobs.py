@@ -83,10 +83,10 @@ def a5_safe_counts(spark, sf_dir):
 
 
 def e19_field_text(spark, sf_dir):
-    """Fields in UTF-8, in islands of it, in GB18030, and in none of these, by their place."""
+    """Fields in UTF-8, in islands of it, in GB18030, in Latin-1 only, and without a letter, by their place."""
     told = codecs.encoded(F.lit("游戏开始"), F.lit("gb18030"))
     turn = F.col("idx") % 4
-    data = F.when(turn == 0, F.encode("value", "utf-8")).when(turn == 1, F.concat(F.unhex(F.lit("ff")), F.encode(F.lit("中文"), "utf-8"))).when(turn == 2, told).otherwise(F.unhex(F.lit("ff0041")))
+    data = F.when(turn == 0, F.encode("value", "utf-8")).when(turn == 1, F.concat(F.unhex(F.lit("ff")), F.encode(F.lit("中文"), "utf-8"))).when(turn == 2, told).when(F.col("idx") % 8 == 3, F.unhex(F.lit("ff0041"))).otherwise(F.unhex(F.lit("d731")))
     got = src.lines(spark, sf_dir).select("doc_id", "idx", codecs.field_text(data).alias("f"))
     return got.groupBy(F.coalesce("f.encoding", F.lit("rejected")).alias("encoding")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -159,7 +159,7 @@ ORACLE_SQL = {
     "s9_wide_rows": f"WITH {TRANSLATED} SELECT doc_id, idx, sha256(key) AS key_sha256, source, 'text' AS source_type, kind, 'utf-8' AS encoding, coalesce(translation, '') AS vietnamese FROM strings LEFT JOIN translations USING (key)",
     "s13_unsafe_members": "SELECT page_id, page_id % 4 < 2 AS unsafe FROM pages",
     "e12_patch_safe": rf"WITH {LINES}, s AS (SELECT doc_id, idx % 4 <> 1 AND NOT regexp_matches(value, '[\x00-\x08\x0b\x0c\x0e-\x1f]') AND len(regexp_extract_all(value, '\p{{L}}')) >= 2 AS safe FROM lines) SELECT doc_id, count_if(safe) AS safe, count_if(NOT safe) AS unsafe FROM s GROUP BY doc_id",
-    "e19_field_text": rf"WITH {LINES}, e AS (SELECT CASE WHEN idx % 4 = 0 AND regexp_matches(value, '\p{{L}}') THEN 'utf-8' WHEN idx % 4 = 1 THEN 'mixed-utf8' WHEN idx % 4 = 2 THEN 'gb18030' ELSE 'rejected' END AS encoding FROM lines) SELECT encoding, count(*) AS n FROM e GROUP BY encoding",
+    "e19_field_text": rf"WITH {LINES}, e AS (SELECT CASE WHEN idx % 4 = 0 AND regexp_matches(value, '\p{{L}}') THEN 'utf-8' WHEN idx % 4 = 1 THEN 'mixed-utf8' WHEN idx % 4 = 2 THEN 'gb18030' WHEN idx % 8 = 3 THEN 'latin-1' ELSE 'rejected' END AS encoding FROM lines) SELECT encoding, count(*) AS n FROM e GROUP BY encoding",
     "f10_entry_points": "SELECT DISTINCT m.o_orderkey % 40 AS archive_id, 'g.C' || (m.o_custkey % 30) AS root FROM orders m JOIN orders c ON c.o_orderkey % 40 = m.o_orderkey % 40 AND 'g.C' || (m.o_custkey % 30) = 'g.C' || (c.o_custkey % 7) WHERE m.o_orderkey % 20 < 10 AND c.o_orderkey % 20 < 10",
     "j7_reference_edges": f"WITH {EDGES} SELECT archive_id, src, dst FROM edges",
 }

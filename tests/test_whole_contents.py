@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+
 from lingot import queries
+from lingot.functions import legacy
 from lingot.operators import graph, intervals, rewrite
 
 
@@ -26,16 +29,66 @@ def _slow(b):
     return out
 
 
-def _told(raw, at, length, framing, good, poor, least=2):
+def _quality(text):
+    n, cjk = len(text), re.compile("[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\u31f0-\u31ff\uac00-\ud7af]")
+    if not n:
+        return -10.0
+    share = lambda f: sum(map(f, text)) / n
+    return share(lambda c: c.isprintable() or c in "\t\r\n") * 1.2 + share(str.isalpha) * 0.6 + share(lambda c: bool(cjk.match(c))) * 0.9 - share(lambda c: ord(c) < 32 and c not in "\t\r\n") * 1.7 - share(lambda c: c == "\ufffd") * 3 - share(lambda c: c in "ÃÂæçåéðï¤¦¥\x81\x9c") * 0.9 - share(lambda c: c == "\0") * 1.2
+
+
+def _repaired(text):
+    best, score = text, _quality(text)
+    for codec in ("latin-1", "cp1252") if any(c in "ÃÂæçåéðï¤¦¥\x81\x9c" for c in text) else ():
+        try:
+            other = text.encode(codec).decode()
+        except UnicodeError:
+            continue
+        if _quality(other) > score + 0.08:
+            best, score = other, _quality(other)
+    return best
+
+
+def _islands(raw):
+    out, i, told = "", 0, False
+    while i < len(raw):
+        width = 2 if 0xC2 <= raw[i] <= 0xDF else 3 if 0xE0 <= raw[i] <= 0xEF else 4 if 0xF0 <= raw[i] <= 0xF4 else 0
+        try:
+            char = raw[i : i + width].decode() if width and i + width <= len(raw) else ""
+        except UnicodeDecodeError:
+            char = ""
+        out, i, told = out + (char or chr(raw[i])), i + (width if char else 1), told or bool(char)
+    return out, told
+
+
+def _read(raw, mixed):
+    """The text of a field and as what it was read."""
     try:
-        text = raw.decode()
+        if any(c.isalpha() for c in raw.decode()):
+            return raw.decode(), "utf-8"
     except UnicodeDecodeError:
+        pass
+    text, told = _islands(raw)
+    if mixed and told and len(re.findall("[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\u31f0-\u31ff\uac00-\ud7af]", text)) >= 2:
+        return text, "mixed-utf8-binary"
+    found = []
+    for codec in ("gb18030", "gbk", "big5"):
+        try:
+            found.append((_repaired(raw.decode(codec)), codec))
+        except UnicodeDecodeError:
+            continue
+    text, codec = max(found, key=lambda f: round(_quality(f[0]), 9)) if found else (raw.decode("latin-1"), "latin-1")
+    return (text, codec) if any(c.isalpha() for c in text) else (None, None)
+
+
+def _told(raw, at, length, framing, good, poor, least=2):
+    if sum(32 <= b < 127 or b == 9 or b >= 128 for b in raw) / len(raw) < 0.85:
         return []
-    letters = sum(c.isalpha() for c in text)
-    if not letters or sum(c >= " " and c != "\x7f" for c in text) / len(text) < 0.85:
+    text, codec = _read(raw, framing == "null")
+    if text is None:
         return []
-    safe = letters >= least and not any(c < " " and c not in "\t\n\r" for c in text)
-    return [(at, length, framing, good if safe else poor, safe, text)]
+    safe = codec == "utf-8" and sum(c.isalpha() for c in text) >= least and not any(c < " " and c not in "\t\n\r" for c in text)
+    return [(at, length, framing, good if safe else poor, safe, codec, text)]
 
 
 HEADS = {"null": 0, "u8": 1, "u16be": 2, "u16le": 2}
@@ -49,33 +102,58 @@ def test_strength_is_told_by_the_text_and_not_its_frame(spark):
     assert [r.start for r in intervals.strongest(rows, "g").collect()] == [0]
 
 
+def _chinese(rng):
+    """Records in Chinese codecs, in islands of UTF-8 and wrongly decoded text, with odd bytes between."""
+    words = ["游戏开始", "新游戏", "退出", "中文字", "é", "Ã©t", "go 12", "的一是不了人我在有他这中大来上国"]
+    out = b""
+    for i in range(120):
+        text = "".join(rng.choice(words) for _ in range(rng.randint(1, 12)))
+        codec = ("gb18030", "gbk", "big5", "utf-8")[i % 4]
+        raw = text.encode(codec, "ignore") + ("\u4e02\U00020000".encode("gb18030") if i % 5 == 0 else b"")
+        raw = b"\x01\x88" + raw if i % 7 == 0 else raw
+        out += (bytes([min(len(raw), 255)]) if i % 3 == 0 else len(raw).to_bytes(2, "big") if i % 3 == 1 else b"") + raw + (b"\0" if i % 3 == 2 else b"")
+    return out
+
+
 def _contents():
     rng = random.Random(3)
     lines = lambda k: [" ".join(rng.choice(["Menu", "größer", "中文字", "go", "😀 ok", "x"]) for _ in range(rng.randint(1, 40))).encode() for _ in range(k)]
     framed = lambda k: b"".join(len(x).to_bytes(2, "big") + x for x in lines(k))
-    return {1: framed(3), 2: framed(40), 3: bytes(rng.randrange(256) for _ in range(3000)) + framed(2), 4: b"\x03abc\xed\xa0\x80\x04ab\xf4\x90\x80\x80\x05hello\x04caf\xc3", 5: b"ab", 6: framed(2) + b"Start\x00" + bytes(9) + b"\xc3\x00Quit\x00caf\xc3\xa9\x00end"}
+    return {1: framed(3), 2: framed(40), 3: bytes(rng.randrange(256) for _ in range(3000)) + framed(2), 4: b"\x03abc\xed\xa0\x80\x04ab\xf4\x90\x80\x80\x05hello\x04caf\xc3", 5: b"ab", 6: framed(2) + b"Start\x00" + bytes(9) + b"\xc3\x00Quit\x00caf\xc3\xa9\x00end", 7: _chinese(rng)}
 
 
 def test_fields_at_every_offset(spark):
     docs = _contents()
     frame = spark.createDataFrame([(k, bytearray(v)) for k, v in docs.items()], "doc_id long, content binary")
-    got = sorted((r.doc_id, r.start, r.length, r.framing, r.confidence, r.safe, r.text) for r in intervals.framed_candidates(frame).collect())
+    got = sorted((r.doc_id, r.start, r.length, r.framing, r.confidence, r.safe, r.encoding, r.text) for r in intervals.framed_candidates(frame).collect())
     assert got == sorted((k, *c) for k, v in docs.items() for c in _slow(v)) and len(got) > 1000
     want = []
     for k, v in docs.items():
         free = [True] * len(v)
-        for at, n, framing, confidence, *_ in sorted(_slow(v), key=lambda c: (not c[4], -c[3], len(c[5].encode()), c[0] + HEADS[c[2]], c[2])):
+        for at, n, framing, confidence, *_ in sorted(_slow(v), key=lambda c: (not c[4], -c[3], c[1] - HEADS[c[2]] - (c[2] == "null"), c[0] + HEADS[c[2]], c[2])):
             if all(free[at : at + n]):
                 free[at : at + n] = [False] * n
                 want.append((k, at, n, framing, confidence))
     assert sorted((r.doc_id, r.start, r.length, r.framing, r.confidence) for r in intervals.strongest_fields(frame).collect()) == sorted(want)
 
 
+def test_slices_of_several_windows(monkeypatch):
+    rng = random.Random(8)
+    data = b"".join(_chinese(rng) + bytes(rng.randrange(256) for _ in range(500)) for _ in range(3))
+    a = np.frombuffer(data, dtype=np.uint8)
+    start = np.array([rng.randrange(len(data) - 5) for _ in range(3000)])
+    end = np.minimum(start + np.array([rng.choice([3, 5, 40, 240, 4096]) for _ in start]), len(data))
+    want = [legacy.best_codec(data[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+    assert legacy.best_codecs(a, start, end).tolist() == want and set(want) >= {-1, 1, 3, 4} - {-1}
+    monkeypatch.setattr(legacy, "WINDOW", 700)
+    assert legacy.best_codecs(a, start, end).tolist() == want
+
+
 def test_texts_before_a_zero_byte(spark):
     frame = spark.createDataFrame([(1, bytearray(b"\x01\x02\x03Start\x00ab\x00Quit\x00caf\xc3\xa9\x00end"))], "doc_id long, content binary")
-    got = {(r.start, r.length, r.text, r.confidence, r.safe) for r in intervals.framed_candidates(frame).collect() if r.framing == "null"}
+    got = {(r.start, r.length, r.text, r.confidence, r.safe) for r in intervals.framed_candidates(frame).where("safe").collect() if r.framing == "null"}
     assert got == {(12, 5, "Quit", 82, True), (17, 6, "café", 82, True)}
-    assert {r.framing for r in intervals.strongest_fields(frame).collect()} == {"null", "u8"}
+    assert {r.framing for r in intervals.strongest_fields(frame).where("safe").collect()} == {"null", "u8"}
 
 
 def test_no_document_is_left_out_for_its_size(spark, tmp_path):
