@@ -49,10 +49,13 @@ def _local(batches: Iterator[pa.RecordBatch], shard_bytes: int, measure: Measure
             entry, count = np.unique(owner * size + told.indices.to_numpy(), return_counts=True)
             ends = np.searchsorted(entry, np.arange(rows.num_rows + 1) * size)
             lists = [pa.array([x], pa.list_(kind)) for x, kind in ((ends, pa.int32()), (entry % size, pa.int32()), (count, pa.int32()))]
-            held = {c: rows.column(c) for c in carried} | measure(*joined_bytes(rows.column("_text")))
+            column = rows.column("_text")
+            told_of = [measure(*joined_bytes(column.slice(p.start, p.stop - p.start))) for p in byte_slices(column)]
+            held = {c: rows.column(c) for c in carried} | {c: pa.concat_arrays([t[c] for t in told_of]) for c in told_of[0]}
             columns = [pa.ListArray.from_arrays([0, len(c)], c) for c in (*held.values(), told.dictionary)]
             yield pa.RecordBatch.from_arrays([pa.array([base + n]), *columns[:-1], *lists, columns[-1]], ["shard", *held, "indptr", "indices", "data", "words"])
             n += 1
+    pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +122,7 @@ def row_counts(matrix: DataFrame, carried: list[str]) -> DataFrame:
 def _marked(buf: np.ndarray, begins: np.ndarray) -> dict[str, pa.Array]:
     """Bits of the filters C and D that the texts at ``begins`` fail."""
     def count(which: np.ndarray) -> np.ndarray:
-        return np.diff(np.concatenate(([0], np.cumsum(which)))[begins])
+        return np.diff(np.concatenate(([0], np.cumsum(which, dtype=np.int32)))[begins])
 
     is_mark = np.zeros(256, dtype=bool)
     is_mark[list(MARKS)] = True

@@ -164,18 +164,22 @@ def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, ends - ends[0]
 
 
-def words_of(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """The row of each word of a binary column without nulls, and the words themselves, in order."""
-    buf, begins = joined_bytes(column)
-    if not len(buf):
-        return np.zeros(0, dtype=np.int64), pa.array([], pa.binary())
-    inside = ~_IS_SPACE[buf]
-    opens = inside.copy()
-    opens[1:] &= ~inside[:-1]
-    new = begins[:-1][np.diff(begins) > 0]
-    opens[new] = inside[new]
-    starts = np.flatnonzero(opens)
-    squeezed = np.cumsum(inside, dtype=np.int64)
-    offsets = np.append(squeezed[starts] - 1, squeezed[-1]).astype(np.int32)
-    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf[inside])])
-    return np.searchsorted(begins, starts, side="right") - 1, words
+def words_of(column: pa.Array, most: int = BATCH_BYTES) -> tuple[np.ndarray, pa.Array]:
+    """The row of each word of a binary column without nulls, and the words themselves, in order; about ``most`` bytes are looked at at once."""
+    owners, words = [], []
+    for part in byte_slices(column, most):
+        buf, begins = joined_bytes(column.slice(part.start, part.stop - part.start))
+        if not len(buf):
+            continue
+        inside = ~_IS_SPACE[buf]
+        opens, closes = inside.copy(), inside.copy()  # where a word begins and ends: at white space, and at the edge of a value
+        opens[1:] &= ~inside[:-1]
+        closes[:-1] &= ~inside[1:]
+        new = begins[:-1][np.diff(begins) > 0]
+        opens[new] = inside[new]
+        closes[new[1:] - 1] = inside[new[1:] - 1]
+        starts = np.flatnonzero(opens)
+        offsets = np.concatenate(([0], np.cumsum(np.flatnonzero(closes) + 1 - starts))).astype(np.int32)
+        words.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf[inside])]))
+        owners.append(np.searchsorted(begins, starts, side="right") - 1 + part.start)
+    return (np.concatenate(owners), pa.concat_arrays(words)) if words else (np.zeros(0, dtype=np.int64), pa.array([], pa.binary()))
