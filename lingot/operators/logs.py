@@ -37,7 +37,7 @@ def frequencies(issues: DataFrame) -> DataFrame:
     return issues.select(kinds).select("k.*").where("name <> ''").groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n")).orderBy("kind", F.desc("n"), "name")
 
 
-#: Characters at the beginning of a needle that are joined before the whole needle is looked for.
+#: Characters of a needle that are joined before the whole needle is looked for.
 _ANCHOR = 8
 
 
@@ -49,22 +49,32 @@ def _runs(text: str, lengths: list[int]) -> Column:
     return F.array_distinct(F.flatten(F.array_compact(F.array(F.array().cast("array<string>"), *found))))
 
 
+def _name_anchors(paths: DataFrame) -> DataFrame:
+    """(_name, _rarest): of every name of _ANCHOR characters and more the run of so many that fewest names have, so that names that begin alike part."""
+    names = paths.select("_name").where(F.char_length("_name") >= _ANCHOR).distinct()
+    runs = names.select("_name", F.explode(_runs("_name", [_ANCHOR])).alias("_run"))
+    rarity = runs.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    least = runs.join(rarity, "_run").groupBy("_name").agg(F.min(F.struct("_n", "_run")).alias("_least"))
+    return least.select("_name", F.col("_least._run").alias("_rarest"))
+
+
 def patched_sources(issues: DataFrame, sources: DataFrame) -> DataFrame:
     """issues x sources(path) where the resource or class is in the path, or the path or its base name in the line.
 
-    One equality join on the first characters of what is looked for (up to eight; fewer only where it is shorter) and all
-    such runs of what it is looked for in: base names in lines (rule 0; a line that holds a path holds its base name),
-    resources and class names in paths (1, 2).  The whole is tested on what meets, and a pair stays with its first rule,
+    One equality join on eight characters of what is looked for (fewer only where it is shorter) and all
+    such runs of what it is looked for in: base names, by their rarest run, in lines (rule 0; a line that holds a path holds its base name),
+    resources and class names, by their first characters, in paths (1, 2).  The whole is tested on what meets, and a pair stays with its first rule,
     so rows that repeat stay as often as they are.  Nulls hold nothing; an empty base name is in every line.
     """
     paths = sources.withColumn("_path", F.lower("path")).withColumn("_name", F.element_at(F.split("_path", "/"), -1))
+    paths = paths.join(_name_anchors(paths), "_name", "left").withColumn("_anchor", F.coalesce("_rarest", "_name")).drop("_rarest")
     told = F.when(F.col("class_name") != "", F.concat(F.lower(F.element_at(F.split("class_name", "/"), -1)), F.lit(".class")))
     rows = issues.withColumns({"_line": F.lower("line"), "_resource": F.when(F.col("resource") != "", F.lower("resource")), "_class": told})
     at = lambda rule: lambda run: F.struct(F.lit(rule).alias("_rule"), run.alias("_run"))
     anchor = lambda rule, needle: F.when(F.col(needle).isNotNull(), at(rule)(F.substring(needle, 1, _ANCHOR)))
     lengths = sorted(r[0] for r in paths.where("_name is not null").select(F.least(F.char_length("_name"), F.lit(_ANCHOR))).distinct().collect())  # nine numbers at most
     of_issue = F.concat(F.transform(_runs("_line", lengths), at(0)), F.array(anchor(1, "_resource"), anchor(2, "_class")))
-    of_path = F.concat(F.array(anchor(0, "_name")), F.transform(_runs("_path", [*range(1, _ANCHOR + 1)]), at(1)), F.transform(_runs("_path", [*range(len(".class"), _ANCHOR + 1)]), at(2)))
+    of_path = F.concat(F.array(anchor(0, "_anchor")), F.transform(_runs("_path", [*range(1, _ANCHOR + 1)]), at(1)), F.transform(_runs("_path", [*range(len(".class"), _ANCHOR + 1)]), at(2)))
     met = rows.select("*", F.inline(F.array_compact(of_issue))).join(paths.select("*", F.inline(F.array_compact(of_path))), ["_rule", "_run"])
     by_name, by_resource = F.contains(F.col("_line"), F.col("_name")), F.contains(F.col("_path"), F.col("_resource"))
     no = lambda c: ~F.coalesce(c, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
-from lingot.operators.logs import patched_sources
+from lingot.operators.logs import _name_anchors, patched_sources
 
 
 def _hit(line, cls, resource, path):
@@ -39,3 +39,11 @@ def test_patched_sources_joins_on_equality(spark):
     log = spark.createDataFrame([(1, "res/a.png", "", "")], "log_id int, line string, class_name string, resource string")
     plan = patched_sources(log, spark.createDataFrame([("res/a.png",)], "path string"))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_names_that_begin_alike_part(spark):
+    names = [f"icon_of_the_game_{i:03}.png" for i in range(300)]
+    paths = spark.createDataFrame([(n,) for n in names] + [("short",), (None,)], "_name string")
+    got = {r._name: r._rarest for r in _name_anchors(paths).collect()}
+    assert set(got) == set(names) and all(a in n and len(a) == 8 for n, a in got.items())
+    assert max(Counter(got.values()).values()) == 1
