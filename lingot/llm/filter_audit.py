@@ -36,6 +36,26 @@ MARKS = b"#$%&*|"
 Measure = Callable[[np.ndarray, np.ndarray], dict[str, pa.Array]]
 
 
+def _compressed(texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """The distinct words of texts, and counts of them by text as indptr, indices, data; counted for some texts at a time."""
+    owners, words = [], []
+    for owner, part in words_of(texts):
+        owners.append(owner.astype(np.int32))
+        words.append(part)
+    told = (pa.concat_arrays(words) if words else pa.array([], pa.binary())).dictionary_encode()
+    del words
+    size, at, entries, counts, each = max(1, len(told.dictionary)), 0, [], [], np.zeros(len(texts) + 1, dtype=np.int64)
+    for owner in owners:
+        entry, count = np.unique(owner.astype(np.int64) * size + told.indices[at : at + len(owner)].to_numpy(), return_counts=True)
+        at += len(owner)
+        row = entry // size
+        each[1:] += np.bincount(row, minlength=len(texts))
+        entries.append((entry - row * size).astype(np.int32))
+        counts.append(count.astype(np.int32))
+    joined = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32))
+    return told.dictionary, pa.array(np.cumsum(each).astype(np.int32)), joined(entries), joined(counts)
+
+
 def _local(batches: Iterator[pa.RecordBatch], shard_bytes: int, measure: Measure) -> Iterator[pa.RecordBatch]:
     """A shard a row: what was carried of its documents, and counts of words in compressed sparse form over the words listed."""
     base, n = TaskContext.get().partitionId() << 32, 0
@@ -43,19 +63,14 @@ def _local(batches: Iterator[pa.RecordBatch], shard_bytes: int, measure: Measure
         carried = [c for c in b.schema.names if c != "_text"]
         for part in byte_slices(b.column("_text"), shard_bytes):
             rows = b.slice(part.start, part.stop - part.start)
-            owner, words = words_of(rows.column("_text"))
-            told = words.dictionary_encode()
-            size = max(1, len(told.dictionary))
-            entry, count = np.unique(owner * size + told.indices.to_numpy(), return_counts=True)
-            ends = np.searchsorted(entry, np.arange(rows.num_rows + 1) * size)
-            lists = [pa.array([x], pa.list_(kind)) for x, kind in ((ends, pa.int32()), (entry % size, pa.int32()), (count, pa.int32()))]
+            dictionary, *lists = _compressed(rows.column("_text"))
             column = rows.column("_text")
             told_of = [measure(*joined_bytes(column.slice(p.start, p.stop - p.start))) for p in byte_slices(column)]
             held = {c: rows.column(c) for c in carried} | {c: pa.concat_arrays([t[c] for t in told_of]) for c in told_of[0]}
-            columns = [pa.ListArray.from_arrays([0, len(c)], c) for c in (*held.values(), told.dictionary)]
-            yield pa.RecordBatch.from_arrays([pa.array([base + n]), *columns[:-1], *lists, columns[-1]], ["shard", *held, "indptr", "indices", "data", "words"])
+            columns = {**held, "indptr": lists[0], "indices": lists[1], "data": lists[2], "words": dictionary}
+            yield pa.RecordBatch.from_arrays([pa.array([base + n]), *(pa.ListArray.from_arrays([0, len(c)], c) for c in columns.values())], ["shard", *columns])
             n += 1
-    pa.default_memory_pool().release_unused()  # a worker lives on after its task
+    pa.default_memory_pool().release_unused()
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,6 +88,10 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("_at"), pa.array(np.full(len(word), here, dtype=np.int32)), pa.array(number), pc.if_else(pa.array(new), word, pa.scalar(None, word.type))], ["shard", "_at", "_part", "_number", "word"])
 
 
+def _same(shard: pa.Table) -> pa.Table:
+    return shard
+
+
 def _global(shard: pa.Table, terms: pa.Table) -> pa.Table:
     """A shard with the dictionary's numbers in the place of its own."""
     of = np.zeros(len(terms), dtype=np.int64)
@@ -81,12 +100,12 @@ def _global(shard: pa.Table, terms: pa.Table) -> pa.Table:
     return shard.set_column(shard.schema.get_field_index("indices"), "indices", pa.array([of[own]], pa.list_(pa.int64())))
 
 
-def term_matrix(docs: DataFrame, text: str, carried: list[str], shard_bytes: int = SHARD_BYTES, measure: Measure = lambda buf, begins: {}, measured: str = "") -> tuple[DataFrame, DataFrame]:
+def term_matrix(docs: DataFrame, text: str, carried: list[str], shard_bytes: int = SHARD_BYTES, measure: Measure = lambda buf, begins: {}, measured: str = "", then: Callable[[pa.Table], pa.Table] = _same, schema: str = "") -> tuple[DataFrame, DataFrame]:
     """The document-term matrix of ``docs`` and its dictionary (word as binary, term from 0 without gaps).
 
     The matrix has a row for each shard: shard, lists of the ``carried`` columns of its documents, of what ``measure``
     finds in the bytes of their texts (``measured`` tells the types, as array columns), and indptr, indices, data; entries of document i stand at
-    indptr[i]:indptr[i + 1].  A null text is empty; every row of ``docs`` is a document; no rows give no shards.
+    indptr[i]:indptr[i + 1].  With ``then`` each shard is handed on as what it makes of it (``schema``), in the same task.  A null text is empty; every row of ``docs`` is a document; no rows give no shards.
     """
     spark = docs.sparkSession
     raw = docs.select(*carried, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
@@ -100,23 +119,28 @@ def term_matrix(docs: DataFrame, text: str, carried: list[str], shard_bytes: int
     starts = spark.createDataFrame([(p, o) for (p, _), o in zip(sizes, offsets, strict=False)], "_part int, _offset long")
     terms = told.join(F.broadcast(starts), "_part").withColumn("term", F.col("_number") + F.col("_offset"))
     each = terms.select("shard", "_at", "term").groupBy("shard")
-    matrix = parts.drop("words").groupBy("shard").cogroup(each).applyInArrow(_global, f"shard long, {lists}, indptr array<int>, indices array<long>, data array<int>")
+    schema = schema or f"shard long, {lists}, indptr array<int>, indices array<long>, data array<int>"
+    matrix = parts.drop("words").groupBy("shard").cogroup(each).applyInArrow(lambda shard, told: _released(then(_global(shard, told))), schema)
     return matrix, terms.where(F.col("word").isNotNull()).select("word", "term")
 
 
-def row_counts(matrix: DataFrame, carried: list[str]) -> DataFrame:
-    """The carried columns, n_words (sum of the row) and n_distinct (entries of the row) of every document of the matrix."""
+def _released(out: pa.Table) -> pa.Table:
+    """out, when memory that is free is given back: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    return out
+
+
+def shard_counts(carried: list[str]) -> Callable[[pa.Table], pa.Table]:
+    """What makes of a shard the carried columns, n_words (sum of the row) and n_distinct (entries of the row) of every document in it."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                ends = b.column("indptr")[i].values.to_numpy()
-                sums = np.concatenate(([0], np.cumsum(b.column("data")[i].values.to_numpy(), dtype=np.int64)))[ends]
-                assert ends[-1] == len(b.column("indices")[i])
-                yield pa.RecordBatch.from_arrays([*(b.column(c)[i].values for c in carried), pa.array(np.diff(sums)), pa.array(np.diff(ends).astype(np.int64))], [*carried, "n_words", "n_distinct"])
+    def count(shard: pa.Table) -> pa.Table:
+        flat = lambda c: shard.column(c).combine_chunks().flatten()
+        ends = flat("indptr").to_numpy()
+        sums = np.concatenate(([0], np.cumsum(flat("data").to_numpy(), dtype=np.int64)))[ends]
+        assert ends[-1] == len(flat("indices"))
+        return pa.table({**{c: flat(c) for c in carried}, "n_words": np.diff(sums), "n_distinct": np.diff(ends).astype(np.int64)})
 
-    kinds = ", ".join(f"{c} {matrix.schema[c].dataType.elementType.simpleString()}" for c in carried)
-    return matrix.select(*carried, "indptr", "indices", "data").mapInArrow(count, f"{kinds}, n_words long, n_distinct long")
+    return count
 
 
 def _marked(buf: np.ndarray, begins: np.ndarray) -> dict[str, pa.Array]:
@@ -135,8 +159,9 @@ def failures(docs: DataFrame, part: str) -> DataFrame:
     digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     columns = {"doc_id": F.col("doc_id").cast("long"), "part": F.coalesce(F.col(part).cast("string"), F.lit("")), "digest": digest, "text": F.col("text")}
     carried = ["doc_id", "part", "digest"]
-    matrix, _ = term_matrix(docs.select(*[v.alias(k) for k, v in columns.items()]), "text", carried, measure=_marked, measured="marked array<int>")
-    rows = kept(row_counts(matrix, [*carried, "marked"]), "document-counts")
+    counted = "doc_id long, part string, digest binary, marked int, n_words long, n_distinct long"
+    rows, _ = term_matrix(docs.select(*[v.alias(k) for k, v in columns.items()]), "text", carried, measure=_marked, measured="marked array<int>", then=shard_counts([*carried, "marked"]), schema=counted)
+    rows = kept(rows, "document-counts")
     copies = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     rows = rows.join(copies, "digest", "left")
     short = F.when(F.col("n_words") < LEAST_WORDS, 1).otherwise(0) + F.when(100 * F.col("n_distinct") < 50 * F.col("n_words"), 2).otherwise(0)

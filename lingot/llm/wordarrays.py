@@ -164,9 +164,8 @@ def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, ends - ends[0]
 
 
-def words_of(column: pa.Array, most: int = BATCH_BYTES) -> tuple[np.ndarray, pa.Array]:
-    """The row of each word of a binary column without nulls, and the words themselves, in order; about ``most`` bytes are looked at at once."""
-    owners, words = [], []
+def words_of(column: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """The row of each word of a binary column without nulls, and the words themselves, in order, of about ``most`` bytes of whole rows at a time."""
     for part in byte_slices(column, most):
         buf, begins = joined_bytes(column.slice(part.start, part.stop - part.start))
         if not len(buf):
@@ -180,6 +179,5 @@ def words_of(column: pa.Array, most: int = BATCH_BYTES) -> tuple[np.ndarray, pa.
         closes[new[1:] - 1] = inside[new[1:] - 1]
         starts = np.flatnonzero(opens)
         offsets = np.concatenate(([0], np.cumsum(np.flatnonzero(closes) + 1 - starts))).astype(np.int32)
-        words.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf[inside])]))
-        owners.append(np.searchsorted(begins, starts, side="right") - 1 + part.start)
-    return (np.concatenate(owners), pa.concat_arrays(words)) if words else (np.zeros(0, dtype=np.int64), pa.array([], pa.binary()))
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf[inside])])
+        yield np.searchsorted(begins, starts, side="right") - 1 + part.start, words

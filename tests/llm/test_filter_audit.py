@@ -4,7 +4,7 @@ import re
 from collections import Counter
 from itertools import permutations
 
-from lingot.llm.filter_audit import filter_audit, row_counts, term_matrix
+from lingot.llm.filter_audit import filter_audit, shard_counts, term_matrix
 
 from .fixtures import documents, empty, rows, words
 
@@ -60,4 +60,5 @@ def test_matrix_holds_every_count(spark):
     assert set(said.values()) == {w for _, t, *_ in data for w in words(t)}
     found = Counter((s["doc_id"][i], tuple(sorted((said[t], c) for t, c in zip(s["indices"][a:b], s["data"][a:b], strict=True)))) for s in shards for i, (a, b) in enumerate(zip(s["indptr"], s["indptr"][1:], strict=False)))
     assert found == Counter((d, tuple(sorted(Counter(words(t)).items()))) for d, t, *_ in data)
-    assert Counter(tuple(r) for r in row_counts(matrix, ["doc_id", "n_chars"]).collect()) == Counter((d, n, len(words(t)), len(set(words(t)))) for d, t, _, _, n in data)
+    counts, _ = term_matrix(documents(spark, data), "text", ["doc_id", "n_chars"], then=shard_counts(["doc_id", "n_chars"]), schema="doc_id long, n_chars long, n_words long, n_distinct long")
+    assert Counter(tuple(r) for r in counts.collect()) == Counter((d, n, len(words(t)), len(set(words(t)))) for d, t, _, _, n in data)
