@@ -1,10 +1,10 @@
 """First claims: rows of a group in order, of which each takes its names unless an earlier one that was itself let in has taken any of them.
 
 A row that is turned away takes nothing, so whether a row is let in depends on chains of earlier rows.
-Rows whose names nobody else has are settled by counts alone.  The others go in rounds, until none is left:
-a row that comes first among the live rows under every one of its names is let in, and the live rows that share a
-name with it are turned away.  After a few such rounds, which settle all but long chains, the first
-``block`` live rows of each group are walked in order within one task, and their claims settle others elsewhere.
+Rows whose names nobody else has are settled by counts alone.  Of the others the first ``block`` of each group
+are walked in order within one task, which settles every group that has no more.  In larger groups their claims turn
+others away, and a round without a walk follows: a row that comes first among the live rows under every one of its names is let in,
+and the live rows that share a name with it are turned away.  Both go on in turn until no row is left.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import kept
 
-#: Rounds over all live rows before blocks are walked, and live rows of a group that are walked in one task.
-ROUNDS, BLOCK = 3, 100_000
+#: Live rows of a group that are walked in one task.
+BLOCK = 100_000
 
 
 def _any(flags: list[Column]) -> Column:
@@ -39,13 +39,14 @@ def _leaders(live: DataFrame, group: str, order: str, names: list[str]) -> DataF
 def _walked(live: DataFrame, group: str, order: str, names: list[str], block: int) -> DataFrame:
     """live with win: true or false for about the first ``block`` rows of each group, null for those behind."""
     sizes = live.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.max(order).alias("_most"))
+    several = (sizes.agg(F.max("_n")).first()[0] or 0) > block
     large = sizes.where(F.col("_n") > block).select(group, "_n")
     # the place in order of 1/2, 1/4, ... of a large group's rows, of which the greatest that leaves a block is taken
     halves = F.percentile_approx(order, F.array(*[F.lit(2.0**-k) for k in range(1, 31)]), F.lit(1_000_000))
     cut = live.join(large, group).groupBy(group).agg(halves.alias("_halves"), F.first("_n").alias("_n"))
     cut = cut.select(group, F.element_at("_halves", F.ceil(F.log2(F.col("_n") / block)).cast("int")).alias("_cut"))
     bounds = sizes.join(cut, group, "left").select(group, F.coalesce("_cut", "_most").alias("_bound"))
-    rows, columns = live.join(bounds, group), list(live.columns)
+    rows, columns = live.join(bounds, group) if several else live.withColumn("_bound", F.col(order)), list(live.columns)
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order, ignore_index=True)
@@ -63,7 +64,7 @@ def _walked(live: DataFrame, group: str, order: str, names: list[str], block: in
     return near.unionByName(rows.where(F.col(order) > F.col("_bound")).select(*columns, F.lit(None).cast("boolean").alias("win")))
 
 
-def turned_away(rows: DataFrame, group: str, order: str, names: list[str], rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+def turned_away(rows: DataFrame, group: str, order: str, names: list[str], block: int = BLOCK) -> DataFrame:
     """(group, order) of the rows that are turned away; (group, order) tells rows apart, and no column of these is null.
 
     An empty table turns nobody away; further columns are not read.
@@ -77,8 +78,10 @@ def turned_away(rows: DataFrame, group: str, order: str, names: list[str], round
     for n in count():
         if live.isEmpty():
             return away
-        told = kept(_leaders(live, group, order, names) if n < rounds else _walked(live, group, order, names, block), "claims")
+        told = kept(_leaders(live, group, order, names) if n % 2 else _walked(live, group, order, names, block), "claims")
         rest = told.where("win is null").drop("win")
+        if rest.isEmpty():
+            return away.unionByName(told.where("not win").select(group, order))
         for i, c in enumerate(names):
             rest = rest.join(told.where("win").select(group, c, F.lit(True).alias(f"_taken{i}")), [group, c], "left")
         rest = kept(rest.select(*live.columns, _any([F.col(f"_taken{i}") for i in range(len(names))]).alias("lost")), "claimed")
