@@ -47,8 +47,8 @@ def scan_diagnostics(entries: DataFrame) -> DataFrame:
         F.count_if(F.col("_read") & is_class & ~F.coalesce(F.hex(F.encode(F.substring("text", 1, 4), "ISO-8859-1")) == "CAFEBABE", F.lit(False))).alias("class_parse_failed"),
     )
     columns = ("archive_id", "source", "idx", "value", "kind")
-    fast_strings = text_strings(rows.where(F.col("_fast") & ~is_class)).withColumn("kind", F.lit("resource-text")).select(*columns)
-    deep_strings = key_value_strings(rows.where(deep)).where(looks_human(F.col("value"))).withColumn("kind", F.lit("deep-text")).select(*columns)
+    fast_strings = settled(text_strings(rows.where(F.col("_fast") & ~is_class)), "value").withColumn("kind", F.lit("resource-text")).select(*columns)
+    deep_strings = settled(key_value_strings(rows.where(deep)), "value").where(looks_human(F.col("value"))).withColumn("kind", F.lit("deep-text")).select(*columns)
     scored = settled(classify(fast_strings.unionByName(deep_strings)).withColumn("_norm", normal_space("value")), "score", "_norm")
     good = (F.col("score") >= threshold(F.col("kind"))) & (F.col("_norm") != "")
     once = scored.groupBy("archive_id", "source", "_norm").agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("good"), F.count_if(F.col("kind") == "deep-text").alias("deep"))
