@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.batches import slices
+from ..functions.runs import wide_runs
 from ..functions.text import UNIT
 
 
@@ -49,8 +53,12 @@ def utf16_runs(docs: DataFrame, content: str, big_endian: bool = False, id_colum
 
     A unit is a character of its own: what needs two units breaks a run.
     """
-    units = F.regexp_extract_all(F.decode(F.col(content), "ISO-8859-1"), F.lit(r"(?s).."), F.lit(0))
-    charset = "UTF-16BE" if big_endian else "UTF-16LE"
-    lead = r"^[\xd8-\xdf]" if big_endian else r"(?s)^.[\xd8-\xdf]"
-    text = lambda u: F.when(~u.rlike(lead), F.decode(F.encode(u, "ISO-8859-1"), charset))
-    return _between_gaps(docs, units, lambda u: F.when(text(u).rlike(r"^[\x20-\x7e\t\p{L}]$"), text(u)), id_column)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, contents in slices(batches, id_column, "_content"):
+            found = [[text for _, text in wide_runs(b or b"", big_endian)] for b in contents.to_pylist()]
+            place = pa.array([i for i, runs in enumerate(found) for _ in runs], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(place), pa.array([r for runs in found for r in runs], pa.string())], [id_column, "value"])
+
+    schema = StructType([StructField(id_column, docs.schema[id_column].dataType), StructField("value", StringType())])
+    return docs.select(id_column, F.col(content).alias("_content")).mapInArrow(read, schema)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 
-from lingot.functions import fields, legacy
-from lingot.operators import intervals
+from lingot.functions import batches, codecs, fields, legacy
+from lingot.operators import byte_runs, intervals, logs, splice
+from lingot.sources import exchange
 
 
 def test_framings_of_a_content_are_looked_at_together(monkeypatch):
@@ -23,3 +28,17 @@ def test_fields_are_looked_for_once(spark):
     docs = spark.createDataFrame([(1, bytearray(b"\x05hello")), (2, bytearray(b"\xff\xff"))], "doc_id long, content binary")
     plan = intervals.format_summary(intervals.strongest_fields(docs), docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" not in plan
+
+
+def test_units_are_no_values_of_their_own(spark):
+    text = "ab\x00" * 40_000 + "\U0001f600größe"
+    docs = spark.createDataFrame([(1, bytearray(text.encode("utf-16-be"))), (2, None)], "doc_id int, b binary")
+    runs = byte_runs.utf16_runs(docs, "b", big_endian=True)
+    assert "transform" not in runs._jdf.queryExecution().executedPlan().toString()
+    assert Counter(r.value for r in runs.collect()) == {"ab": 40_000, "größe": 1}
+
+
+def test_batches_are_looked_at_in_slices():
+    b = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["x" * 100_000] * 50)], ["a", "b"])
+    parts = [ids.to_pylist() for ids, _ in batches.slices(iter([b, b.slice(0, 0)]), "a", "b")]
+    assert max(map(len, parts)) <= 11 and sum(parts, []) == list(range(50))
