@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import any_in, forward_slashes
+from ..plans.scratch import kept
 
 
 def classify_lines(log: DataFrame) -> DataFrame:
@@ -39,6 +40,8 @@ def frequencies(issues: DataFrame) -> DataFrame:
 
 #: Characters of a needle that are joined before the whole needle is looked for.
 _ANCHOR = 8
+#: Rows of sources, which were counted, that are broadcast at most.
+BROADCAST_ROWS = 100_000
 
 
 def _runs(text: str, lengths: list[int]) -> Column:
@@ -75,7 +78,11 @@ def patched_sources(issues: DataFrame, sources: DataFrame) -> DataFrame:
     lengths = sorted(r[0] for r in paths.where("_name is not null").select(F.least(F.char_length("_name"), F.lit(_ANCHOR))).distinct().collect())  # nine numbers at most
     of_issue = F.concat(F.transform(_runs("_line", lengths), at(0)), F.array(anchor(1, "_resource"), anchor(2, "_class")))
     of_path = F.concat(F.array(anchor(0, "_anchor")), F.transform(_runs("_path", [*range(1, _ANCHOR + 1)]), at(1)), F.transform(_runs("_path", [*range(len(".class"), _ANCHOR + 1)]), at(2)))
-    met = rows.select("*", F.inline(F.array_compact(of_issue))).join(paths.select("*", F.inline(F.array_compact(of_path))), ["_rule", "_run"])
+    paths = kept(paths.select("*", F.inline(F.array_compact(of_path))), "patched-paths")
+    rows = rows.select("*", F.inline(F.array_compact(of_issue)))
+    # lines are many times what their table is, so they are never the side that goes to the driver
+    few = paths.count() <= BROADCAST_ROWS
+    met = rows.join(F.broadcast(paths), ["_rule", "_run"]) if few else rows.hint("merge").join(paths, ["_rule", "_run"])
     by_name, by_resource = F.contains(F.col("_line"), F.col("_name")), F.contains(F.col("_path"), F.col("_resource"))
     no = lambda c: ~F.coalesce(c, F.lit(False))
     by_class = F.endswith(F.col("_path"), F.col("_class"))

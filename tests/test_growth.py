@@ -30,6 +30,13 @@ def test_fields_are_looked_for_once(spark):
     assert "MapInPandas" not in plan
 
 
+def test_lines_do_not_go_to_the_driver(spark):
+    log = spark.createDataFrame([(1, "no res/a.png here", "", "")], "log_id int, line string, class_name string, resource string")
+    found = logs.patched_sources(log, spark.createDataFrame([("res/a.png",)], "path string").distinct())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and "BuildRight" in plan and found.count() == 1
+
+
 def test_units_are_no_values_of_their_own(spark):
     text = "ab\x00" * 40_000 + "\U0001f600größe"
     docs = spark.createDataFrame([(1, bytearray(text.encode("utf-16-be"))), (2, None)], "doc_id int, b binary")
