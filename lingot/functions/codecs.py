@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import mixed_islands, quality_score, repair_mojibake, script_count
+from . import legacy
+from .batches import slices
+from .text import mixed_islands, quality_score, script_count
 
 # Codecs that are tried, in order.
 CODECS = ("utf-8-sig", "utf-8", "gb18030", "gbk", "big5", "utf-16", "utf-16le", "utf-16be", "cp1252", "latin-1")
@@ -38,8 +42,8 @@ def decodings(data: pd.Series) -> pd.Series:
     return data.map(one)
 
 
-@F.pandas_udf(T.BooleanType())
-def encodable(text: pd.Series, codec: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BooleanType())
+def encodable(text: pa.Array, codec: pa.Array) -> pa.Array:
     """Whether a text can be written in a codec."""
 
     def one(t: str | None, c: str) -> bool:
@@ -49,15 +53,65 @@ def encodable(text: pd.Series, codec: pd.Series) -> pd.Series:
             return False
         return True
 
-    return pd.Series([one(t, c) for t, c in zip(text, codec, strict=True)], dtype=bool)
+    return pa.array((one(t.as_py(), c.as_py()) for t, c in zip(text, codec, strict=True)), pa.bool_())
+
+
+_AS_BYTES = str.maketrans({bytes((b,)).decode("cp1252"): chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)})
+
+
+def _mended(text: str) -> tuple[float, str]:
+    """``quality_score`` and text after ``repair_mojibake``."""
+    score = legacy.quality(text)
+    if any(m in text for m in legacy.MARKS):
+        for raw in (text, text.translate(_AS_BYTES)):
+            try:
+                other = raw.encode("latin-1").decode()
+            except UnicodeError:
+                continue
+            told = legacy.quality(other)
+            if told > score + 0.08:
+                return told, other
+    return score, text
+
+
+def ranked_decodings(data: bytes) -> list[tuple[str, str]]:
+    """Codec and text of every decoding, equal ones once by their first codec, the best quality first and the first codec on ties."""
+    seen: set[str] = set()
+    told = []
+    for place, codec in enumerate(CODECS):
+        try:
+            raw = data.decode(codec)
+            raw.encode("utf-8")
+        except UnicodeError:
+            continue
+        if raw in seen:
+            continue
+        seen.add(raw)
+        score, text = _mended(raw)
+        told.append((-round(score, 9), place, codec, text))
+    same: set[str] = set()
+    ordered = []
+    for _, place, codec, text in sorted(told, key=lambda t: t[1]):
+        if text not in same:
+            same.add(text)
+            ordered.append((_, place, codec, text))
+    return [(codec, text) for _, _, codec, text in sorted(ordered, key=lambda t: t[:2])]
 
 
 def best_decoding(docs: DataFrame, data: str, id_column: str) -> DataFrame:
-    """(id, codec, text): the decoding of best quality, the first codec on ties; equal texts count once."""
-    rank = F.array_position(F.array(*[F.lit(c) for c in CODECS]), F.col("d.codec"))
-    rows = docs.select(id_column, F.explode(decodings(data)).alias("d")).withColumn("text", repair_mojibake("d.text")).withColumn("_rank", rank)
-    best = F.row_number().over(Window.partitionBy(id_column).orderBy(F.desc(F.round(quality_score("text"), 9)), "_rank"))
-    return rows.withColumn("_nth", best).where("_nth = 1").select(id_column, F.col("d.codec").alias("codec"), "text")
+    """(id, codec, text): the decoding of best quality, the first codec on ties; equal texts count once, and a null is an empty text.
+
+    A content's decodings are told apart where it is; only the best goes on.
+    """
+    kind = docs.schema[id_column].dataType
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, contents in slices(batches, id_column, "_data"):
+            best = [ranked_decodings(b or b"")[0] for b in contents.to_pylist()]
+            yield pa.RecordBatch.from_arrays([ids, pa.array([c for c, _ in best], pa.string()), pa.array([t for _, t in best], pa.string())], [id_column, "codec", "text"])
+
+    schema = T.StructType([T.StructField(id_column, kind), T.StructField("codec", T.StringType()), T.StructField("text", T.StringType())])
+    return docs.select(id_column, F.col(data).alias("_data")).mapInArrow(read, schema)
 
 
 def field_text(data: Column) -> Column:

@@ -37,6 +37,14 @@ def test_lines_do_not_go_to_the_driver(spark):
     assert "BuildLeft" not in plan and "BuildRight" in plan and found.count() == 1
 
 
+def test_decodings_are_told_apart_where_the_content_is(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"Menu")), (2, None)], "id int, b binary")
+    best = codecs.best_decoding(docs, "b", "id")
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    assert [tuple(r) for r in best.orderBy("id").collect()] == [(1, "utf-8-sig", "Menu"), (2, "utf-8-sig", "")]
+
+
 def test_units_are_no_values_of_their_own(spark):
     text = "ab\x00" * 40_000 + "\U0001f600größe"
     docs = spark.createDataFrame([(1, bytearray(text.encode("utf-16-be"))), (2, None)], "doc_id int, b binary")
