@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from ..functions.batches import slices
 from ..functions.text import forward_slashes, placeholders
 from .tables import SEPARATOR
 
@@ -14,6 +20,8 @@ PAYLOAD = f"struct<format:string,schema_version:int,source_name:string,source_sh
 READ = ITEM.replace("idx:int", "idx:int,index:int").replace("translation:string", "translation:variant")
 ITEM_FIELDS = ("id", "key", "source", "kind", "idx", "original", "original_sha256", "placeholders", "translation")
 FORMAT_V2 = "exchange-v2"
+#: Characters of a name of an object beyond which Spark's reader of JSON gives up on the whole text.
+LONGEST_NAME = 50_000
 
 
 def patched_paths(reports: DataFrame, json: str) -> DataFrame:
@@ -31,14 +39,34 @@ def export_payloads(strings: DataFrame, group: str, order: list[str]) -> DataFra
     return rows.select(group, F.size("_rows").alias("item_count"), digest.alias("source_sha256"), F.to_json(payload).alias("json"))
 
 
-def read_payloads(files: DataFrame, json: str = "json") -> DataFrame:
+def _large_dictionaries(rows: DataFrame) -> DataFrame:
+    """rows with pos, original and translation of their dictionaries in the place of _text; one that is no JSON has none."""
+    names = [c for c in rows.columns if c != "_text"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *columns, texts in slices(batches, *names, "_text"):
+            for i, text in enumerate(texts.to_pylist()):
+                try:
+                    found = json.loads(text, object_pairs_hook=list)
+                except ValueError:
+                    continue
+                whole = lambda v: v.encode("utf-8", "replace").decode() if isinstance(v, str) else None
+                told = [pa.array(range(len(found)), pa.int32()), pa.array([whole(k) for k, _ in found], pa.string()), pa.array([whole(v) for _, v in found], pa.string())]
+                same = pa.array([i] * len(found), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(same) for c in columns), *told], [*names, "pos", "original", "translation"])
+
+    kinds = [rows.schema[c] for c in names] + [StructField("pos", IntegerType()), StructField("original", StringType()), StructField("translation", StringType())]
+    return rows.mapInArrow(read, StructType(kinds))
+
+
+def read_payloads(files: DataFrame, column: str = "json") -> DataFrame:
     """Rows of exchange files of any form: version 2, version 1 (items), a bare list, or {original: translation}.
 
     In the place of the JSON they have form (v2, v1, list, dictionary, unknown), pos and present: the names of the fields that an item has, null where it is no
     object.  A dictionary gives original and translation alone, an original that repeats with its last translation; a
     translation that is no text is null.  Files of unknown form, and those without items, give no rows.
     """
-    text = F.ltrim(F.ltrim(F.col(json), F.lit("\ufeff")))
+    text = F.ltrim(F.ltrim(F.col(column), F.lit("\ufeff")))
     form = (
         F.when(text.startswith("["), "list")
         .when(F.get_json_object(text, "$.format") == FORMAT_V2, "v2")
@@ -46,7 +74,7 @@ def read_payloads(files: DataFrame, json: str = "json") -> DataFrame:
         .when(text.startswith("{"), "dictionary")
         .otherwise("unknown")
     )
-    carried = [c for c in files.columns if c != json]
+    carried = [c for c in files.columns if c != column]
     rows = files.select(*carried, form.alias("form"), text.alias("_text"))
     raw = F.when(F.col("form") == "list", F.from_json("_text", "array<string>")).when(F.col("form").isin("v1", "v2"), F.from_json("_text", "struct<items:array<string>>").getField("items"))
     item = rows.where("form in ('list', 'v1', 'v2')").select(*carried, "form", F.posexplode(raw).alias("pos", "_item"))
@@ -55,8 +83,10 @@ def read_payloads(files: DataFrame, json: str = "json") -> DataFrame:
     said = lambda v: F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
     fields = {c: F.col(f"_i.{c}") for c in ITEM_FIELDS} | {"idx": F.coalesce("_i.idx", "_i.index"), "translation": said(F.col("_i.translation"))}
     items = item.select(*carried, "form", "pos", "present", *[v.alias(c) for c, v in fields.items()])
-    pairs = rows.where("form = 'dictionary'").select(*carried, "form", F.posexplode(F.map_entries(F.from_json("_text", "map<string,variant>"))).alias("pos", "_e"))
+    dictionaries, large = rows.where("form = 'dictionary'"), F.char_length("_text") > LONGEST_NAME
+    pairs = dictionaries.where(~large).select(*carried, "form", F.posexplode(F.map_entries(F.from_json("_text", "map<string,variant>"))).alias("pos", "_e"))
     pairs = pairs.select(*carried, "form", "pos", F.col("_e.key").alias("original"), said(F.col("_e.value")).alias("translation"))
+    pairs = pairs.unionByName(_large_dictionaries(dictionaries.where(large).select(*carried, "form", "_text")))
     last = pairs.groupBy(*carried, "form", "original").agg(F.max_by(F.struct("translation"), "pos").alias("_t"), F.min("pos").alias("pos"))
     return items.unionByName(last.select(*carried, "form", "pos", "original", F.col("_t.translation").alias("translation")), allowMissingColumns=True)
 

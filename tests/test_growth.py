@@ -53,6 +53,12 @@ def test_units_are_no_values_of_their_own(spark):
     assert Counter(r.value for r in runs.collect()) == {"ab": 40_000, "größe": 1}
 
 
+def test_dictionaries_with_very_long_names(spark):
+    long = {"x" * 60_000: "vi x", "b": 3, "c": "vi c"}
+    rows = exchange.read_payloads(spark.createDataFrame([(1, json.dumps(long)), (2, "{" + " " * 60_000)], "doc_id int, json string"))
+    assert sorted((len(r.original), r.form, r.pos, r.translation) for r in rows.collect()) == [(1, "dictionary", 1, None), (1, "dictionary", 2, "vi c"), (60_000, "dictionary", 0, "vi x")]
+
+
 def test_batches_are_looked_at_in_slices():
     b = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["x" * 100_000] * 50)], ["a", "b"])
     parts = [ids.to_pylist() for ids, _ in batches.slices(iter([b, b.slice(0, 0)]), "a", "b")]
