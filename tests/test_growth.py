@@ -59,6 +59,14 @@ def test_dictionaries_with_very_long_names(spark):
     assert sorted((len(r.original), r.form, r.pos, r.translation) for r in rows.collect()) == [(1, "dictionary", 1, None), (1, "dictionary", 2, "vi c"), (60_000, "dictionary", 0, "vi x")]
 
 
+def test_contents_are_spliced_without_python(spark):
+    contents = spark.createDataFrame([(1, bytearray(b"..\x02ab--\x02cd!")), (2, bytearray(b"x"))], "doc_id long, content binary")
+    plan = spark.createDataFrame([(1, "READY", 2, 3, 0, bytearray(b"\x03new")), (1, "READY", 7, 3, 1, bytearray(b"\x01c"))], "doc_id long, status string, start int, length int, shift long, frame binary")
+    done = splice.spliced(contents, plan)
+    assert "Python" not in done._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, bytes(r.content), r.ok) for r in done.collect()) == [(1, b"..\x03new--\x01c!", True), (2, b"x", True)]
+
+
 def test_batches_are_looked_at_in_slices():
     b = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["x" * 100_000] * 50)], ["a", "b"])
     parts = [ids.to_pylist() for ids, _ in batches.slices(iter([b, b.slice(0, 0)]), "a", "b")]
