@@ -7,10 +7,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lingot.functions import batches, codecs, fields, legacy
-from lingot.operators import byte_runs, intervals, logs, splice
+from lingot.operators import byte_runs, claims, intervals, logs, splice
+from lingot.plans import versions
 from lingot.sources import exchange
+from lingot.streaming import log_streams
 
 
 def test_framings_of_a_content_are_looked_at_together(monkeypatch):
@@ -38,11 +41,11 @@ def test_lines_do_not_go_to_the_driver(spark):
 
 
 def test_decodings_are_told_apart_where_the_content_is(spark):
-    docs = spark.createDataFrame([(1, bytearray(b"Menu")), (2, None)], "id int, b binary")
+    docs = spark.createDataFrame([(1, bytearray(b"Start")), (2, None)], "id int, b binary")
     best = codecs.best_decoding(docs, "b", "id")
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
-    assert [tuple(r) for r in best.orderBy("id").collect()] == [(1, "utf-8-sig", "Menu"), (2, "utf-8-sig", "")]
+    assert [tuple(r) for r in best.orderBy("id").collect()] == [(1, "utf-8-sig", "Start"), (2, "utf-8-sig", "")]
 
 
 def test_units_are_no_values_of_their_own(spark):
@@ -71,3 +74,11 @@ def test_batches_are_looked_at_in_slices():
     b = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["x" * 100_000] * 50)], ["a", "b"])
     parts = [ids.to_pylist() for ids, _ in batches.slices(iter([b, b.slice(0, 0)]), "a", "b")]
     assert max(map(len, parts)) <= 11 and sum(parts, []) == list(range(50))
+
+
+def test_claims_are_walked_without_a_table_for_each_group(spark):
+    rows = spark.createDataFrame([(g, i, f"a{i // 2}", f"b{i}") for g in range(3) for i in range(6)], "g int, pos int, a string, b string")
+    told = claims._walked(rows, "g", "pos", ["a", "b"], 100)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "InPandas" not in plan
+    assert sorted((r.g, r.pos, r.win) for r in told.collect()) == [(g, i, i % 2 == 0) for g in range(3) for i in range(6)]
