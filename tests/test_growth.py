@@ -82,3 +82,14 @@ def test_claims_are_walked_without_a_table_for_each_group(spark):
     plan = told._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "InPandas" not in plan
     assert sorted((r.g, r.pos, r.win) for r in told.collect()) == [(g, i, i % 2 == 0) for g in range(3) for i in range(6)]
+
+
+def test_batches_of_an_import_are_validated_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(versions, "commit", lambda spark, path, changes, version, gone: seen.append("Join" in changes._jdf.queryExecution().executedPlan().toString()))
+    row = spark.createDataFrame([("f", 1, "k", " vi ")], "file_id string, pos int, key string, translation string")
+    batch = {}
+    stream = type("S", (), {"writeStream": type("W", (), {"foreachBatch": lambda self, f: batch.update(f=f) or self, "option": lambda self, *a: self})()})()
+    log_streams.import_stream(stream, lambda df: df.withColumn("outcome", F.lit("imported")).join(row.select("key").distinct(), "key"), "store", "check")
+    batch["f"](row, 0)
+    assert seen == [False]
