@@ -131,6 +131,10 @@ UNITS = {
     "gb18030": rb"[\x81-\xfe][\x30-\x39][\x81-\xfe][\x30-\x39]|[\x81-\xfe][\x40-\x7e\x80-\xfe]|[\x20-\x7e\t\n\r]",
     "big5": rb"[\x81-\xfe](?:[\x40-\x7e]|[\xa1-\xfe])|[\x20-\x7e\t\n\r]",
 }
+_UNIT = {c: re.compile(u) for c, u in UNITS.items()}
+_RUN = {c: re.compile(b"(?:" + u + b")+") for c, u in UNITS.items()}
+#: Bytes at which a run is cut.
+MOST_RUN = 4096
 _RUNS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
@@ -153,12 +157,14 @@ _CJK = re.compile("[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\u31f0-\
 def legacy_runs_of(data: bytes, codec: str) -> list[tuple[int, str]]:
     """Start and text of ``legacy_runs`` of one content."""
     runs: list[tuple[int, int]] = []
-    for u in re.finditer(UNITS[codec], data):
-        # a unit goes on with the run before it, or begins one where that has 4,096 bytes
-        if runs and runs[-1][1] == u.start() and u.start() - runs[-1][0] < 4096:
-            runs[-1] = (runs[-1][0], u.end())
-        else:
-            runs.append((u.start(), u.end()))
+    for run in _RUN[codec].finditer(data):
+        start, end = run.span()
+        if end - start > MOST_RUN:  # cut behind the unit that reaches the limit
+            for u in _UNIT[codec].finditer(data, start, end):
+                if u.start() - start >= MOST_RUN:
+                    runs.append((start, u.start()))
+                    start = u.start()
+        runs.append((start, end))
     out = []
     for start, end in runs:
         try:

@@ -93,3 +93,13 @@ def test_batches_of_an_import_are_validated_once(spark, monkeypatch):
     log_streams.import_stream(stream, lambda df: df.withColumn("outcome", F.lit("imported")).join(row.select("key").distinct(), "key"), "store", "check")
     batch["f"](row, 0)
     assert seen == [False]
+
+
+def test_units_of_short_runs_are_matched_together(monkeypatch):
+    monkeypatch.setattr(codecs, "_UNIT", {})
+    assert codecs.legacy_runs_of(b"\x00\x01" + "的一是ab".encode("big5") + b"\xff" + "不了".encode("big5"), "big5") == [(2, "的一是ab"), (11, "不了")]
+
+
+def test_long_runs_are_cut_between_units():
+    data = b"a" + "的".encode("gbk") * 5000
+    assert [(s, len(t)) for s, t in codecs.legacy_runs_of(data, "gb18030")] == [(0, 2049), (4097, 2048), (8193, 904)]
