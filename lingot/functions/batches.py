@@ -10,10 +10,10 @@ import pyarrow as pa
 BYTES = 1 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[pa.Array]]:
-    """The named columns of all batches, about ``BYTES`` at a time, so that their Python values never stand in memory together."""
+def slices(batches: Iterator[pa.RecordBatch], *names: str, most: int = BYTES) -> Iterator[list[pa.Array]]:
+    """The named columns of all batches, about ``most`` bytes at a time, so that their Python values never stand in memory together."""
     for b in batches:
-        rows = max(1, min(b.num_rows, BYTES * b.num_rows // max(1, b.nbytes)))
+        rows = max(1, min(b.num_rows, most * b.num_rows // max(1, b.nbytes)))
         for i in range(0, b.num_rows, rows):
             part = b.slice(i, rows)
             yield [part.column(n) for n in names]

@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 from lingot import queries
-from lingot.functions import legacy
+from lingot.functions import fields, legacy
 from lingot.operators import graph, intervals, rewrite
 
 
@@ -229,3 +229,10 @@ def test_references_of_classes_are_names_in_tokens(spark):
             want |= {(archive, src, d) for x, d, _ in names if x == archive and d != src and "/" in d and ("/" + token).find("/" + d) >= 0}
     assert {tuple(r) for r in graph.reference_edges(entries).collect()} == want
     assert (1, "a/B", "b/C") in want and (1, "b/C", "a/b/C") in want
+
+
+def test_contents_that_are_searched_together_do_not_meet():
+    contents = [b"\x00\x06hi y", b"ou\x00", b"\x06hi you", b"", b"\x00\x05a\xed\xa0\x80", b"\xed\xb0\x80 b", b"\x00\x04a b\xe4", b"\xb8\xad\x00\x03\xe4\xb8\xad"]
+    which, at, end = fields.player_texts(*contents)
+    assert [(int(w), int(a) + 2, int(e - a) - 2) for w, a, e in zip(which, at, end, strict=True)] == [(i, s, n) for i, c in enumerate(contents) for s, n, _ in _slow_texts(c)] == [(7, 4, 3)]
+    assert [len(x) for x in fields.player_texts()] == [0, 0, 0]
