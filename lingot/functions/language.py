@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .text import any_in, count_of, entropy, label_form, normal_space, script_count, word_tokens
+from .text import any_in, count_of, entropy, label_form, letter_count, normal_space, script_count, word_tokens
 
 Rule = tuple[Column, int | Column, str | None]
 
@@ -15,15 +15,20 @@ def shape(c: Column, name: str) -> Column:
     return c.rlike(K.SHAPES[name])
 
 
-def _prepared(df: DataFrame, value: str, source: str, kind: str) -> DataFrame:
-    s = normal_space(F.coalesce(F.col(value), F.lit("")))
-    out = df.withColumn("_s", s).withColumn("_kind", F.coalesce(F.col(kind), F.lit(""))).withColumn("_path", F.lower(F.coalesce(F.col(source), F.lit(""))))
+#: Characters of the longest text that is judged.
+LONGEST = 800
+
+
+def _prepared(df: DataFrame, value: str, source: str, kind: str, normal: str | None) -> DataFrame:
+    s = F.coalesce(F.col(normal) if normal else normal_space(value), F.lit(""))
+    # a text that is too long is not measured
+    out = settled(df.withColumn("_s", s).withColumn("_n", F.char_length("_s")).withColumn("_s", F.when(F.col("_n") <= LONGEST, F.col("_s")).otherwise("")), "_s", "_n")
+    out = out.withColumn("_kind", F.coalesce(F.col(kind), F.lit(""))).withColumn("_path", F.lower(F.coalesce(F.col(source), F.lit(""))))
     out = out.withColumn("_raw", F.coalesce(F.col(value), F.lit("")))
     return out.withColumns(
         {
-            "_low": F.lower("_s"), "_words": word_tokens("_s"), "_n": F.char_length("_s"), "_label": label_form("_s"),
-            # what is left without the runs of other characters: far fewer matches than letters
-            "_letters": F.char_length(F.regexp_replace("_s", r"[^\p{L}]+", "")), "_digits": count_of(F.col("_s"), r"\p{Nd}"),
+            "_low": F.lower("_s"), "_words": word_tokens("_s"), "_label": label_form("_s"),
+            "_letters": letter_count("_s"), "_digits": count_of(F.col("_s"), r"\p{Nd}"),
             "_spaces": F.char_length("_s") - F.char_length(F.replace(F.col("_s"), F.lit(" "), F.lit(""))), "_punct": count_of(F.col("_s"), r"[^\p{L}\p{N} ]"), "_cjk": script_count("_s"),
         }
     )
@@ -86,7 +91,7 @@ def _rules() -> list[Rule]:
         (words >= 4, 12, "sentence-like phrase"),
         (hints > 0, F.least(F.lit(24), hints * 6), "natural-language word hits"),
         (spaces > 0, 8, None),
-        (s.rlike(r"[.!?…]$"), 9, "sentence punctuation"),
+        (F.right(s, F.lit(1)).isin(*".!?…"), 9, "sentence punctuation"),
         ((words == 1) & n.between(2, 20) & (F.get("_words", F.lit(0)) == s) & (lower | upper | title), 14, "display-word shape"),
         (short & label_ui, 20, None),
         (short & short_display, 6, None),
@@ -102,17 +107,20 @@ def _rules() -> list[Rule]:
     ]
 
 
-def classify(df: DataFrame, value: str = "value", source: str = "source", kind: str = "kind") -> DataFrame:
-    """Adds score and reasons (in rule order) for every row; a text without letters or over 800 characters scores -100."""
+def classify(df: DataFrame, value: str = "value", source: str = "source", kind: str = "kind", normal: str | None = None) -> DataFrame:
+    """Adds score and reasons (in rule order) for every row; a text without letters or over 800 characters scores -100.
+
+    ``normal``: the column that holds the value's ``normal_space`` already.
+    """
     rules = _rules()
-    out = _prepared(df, value, source, kind)
+    out = _prepared(df, value, source, kind, normal)
     # two projections: rule columns first, so that no generated method gets too long
     out = out.withColumns({f"_r{i}": c for i, (c, _, _) in enumerate(rules)})
     score = F.lit(0)
     for i, (_, weight, _) in enumerate(rules):
         score = score + F.when(F.col(f"_r{i}"), weight if isinstance(weight, Column) else F.lit(weight)).otherwise(0)
     said = F.filter(F.array(*[F.when(F.col(f"_r{i}"), F.lit(r)) for i, (_, _, r) in enumerate(rules) if r]), lambda x: x.isNotNull())
-    empty = (F.col("_n") == 0) | (F.col("_n") > 800)
+    empty = (F.col("_n") == 0) | (F.col("_n") > LONGEST)
     out = out.withColumn("score", F.when(empty, -100).when(F.col("_letters") == 0, -100).when(shape(F.col("_s"), "extension"), -100).otherwise(score).cast("int"))
     lone = lambda r: F.array(F.lit(r))
     out = out.withColumn("reasons", F.when(empty, lone("empty/too long")).when(F.col("_letters") == 0, lone("no letters")).when(shape(F.col("_s"), "extension"), lone("bare file extension token")).otherwise(said))

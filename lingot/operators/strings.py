@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.language import classify, settled, threshold
-from ..functions.text import any_in, label_form, normal_space, word_tokens
+from ..functions.text import any_in, label_form, letter_count, normal_space, several_words
 from ..plans.ranks import ordered_place
 
 
 def accepted(strings: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Strings at or above their threshold; of equal normalised values of a group the first accepted."""
-    scored = settled(classify(strings).withColumn("_norm", normal_space("value")), "score", "_norm").where((F.col("score") >= threshold(F.col("kind"))) & (F.col("_norm") != ""))
+    scored = settled(classify(settled(strings.withColumn("_norm", normal_space("value")), "_norm"), normal="_norm"), "score").where((F.col("score") >= threshold(F.col("kind"))) & (F.col("_norm") != ""))
     return scored.withColumn("_nth", F.row_number().over(Window.partitionBy(*group, "_norm").orderBy(*order))).where("_nth = 1").drop("_nth", "_norm")
 
 
@@ -29,7 +29,7 @@ def first_of_key(strings: DataFrame, key: list[str], order: list[str]) -> DataFr
 
 def candidate_scores(strings: DataFrame, group: list[str]) -> DataFrame:
     """Score of every source from the scores of its strings, 0 to 100, with what it rests on; strings that carry a score keep it."""
-    scored = (strings if "score" in strings.columns else classify(strings)).withColumns({"_ui": label_form("value").isin(*K.UI_WORDS), "_multi": F.size(word_tokens("value")) >= 2})
+    scored = (strings if "score" in strings.columns else classify(strings)).withColumns({"_ui": label_form("value").isin(*K.UI_WORDS), "_multi": several_words("value")})
     got = scored.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("score") >= 40).alias("strong"),
@@ -93,7 +93,7 @@ def looks_human(c: Column) -> Column:
     """2 to 800 characters with a letter, no path or descriptor, mostly printable letters."""
     s = F.btrim(c)
     n = F.char_length(s)
-    share = lambda pattern: F.regexp_count(s, F.lit(pattern)) / n
+    printable = n - F.regexp_count(s, F.lit(r"[\p{C}\p{Zl}\p{Zp}\p{Zs}&&[^ \t\r\n]]"))  # few are not
     code = (n > 12) & s.rlike(r"^[A-Za-z0-9_/$.;<>\[\]():+-]+$") & (s.contains("/") | s.contains(";") | (F.regexp_count(s, F.lit(r"\.")) >= 2))
-    score = share(r"[^\p{C}\p{Zl}\p{Zp}\p{Zs}]|[ \t\r\n]") * 0.55 + share(r"\p{L}") * 0.55 - F.regexp_count(s, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")) * 0.2
+    score = printable / n * 0.55 + letter_count(s) / n * 0.55 - F.regexp_count(s, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")) * 0.2
     return n.between(2, 800) & s.rlike(r"\p{L}") & ~code & (score >= 0.55)

@@ -5,20 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE
+from ..functions.text import stripped as _strip
 
 
 def _line_rows(docs: DataFrame, text: str) -> DataFrame:
     """Stripped lines that are neither blank nor comments, with their place."""
     rows = docs.select("*", F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("idx", "_line"))
-    rows = rows.withColumn("_line", F.regexp_replace("_line", f"^{SPACE}+|{SPACE}+$", ""))
+    rows = rows.withColumn("_line", _strip("_line"))
     return rows.where((F.col("_line") != "") & ~F.col("_line").rlike("^(?:#|;|//)"))
 
 
-def _strip(c):
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
-
-
 def text_strings(docs: DataFrame, text: str = "text") -> DataFrame:
     """idx and value: of every line what follows the first =, else the line."""
     rows = _line_rows(docs, text)

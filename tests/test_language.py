@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from lingot import queries
 from lingot.functions import text as T
 from lingot.functions.codecs import best_decoding, encodable
 from lingot.functions.language import classify, threshold
+from lingot.operators import strings
+from lingot.sources import tables
 
 ACCEPTED = [
     ("New Game", "class-string"), ("Continue", "class-string"), ("OK", "class-string"), ("HP", "class-string"), ("map", "class-string"),
@@ -67,3 +73,21 @@ def test_best_decoding_by_quality(spark):
     assert got[1].text == "中文文本很好" and got[2].text == "Gr枚脽e" and got[3].text == "plain texts" and got[4].text == ""
     able = spark.createDataFrame([("中", "gbk"), ("ế", "gbk"), ("ế", "utf-8")], "t string, c string").select(encodable("t", "c").alias("ok")).collect()
     assert [r.ok for r in able] == [True, False, True]
+
+
+def test_normal_forms_are_those_of_plain_replacement(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(" \t\n\r\x1c\x85\xa0\u2003\u3000 .'a\xe91\xbd\u4e2d'B\uac00\u30ac\u2167\u0301\U0001f600") for _ in range(rng.randrange(10))) for _ in range(3000)]
+    space = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.normal_space("t").alias("normal"), T.stripped("t").alias("stripped"), (F.size(T.word_tokens("t")) >= 2).alias("two"), T.several_words("t").alias("several"), T.script_count("t").alias("cjk"), T.letter_count("t").alias("letters")).collect()
+    for r in got:
+        assert r.normal == re.sub("^ | $", "", re.sub(f"{space}+", " ", r.t)) and r.stripped == re.sub(f"^{space}+|{space}+$", "", r.t)
+        assert r.two == r.several and r.cjk == sum(c in "\u4e2d\uac00\u30ac" for c in r.t) and r.letters == sum(c in "a\xe9\u4e2dB\uac00\u30ac" for c in r.t)
+
+
+def test_documents_are_dealt_before_their_lines_are_judged(spark):
+    for name in ("rank_sources", "w1_first_accepted", "a2_scan_diagnostics"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan, name
+    plan = strings.accepted(tables.lines(spark, "/root/testdata/sf0.001"), ["source"], ["doc_id", "idx"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(value") == 1  # the normal form is made once
