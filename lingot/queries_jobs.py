@@ -10,6 +10,7 @@ from .operators import archive_scan as A
 from .operators import graph as G
 from .operators import rewrite as R
 from .operators import scan as J
+from .plans.dealing import dealt
 from .plans.scratch import kept
 from .queries_compat import _NEXT, _RANK, ACTED, ASSESSED, EDGES, _assessed
 from .queries_text import LINES, TRANSLATED
@@ -117,7 +118,7 @@ def j7_reference_edges(spark, sf_dir):
 
 
 def x1_scan(spark, sf_dir):
-    return J.scan(src.read(spark, sf_dir, "documents").select("doc_id", "source", "text")).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+    return J.scan(dealt(src.read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
 
 
 def _archives(spark, sf_dir):
