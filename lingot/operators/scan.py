@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.language import classify, settled, threshold
 from ..functions.text import extension, normal_space
+from ..plans.dealing import dealt
 from ..plans.scratch import kept
 from ..sources.archives import should_scan
 from ..sources.text_resources import key_value_strings, text_strings
@@ -40,6 +41,7 @@ def scan_diagnostics(entries: DataFrame) -> DataFrame:
     Class entries that don't begin as class files do count as failed; equal strings of an entry count once after the filter.
     """
     is_class = extension("source") == "class"
+    entries = dealt(entries, "archive_id", "source")  # an entry's strings stay where it is
     rows = entries.withColumns({"_read": should_scan(F.col("source"), F.col("size"), deep=True), "_fast": should_scan(F.col("source"), F.col("size"))})
     deep = F.col("_read") & ~F.col("_fast")
     counts = rows.groupBy("archive_id").agg(
@@ -49,7 +51,8 @@ def scan_diagnostics(entries: DataFrame) -> DataFrame:
     columns = ("archive_id", "source", "idx", "value", "kind")
     fast_strings = settled(text_strings(rows.where(F.col("_fast") & ~is_class)), "value").withColumn("kind", F.lit("resource-text")).select(*columns)
     deep_strings = settled(key_value_strings(rows.where(deep)), "value").where(looks_human(F.col("value"))).withColumn("kind", F.lit("deep-text")).select(*columns)
-    scored = settled(classify(fast_strings.unionByName(deep_strings)).withColumn("_norm", normal_space("value")), "score", "_norm")
+    found = settled(fast_strings.unionByName(deep_strings).withColumn("_norm", normal_space("value")), "_norm")
+    scored = settled(classify(found, normal="_norm"), "score")
     good = (F.col("score") >= threshold(F.col("kind"))) & (F.col("_norm") != "")
     once = scored.groupBy("archive_id", "source", "_norm").agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("good"), F.count_if(F.col("kind") == "deep-text").alias("deep"))
     by_entry = once.groupBy("archive_id", "source").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("deep").alias("deep"), F.count_if(F.col("good") > 0).alias("kept"))
