@@ -112,3 +112,12 @@ def test_codecs_of_whole_texts_are_ranked_where_the_content_is(spark, monkeypatc
     assert [(r.source, r.value, r.encoding) for r in archive_scan.whole_texts(entries).collect()] == [("x.odd", "Start", "utf-8-sig")]
     plan = dict(reversed(names))["deep-codecs"]
     assert "MapInArrow" in plan and "Exchange" not in plan and "Window" not in plan
+
+
+def test_fields_meet_their_patches_once(spark):
+    patch = spark.createDataFrame([(1, 2, "ab", "binary:u16be:safe", "x"), (1, 2, "ab", "binary:u16be:safe", "y"), (2, 1, "c", "binary:u8:safe", "z"), (2, 9, "d", "resource-text", "z")], "doc_id long, offset int, text string, kind string, translation string")
+    there = spark.createDataFrame([(1, 0, 4, "u16be", True, "ab"), (2, 0, 2, "u8", True, "c")], "doc_id long, start int, length int, framing string, safe boolean, text string")
+    plan = splice.edit_plan(splice.preflight(patch, there))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert sorted((r.doc_id, r.offset, r.met, r.status) for r in plan.where("met or met is null").collect()) == [(2, 1, True, "READY"), (2, 9, None, "SKIPPED")]
+    assert [(r.met, r.status) for r in plan.where("doc_id = 1").collect()] == [(False, "FAILED")] * 2
