@@ -83,9 +83,13 @@ def progress(rows: DataFrame) -> DataFrame:
     return got.withColumn("untranslated", F.col("total") - F.col("translated")).withColumn("ratio", F.round(ratio, 6)).withColumn("percent", F.bround(ratio * 100, 0).cast("int"))
 
 
-def export_ids(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """id T00001, T00002, ... of the exportable rows of a group, in order; a group of any size is numbered by ranges."""
-    numbered = ordered_place(rows.where(exportable(F.col("kind"))), [group], order, "_place")
+def export_ids(rows: DataFrame, group: str, order: list[str], together: bool = False) -> DataFrame:
+    """id T00001, T00002, ... of the exportable rows of a group, in order; a group of any size is numbered by ranges.
+
+    ``together``: a group's rows go into one file afterwards, and are numbered where they are gathered.
+    """
+    asked = rows.where(exportable(F.col("kind")))
+    numbered = asked.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long")) if together else ordered_place(asked, [group], order, "_place")
     return numbered.withColumn("id", F.format_string("T%05d", "_place")).drop("_place")
 
 

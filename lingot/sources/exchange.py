@@ -12,6 +12,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.batches import slices
 from ..functions.text import forward_slashes, placeholders
+from ..plans.scratch import kept
 from .tables import SEPARATOR
 
 ITEM = "struct<id:string,key:string,source:string,kind:string,idx:int,original:string,original_sha256:string,placeholders:array<string>,translation:string>"
@@ -75,7 +76,7 @@ def read_payloads(files: DataFrame, column: str = "json") -> DataFrame:
         .otherwise("unknown")
     )
     carried = [c for c in files.columns if c != column]
-    rows = files.select(*carried, form.alias("form"), text.alias("_text"))
+    rows = kept(files.select(*carried, form.alias("form"), text.alias("_text")), "payloads")  # read by items and by dictionaries
     raw = F.when(F.col("form") == "list", F.from_json("_text", "array<string>")).when(F.col("form").isin("v1", "v2"), F.from_json("_text", "struct<items:array<string>>").getField("items"))
     item = rows.where("form in ('list', 'v1', 'v2')").select(*carried, "form", F.posexplode(raw).alias("pos", "_item"))
     names = F.transform(F.json_object_keys("_item"), lambda k: F.when(k == "idx", "index").otherwise(k))

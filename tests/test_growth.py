@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lingot.functions import batches, codecs, fields, legacy
-from lingot.operators import archive_scan, byte_runs, claims, intervals, logs, splice
+from lingot.operators import archive_scan, byte_runs, claims, intervals, logs, splice, strings
 from lingot.plans import scratch, versions
 from lingot.sources import exchange
 from lingot.streaming import log_streams
@@ -121,3 +121,14 @@ def test_fields_meet_their_patches_once(spark):
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     assert sorted((r.doc_id, r.offset, r.met, r.status) for r in plan.where("met or met is null").collect()) == [(2, 1, True, "READY"), (2, 9, None, "SKIPPED")]
     assert [(r.met, r.status) for r in plan.where("doc_id = 1").collect()] == [(False, "FAILED")] * 2
+
+
+def test_exchange_files_are_made_once(spark):
+    rows = spark.createDataFrame([(7, i, "resource-text" if i != 2 else "other") for i in (3, 1, 2, 0)], "doc_id long, idx int, kind string")
+    ids = strings.export_ids(rows, "doc_id", ["idx"], together=True)
+    assert "parquet" not in ids._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.idx, r.id) for r in ids.collect()) == sorted((r.idx, r.id) for r in strings.export_ids(rows, "doc_id", ["idx"]).collect()) == [(0, "T00001"), (1, "T00002"), (3, "T00003")]
+    files = spark.createDataFrame([("a", "b")], "a string, original string").select(F.to_json(F.struct("a", "original")).alias("json"))
+    got = exchange.read_payloads(files)
+    assert "to_json" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.form, r.original, r.translation) for r in got.collect()) == [("dictionary", "a", "a"), ("dictionary", "original", "b")]
