@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE
 from ..plans import versions
 from ..plans.scratch import kept
 from .rewrite import rewrite_texts, validate_rebuild
 
 
-def publish(docs: DataFrame, patches: DataFrame, expected: DataFrame, ready: DataFrame, path: str, version: int, allow_warnings: Column | None = None, encodable: str | None = None) -> DataFrame:
+def publish(docs: DataFrame, patches: DataFrame, expected: DataFrame, ready: DataFrame, path: str, version: int, allow_warnings: Column | None = None, encodable: str | None = None, space: str = SPACE) -> DataFrame:
     """(doc_id, status, patched, skipped, failed, checked, missing): what becomes of every source of ready(doc_id, status).
 
     BLOCKED and WARNING: not built, the latter unless allow_warnings says so of the source.  The others are rewritten with
@@ -22,7 +23,7 @@ def publish(docs: DataFrame, patches: DataFrame, expected: DataFrame, ready: Dat
     held = F.when(F.col("status") == "BLOCKED", "BLOCKED").when((F.col("status") == "WARNING") & ~allowed, "WARNING")
     gated = kept(ready.select("doc_id", held.alias("held")), "readiness")
     going = gated.where("held is null").select("doc_id")
-    texts, items = rewrite_texts(docs.join(going, "doc_id", "left_semi"), patches.join(going, "doc_id", "left_semi"), encodable)
+    texts, items = rewrite_texts(docs.join(going, "doc_id", "left_semi"), patches.join(going, "doc_id", "left_semi"), encodable, space)
     staged = kept(texts.select("doc_id", F.col("text").cast("binary").alias("content")), "staged")
     no_slots = spark.createDataFrame([], "doc_id long, idx int, value string")
     checks = validate_rebuild(expected.join(going, "doc_id", "left_semi"), staged, no_slots)
