@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lingot.functions import batches, codecs, fields, legacy
-from lingot.operators import archive_scan, byte_runs, claims, intervals, logs, splice, strings
+from lingot.operators import archive_scan, byte_runs, claims, intervals, logs, memory, splice, strings
 from lingot.plans import scratch, versions
 from lingot.sources import exchange
 from lingot.streaming import log_streams
@@ -132,3 +132,28 @@ def test_exchange_files_are_made_once(spark):
     got = exchange.read_payloads(files)
     assert "to_json" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.form, r.original, r.translation) for r in got.collect()) == [("dictionary", "a", "a"), ("dictionary", "original", "b")]
+
+
+def test_texts_of_an_import_are_not_moved_to_be_judged(spark, tmp_path, monkeypatch):
+    written = []
+    for module in (claims, memory):
+        monkeypatch.setattr(module, "kept", lambda df, name: written.append((name, df.columns)) or scratch.kept(df, name))
+    item = ("f", 1, "T1", "k" * 3000, "a.txt", "resource-text", 0, "x" * 3000, "", ["%d"], "vi")
+    columns = "file_id string, pos int, id string, key string, source string, kind string, idx int, original string, original_sha256 string, placeholders array<string>, translation string"
+    rows = spark.createDataFrame([item, (*item[:1], 2, *item[2:])], columns)
+    rows.write.parquet(f"{tmp_path}/rows")
+    strings = spark.createDataFrame([("k" * 3000, "a.txt", "resource-text", 0, "x" * 3000)], "key string, source string, kind string, idx int, value string")
+    told = memory.validate_outcomes(spark.read.parquet(f"{tmp_path}/rows"), strings, strings.limit(0).selectExpr("key", "value as translation"))
+    assert sorted((r.pos, r.outcome) for r in told.collect()) == [(1, "hash"), (2, "duplicate")]
+    assert "exchange-rows" in dict(written) and not {"key", "original", "translation"} & {c for _, columns in written for c in columns}
+
+
+def test_the_last_row_of_a_key_is_imported(spark, monkeypatch):
+    changed = []
+    monkeypatch.setattr(versions, "commit", lambda spark, path, changes, version, gone: changed.append((sorted(map(tuple, changes.collect())), sorted(map(tuple, gone.collect())))))
+    rows = spark.createDataFrame([("f", 1, "k", "a"), ("g", 0, "k", " b "), ("f", 3, "m", "c"), ("f", 4, "m", " "), ("f", 5, "n", "d")], "file_id string, pos int, key string, translation string")
+    batch = {}
+    stream = type("S", (), {"writeStream": type("W", (), {"foreachBatch": lambda self, f: batch.update(f=f) or self, "option": lambda self, *a: self})()})()
+    log_streams.import_stream(stream, lambda df: df.withColumn("outcome", F.lit("imported")), "store", "check")
+    batch["f"](rows, 0)
+    assert changed == [([("k", "b"), ("n", "d")], [("m", "")])]
