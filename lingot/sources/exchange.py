@@ -41,7 +41,7 @@ def export_payloads(strings: DataFrame, group: str, order: list[str]) -> DataFra
 
 
 def _large_dictionaries(rows: DataFrame) -> DataFrame:
-    """rows with pos, original and translation of their dictionaries in the place of _text; one that is no JSON has none."""
+    """rows with pos, original and translation of their dictionaries in the place of _text, each original once; one that is no JSON has none."""
     names = [c for c in rows.columns if c != "_text"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,8 +52,12 @@ def _large_dictionaries(rows: DataFrame) -> DataFrame:
                 except ValueError:
                     continue
                 whole = lambda v: v.encode("utf-8", "replace").decode() if isinstance(v, str) else None
-                told = [pa.array(range(len(found)), pa.int32()), pa.array([whole(k) for k, _ in found], pa.string()), pa.array([whole(v) for _, v in found], pa.string())]
-                same = pa.array([i] * len(found), pa.int64())
+                said: dict = {}  # the place of the first and the value of the last
+                for place, (k, v) in enumerate(found):
+                    k = whole(k)
+                    said[k] = (said[k][0] if k in said else place, whole(v))
+                told = [pa.array([p for p, _ in said.values()], pa.int32()), pa.array(list(said), pa.string()), pa.array([v for _, v in said.values()], pa.string())]
+                same = pa.array([i] * len(said), pa.int64())
                 yield pa.RecordBatch.from_arrays([*(c.take(same) for c in columns), *told], [*names, "pos", "original", "translation"])
 
     kinds = [rows.schema[c] for c in names] + [StructField("pos", IntegerType()), StructField("original", StringType()), StructField("translation", StringType())]
@@ -76,7 +80,9 @@ def read_payloads(files: DataFrame, column: str = "json") -> DataFrame:
         .otherwise("unknown")
     )
     carried = [c for c in files.columns if c != column]
-    rows = kept(files.select(*carried, form.alias("form"), text.alias("_text")), "payloads")  # read by items and by dictionaries
+    keys = F.json_object_keys(text)
+    twice = F.when(form == "dictionary", F.coalesce(F.size(keys) > F.size(F.array_distinct(keys)), F.lit(True)))  # names that repeat, or may
+    rows = kept(files.select(*carried, form.alias("form"), text.alias("_text"), twice.alias("_twice")), "payloads")  # read by items and by dictionaries
     raw = F.when(F.col("form") == "list", F.from_json("_text", "array<string>")).when(F.col("form").isin("v1", "v2"), F.from_json("_text", "struct<items:array<string>>").getField("items"))
     item = rows.where("form in ('list', 'v1', 'v2')").select(*carried, "form", F.posexplode(raw).alias("pos", "_item"))
     names = F.transform(F.json_object_keys("_item"), lambda k: F.when(k == "idx", "index").otherwise(k))
@@ -85,11 +91,17 @@ def read_payloads(files: DataFrame, column: str = "json") -> DataFrame:
     fields = {c: F.col(f"_i.{c}") for c in ITEM_FIELDS} | {"idx": F.coalesce("_i.idx", "_i.index"), "translation": said(F.col("_i.translation"))}
     items = item.select(*carried, "form", "pos", "present", *[v.alias(c) for c, v in fields.items()])
     dictionaries, large = rows.where("form = 'dictionary'"), F.char_length("_text") > LONGEST_NAME
-    pairs = dictionaries.where(~large).select(*carried, "form", F.posexplode(F.map_entries(F.from_json("_text", "map<string,variant>"))).alias("pos", "_e"))
-    pairs = pairs.select(*carried, "form", "pos", F.col("_e.key").alias("original"), said(F.col("_e.value")).alias("translation"))
-    pairs = pairs.unionByName(_large_dictionaries(dictionaries.where(large).select(*carried, "form", "_text")))
-    last = pairs.groupBy(*carried, "form", "original").agg(F.max_by(F.struct("translation"), "pos").alias("_t"), F.min("pos").alias("pos"))
-    return items.unionByName(last.select(*carried, "form", "pos", "original", F.col("_t.translation").alias("translation")), allowMissingColumns=True)
+    columns = [*carried, "form", "pos", "original", "translation"]
+
+    def pairs(which: DataFrame) -> DataFrame:
+        got = which.select(*carried, "form", F.posexplode(F.map_entries(F.from_json("_text", "map<string,variant>"))).alias("pos", "_e"))
+        return got.withColumns({"original": F.col("_e.key"), "translation": said(F.col("_e.value"))}).select(*columns)
+
+    small = dictionaries.where(~large)
+    last = pairs(small.where("_twice")).groupBy(*carried, "form", "original").agg(F.max_by(F.struct("translation"), "pos").alias("_t"), F.min("pos").alias("pos"))
+    told = last.withColumn("translation", F.col("_t.translation")).select(*columns)
+    told = told.unionByName(pairs(small.where("not _twice"))).unionByName(_large_dictionaries(dictionaries.where(large).select(*carried, "form", "_text")))
+    return items.unionByName(told, allowMissingColumns=True)
 
 
 def csv_rows(rows: DataFrame) -> DataFrame:
