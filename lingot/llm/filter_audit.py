@@ -110,7 +110,7 @@ def term_matrix(docs: DataFrame, text: str, carried: list[str], shard_bytes: int
     spark = docs.sparkSession
     raw = docs.select(*carried, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
     lists = ", ".join([*(f"{c} array<{docs.schema[c].dataType.simpleString()}>" for c in carried), *([measured] if measured else [])])
-    parts = kept(raw.mapInArrow(lambda batches: _local(batches, shard_bytes, measure), f"shard long, {lists}, indptr array<int>, indices array<int>, data array<int>, words array<binary>"), "local-terms")
+    parts = kept(raw.mapInArrow(lambda batches: _local(batches, shard_bytes, measure), f"shard long, {lists}, indptr array<int>, indices array<int>, data array<int>, words array<binary>"), "local-terms", large_rows=True)
     # a word is dealt once for each shard that holds it, so none is more frequent than the share of one shard's words
     dealt = parts.select("shard", F.posexplode("words").alias("_at", "word")).repartition("word").sortWithinPartitions("word")
     told = kept(dealt.mapInArrow(_numbered, "shard long, _at int, _part int, _number long, word binary"), "dictionary")

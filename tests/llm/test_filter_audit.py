@@ -62,3 +62,22 @@ def test_matrix_holds_every_count(spark):
     assert found == Counter((d, tuple(sorted(Counter(words(t)).items()))) for d, t, *_ in data)
     counts, _ = term_matrix(documents(spark, data), "text", ["doc_id", "n_chars"], then=shard_counts(["doc_id", "n_chars"]), schema="doc_id long, n_chars long, n_words long, n_distinct long")
     assert Counter(tuple(r) for r in counts.collect()) == Counter((d, n, len(words(t)), len(set(words(t)))) for d, t, _, _, n in data)
+
+
+def test_shards_are_written_a_few_at_a_time(spark, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from lingot.llm import filter_audit as audit
+    from lingot.plans import scratch
+
+    asked = {}
+    monkeypatch.setattr(audit, "kept", lambda df, name, **said: asked.update({name: said}) or scratch.kept(df, name, **said))
+    term_matrix(documents(spark, rows(20)), "text", ["doc_id"])
+    assert asked["local-terms"] == {"large_rows": True}
+    wide = spark.range(8).coalesce(1).select("id", F.transform(F.sequence(F.lit(1), F.lit(1_000_000)), lambda i: F.xxhash64(i, F.col("id"))).alias("longs"))
+    files = [f for name in scratch.kept(wide, "wide", large_rows=True).inputFiles() for f in glob.glob(name.removeprefix("file://"))]
+    groups = [pq.ParquetFile(f).metadata.row_group(i).num_rows for f in files for i in range(pq.ParquetFile(f).num_row_groups)]
+    assert sum(groups) == 8 and max(groups) <= 3
