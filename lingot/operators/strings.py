@@ -11,16 +11,28 @@ from ..functions.text import any_in, label_form, letter_count, normal_space, sev
 from ..plans.ranks import ordered_place
 
 
+def _normal(strings: DataFrame) -> DataFrame:
+    return settled(strings.withColumn("_norm", normal_space("value")), "_norm")
+
+
+def scored(strings: DataFrame) -> DataFrame:
+    """strings with their score, that later steps need not find again."""
+    return settled(classify(_normal(strings), normal="_norm").drop("_norm", "reasons"), "score")
+
+
 def accepted(strings: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Strings at or above their threshold; of equal normalised values of a group the first accepted."""
-    scored = settled(classify(settled(strings.withColumn("_norm", normal_space("value")), "_norm"), normal="_norm"), "score").where((F.col("score") >= threshold(F.col("kind"))) & (F.col("_norm") != ""))
-    return scored.withColumn("_nth", F.row_number().over(Window.partitionBy(*group, "_norm").orderBy(*order))).where("_nth = 1").drop("_nth", "_norm")
+    """Strings at or above their threshold; of equal normalised values of a group the first accepted.  Strings that carry a score keep it."""
+    good = F.col("score") >= threshold(F.col("kind"))
+    rows = _normal(strings.where(good)) if "score" in strings.columns else settled(classify(_normal(strings), normal="_norm"), "score").where(good)
+    rows = rows.where(F.col("_norm") != "")
+    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*group, "_norm").orderBy(*order))).where("_nth = 1").drop("_nth", "_norm")
 
 
 def filter_counts(strings: DataFrame, group: str) -> DataFrame:
-    """accepted and rejected rows of each group."""
+    """accepted and rejected rows of each group; strings that carry a score keep it."""
     ok = F.col("score") >= threshold(F.col("kind"))
-    return classify(strings).groupBy(group).agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"))
+    rows = strings if "score" in strings.columns else classify(strings)
+    return rows.groupBy(group).agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"))
 
 
 def first_of_key(strings: DataFrame, key: list[str], order: list[str]) -> DataFrame:

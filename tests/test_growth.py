@@ -157,3 +157,17 @@ def test_the_last_row_of_a_key_is_imported(spark, monkeypatch):
     log_streams.import_stream(stream, lambda df: df.withColumn("outcome", F.lit("imported")), "store", "check")
     batch["f"](rows, 0)
     assert changed == [([("k", "b"), ("n", "d")], [("m", "")])]
+
+
+def test_strings_of_archives_are_found_and_scored_once(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(archive_scan, "kept", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or scratch.kept(df, name))
+    rows = [("a", 0, "x.odd", 40, b"\x00Start the game\x00Load the game now\x00"), ("a", 1, "y.txt", 20, b"one line of text")]
+    entries = spark.createDataFrame(rows, "archive_id string, pos int, source string, size long, content binary")
+    scan = archive_scan.scan_archives(entries)
+    assert "MapInPandas" in plans["deep-found"] and "MapInPandas" not in plans["deep-strings"]
+    assert "score" in scan.raw.columns
+    told = strings.filter_counts(scan.raw, "archive_id")
+    assert "rlike" not in told._jdf.queryExecution().optimizedPlan().toString().lower()
+    unscored = strings.filter_counts(scan.raw.drop("score"), "archive_id")
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, unscored.collect())) and told.count() == 1
